@@ -49,3 +49,54 @@ def fences_sql(src: str, cols: Sequence[str], k: float = 1.5) -> str:
                 f"QUANTILE_CONT({x}, 0.5) AS median, QUANTILE_CONT({x}, 0.75) AS q3 FROM ({src}) _t")
     return (f"SELECT column_name, column_idx, q1, median, q3, q1 - {k} * (q3 - q1) AS lo, "
             f"q3 + {k} * (q3 - q1) AS hi FROM ({union_cols(cols, t)}) _f")
+
+
+def det_sql(m: list[list[str]]) -> str:
+    """Determinant of a small matrix of SQL expressions (Laplace expansion)."""
+    k = len(m)
+    if k == 1:
+        return m[0][0]
+    if k == 2:
+        return f"(({m[0][0]}) * ({m[1][1]}) - ({m[0][1]}) * ({m[1][0]}))"
+    terms = []
+    for j in range(k):
+        minor = [row[:j] + row[j + 1:] for row in m[1:]]
+        sign = "+" if j % 2 == 0 else "-"
+        terms.append(f"{sign} ({m[0][j]}) * {det_sql(minor)}")
+    return "(" + " ".join(terms) + ")"
+
+
+def cramer_sql(a: list[list[str]], b: list[str]) -> list[str]:
+    """Solution of a·x = b by Cramer's rule, one SQL expression per unknown."""
+    d = det_sql(a)
+    out = []
+    for j in range(len(b)):
+        aj = [row[:j] + [b[i]] + row[j + 1:] for i, row in enumerate(a)]
+        out.append(f"({det_sql(aj)} / {d})")
+    return out
+
+
+def prep_sql(src: str, key: str, feats: list[str], target: str, extra: str = "") -> str:
+    """CTE text 'd, p, s': coerce, drop incomplete rows, number by key, 80/20 split."""
+    sel = ", ".join(f"TRY_CAST({q(c)} AS DOUBLE) AS {q(c)}" for c in [*feats, target])
+    nn = " AND ".join(f"{q(c)} IS NOT NULL" for c in [*feats, target])
+    return (f"d AS (SELECT {key}, {sel}{extra} FROM ({src}) _src), "
+            f"d2 AS (SELECT * FROM d WHERE {nn}), "
+            f"p AS (SELECT *, ROW_NUMBER() OVER (ORDER BY {key}) - 1 AS pos, COUNT(*) OVER () AS n FROM d2), "
+            f"s AS (SELECT *, CASE WHEN pos < CAST(FLOOR(n * CAST(0.8 AS DOUBLE)) AS BIGINT) "
+            f"THEN 'train' ELSE 'test' END AS split FROM p)")
+
+
+def moments_sql(feats: list[str], target: str) -> str:
+    """CTE 'm': train count, means, population covariances (c_i_j, cy_i, vy)."""
+    k = len(feats)
+    parts = ["CAST(COUNT(*) AS BIGINT) AS n_train", f"AVG({q(target)}) AS ybar",
+             f"COVAR_POP({q(target)}, {q(target)}) AS vy"]
+    parts += [f"AVG({q(c)}) AS mu{i}" for i, c in enumerate(feats)]
+    parts += [f"COVAR_POP({q(feats[i])}, {q(feats[j])}) AS c{i}_{j}" for i in range(k) for j in range(i, k)]
+    parts += [f"COVAR_POP({q(c)}, {q(target)}) AS cy{i}" for i, c in enumerate(feats)]
+    return f"m AS (SELECT {', '.join(parts)} FROM s WHERE split = 'train')"
+
+
+def cov_name(i: int, j: int) -> str:
+    return f"c{min(i, j)}_{max(i, j)}"
