@@ -139,16 +139,19 @@ def box_summary(df: DataFrame, cols: Sequence[str], by: str | None = None, k: fl
         x = F.when(_finite(x), x)
         aggs += [F.min(F.when(x >= lo, x)).alias(f"_lo{i}"), F.max(F.when(x <= hi, x)).alias(f"_hi{i}"),
                  F.count_if((x < lo) | (x > hi)).alias(f"_f{i}")]
+    # the fitted quartiles (one row per group and column, already collected) ride along as literals
+    qv = {(r[by] if by else None, r["column_name"]): r for r in qd}
+    for i, c in enumerate(cols):
+        for name in QUARTILES:
+            aggs.append(F.first(_group_value(by, {g: qv[(g, cc)][name] for (g, cc) in qv if cc == c}))
+                        .alias(f"_{name}{i}"))
     wide = df.groupBy(*groups).agg(*aggs) if groups else df.agg(*aggs)
-    structs = [F.struct(F.lit(c).alias("column_name"), F.col(f"_lo{i}").alias("whisker_lo"),
-                        F.col(f"_hi{i}").alias("whisker_hi"), F.col(f"_f{i}").cast("bigint").alias("n_fliers"))
+    structs = [F.struct(F.lit(c).alias("column_name"),
+                        *[F.col(f"_{name}{i}").cast("double").alias(name) for name in QUARTILES],
+                        F.col(f"_lo{i}").alias("whisker_lo"), F.col(f"_hi{i}").alias("whisker_hi"),
+                        F.col(f"_f{i}").cast("bigint").alias("n_fliers"))
                for i, c in enumerate(cols)]
-    w = wide.select(*groups, F.inline(F.array(*structs)))
-    keys = [*groups, "column_name"]
-    qf = quantiles(df, cols, QUARTILES, by=groups)
-    cond = [w[kk].eqNullSafe(qf[kk]) for kk in keys]
-    return w.join(qf, cond).select(*[w[kk] for kk in keys], qf["q1"], qf["median"], qf["q3"],
-                                   "whisker_lo", "whisker_hi", "n_fliers")
+    return wide.select(*groups, F.inline(F.array(*structs)))
 
 
 def box_by_ordered_category(df: DataFrame, value: str, category: str, order: Sequence[str],

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabprism.functions.expressions import clip, rnd
-from tabprism.operators.positions import weighted_positions
+from tabprism.operators.positions import partition_totals, ranged_running_sum
 from tabprism.operators.stats import to_long
 
 #: probability clipping for log-loss: float64 machine epsilon
@@ -60,18 +60,28 @@ def feature_auc(df: DataFrame, features: Sequence[str], label: str, digits: int
     """ROC AUC of each raw feature as a score for a 0/1 label, ties counted half.
 
     AUC = Σ_v pos(v)·(neg(< v) + ½·neg(v)) / (P·N).  Rows are pre-aggregated to
-    (feature, value, pos, neg) — map-side, so a hot value is one row — and
-    neg(< v) comes from distributed cumulative ranks (range partitioning),
-    never from one window over a whole feature.  Features whose label has a
-    single class are omitted.
+    (feature, value, pos, neg) — map-side, so a hot value is one row — then
+    range-partitioned with a running count of negatives inside each partition.
+    Per-(partition, feature) sums (at most partitions + features rows) finish
+    the formula on the driver: no window over a whole feature, no join.
+    Features whose label has a single class are omitted.
     """
     long = to_long(df, features, keep=[label], name_col="feature", value_col="v")
     long = long.where(F.col("v").isNotNull() & ~F.isnan("v") & F.col(label).isNotNull())
     yy = F.col(label).cast("double")
     g = long.groupBy("feature", "v").agg(F.sum(yy).alias("pos"), F.sum(1 - yy).alias("neg"))
-    ranked = weighted_positions(g, ["feature"], "v", "neg")   # _start = negatives below v
-    a = ranked.groupBy("feature").agg(
-        F.sum(F.col("pos") * (F.col("_start") + 0.5 * F.col("neg"))).alias("_num"),
-        F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
-    a = a.where((F.col("_p") > 0) & (F.col("_n") > 0))
-    return a.select("feature", rnd(F.col("_num") / (F.col("_p") * F.col("_n")), digits).alias("auc"))
+    ranged = ranged_running_sum(g, ["feature"], "v", "neg")
+    parts = partition_totals(ranged, ["feature"], "neg", extra={
+        "_pp": F.sum("pos"), "_s1": F.sum(F.col("pos") * (F.col("_lcum") - 0.5 * F.col("neg")))})
+    acc, before = {}, {}
+    for r in parts:          # sorted by (partition, feature)
+        f, pid = r["feature"], r["_pid"]
+        a = acc.setdefault(f, [0.0, 0.0, 0.0])            # negatives so far, positives, numerator
+        b = before.get(pid, 0.0)
+        a[2] += r["_s1"] + r["_pp"] * (a[0] - b)
+        a[0] += r["_pt"]
+        a[1] += r["_pp"]
+        before[pid] = b + r["_pt"]
+    rows = [(f, a[2] / (a[1] * a[0])) for f, a in acc.items() if a[0] > 0 and a[1] > 0]
+    out = df.sparkSession.createDataFrame(rows, "feature string, auc double")
+    return out.select("feature", rnd("auc", digits).alias("auc"))

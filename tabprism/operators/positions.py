@@ -12,8 +12,8 @@ task.  Here a position is built from a range-partitioned, locally sorted copy:
 4. count rows per partition (one number per partition), prefix-sum those
    counts on a table with one row per partition, broadcast it and add.
 
-The weighted variant does the same on pre-aggregated (key, value, weight)
-rows and is the basis of exact quantiles (see ``quantiles.py``).
+The weighted variant (``ranged_running_sum``) works on pre-aggregated
+(key, value, weight) rows and is the basis of exact quantiles and AUC.
 """
 
 from __future__ import annotations
@@ -22,8 +22,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-
-from tabprism.operators.stats import broadcast_if_small
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 #: offsets tables have one row per (range partition, group); broadcast below this.
 MAX_BROADCAST_ROWS = 2_000_000
@@ -50,31 +49,51 @@ def row_index(df: DataFrame, order_by: Sequence[str] | str, name: str = "pos",
     # one row per partition: a single-task window over it is fine.
     w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offs = counts.select("_pid", F.coalesce(F.sum("_pc").over(w), F.lit(0)).alias("_off"))
-    out = tagged.join(broadcast_if_small(offs, MAX_BROADCAST_ROWS), "_pid")
+    # offs has exactly one row per range partition: its size is bounded by construction
+    out = tagged.join(F.broadcast(offs), "_pid")
     return out.withColumn(name, F.col("_off") + F.col("_lix")).drop("_pid", "_lix", "_off")
 
 
-def weighted_positions(df: DataFrame, groups: Sequence[str], order: str, weight: str,
+def ranged_running_sum(df: DataFrame, groups: Sequence[str], order: str, weight: str,
                        num_partitions: int | None = None) -> DataFrame:
-    """Cumulative weight ranks inside each group, ordered by ``order``.
+    """Range-partition on (groups, order), sort inside each partition, and add
+    ``_pid`` (partition id) and ``_lcum`` (inclusive running sum of ``weight``
+    inside the partition, across group boundaries).
 
-    Input rows must be unique on (groups, order).  Adds ``_start`` and
-    ``_end``: the row covers 0-based ranks ``[_start, _end)`` of its group; and
-    ``_n``, the group's total weight.
+    The running sum is a sequential scan of one already-sorted partition, done
+    with ``mapInPandas`` (a vectorised cumsum per Arrow batch with a carry):
+    no extra exchange.  The result is checkpointed, so its partitioning — and
+    with it every derived rank — is fixed, also if an executor is lost later.
+    Combine with ``partition_totals`` to turn ``_lcum`` into ranks per group.
     """
     groups = list(groups)
     n = _num_partitions(df, num_partitions)
-    ranged = (df.repartitionByRange(n, *groups, order)
+    ranged = (df.repartitionByRange(n, *groups, order).sortWithinPartitions(*groups, order)
               .withColumn("_pid", F.spark_partition_id()))
-    local = (Window.partitionBy("_pid", *groups).orderBy(order)
-             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    ranged = ranged.withColumn("_lcum", F.sum(weight).over(local)).checkpoint(eager=True)
-    parts = ranged.groupBy("_pid", *groups).agg(F.sum(weight).alias("_pt"))
-    before = (Window.partitionBy(*groups).orderBy("_pid")
-              .rowsBetween(Window.unboundedPreceding, -1))
-    offs = parts.select("_pid", *groups,
-                        F.coalesce(F.sum("_pt").over(before), F.lit(0)).alias("_off"),
-                        F.sum("_pt").over(Window.partitionBy(*groups)).alias("_n"))
-    out = ranged.join(broadcast_if_small(offs, MAX_BROADCAST_ROWS), ["_pid", *groups])
-    out = out.withColumn("_end", F.col("_off") + F.col("_lcum"))
-    return out.withColumn("_start", F.col("_end") - F.col(weight)).drop("_lcum", "_off", "_pid")
+    schema = StructType(ranged.schema.fields + [StructField("_lcum", DoubleType(), False)])
+
+    def cumsum(batches):
+        carry = 0.0
+        for pdf in batches:
+            c = pdf[weight].astype("float64").cumsum() + carry
+            if len(c):
+                carry = float(c.iloc[-1])
+            yield pdf.assign(_lcum=c)
+
+    return ranged.mapInPandas(cumsum, schema).checkpoint(eager=True)
+
+
+def partition_totals(ranged: DataFrame, groups: Sequence[str], weight: str,
+                     extra: dict | None = None, max_rows: int = MAX_BROADCAST_ROWS) -> list:
+    """Per (partition, group): total weight (``_pt``) plus optional extra sums.
+
+    Because partitions hold contiguous key ranges, there are at most
+    (partitions + groups − 1) such rows; the collect is refused beyond
+    ``max_rows``.  Rows come back sorted by (partition, group order).
+    """
+    aggs = [F.sum(weight).alias("_pt")] + [v.alias(k) for k, v in (extra or {}).items()]
+    rows = (ranged.groupBy("_pid", *groups).agg(*aggs)
+            .orderBy("_pid", *groups).limit(max_rows + 1).collect())
+    if len(rows) > max_rows:
+        raise RuntimeError(f"more than {max_rows} (partition, group) segments; too many groups")
+    return rows

@@ -12,10 +12,12 @@ Two physical strategies, picked per call from one cheap distinct-count pass:
   values, so it is used only when every column is below ``distinct_limit``.
 * ``rank``: distributed order statistics.  Values are pre-aggregated to
   (group, value, count) — a hot value collapses map-side into one row — then
-  ranked by range partitioning (``positions.weighted_positions``) and the
-  handful of rows covering ranks floor(h) and ceil(h) are picked by a
-  broadcast join against a (group × probability) table.  No task ever holds
-  more than one range partition, whatever the column's cardinality.
+  range-partitioned and given a running count inside each partition
+  (``positions.ranged_running_sum``).  Per-(partition, group) totals (at most
+  partitions + groups rows) locate the partition holding each needed rank,
+  and a broadcast join against those few (partition, rank) pairs picks the
+  rows at ranks floor(h) and ceil(h).  No task ever holds more than one
+  range partition, whatever the column's cardinality.
 
 ``method="approx"`` uses ``percentile_approx`` for callers who accept
 a bounded rank error.
@@ -23,15 +25,17 @@ a bounded rank error.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from tabprism.operators.positions import weighted_positions
-from tabprism.operators.stats import broadcast_if_small, to_long
+from tabprism.operators.positions import partition_totals, ranged_running_sum
+from tabprism.operators.stats import to_long
 
-DEFAULT_DISTINCT_LIMIT = 100_000
+DEFAULT_DISTINCT_LIMIT = 1_000_000
 MAX_GROUPS = 1_000_000
 
 
@@ -85,39 +89,67 @@ def quantiles(df: DataFrame, cols: Sequence[str], probs: dict[str, float],
 
 def _rank_quantiles(df, cols, probs, by, name_col):
     keys = [*by, name_col]
+    spark = df.sparkSession
     long = to_long(df, cols, keep=by, name_col=name_col, value_col="_v")
     long = long.where(_finite(F.col("_v")))
-    weighted = long.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_w"))
-    pos = weighted_positions(weighted, keys, "_v", "_w")
-    sizes = pos.select(*keys, "_n").distinct()
-    want = sizes.select(*keys, "_n", F.inline(F.array(*[
-        F.struct(F.lit(k).alias("_q"), F.lit(float(p)).alias("_p")) for k, p in probs.items()])))
-    want = (want.withColumn("_h", F.col("_p") * (F.col("_n") - 1))
-            .withColumn("_lo", F.floor("_h")).withColumn("_hi", F.ceil("_h")))
-    want = broadcast_if_small(want, MAX_GROUPS * max(1, len(probs)))
-
-    p, w = pos.alias("_P"), want.alias("_W")
-    pc = lambda k: F.col(f"_P.{k}")
-    wc = lambda k: F.col(f"_W.{k}")
-    cond = [pc(k).eqNullSafe(wc(k)) for k in keys]
-    in_lo = (pc("_start") <= wc("_lo")) & (wc("_lo") < pc("_end"))
-    in_hi = (pc("_start") <= wc("_hi")) & (wc("_hi") < pc("_end"))
-    on = cond[0]
-    for c in cond[1:] + [in_lo | in_hi]:
-        on = on & c
-    hits = p.join(w, on)
-    picked = hits.groupBy(*[wc(k).alias(k) for k in keys], wc("_q").alias("_q")).agg(
-        F.first(wc("_h")).alias("_h"), F.first(wc("_lo")).alias("_lo"),
-        F.max(F.when(in_lo, pc("_v"))).alias("_vlo"),
-        F.max(F.when(in_hi, pc("_v"))).alias("_vhi"))
-    val = F.col("_vlo") + (F.col("_h") - F.col("_lo")) * (F.col("_vhi") - F.col("_vlo"))
-    wide = picked.groupBy(*keys).pivot("_q", list(probs)).agg(F.first(val))
-    # columns with no finite value still get a row, with NULL quantiles
-    names = F.explode(F.array(*[F.lit(c) for c in cols])).alias(name_col)
+    # map-side combined: a value holding a third of the table becomes one row per task
+    weighted = long.groupBy(*keys, "_v").agg(F.count(F.lit(1)).cast("double").alias("_w"))
+    ranged = ranged_running_sum(weighted, keys, "_v", "_w")
+    parts = partition_totals(ranged, keys, "_w", max_rows=MAX_GROUPS)
+
+    # (partition, group) segments in key order → rank offsets, on ≤ partitions + groups rows
+    segs, totals, before = {}, {}, {}
+    for r in parts:
+        g, pid, pt = tuple(r[k] for k in keys), r["_pid"], r["_pt"]
+        b = before.get(pid, 0.0)
+        segs.setdefault(g, []).append((pid, totals.get(g, 0.0), pt, b))
+        totals[g] = totals.get(g, 0.0) + pt
+        before[pid] = b + pt
+
+    def locate(g, rank):
+        for pid, off, pt, b in segs[g]:
+            if off <= rank < off + pt:
+                return pid, rank - off + b
+        raise AssertionError("rank outside its group")
+
+    wanted, plan = {}, {}
+    for g, n in totals.items():
+        for name, p in probs.items():
+            h = float(p) * (n - 1)
+            lo, hi = math.floor(h), math.ceil(h)
+            plan[(g, name)] = (h, lo, locate(g, lo), locate(g, hi))
+            for loc in plan[(g, name)][2:]:
+                wanted.setdefault(loc, len(wanted))
+    values = {}
+    if wanted:
+        need = spark.createDataFrame([(int(pid), float(r), i) for (pid, r), i in wanted.items()],
+                                     "_npid int, _r double, _tag int")
+        # one row per needed rank (≤ groups × 2 × probabilities): size known before broadcasting
+        hits = ranged.join(F.broadcast(need), (ranged["_pid"] == need["_npid"])
+                           & (ranged["_lcum"] - ranged["_w"] <= need["_r"]) & (need["_r"] < ranged["_lcum"]))
+        values = {r["_tag"]: r["_v"] for r in hits.select("_tag", "_v").collect()}
+
     if by:
-        frame = df.select(*by).distinct().select(*by, names)
+        groups_seen = [tuple(r) for r in df.select(*by).distinct().limit(MAX_GROUPS + 1).collect()]
+        if len(groups_seen) > MAX_GROUPS:
+            raise RuntimeError("too many groups for grouped quantiles")
     else:
-        frame = df.sparkSession.range(1).select(names)
-    cond2 = [frame[k].eqNullSafe(wide[k]) for k in keys]
-    return frame.join(wide, cond2, "left").select(
-        *[frame[k] for k in keys], *[wide[k].cast("double").alias(k) for k in probs])
+        groups_seen = [()]
+    rows = []
+    for bg in groups_seen:
+        for c in cols:
+            g = (*bg, c)
+            out = []
+            for name in probs:
+                if g not in totals:
+                    out.append(None)
+                    continue
+                h, lo, loc_lo, loc_hi = plan[(g, name)]
+                vlo, vhi = values[wanted[loc_lo]], values[wanted[loc_hi]]
+                out.append(vlo + (h - lo) * (vhi - vlo))
+            rows.append((*bg, c, *out))
+    fields = [f for f in df.schema.fields if f.name in by]
+    fields = [next(f for f in fields if f.name == b) for b in by]
+    schema = StructType(fields + [StructField(name_col, StringType())]
+                        + [StructField(k, DoubleType()) for k in probs])
+    return spark.createDataFrame(rows, schema)
