@@ -41,3 +41,15 @@ def clip(x, lo: float, hi: float) -> Column:
 
 def sigmoid(z) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-_c(z)))
+
+
+def pair_corr(a, b) -> Column:
+    """Pearson correlation over rows where both sides are present (NULL/NaN skipped).
+
+    NULL when either side is constant: ``try_divide`` instead of the ``corr``
+    aggregate, which raises on a zero variance under ANSI mode.
+    """
+    x, y = nan_to_null(_c(a).cast("double")), nan_to_null(_c(b).cast("double"))
+    both = x.isNotNull() & y.isNotNull()
+    xa, ya = F.when(both, x), F.when(both, y)
+    return F.try_divide(F.covar_pop(xa, ya), F.stddev_pop(xa) * F.stddev_pop(ya))

@@ -29,14 +29,19 @@ def _finite(c: Column) -> Column:
 
 # ---------------------------------------------------------------- V2 histogram
 def auto_bins(n: int, lo: float, hi: float, q1: float, q3: float) -> tuple[float, float, int]:
-    """numpy 'auto' binning: width min(Freedman–Diaconis, Sturges), FD ignored when 0."""
+    """numpy 'auto' binning: width = min(max(Freedman–Diaconis, sqrt-rule / 2), Sturges).
+
+    The sqrt floor caps the bin count near 2·sqrt(n), so the bin table stays
+    bounded however skewed the column is.
+    """
     if n == 0:
         return 0.0, 1.0, 1
     if hi == lo:
         return lo - 0.5, hi + 0.5, 1
     sturges = (hi - lo) / (math.log2(n) + 1.0)
     fd = 2.0 * (q3 - q1) * n ** (-1.0 / 3.0)
-    width = min(fd, sturges) if fd else sturges
+    sqrt_half = (hi - lo) / math.sqrt(n) / 2
+    width = min(max(fd, sqrt_half), sturges)
     return lo, hi, int(math.ceil((hi - lo) / width))
 
 
@@ -113,11 +118,13 @@ def _group_value(by: str | None, table: dict, key_default=None) -> Column:
     return out
 
 
-def box_summary(df: DataFrame, cols: Sequence[str], by: str | None = None, k: float = 1.5) -> DataFrame:
+def box_summary(df: DataFrame, cols: Sequence[str], by: str | None = None, k: float = 1.5,
+                digits: int | None = 6) -> DataFrame:
     """V4/V5: q1, median, q3, whiskers (extreme values inside 1.5·IQR) and flier count.
 
     One quantile pass (per group when ``by`` is given), then one aggregate with
-    the fitted fences as literals.  The fence table has one row per
+    the fitted fences as literals.  Quartiles are reported rounded to
+    ``digits`` (engines interpolate with different last-bit arithmetic).  The fence table has one row per
     (group, column): ``by`` must be a low-cardinality class column.
     """
     cols = list(cols)
@@ -147,7 +154,8 @@ def box_summary(df: DataFrame, cols: Sequence[str], by: str | None = None, k: fl
                         .alias(f"_{name}{i}"))
     wide = df.groupBy(*groups).agg(*aggs) if groups else df.agg(*aggs)
     structs = [F.struct(F.lit(c).alias("column_name"),
-                        *[F.col(f"_{name}{i}").cast("double").alias(name) for name in QUARTILES],
+                        *[(rnd(F.col(f"_{name}{i}").cast("double"), digits) if digits is not None
+                           else F.col(f"_{name}{i}").cast("double")).alias(name) for name in QUARTILES],
                         F.col(f"_lo{i}").alias("whisker_lo"), F.col(f"_hi{i}").alias("whisker_hi"),
                         F.col(f"_f{i}").cast("bigint").alias("n_fliers"))
                for i, c in enumerate(cols)]

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabprism.functions.expressions import rnd
+from tabprism.functions.expressions import pair_corr, rnd
 from tabprism.operators.quantiles import quantiles
 from tabprism.operators.stats import column_stats, to_long
 
@@ -179,11 +179,7 @@ def corr_matrix(df: DataFrame, cols: Sequence[str], digits: int = 6) -> DataFram
     cols = list(cols)
     pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
 
-    def val(c):
-        v = F.col(c).cast("double")
-        return F.when(~F.isnan(v), v)
-
-    row = df.agg(*[F.corr(val(cols[i]), val(cols[j])).alias(f"_r{i}_{j}") for i, j in pairs])
+    row = df.agg(*[pair_corr(cols[i], cols[j]).alias(f"_r{i}_{j}") for i, j in pairs])
     structs = []
     for i, j in pairs:
         r = F.col(f"_r{i}_{j}")
@@ -198,7 +194,7 @@ def target_corr_ranked(df: DataFrame, cols: Sequence[str], target: str,
                        digits: int = 3) -> DataFrame:
     """Correlation of each column with the target (self dropped), ranked desc."""
     feats = [c for c in cols if c != target]
-    row = df.agg(*[F.corr(F.col(c).cast("double"), F.col(target).cast("double")).alias(f"_r{i}")
+    row = df.agg(*[pair_corr(c, target).alias(f"_r{i}")
                    for i, c in enumerate(feats)])
     structs = [F.struct(F.lit(c).alias("column_name"), F.lit(i).alias("column_idx"),
                         rnd(F.col(f"_r{i}"), digits).alias("corr"))

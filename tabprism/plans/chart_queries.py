@@ -25,7 +25,7 @@ def _edge_sql(i):
     f"WITH d AS ({EV_VALUE}), st AS (SELECT COUNT(*) AS n, MIN(x) AS lo, MAX(x) AS hi, "
     "QUANTILE_CONT(x, 0.25) AS q1, QUANTILE_CONT(x, 0.75) AS q3 FROM d), "
     f"w AS (SELECT *, (hi - lo) / (LOG2(n) + 1.0) AS sturges, 2.0 * (q3 - q1) * POW(n, {THIRD}) AS fd FROM st), "
-    "kk AS (SELECT lo, hi, CAST(CEIL((hi - lo) / CASE WHEN fd <> 0 THEN LEAST(fd, sturges) ELSE sturges END) "
+    "kk AS (SELECT lo, hi, CAST(CEIL((hi - lo) / LEAST(GREATEST(fd, (hi - lo) / SQRT(n) / 2), sturges)) "
     "AS BIGINT) AS k FROM w), "
     "i0 AS (SELECT x, lo, hi, k, CAST(FLOOR(((x - lo) / (hi - lo)) * k) AS BIGINT) AS b FROM d, kk), "
     "i1 AS (SELECT x, lo, hi, k, CASE WHEN b = k THEN k - 1 ELSE b END AS b FROM i0), "
@@ -60,7 +60,8 @@ def _box_sql(src, cols, by=None):
 
     def w(i, c):
         on = f" AND f.{by} IS NOT DISTINCT FROM _s.{by}" if by else ""
-        return (f"SELECT {('_s.' + by + ', ') if by else ''}'{c}' AS column_name, f.q1, f.median, f.q3, "
+        return (f"SELECT {('_s.' + by + ', ') if by else ''}'{c}' AS column_name, ROUND(f.q1, 6) + 0.0 AS q1, "
+                f"ROUND(f.median, 6) + 0.0 AS median, ROUND(f.q3, 6) + 0.0 AS q3, "
                 f"MIN({dbl(c)}) FILTER (WHERE {dbl(c)} >= f.q1 - 1.5 * (f.q3 - f.q1)) AS whisker_lo, "
                 f"MAX({dbl(c)}) FILTER (WHERE {dbl(c)} <= f.q3 + 1.5 * (f.q3 - f.q1)) AS whisker_hi, "
                 f"CAST(COUNT(*) FILTER (WHERE {dbl(c)} < f.q1 - 1.5 * (f.q3 - f.q1) OR {dbl(c)} > "
