@@ -65,8 +65,7 @@ def prepare(df: DataFrame, features: Sequence[str], target: str, order_by: Seque
     d = df.select(*key_cols, *[to_double(c).alias(c) for c in feats], tgt.alias(target),
                   *[c for c in keep if c not in keys and c not in feats and c != target])
     d = d.dropna(how="any", subset=[*feats, target])
-    numbered = row_index(d, keys, "pos")
-    n = numbered.count()
+    numbered, n = row_index(d, keys, "pos", with_count=True)
     n_train = int(n * float(train_fraction))
     data = numbered.withColumn("split", F.when(F.col("pos") < n_train, "train").otherwise("test"))
     return Prepared(data, n, n_train)

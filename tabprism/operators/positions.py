@@ -10,7 +10,7 @@ task.  Here a position is built from a range-partitioned, locally sorted copy:
    between the counting job and the numbering job, also when an executor is
    lost and its tasks are recomputed;
 4. count rows per partition (one number per partition), prefix-sum those
-   counts on a table with one row per partition, broadcast it and add.
+   counts into a table with one row per partition, broadcast it and add.
 
 The weighted variant (``ranged_running_sum``) works on pre-aggregated
 (key, value, weight) rows and is the basis of exact quantiles and AUC.
@@ -22,7 +22,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, StructType
 
 #: offsets tables have one row per (range partition, group); broadcast below this.
 MAX_BROADCAST_ROWS = 2_000_000
@@ -35,8 +35,12 @@ def _num_partitions(df: DataFrame, num_partitions: int | None) -> int:
 
 
 def row_index(df: DataFrame, order_by: Sequence[str] | str, name: str = "pos",
-              num_partitions: int | None = None) -> DataFrame:
-    """Add a 0-based position by ``order_by`` (which must form a unique key)."""
+              num_partitions: int | None = None, with_count: bool = False):
+    """Add a 0-based position by ``order_by`` (which must form a unique key).
+
+    With ``with_count`` returns ``(frame, n)``; the row count comes for free
+    from the per-partition counts.
+    """
     keys = [order_by] if isinstance(order_by, str) else list(order_by)
     n = _num_partitions(df, num_partitions)
     pid = F.spark_partition_id()
@@ -45,13 +49,18 @@ def row_index(df: DataFrame, order_by: Sequence[str] | str, name: str = "pos",
               .withColumn("_lix", F.monotonically_increasing_id()
                           - F.shiftleft(pid.cast("long"), 33)))
     tagged = tagged.checkpoint(eager=True)
-    counts = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_pc"))
-    # one row per partition: a single-task window over it is fine.
-    w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offs = counts.select("_pid", F.coalesce(F.sum("_pc").over(w), F.lit(0)).alias("_off"))
-    # offs has exactly one row per range partition: its size is bounded by construction
+    # one number per range partition: bounded by the partition count
+    counts = sorted((r["_pid"], r["_pc"]) for r in
+                    tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_pc")).collect())
+    offsets, total = [], 0
+    for p, c in counts:
+        offsets.append((int(p), int(total)))
+        total += c
+    schema = StructType([StructField("_pid", IntegerType(), False), StructField("_off", LongType(), False)])
+    offs = df.sparkSession.createDataFrame(offsets, schema)
     out = tagged.join(F.broadcast(offs), "_pid")
-    return out.withColumn(name, F.col("_off") + F.col("_lix")).drop("_pid", "_lix", "_off")
+    out = out.withColumn(name, F.col("_off") + F.col("_lix")).drop("_pid", "_lix", "_off")
+    return (out, int(total)) if with_count else out
 
 
 def ranged_running_sum(df: DataFrame, groups: Sequence[str], order: str, weight: str,

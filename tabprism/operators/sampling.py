@@ -91,8 +91,7 @@ def train_test_split(df: DataFrame, order_by, train_fraction: float = 0.8,
     Returns (train, test, n_train).  The numbered frame is checkpointed inside
     ``row_index``, so train and test are complementary even on recomputation.
     """
-    numbered = row_index(df, order_by, pos_col)
-    n = numbered.count()
+    numbered, n = row_index(df, order_by, pos_col, with_count=True)
     n_train = int(n * float(train_fraction))
     return (numbered.where(F.col(pos_col) < n_train),
             numbered.where(F.col(pos_col) >= n_train), n_train)
@@ -101,8 +100,7 @@ def train_test_split(df: DataFrame, order_by, train_fraction: float = 0.8,
 def split_labels(df: DataFrame, order_by, train_fraction: float = 0.8,
                  pos_col: str = "pos") -> DataFrame:
     """P13 as one frame with a ``split`` column ('train' / 'test')."""
-    numbered = row_index(df, order_by, pos_col)
-    n = numbered.count()
+    numbered, n = row_index(df, order_by, pos_col, with_count=True)
     n_train = int(n * float(train_fraction))
     return numbered.withColumn(
         "split", F.when(F.col(pos_col) < n_train, "train").otherwise("test"))
