@@ -275,7 +275,7 @@ def _assembled(df: DataFrame, features: Sequence[str]) -> DataFrame:
 
 
 def fit_logistic(train: DataFrame, features: Sequence[str], label: str, n_train: int | None = None,
-                 C: float = 1.0, max_iter: int = 1000, tol: float = 1e-10) -> LogisticParams:
+                 C: float = 1.0, max_iter: int = 1000, tol: float = 1e-8) -> LogisticParams:
     """L2 logistic regression, objective Σ log-loss + ‖w‖²/(2C).
 
     Spark ML minimises mean log-loss + (λ/2)‖w‖², so λ = 1/(C·n).  With
@@ -300,7 +300,7 @@ class SoftmaxModel:
 
 
 def fit_softmax(train: DataFrame, features: Sequence[str], label: str, n_train: int,
-                C: float = 1.0, max_iter: int = 1000, tol: float = 1e-10) -> SoftmaxModel:
+                C: float = 1.0, max_iter: int = 1000, tol: float = 1e-8) -> SoftmaxModel:
     """M9: multinomial logistic regression on string class labels (alphabetical index)."""
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import StringIndexer
@@ -379,3 +379,21 @@ def linspace_expr(idx: Column, lo: float, hi: float, num: int) -> Column:
         return F.lit(float(lo))
     step = (hi - lo) / (num - 1)
     return F.when(idx == num - 1, F.lit(float(hi))).otherwise(idx.cast("double") * F.lit(step) + F.lit(float(lo)))
+
+
+# ---------------------------------------------------------------- M14 scaler comparison
+def scaler_comparison(prep: Prepared, features: Sequence[str], label: str) -> DataFrame:
+    """Validation accuracy % of the same classifier on raw, standardised
+    (population σ, constant → 1) and min-max inputs, each fitted on train only."""
+    variants = {"Unscaled": None,
+                "StandardScaler": fit_standardiser(prep.train, features, ddof=0, zero_to_one=True),
+                "MinMaxScaler": fit_minmax_inputs(prep.train, features)}
+    out = None
+    for name, fitted in variants.items():
+        data = prep.data if fitted is None else standardise(prep.data, features, *fitted)
+        tr, te = data.where(F.col("split") == "train"), data.where(F.col("split") == "test")
+        p = fit_logistic(tr, features, label, prep.n_train)
+        acc = te.agg(rnd(F.avg(((p.z() > 0).cast("int") == F.col(label)).cast("double")) * 100, 2)
+                     .alias("accuracy")).select(F.lit(name).alias("scaler"), "accuracy")
+        out = acc if out is None else out.unionByName(acc)
+    return out

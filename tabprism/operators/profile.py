@@ -289,18 +289,35 @@ def class_vs_overall_mean(df: DataFrame, target: str, features: dict[str, int])
     return row.select(F.inline(F.array(*structs)))
 
 
-def insights(df: DataFrame, target: str, features: dict[str, int]) -> DataFrame:
-    """One sentence per feature whose class mean beats its overall mean (after rounding),
-    plus the class-share sentence."""
+def insights(df: DataFrame, target: str, features: dict[str, int],
+             conditional: Sequence[str] | None = None, flag: str | None = None) -> DataFrame:
+    """Sentences built from the KPI and class-mean tables.
+
+    One sentence per feature comparing its class mean with its overall mean;
+    features listed in ``conditional`` (all of them by default) only when the
+    class mean is higher after rounding.  Then the class-share sentence and,
+    with ``flag``, the flagged-rows sentence.
+    """
+    cond = set(features if conditional is None else conditional)
     m = class_vs_overall_mean(df, target, features)
-    feat = m.where(F.col("class_mean") > F.col("overall_mean")).select(
+    keep = F.lit(False)
+    for f in features:
+        keep = keep | ((F.col("feature") == f) & (F.lit(f not in cond) | (F.col("class_mean") > F.col("overall_mean"))))
+    feat = m.where(keep).select(
         F.col("feature").alias("topic"),
         F.format_string(f"Rows with {target} = 1 average %s %s, against %s overall.",
                         F.col("class_mean").cast("string"), F.col("feature"),
                         F.col("overall_mean").cast("string")).alias("sentence"))
-    k = kpi_overview(df, target).select(
+    k = kpi_overview(df, target, flag)
+    out = feat.unionByName(k.select(
         F.lit("class_share").alias("topic"),
         F.format_string(f"%s%% of the %s rows have {target} = 1.",
                         F.col("class_pct").cast("string"),
-                        F.format_number(F.col("n_rows"), 0)).alias("sentence"))
-    return feat.unionByName(k)
+                        F.format_number(F.col("n_rows"), 0)).alias("sentence")))
+    if flag:
+        out = out.unionByName(k.select(
+            F.lit("flagged").alias("topic"),
+            F.format_string("%s rows (%s%%) are flagged by the IQR rule.",
+                            F.format_number(F.col("n_flagged"), 0),
+                            F.col("flagged_rate").cast("string")).alias("sentence")))
+    return out

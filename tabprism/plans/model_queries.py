@@ -9,6 +9,7 @@ from tabprism.operators import metrics as MT
 from tabprism.operators import models as M
 from tabprism.operators import sampling as S
 from tabprism.operators import scoring as SC
+from tabprism.operators.report import evaluation_report
 from tabprism.plans import tables as T
 from tabprism.plans.registry import query
 from tabprism.plans.sqlgen import cov_name, cramer_sql, moments_sql, prep_sql, q
@@ -422,37 +423,13 @@ def decision_grid(spark, sf):
 def scaler_comparison(spark, sf):
     """Validation accuracy % of one classifier on raw, standardised and min-max inputs."""
     prep = M.prepare(T.of(spark, sf), LOGR_FEATS, "flag", "o_orderkey")
-    rows = []
-    variants = {"Unscaled": None,
-                "StandardScaler": M.fit_standardiser(prep.train, LOGR_FEATS, ddof=0, zero_to_one=True),
-                "MinMaxScaler": M.fit_minmax_inputs(prep.train, LOGR_FEATS)}
-    out = None
-    for name, fitted in variants.items():
-        data = prep.data if fitted is None else M.standardise(prep.data, LOGR_FEATS, *fitted)
-        tr, te = data.where(F.col("split") == "train"), data.where(F.col("split") == "test")
-        p = M.fit_logistic(tr, LOGR_FEATS, "flag", prep.n_train)
-        acc = te.agg(rnd(F.avg(((p.z() > 0).cast("int") == F.col("flag")).cast("double")) * 100, 2)
-                     .alias("accuracy")).select(F.lit(name).alias("scaler"), "accuracy")
-        out = acc if out is None else out.unionByName(acc)
-        rows.append(name)
-    return out
+    return M.scaler_comparison(prep, LOGR_FEATS, "flag")
 
 
 @query("eval_report")
 def eval_report(spark, sf):
-    """A5: class balance, per-feature AUC, accuracy, log-loss, scaler results as (metric, value) rows,
-    written as CSV to the shared scratch folder and read back."""
+    """A5: the report rows, written as CSV to the shared scratch folder and read back."""
     prep = M.prepare(T.of(spark, sf), LOGR_FEATS, "flag", "o_orderkey")
-    bal = prep.train.agg((F.avg(F.when(F.col("flag") == 1, 1.0).otherwise(0.0)) * 100).alias("v"))
-    rows = bal.select(F.lit("placed_pct").alias("metric"), rnd("v", 1).alias("value"))
-    rows = rows.unionByName(bal.select(F.lit("not_placed_pct").alias("metric"), rnd(100 - F.col("v"), 1).alias("value")))
-    auc = MT.feature_auc(prep.train, AUC_FEATS, "flag").select(
-        F.concat(F.lit("auc_"), F.col("feature")).alias("metric"), F.col("auc").alias("value"))
-    p = M.fit_logistic(prep.train, LOGR_FEATS, "flag", prep.n_train)
-    test = prep.test.withColumn("_prob", p.probability()).withColumn("_pred", (p.z() > 0).cast("int"))
-    met = MT.classification_metrics(test, "flag", "_prob", pred="_pred")
-    m2 = met.select(F.inline(F.array(F.struct(F.lit("accuracy").alias("metric"), F.col("accuracy").alias("value")),
-                                     F.struct(F.lit("log_loss").alias("metric"), F.col("log_loss").alias("value")))))
-    rep = rows.unionByName(auc).unionByName(m2)
+    rep = evaluation_report(prep, LOGR_FEATS, AUC_FEATS, "flag")
     path = write_csv(rep, scratch_path(spark, "eval-report"))
     return read_csv(spark, path, schema=rep.schema)

@@ -305,11 +305,20 @@ def class_vs_overall_mean(spark, sf):
     return P.class_vs_overall_mean(T.of(spark, sf), "flag", KPI_FEATURES)
 
 
-@query("insights", OF_CTE + (
-    f", m AS ({_cvo_sql()}) SELECT feature AS topic, printf('Rows with flag = 1 average %s %s, against %s overall.', "
+INSIGHT_CONDITIONAL = ["n_lines", "o_totalprice"]
+
+
+@query("insights", _KPI_SRC + (
+    f", m AS ({_cvo_sql().replace('FROM of', 'FROM ofa')}) SELECT feature AS topic, "
+    "printf('Rows with flag = 1 average %s %s, against %s overall.', "
     "CAST(class_mean AS VARCHAR), feature, CAST(overall_mean AS VARCHAR)) AS sentence FROM m "
-    "WHERE class_mean > overall_mean UNION ALL SELECT 'class_share' AS topic, "
+    "WHERE feature NOT IN ('n_lines', 'o_totalprice') OR class_mean > overall_mean "
+    "UNION ALL SELECT 'class_share' AS topic, "
     "printf('%s%% of the %s rows have flag = 1.', CAST(ROUND(COUNT(*) FILTER (WHERE flag = 1) / COUNT(*) * 100, 1) + 0.0 "
-    "AS VARCHAR), format('{:,}', COUNT(*))) AS sentence FROM of"))
+    "AS VARCHAR), format('{:,}', COUNT(*))) AS sentence FROM ofa "
+    "UNION ALL SELECT 'flagged' AS topic, printf('%s rows (%s%%) are flagged by the IQR rule.', "
+    "format('{:,}', SUM(is_anomaly)), CAST(ROUND(AVG(CAST(is_anomaly AS DOUBLE)) * 100, 1) + 0.0 AS VARCHAR)) "
+    "AS sentence FROM ofa"))
 def insights(spark, sf):
-    return P.insights(T.of(spark, sf), "flag", KPI_FEATURES)
+    df = P.iqr_anomaly_flag(T.of(spark, sf), ["o_totalprice"])
+    return P.insights(df, "flag", KPI_FEATURES, conditional=INSIGHT_CONDITIONAL, flag="is_anomaly")

@@ -202,3 +202,17 @@ def test_binned_rate_matches_pandas_cut(spark):
 def test_pair_points_counts(spark):
     df = spark.createDataFrame([(1, 1.0, 2.0, 3.0, "a"), (2, 4.0, 5.0, 6.0, "b")], "id long, p double, q double, r double, cls string")
     assert V.pair_points(df, ["p", "q", "r"], "cls", "id").count() == 2 * 6
+
+
+def test_evaluation_report_rows(spark):
+    from tabprism.operators.report import evaluation_report
+    rng = np.random.default_rng(12)
+    n = 200
+    x = rng.normal(size=(n, 2))
+    yv = (x[:, 0] + 0.3 * rng.normal(size=n) > 0).astype(int)
+    df = spark.createDataFrame(pd.DataFrame({"k": np.arange(n), "a": x[:, 0], "b": x[:, 1], "y": yv}))
+    prep = M.prepare(df, ["a", "b"], "y", "k")
+    rep = dict(evaluation_report(prep, ["a", "b"], ["a", "b"], "y").collect())
+    assert {"placed_pct", "not_placed_pct", "auc_a", "auc_b", "accuracy", "log_loss",
+            "scaler_Unscaled", "scaler_StandardScaler", "scaler_MinMaxScaler"} <= set(rep)
+    assert rep["placed_pct"] + rep["not_placed_pct"] == 100.0 and rep["auc_a"] > 0.8

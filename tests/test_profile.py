@@ -99,3 +99,15 @@ def test_kpi_empty_table(spark):
     df = spark.createDataFrame([], "t int, f int")
     r = P.kpi_overview(df, "t", "f").first()
     assert r["n_rows"] == 0 and r["class_pct"] == 0.0 and r["flagged_rate"] == 0.0
+
+
+def test_insights_conditional_and_flag(spark):
+    df = spark.createDataFrame([(1, 3.0, 1.0, 0), (1, 3.0, 1.0, 1), (0, 1.0, 5.0, 0), (0, 1.0, 5.0, 0)],
+                               "t int, a double, b double, f int")
+    got = dict(P.insights(df, "t", {"a": 1, "b": 1}, conditional=["a", "b"], flag="f").collect())
+    assert set(got) == {"a", "class_share", "flagged"}        # b's class mean is lower: dropped
+    assert got["a"] == "Rows with t = 1 average 3.0 a, against 2.0 overall."
+    assert got["class_share"] == "50.0% of the 4 rows have t = 1."
+    assert got["flagged"] == "1 rows (25.0%) are flagged by the IQR rule."
+    always = dict(P.insights(df, "t", {"a": 1, "b": 1}, conditional=["a"]).collect())
+    assert "b" in always
