@@ -28,10 +28,13 @@ from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, St
 MAX_BROADCAST_ROWS = 2_000_000
 
 
-def _num_partitions(df: DataFrame, num_partitions: int | None) -> int:
+def _range_partition(df: DataFrame, keys: Sequence[str], num_partitions: int | None) -> DataFrame:
+    """Range-partition on ``keys``.  Without an explicit count AQE may coalesce
+    adjacent ranges toward its advisory size; merged ranges stay contiguous and
+    ordered, which is all the position logic needs."""
     if num_partitions:
-        return int(num_partitions)
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+        return df.repartitionByRange(int(num_partitions), *keys)
+    return df.repartitionByRange(*keys)
 
 
 def row_index(df: DataFrame, order_by: Sequence[str] | str, name: str = "pos",
@@ -42,9 +45,8 @@ def row_index(df: DataFrame, order_by: Sequence[str] | str, name: str = "pos",
     from the per-partition counts.
     """
     keys = [order_by] if isinstance(order_by, str) else list(order_by)
-    n = _num_partitions(df, num_partitions)
     pid = F.spark_partition_id()
-    tagged = (df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+    tagged = (_range_partition(df, keys, num_partitions).sortWithinPartitions(*keys)
               .withColumn("_pid", pid)
               .withColumn("_lix", F.monotonically_increasing_id()
                           - F.shiftleft(pid.cast("long"), 33)))
@@ -76,8 +78,7 @@ def ranged_running_sum(df: DataFrame, groups: Sequence[str], order: str, weight:
     Combine with ``partition_totals`` to turn ``_lcum`` into ranks per group.
     """
     groups = list(groups)
-    n = _num_partitions(df, num_partitions)
-    ranged = (df.repartitionByRange(n, *groups, order).sortWithinPartitions(*groups, order)
+    ranged = (_range_partition(df, [*groups, order], num_partitions).sortWithinPartitions(*groups, order)
               .withColumn("_pid", F.spark_partition_id()))
     schema = StructType(ranged.schema.fields + [StructField("_lcum", DoubleType(), False)])
 
