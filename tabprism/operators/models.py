@@ -243,7 +243,9 @@ def lpm_range(train: DataFrame, x: str, y: str, digits: int = 2) -> DataFrame:
     """Min and max fitted value of the straight-line model over the train rows."""
     b, w = fit_lpm(train, x, y)
     fitted = F.lit(b) + F.lit(w) * F.col(x).cast("double") if w is not None else F.lit(None)
-    return train.agg(rnd(F.min(fitted), digits).alias("lin_min"), rnd(F.max(fitted), digits).alias("lin_max"))
+    out = train.agg(rnd(F.min(fitted), digits).alias("lin_min"), rnd(F.max(fitted), digits).alias("lin_max"))
+    return out.withColumn("lin_range", F.format_string("%s → %s", F.col("lin_min").cast("string"),
+                                                       F.col("lin_max").cast("string")))
 
 
 # ---------------------------------------------------------------- logistic family

@@ -124,7 +124,9 @@ def describe(df: DataFrame, cols: Sequence[str], digits: int = 4, skew: bool = F
             for k in ("mean", "std", "min", "q1", "median", "q3", "max")]
     if skew:
         n = F.col("count").cast("double")
-        adj = F.when(n > 2, F.col("_pskew") * F.sqrt(n * (n - 1)) / (n - 2))
+        # constant column: pandas reports 0 where Spark's population skewness is NULL
+        adj = F.when(n > 2, F.coalesce(F.col("_pskew") * F.sqrt(n * (n - 1)) / (n - 2),
+                                       F.when(F.col("std") == 0, F.lit(0.0))))
         out.append(rnd(adj, digits).alias("skew"))
     return j.select(*out)
 
@@ -197,11 +199,12 @@ def target_corr_ranked(df: DataFrame, cols: Sequence[str], target: str,
     row = df.agg(*[pair_corr(c, target).alias(f"_r{i}")
                    for i, c in enumerate(feats)])
     structs = [F.struct(F.lit(c).alias("column_name"), F.lit(i).alias("column_idx"),
-                        rnd(F.col(f"_r{i}"), digits).alias("corr"))
-               for i, c in enumerate(feats)]
+                        F.col(f"_r{i}").alias("_raw")) for i, c in enumerate(feats)]
     out = row.select(F.inline(F.array(*structs)))
-    w = Window.orderBy(F.desc_nulls_last("corr"), "column_idx")  # one row per column
-    return out.withColumn("rank", F.row_number().over(w)).drop("column_idx")
+    # ranked on the unrounded value, then rounded (sort, then round)
+    w = Window.orderBy(F.desc_nulls_last("_raw"), "column_idx")  # one row per column
+    return out.select("column_name", rnd("_raw", digits).alias("corr"),
+                      F.row_number().over(w).alias("rank"))
 
 
 # ---------------------------------------------------------------- IQR fences

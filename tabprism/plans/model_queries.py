@@ -269,8 +269,9 @@ _LPM_CTES = (OF_CTE + prep_sql("SELECT * FROM of", "o_orderkey", LOGR_FEATS, "fl
              "WHERE split = 'train') ")
 
 
-@query("linear_probability_range", _LPM_CTES + "SELECT ROUND(MIN(b + w * sum_qty), 2) + 0.0 AS lin_min, "
-       "ROUND(MAX(b + w * sum_qty), 2) + 0.0 AS lin_max FROM s, lp WHERE split = 'train'")
+@query("linear_probability_range", _LPM_CTES + "SELECT lin_min, lin_max, printf('%s → %s', CAST(lin_min AS VARCHAR), "
+       "CAST(lin_max AS VARCHAR)) AS lin_range FROM (SELECT ROUND(MIN(b + w * sum_qty), 2) + 0.0 AS lin_min, "
+       "ROUND(MAX(b + w * sum_qty), 2) + 0.0 AS lin_max FROM s, lp WHERE split = 'train') r")
 def linear_probability_range(spark, sf):
     prep = M.prepare(T.of(spark, sf), LOGR_FEATS, "flag", "o_orderkey")
     return M.lpm_range(prep.train, "sum_qty", "flag")

@@ -231,8 +231,8 @@ def _target_corr_sql():
 
     def t(i, c):
         return (f"SELECT '{c}' AS column_name, {i} AS column_idx, "
-                f"ROUND(CORR({dbl(c)}, CAST(flag AS DOUBLE)), 3) + 0.0 AS corr FROM of")
-    return (OF_CTE + f", c AS ({union_cols(feats, t)}) SELECT column_name, corr, "
+                f"CORR({dbl(c)}, CAST(flag AS DOUBLE)) AS corr FROM of")
+    return (OF_CTE + f", c AS ({union_cols(feats, t)}) SELECT column_name, ROUND(corr, 3) + 0.0 AS corr, "
             "CAST(ROW_NUMBER() OVER (ORDER BY corr DESC NULLS LAST, column_idx) AS INTEGER) AS rank FROM c")
 
 

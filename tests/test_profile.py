@@ -20,7 +20,7 @@ def test_describe_edge_cases(spark):
     df = spark.createDataFrame(
         [(1, 5.0, None), (2, 5.0, None), (3, 5.0, None)], "id long, const double, allnull double")
     d = {r["column_name"]: r for r in P.describe(df, ["const", "allnull"], skew=True).collect()}
-    assert d["const"]["std"] == 0.0 and d["const"]["median"] == 5.0
+    assert d["const"]["std"] == 0.0 and d["const"]["median"] == 5.0 and d["const"]["skew"] == 0.0
     assert d["allnull"]["count"] == 0 and d["allnull"]["mean"] is None and d["allnull"]["q1"] is None
     one = P.describe(df.limit(1), ["const"], skew=True).first()
     assert one["count"] == 1 and one["std"] is None and one["skew"] is None
