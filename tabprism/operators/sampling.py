@@ -18,6 +18,9 @@ from tabprism.operators.positions import row_index
 #: (``orderBy().offset().limit()``); deeper pages number the rows instead.
 TOPK_PAGE_LIMIT = 10_000
 
+#: evenly spaced samples up to this many rows broadcast their position table
+MAX_BROADCAST_SAMPLE = 100_000
+
 
 def _keys(order_by) -> list[str]:
     return [order_by] if isinstance(order_by, str) else list(order_by)
@@ -131,5 +134,6 @@ def linspace_sample(numbered: DataFrame, k: int = 200, pos_col: str = "pos") ->
         F.col("id").alias("sample_idx"),
         F.when(F.col("id") == k - 1, F.lit(n - 1)).otherwise(F.floor(F.col("id") * step))
         .cast("bigint").alias("_p"))
-    # k ≤ the caller's small bound (200 by default): broadcast is size-proven
-    return numbered.join(F.broadcast(idx), numbered[pos_col] == idx["_p"]).drop("_p")
+    # the index table has exactly k rows: broadcast it while k is small, else shuffle-join
+    side = F.broadcast(idx) if k <= MAX_BROADCAST_SAMPLE else idx
+    return numbered.join(side, numbered[pos_col] == idx["_p"]).drop("_p")
