@@ -247,7 +247,32 @@ def ridge_fit(spark, sf):
         "r2", "rmse", "mae")
 
 
-@query("lasso_fit")
+def _cd_sql(l1: float, l2: float, sweeps: int = 3000) -> str:
+    """Coordinate descent on the standardised Gram matrix as a recursive CTE (one sweep per step)."""
+    k = len(MLR_FEATS)
+    sd = [f"(CASE WHEN SQRT(c{i}_{i}) = 0 THEN 1.0 ELSE SQRT(c{i}_{i}) END)" for i in range(k)]
+    consts = [f"{sd[i]} AS sg{i}" for i in range(k)]
+    consts += [f"n_train * {cov_name(i, j)} / ({sd[i]} * {sd[j]}) AS gg{i}_{j}" for i in range(k) for j in range(k)]
+    consts += [f"n_train * cy{i} / {sd[i]} AS bb{i}" for i in range(k)]
+    consts += [f"n_train * CAST({l1!r} AS DOUBLE) AS a1", f"n_train * CAST({l2!r} AS DOUBLE) AS a2"]
+    step = "SELECT cd.it, cd.w0, cd.w1, cd.w2, cd.w3, g.* FROM cd, g WHERE cd.it < " + str(sweeps)
+    for j in range(k):
+        cur = [f"n{i}" if i < j else f"w{i}" for i in range(k)]
+        rho = f"(bb{j} - " + " - ".join(f"gg{j}_{i} * {cur[i]}" for i in range(k) if i != j) + ")"
+        step = (f"SELECT *, CASE WHEN gg{j}_{j} + a2 = 0 THEN w{j} ELSE SIGN({rho}) * "
+                f"GREATEST(ABS({rho}) - a1, 0.0) / (gg{j}_{j} + a2) END AS n{j} FROM ({step}) l{j}")
+    rec = ("cd(it, w0, w1, w2, w3) AS (SELECT 0, CAST(0 AS DOUBLE), CAST(0 AS DOUBLE), CAST(0 AS DOUBLE), "
+           f"CAST(0 AS DOUBLE) UNION ALL SELECT it + 1, n0, n1, n2, n3 FROM ({step}) st)")
+    pred = "ybar + " + " + ".join(f"w{i} * (({c} - mu{i}) / sg{i})" for i, c in enumerate(MLR_FEATS))
+    return ("WITH RECURSIVE of AS (" + T.OF_SQL + "), "
+            + prep_sql("SELECT * FROM of", "o_orderkey", MLR_FEATS, "sum_price") + ", "
+            + moments_sql(MLR_FEATS, "sum_price") + f", g AS (SELECT *, {', '.join(consts)} FROM m), {rec}, "
+            + f"wf AS (SELECT w0, w1, w2, w3 FROM cd WHERE it = {sweeps}), "
+            + f"e AS (SELECT sum_price AS y, {pred} AS yhat FROM s, g, wf WHERE split = 'test') "
+            + "SELECT mt.r2, mt.rmse, mt.mae FROM (" + _metrics_sql() + ") mt")
+
+
+@query("lasso_fit", _cd_sql(0.1, 0.0))
 def lasso_fit(spark, sf):
     prep = _mlr_prep(spark, sf)
     p = M.fit_lasso(prep.train, MLR_FEATS, "sum_price", 0.1)
@@ -255,7 +280,7 @@ def lasso_fit(spark, sf):
         "r2", "rmse", "mae")
 
 
-@query("elasticnet_fit")
+@query("elasticnet_fit", _cd_sql(0.1 * 0.5, 0.1 * (1 - 0.5)))
 def elasticnet_fit(spark, sf):
     prep = _mlr_prep(spark, sf)
     p = M.fit_elasticnet(prep.train, MLR_FEATS, "sum_price", 0.1, 0.5)
