@@ -138,7 +138,26 @@ def binned_rate(spark, sf):
     return V.binned_rate(prep.train, "sum_qty", "flag", 15, precision=None)
 
 
-@query("binned_rate_labels")
+def _binned_labels_sql():
+    """As ``_binned_sql`` but mids from pandas-style labels: each edge rounded to
+    ``precision`` decimals (significant digits of the fraction when |edge| < 1),
+    precision raised from 3 until all 16 labels are distinct; numpy half-even rounding."""
+    base = _binned_sql()
+    head, tail = base.split(" SELECT bin, CASE bin ", 1)
+    edges = ("ed AS (SELECT i, CASE WHEN i = 0 THEN lo - (hi - lo) * 0.001 WHEN i = 15 THEN hi "
+             "ELSE i * ((hi - lo) / 15) + lo END AS e FROM mm, range(0, 16) r(i)), "
+             "dg AS (SELECT p, i, e, CASE WHEN TRUNC(e) = 0 THEN -CAST(FLOOR(LOG10(ABS(e - TRUNC(e)))) AS INTEGER) "
+             "- 1 + p ELSE p END AS d FROM ed, range(3, 20) q(p) WHERE e <> 0 UNION ALL "
+             "SELECT p, i, e, 0 AS d FROM ed, range(3, 20) q(p) WHERE e = 0), "
+             "rf AS (SELECT p, i, CASE WHEN e = 0 THEN e ELSE ROUND_EVEN(e * POW(10, d), 0) / POW(10, d) END AS lab "
+             "FROM dg), "
+             "pp AS (SELECT COALESCE(MIN(p), 3) AS p FROM (SELECT p FROM rf GROUP BY p HAVING COUNT(DISTINCT lab) = 16) u), "
+             "lb AS (SELECT rf.i, rf.lab FROM rf, pp WHERE rf.p = pp.p) ")
+    return (head + ", " + edges + "SELECT g.bin, (a.lab + b.lab) / 2 AS mid, g.rate, g.n FROM g "
+            "JOIN lb a ON a.i = g.bin - 1 JOIN lb b ON b.i = g.bin")
+
+
+@query("binned_rate_labels", _binned_labels_sql())
 def binned_rate_labels(spark, sf):
     """V11 with mids taken from pandas-style rounded interval labels (the reference's bin centres)."""
     prep = M.prepare(T.of(spark, sf), ["o_totalprice", "n_lines", "sum_qty", "avg_discount", "avg_tax"],
