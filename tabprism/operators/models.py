@@ -277,21 +277,49 @@ def _assembled(df: DataFrame, features: Sequence[str]) -> DataFrame:
 
 
 def fit_logistic(train: DataFrame, features: Sequence[str], label: str, n_train: int | None = None,
-                 C: float = 1.0, max_iter: int = 1000, tol: float = 1e-8) -> LogisticParams:
-    """L2 logistic regression, objective Σ log-loss + ‖w‖²/(2C).
-
-    Spark ML minimises mean log-loss + (λ/2)‖w‖², so λ = 1/(C·n).  With
-    ``standardization=False`` the penalty acts on the raw coefficients, as in
-    the reference; Spark still conditions the optimisation internally.
+                 C: float = 1.0, max_iter: int = 100, tol: float = 1e-12) -> LogisticParams:
+    """L2 logistic regression, objective Σ log-loss + ‖w‖²/(2C), intercept free.
+
+    Newton's method (IRLS): every step is ONE aggregate over the training rows
+    — gradient and Hessian sums, (p+1)(p+4)/2 numbers — and a (p+1)×(p+1)
+    solve on the driver.  It reaches the exact optimum in a handful of passes
+    (quadratic convergence), where first-order solvers need dozens.  Steps
+    are taken on internally standardised features for conditioning; the
+    penalty is mapped so it still acts on the raw coefficients.
     """
-    from pyspark.ml.classification import LogisticRegression
-    n = n_train if n_train is not None else train.count()
-    data = _assembled(train.withColumn("_label", F.col(label).cast("double")), features)
-    lr = LogisticRegression(featuresCol="_features", labelCol="_label", family="binomial",
-                            regParam=1.0 / (C * n), elasticNetParam=0.0, standardization=False,
-                            maxIter=max_iter, tol=tol, fitIntercept=True)
-    model = lr.fit(data)
-    return LogisticParams(list(features), [float(v) for v in model.coefficients], float(model.intercept))
+    feats = list(features)
+    p = len(feats)
+    mu, sd = fit_standardiser(train, feats, ddof=0, zero_to_one=True)
+    sd = [s_ if s_ is not None else 1.0 for s_ in sd]
+    mu = [m_ if m_ is not None else 0.0 for m_ in mu]
+    z = [F.lit(1.0)] + [(F.col(c).cast("double") - F.lit(mu[j])) / F.lit(sd[j]) for j, c in enumerate(feats)]
+    y = F.col(label).cast("double")
+    pen = np.array([0.0] + [1.0 / (C * sd[j] ** 2) for j in range(p)])
+    beta = np.zeros(p + 1)
+    for _ in range(max_iter):
+        eta = F.lit(float(beta[0]))
+        for j in range(p):
+            eta = eta + F.lit(float(beta[j + 1])) * z[j + 1]
+        d = train.select(*[zz.alias(f"_z{k}") for k, zz in enumerate(z)], y.alias("_y"),
+                         sigmoid(eta).alias("_p"))
+        r, w = F.col("_p") - F.col("_y"), F.col("_p") * (1 - F.col("_p"))
+        aggs = [F.sum(r * F.col(f"_z{k}")).alias(f"_g{k}") for k in range(p + 1)]
+        aggs += [F.sum(w * F.col(f"_z{k}") * F.col(f"_z{m}")).alias(f"_h{k}_{m}")
+                 for k in range(p + 1) for m in range(k, p + 1)]
+        row = d.agg(*aggs).first()
+        g = np.array([row[f"_g{k}"] or 0.0 for k in range(p + 1)]) + pen * beta
+        H = np.zeros((p + 1, p + 1))
+        for k in range(p + 1):
+            for m in range(k, p + 1):
+                H[k, m] = H[m, k] = row[f"_h{k}_{m}"] or 0.0
+        H += np.diag(pen)
+        step = np.linalg.solve(H, g)
+        beta = beta - step
+        if np.max(np.abs(step)) <= tol * (1.0 + np.max(np.abs(beta))):
+            break
+    coef = [float(beta[j + 1] / sd[j]) for j in range(p)]
+    intercept = float(beta[0] - sum(coef[j] * mu[j] for j in range(p)))
+    return LogisticParams(feats, coef, intercept)
 
 
 @dataclass

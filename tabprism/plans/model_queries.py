@@ -12,7 +12,7 @@ from tabprism.operators import scoring as SC
 from tabprism.operators.report import evaluation_report
 from tabprism.plans import tables as T
 from tabprism.plans.registry import query
-from tabprism.plans.sqlgen import cov_name, cramer_sql, moments_sql, prep_sql, q
+from tabprism.plans.sqlgen import cov_name, cramer_sql, logistic_ctes, logistic_z, moments_sql, prep_sql, q
 from tabprism.sources.csv import read_csv, write_csv
 from tabprism.sources.params import load_linear_params, save_linear_params
 from tabprism.sources.scratch import scratch_path
@@ -381,8 +381,33 @@ def score_logistic(spark, sf):
         "o_orderkey", "probability", "prediction", "label")
 
 
-# ---------------------------------------------------------------- logistic family (rows-only)
-@query("logistic_fit")
+# ---------------------------------------------------------------- logistic family (Newton in both engines)
+_LOGR_BASE = ("WITH RECURSIVE of AS (" + T.OF_SQL + "), "
+              + prep_sql("SELECT * FROM of", "o_orderkey", LOGR_FEATS, "flag") + ", "
+              + "tr AS (SELECT * FROM s WHERE split = 'train'), "
+              + logistic_ctes("tr", LOGR_FEATS, "flag") + ", ")
+_LOGR_TEST = ("pr AS (SELECT pos, CAST(flag AS INTEGER) AS y, 1 / (1 + EXP(-LEAST(GREATEST(z, -500.0), 500.0))) AS p, "
+              "CASE WHEN z > 0 THEN 1 ELSE 0 END AS yp FROM (SELECT s.*, " + logistic_z(LOGR_FEATS, "lg", "s.")
+              + " AS z FROM s, lg_p WHERE split = 'test') zz)")
+
+
+def _clf_sql(src: str) -> str:
+    """Classification metrics over a CTE with columns y, p (probability), yp (predicted class)."""
+    return (f"pc AS (SELECT y, p, LEAST(GREATEST(p, {_EPS!r}), 1 - {_EPS!r}) AS pe, yp FROM {src}), "
+            "cm AS (SELECT CAST(COUNT(*) AS BIGINT) AS n, CAST(COUNT(*) FILTER (WHERE yp = 1 AND y = 1) AS BIGINT) AS tp, "
+            "CAST(COUNT(*) FILTER (WHERE yp = 0 AND y = 0) AS BIGINT) AS tn, "
+            "CAST(COUNT(*) FILTER (WHERE yp = 1 AND y = 0) AS BIGINT) AS fp, "
+            "CAST(COUNT(*) FILTER (WHERE yp = 0 AND y = 1) AS BIGINT) AS fn, "
+            "AVG(-(y * LN(pe) + (1 - y) * LN(1 - pe))) AS ll FROM pc), "
+            "c2 AS (SELECT *, CASE WHEN tp + fp > 0 THEN ROUND(tp / (tp + fp) * 100, 2) ELSE 0.0 END + 0.0 AS precision, "
+            "CASE WHEN tp + fn > 0 THEN ROUND(tp / (tp + fn) * 100, 2) ELSE 0.0 END + 0.0 AS recall FROM cm), "
+            "mx AS (SELECT n, tp, tn, fp, fn, ROUND((tp + tn) / n * 100, 2) + 0.0 AS accuracy, "
+            "ROUND(ll, 4) + 0.0 AS log_loss, precision, recall, CASE WHEN precision + recall > 0 THEN "
+            "ROUND(2 * precision * recall / (precision + recall), 2) + 0.0 ELSE 0.0 END AS f1 FROM c2)")
+
+
+@query("logistic_fit", _LOGR_BASE + _LOGR_TEST + ", " + _clf_sql("pr") + " SELECT mx.*, ROUND(icpt, 4) + 0.0 AS intercept, "
+       + ", ".join(f"ROUND(w{j}, 4) + 0.0 AS coef_{c}" for j, c in enumerate(LOGR_FEATS)) + " FROM mx, lg_p")
 def logistic_fit(spark, sf):
     """M8: coefficients, intercept and validation metrics of the 5-feature model."""
     prep = M.prepare(T.of(spark, sf), LOGR_FEATS, "flag", "o_orderkey")
@@ -393,7 +418,8 @@ def logistic_fit(spark, sf):
                       *[rnd(F.lit(w), 4).alias(f"coef_{c}") for c, w in zip(LOGR_FEATS, p.coef)])
 
 
-@query("logistic_sample")
+@query("logistic_sample", _LOGR_BASE + _LOGR_TEST + " SELECT pos, y AS actual, ROUND(p * 100, 1) + 0.0 AS prob, "
+       "yp AS pred FROM pr ORDER BY pos LIMIT 10")
 def logistic_sample(spark, sf):
     """First 10 validation rows: actual class, probability % (1 dp), predicted class."""
     prep = M.prepare(T.of(spark, sf), LOGR_FEATS, "flag", "o_orderkey")
@@ -403,7 +429,8 @@ def logistic_sample(spark, sf):
                     rnd(p.probability() * 100, 1).alias("prob"), (p.z() > 0).cast("int").alias("pred")))
 
 
-@query("prob_by_class")
+@query("prob_by_class", _LOGR_BASE + _LOGR_TEST + " SELECT pos, y AS actual, ROUND(p, 3) + 0.0 AS prob FROM pr "
+       "QUALIFY ROW_NUMBER() OVER (PARTITION BY y ORDER BY pos) <= 300")
 def prob_by_class(spark, sf):
     """Validation probabilities (3 dp) of the first 300 rows of each actual class."""
     prep = M.prepare(T.of(spark, sf), LOGR_FEATS, "flag", "o_orderkey")
@@ -430,29 +457,88 @@ def softmax_accuracy(spark, sf):
                     .alias("softmax_accuracy"), F.count(F.lit(1)).alias("n_test"))
 
 
-@query("decision_grid")
+GRID_FEATS = ["n_lines", "sum_qty"]
+
+
+def _grid_sql():
+    base = ("WITH RECURSIVE of AS (" + T.OF_SQL + "), " + prep_sql("SELECT * FROM of", "o_orderkey", GRID_FEATS, "flag")
+            + ", tr AS (SELECT * FROM s WHERE split = 'train'), " + logistic_ctes("tr", GRID_FEATS, "flag") + ", ")
+    rng = ("rg AS (SELECT MIN(n_lines) - 0.5 AS x0, MAX(n_lines) + 0.5 AS x1, MIN(sum_qty) - 5 AS y0, "
+           "MAX(sum_qty) + 5 AS y1 FROM tr), "
+           "gd AS (SELECT id % 200 AS ix, id // 200 AS iy, "
+           "CASE WHEN id % 200 = 199 THEN x1 ELSE (id % 200) * ((x1 - x0) / 199) + x0 END AS n_lines, "
+           "CASE WHEN id // 200 = 199 THEN y1 ELSE (id // 200) * ((y1 - y0) / 199) + y0 END AS sum_qty "
+           "FROM rg, range(0, 40000) r(id)) ")
+    return (base + rng + "SELECT ix, iy, n_lines, sum_qty, CASE WHEN " + logistic_z(GRID_FEATS, "lg", "gd.")
+            + " > 0 THEN 1 ELSE 0 END AS predicted FROM gd, lg_p")
+
+
+@query("decision_grid", _grid_sql())
 def decision_grid(spark, sf):
     """200×200 grid over the padded train ranges of two features, predicted class per cell."""
-    prep = M.prepare(T.of(spark, sf), ["n_lines", "sum_qty"], "flag", "o_orderkey")
-    p = M.fit_logistic(prep.train, ["n_lines", "sum_qty"], "flag", prep.n_train)
+    prep = M.prepare(T.of(spark, sf), GRID_FEATS, "flag", "o_orderkey")
+    p = M.fit_logistic(prep.train, GRID_FEATS, "flag", prep.n_train)
     r = prep.train.agg(F.min("n_lines").alias("x0"), F.max("n_lines").alias("x1"),
                        F.min("sum_qty").alias("y0"), F.max("sum_qty").alias("y1")).first()
     g = spark.range(200 * 200)
-    gx = M.linspace_expr(F.col("id") % 200, r["x0"] - 0.5, r["x1"] + 0.5, 200)
-    gy = M.linspace_expr(F.floor(F.col("id") / 200), r["y0"] - 5, r["y1"] + 5, 200)
-    g = g.select((F.col("id") % 200).alias("ix"), F.floor(F.col("id") / 200).alias("iy"),
-                 gx.alias("n_lines"), gy.alias("sum_qty"))
+    ix, iy = F.col("id") % 200, F.floor(F.col("id") / 200)
+    gx = M.linspace_expr(ix, r["x0"] - 0.5, r["x1"] + 0.5, 200)
+    gy = M.linspace_expr(iy, r["y0"] - 5, r["y1"] + 5, 200)
+    g = g.select(ix.alias("ix"), iy.alias("iy"), gx.alias("n_lines"), gy.alias("sum_qty"))
     return g.withColumn("predicted", (p.z() > 0).cast("int"))
 
 
-@query("scaler_comparison")
+def _scaler_sql(final_select: str) -> str:
+    """Three fits (raw, library-standardised, min-max inputs) and their validation accuracy."""
+    x = [f"CAST({c} AS DOUBLE)" for c in LOGR_FEATS]
+    fit = ("ft AS (SELECT " + ", ".join(
+        f"AVG({x[j]}) AS m{j}, CASE WHEN STDDEV_POP({x[j]}) = 0 THEN 1.0 ELSE STDDEV_POP({x[j]}) END AS d{j}, "
+        f"MIN({x[j]}) AS lo{j}, CASE WHEN MAX({x[j]}) - MIN({x[j]}) = 0 THEN 1.0 ELSE MAX({x[j]}) - MIN({x[j]}) END AS rg{j}"
+        for j in range(len(LOGR_FEATS))) + " FROM tr)")
+    std = ("sS AS (SELECT pos, split, flag, " + ", ".join(f"({x[j]} - m{j}) / d{j} AS {c}" for j, c in enumerate(LOGR_FEATS))
+           + " FROM s, ft), trS AS (SELECT * FROM sS WHERE split = 'train')")
+    mm = ("sM AS (SELECT pos, split, flag, " + ", ".join(f"({x[j]} - lo{j}) / rg{j} AS {c}" for j, c in enumerate(LOGR_FEATS))
+          + " FROM s, ft), trM AS (SELECT * FROM sM WHERE split = 'train')")
+    parts = ["WITH RECURSIVE of AS (" + T.OF_SQL + ")", prep_sql("SELECT * FROM of", "o_orderkey", LOGR_FEATS, "flag"),
+             "tr AS (SELECT * FROM s WHERE split = 'train')", fit, std, mm,
+             logistic_ctes("tr", LOGR_FEATS, "flag", name="lgU"),
+             logistic_ctes("trS", LOGR_FEATS, "flag", name="lgS"),
+             logistic_ctes("trM", LOGR_FEATS, "flag", name="lgM")]
+    acc = []
+    for label, src, nm in (("Unscaled", "s", "lgU"), ("StandardScaler", "sS", "lgS"), ("MinMaxScaler", "sM", "lgM")):
+        z = logistic_z(LOGR_FEATS, nm, f"{src}.")
+        acc.append(f"SELECT '{label}' AS scaler, ROUND(AVG(CASE WHEN (CASE WHEN {z} > 0 THEN 1 ELSE 0 END) = flag "
+                   f"THEN 1.0 ELSE 0.0 END) * 100, 2) + 0.0 AS accuracy FROM {src}, {nm}_p WHERE split = 'test'")
+    parts.append("sc AS (" + " UNION ALL ".join(acc) + ")")
+    return ", ".join(parts) + " " + final_select
+
+
+@query("scaler_comparison", _scaler_sql("SELECT scaler, accuracy FROM sc"))
 def scaler_comparison(spark, sf):
     """Validation accuracy % of one classifier on raw, standardised and min-max inputs."""
     prep = M.prepare(T.of(spark, sf), LOGR_FEATS, "flag", "o_orderkey")
     return M.scaler_comparison(prep, LOGR_FEATS, "flag")
 
 
-@query("eval_report")
+def _report_sql():
+    base = _scaler_sql("")
+    main = logistic_ctes("tr", LOGR_FEATS, "flag", name="lg")
+    auc_parts = " UNION ALL ".join(
+        f"SELECT '{c}' AS feature, {c} AS v, SUM(flag) AS pos, SUM(1 - flag) AS neg FROM tr WHERE {c} IS NOT NULL "
+        f"GROUP BY {c}" for c in AUC_FEATS)
+    auc = ("ag AS (" + auc_parts + "), ar AS (SELECT *, SUM(neg) OVER (PARTITION BY feature ORDER BY v ROWS BETWEEN "
+           "UNBOUNDED PRECEDING AND CURRENT ROW) - neg AS below FROM ag), "
+           "au AS (SELECT 'auc_' || feature AS metric, ROUND(SUM(pos * (below + 0.5 * neg)) / (SUM(pos) * SUM(neg)), 4) "
+           "+ 0.0 AS value FROM ar GROUP BY feature HAVING SUM(pos) > 0 AND SUM(neg) > 0)")
+    bal = ("bl AS (SELECT AVG(CASE WHEN flag = 1 THEN 1.0 ELSE 0.0 END) * 100 AS v FROM tr)")
+    return (base.rstrip() + ", " + main + ", " + _LOGR_TEST + ", " + _clf_sql("pr") + ", " + auc + ", " + bal + " "
+            "SELECT 'placed_pct' AS metric, ROUND(v, 1) + 0.0 AS value FROM bl UNION ALL "
+            "SELECT 'not_placed_pct', ROUND(100 - v, 1) + 0.0 FROM bl UNION ALL SELECT metric, value FROM au UNION ALL "
+            "SELECT 'accuracy', accuracy FROM mx UNION ALL SELECT 'log_loss', log_loss FROM mx UNION ALL "
+            "SELECT 'scaler_' || scaler, accuracy FROM sc")
+
+
+@query("eval_report", _report_sql())
 def eval_report(spark, sf):
     """A5: the report rows, written as CSV to the shared scratch folder and read back."""
     prep = M.prepare(T.of(spark, sf), LOGR_FEATS, "flag", "o_orderkey")

@@ -100,3 +100,56 @@ def moments_sql(feats: list[str], target: str) -> str:
 
 def cov_name(i: int, j: int) -> str:
     return f"c{min(i, j)}_{max(i, j)}"
+
+
+def logistic_ctes(train: str, feats: list[str], label: str, name: str = "lg",
+                  C: float = 1.0, iters: int = 30) -> str:
+    """CTE text (needs WITH RECURSIVE): L2 logistic regression by Newton steps.
+
+    ``{name}_s`` internal standardisation, ``{name}`` the recursive iteration on
+    (it, b0..bp), ``{name}_p`` the raw-scale answer (icpt, w0..w{p-1}).  Each
+    step aggregates gradient and Hessian over the train rows and solves the
+    system by Gaussian elimination.
+    """
+    p = len(feats)
+    m = p + 1
+    x = [f"CAST({q(f)} AS DOUBLE)" for f in feats]
+    sdev = [f"STDDEV_POP({x[j]})" for j in range(p)]
+    ls = (f"{name}_s AS (SELECT " + ", ".join(
+        f"AVG({x[j]}) AS mu{j}, CASE WHEN {sdev[j]} = 0 THEN 1.0 ELSE {sdev[j]} END AS sd{j}" for j in range(p))
+        + f" FROM {train})")
+    lz = (f"{name}_z AS (SELECT CAST({q(label)} AS DOUBLE) AS y, "
+          + ", ".join(f"({x[j]} - mu{j}) / sd{j} AS z{j + 1}" for j in range(p)) + f" FROM {train}, {name}_s)")
+    bs = [f"b{k}" for k in range(m)]
+    zk = ["1.0"] + [f"z{k}" for k in range(1, m)]
+    eta = "r.b0 + " + " + ".join(f"r.b{k} * q.z{k}" for k in range(1, m))
+    inner = (f"SELECT r.it, {', '.join('r.' + b for b in bs)}, q.y, {', '.join(f'q.z{k}' for k in range(1, m))}, "
+             f"1 / (1 + EXP(-({eta}))) AS p FROM {name} r, {name}_z q WHERE r.it < {iters}")
+    aggs = [f"SUM((p - y) * {zk[k]}) AS g{k}" for k in range(m)]
+    aggs += [f"SUM(p * (1 - p) * {zk[k]} * {zk[l]}) AS h{k}_{l}" for k in range(m) for l in range(k, m)]
+    agg = f"SELECT it, {', '.join(bs)}, {', '.join(aggs)} FROM ({inner}) ii GROUP BY it, {', '.join(bs)}"
+    pen = ["0.0"] + [f"1.0 / ({C!r} * sd{k - 1} * sd{k - 1})" for k in range(1, m)]
+    sys_cols = [f"g{k} + {pen[k]} * b{k} AS r{k}" for k in range(m)]
+    sys_cols += [f"h{min(k, l)}_{max(k, l)}" + (f" + {pen[k]}" if k == l else "") + f" AS a{k}_{l}"
+                 for k in range(m) for l in range(m)]
+    level = f"SELECT it, {', '.join(bs)}, {', '.join(sys_cols)} FROM ({agg}) ag, {name}_s"
+    for k in range(m - 1):
+        rep = [f"a{i}_{j} - a{i}_{k} / a{k}_{k} * a{k}_{j} AS a{i}_{j}" for i in range(k + 1, m) for j in range(k + 1, m)]
+        rep += [f"r{i} - a{i}_{k} / a{k}_{k} * r{k} AS r{i}" for i in range(k + 1, m)]
+        level = f"SELECT * REPLACE ({', '.join(rep)}) FROM ({level}) e{k}"
+    for i in range(m - 1, -1, -1):
+        acc = " - ".join([f"r{i}"] + [f"a{i}_{j} * x{j}" for j in range(i + 1, m)])
+        level = f"SELECT *, ({acc}) / a{i}_{i} AS x{i} FROM ({level}) s{i}"
+    step = f"SELECT it + 1, {', '.join(f'b{k} - x{k}' for k in range(m))} FROM ({level}) st"
+    rec = (f"{name}(it, {', '.join(bs)}) AS (SELECT 0, {', '.join(['CAST(0 AS DOUBLE)'] * m)} "
+           f"UNION ALL {step})")
+    ws = [f"b{j + 1} / sd{j}" for j in range(p)]
+    raw = (f"{name}_p AS (SELECT b0 - ({' + '.join(f'({ws[j]}) * mu{j}' for j in range(p))}) AS icpt, "
+           + ", ".join(f"{ws[j]} AS w{j}" for j in range(p)) + f" FROM {name}, {name}_s WHERE it = {iters})")
+    return ", ".join([ls, lz, rec, raw])
+
+
+def logistic_z(feats: list[str], name: str = "lg", prefix: str = "") -> str:
+    """Linear score of the raw-scale fit, accumulated left to right like the Spark side."""
+    return f"{name}_p.icpt + " + " + ".join(f"{name}_p.w{j} * CAST({prefix}{q(f)} AS DOUBLE)"
+                                            for j, f in enumerate(feats))

@@ -106,7 +106,7 @@ def test_logistic_matches_newton(spark):
         grad = A.T @ (pr - yv) + reg @ w
         H = A.T @ (A * (pr * (1 - pr))[:, None]) + reg
         w -= np.linalg.solve(H, grad)
-    assert np.allclose([p.intercept, *p.coef], w, atol=1e-4)
+    assert np.allclose([p.intercept, *p.coef], w, rtol=1e-8, atol=1e-10)
 
 
 def test_classification_metrics_by_hand(spark):
