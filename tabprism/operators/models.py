@@ -6,9 +6,11 @@ vector and covariance matrix of (features, target).  Those come from ONE
 aggregate pass (``moments``); the (p×p) solve runs on the driver.  This is
 exact and costs one scan however large the table is.
 
-Logistic and softmax regression have no closed form and are fitted with
-``pyspark.ml.classification.LogisticRegression`` (distributed gradient per
-iteration), with the regularisation mapped to the reference's C = 1.
+Binary logistic regression has no closed form: it is fitted by Newton steps,
+each ONE aggregate of gradient and Hessian sums over the training rows plus a
+small solve on the driver (a handful of passes to the exact optimum).  The
+3-class softmax model uses ``pyspark.ml.classification.LogisticRegression``
+with the regularisation mapped to the reference's C = 1.
 """
 
 from __future__ import annotations
