@@ -20,6 +20,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -258,6 +259,7 @@ class LogisticParams:
     intercept: float
     mu: list[float] | None = None       # set when inputs are standardised before the dot product
     sig: list[float] | None = None
+    iterations: int | None = None
 
     def z(self) -> Column:
         out = F.lit(float(self.intercept))
@@ -279,49 +281,62 @@ def _assembled(df: DataFrame, features: Sequence[str]) -> DataFrame:
 
 
 def fit_logistic(train: DataFrame, features: Sequence[str], label: str, n_train: int | None = None,
-                 C: float = 1.0, max_iter: int = 100, tol: float = 1e-12) -> LogisticParams:
+                 C: float = 1.0, max_iter: int = 100, tol: float = 1e-8) -> LogisticParams:
     """L2 logistic regression, objective Σ log-loss + ‖w‖²/(2C), intercept free.
 
     Newton's method (IRLS): every step is ONE aggregate over the training rows
     — gradient and Hessian sums, (p+1)(p+4)/2 numbers — and a (p+1)×(p+1)
     solve on the driver.  It reaches the exact optimum in a handful of passes
-    (quadratic convergence), where first-order solvers need dozens.  Steps
-    are taken on internally standardised features for conditioning; the
-    penalty is mapped so it still acts on the raw coefficients.
+    (quadratic convergence: once a step is below ``tol`` the remaining error
+    is of order tol², i.e. machine precision), where first-order solvers need
+    dozens.  Steps are taken on internally standardised features for
+    conditioning; the penalty is mapped so it still acts on the raw
+    coefficients.
     """
     feats = list(features)
     p = len(feats)
-    mu, sd = fit_standardiser(train, feats, ddof=0, zero_to_one=True)
-    sd = [s_ if s_ is not None else 1.0 for s_ in sd]
-    mu = [m_ if m_ is not None else 0.0 for m_ in mu]
-    z = [F.lit(1.0)] + [(F.col(c).cast("double") - F.lit(mu[j])) / F.lit(sd[j]) for j, c in enumerate(feats)]
-    y = F.col(label).cast("double")
+    st = train.agg(F.avg(F.col(label).cast("double")).alias("_ybar"),
+                   *[F.avg(F.col(c).cast("double")).alias(f"_m{j}") for j, c in enumerate(feats)],
+                   *[F.stddev_pop(F.col(c).cast("double")).alias(f"_s{j}") for j, c in enumerate(feats)]).first()
+    mu = [st[f"_m{j}"] if st[f"_m{j}"] is not None else 0.0 for j in range(p)]
+    sd = [st[f"_s{j}"] if st[f"_s{j}"] not in (None, 0.0) else 1.0 for j in range(p)]
+    ybar = st["_ybar"]
+    zc = [(F.col(c).cast("double") - F.lit(mu[j])) / F.lit(sd[j]) for j, c in enumerate(feats)]
+    # the standardised design is re-read by every step: keep it (a lost block is
+    # recomputed from its checkpointed source)
+    design = train.select(*[zz.alias(f"_z{k + 1}") for k, zz in enumerate(zc)],
+                          F.col(label).cast("double").alias("_y")).persist(StorageLevel.MEMORY_AND_DISK)
+    z = [F.lit(1.0)] + [F.col(f"_z{k}") for k in range(1, p + 1)]
     pen = np.array([0.0] + [1.0 / (C * sd[j] ** 2) for j in range(p)])
     beta = np.zeros(p + 1)
-    for _ in range(max_iter):
-        eta = F.lit(float(beta[0]))
-        for j in range(p):
-            eta = eta + F.lit(float(beta[j + 1])) * z[j + 1]
-        d = train.select(*[zz.alias(f"_z{k}") for k, zz in enumerate(z)], y.alias("_y"),
-                         sigmoid(eta).alias("_p"))
-        r, w = F.col("_p") - F.col("_y"), F.col("_p") * (1 - F.col("_p"))
-        aggs = [F.sum(r * F.col(f"_z{k}")).alias(f"_g{k}") for k in range(p + 1)]
-        aggs += [F.sum(w * F.col(f"_z{k}") * F.col(f"_z{m}")).alias(f"_h{k}_{m}")
-                 for k in range(p + 1) for m in range(k, p + 1)]
-        row = d.agg(*aggs).first()
-        g = np.array([row[f"_g{k}"] or 0.0 for k in range(p + 1)]) + pen * beta
-        H = np.zeros((p + 1, p + 1))
-        for k in range(p + 1):
-            for m in range(k, p + 1):
-                H[k, m] = H[m, k] = row[f"_h{k}_{m}"] or 0.0
-        H += np.diag(pen)
-        step = np.linalg.solve(H, g)
-        beta = beta - step
-        if np.max(np.abs(step)) <= tol * (1.0 + np.max(np.abs(beta))):
-            break
+    if ybar is not None and 0.0 < ybar < 1.0:
+        beta[0] = math.log(ybar / (1.0 - ybar))   # start at the intercept-only answer
+    try:
+        for it in range(max_iter):
+            eta = F.lit(float(beta[0]))
+            for j in range(p):
+                eta = eta + F.lit(float(beta[j + 1])) * z[j + 1]
+            d = design.select(*[zz.alias(f"_x{k}") for k, zz in enumerate(z)], "_y", sigmoid(eta).alias("_p"))
+            r, w = F.col("_p") - F.col("_y"), F.col("_p") * (1 - F.col("_p"))
+            aggs = [F.sum(r * F.col(f"_x{k}")).alias(f"_g{k}") for k in range(p + 1)]
+            aggs += [F.sum(w * F.col(f"_x{k}") * F.col(f"_x{m}")).alias(f"_h{k}_{m}")
+                     for k in range(p + 1) for m in range(k, p + 1)]
+            row = d.agg(*aggs).first()
+            g = np.array([row[f"_g{k}"] or 0.0 for k in range(p + 1)]) + pen * beta
+            H = np.zeros((p + 1, p + 1))
+            for k in range(p + 1):
+                for m in range(k, p + 1):
+                    H[k, m] = H[m, k] = row[f"_h{k}_{m}"] or 0.0
+            H += np.diag(pen)
+            step = np.linalg.solve(H, g)
+            beta = beta - step
+            if np.max(np.abs(step)) <= tol * (1.0 + np.max(np.abs(beta))):
+                break
+    finally:
+        design.unpersist()
     coef = [float(beta[j + 1] / sd[j]) for j in range(p)]
     intercept = float(beta[0] - sum(coef[j] * mu[j] for j in range(p)))
-    return LogisticParams(feats, coef, intercept)
+    return LogisticParams(feats, coef, intercept, iterations=it + 1)
 
 
 @dataclass
