@@ -133,14 +133,7 @@ def logistic_ctes(train: str, feats: list[str], label: str, name: str = "lg",
     sys_cols += [f"h{min(k, l)}_{max(k, l)}" + (f" + {pen[k]}" if k == l else "") + f" AS a{k}_{l}"
                  for k in range(m) for l in range(m)]
     level = f"SELECT it, {', '.join(bs)}, {', '.join(sys_cols)} FROM ({agg}) ag, {name}_s"
-    for k in range(m - 1):
-        rep = [f"a{i}_{j} - a{i}_{k} / a{k}_{k} * a{k}_{j} AS a{i}_{j}" for i in range(k + 1, m) for j in range(k + 1, m)]
-        rep += [f"r{i} - a{i}_{k} / a{k}_{k} * r{k} AS r{i}" for i in range(k + 1, m)]
-        level = f"SELECT * REPLACE ({', '.join(rep)}) FROM ({level}) e{k}"
-    for i in range(m - 1, -1, -1):
-        acc = " - ".join([f"r{i}"] + [f"a{i}_{j} * x{j}" for j in range(i + 1, m)])
-        level = f"SELECT *, ({acc}) / a{i}_{i} AS x{i} FROM ({level}) s{i}"
-    step = f"SELECT it + 1, {', '.join(f'b{k} - x{k}' for k in range(m))} FROM ({level}) st"
+    step = newton_step_sql(level, m, "b")
     rec = (f"{name}(it, {', '.join(bs)}) AS (SELECT 0, {', '.join(['CAST(0 AS DOUBLE)'] * m)} "
            f"UNION ALL {step})")
     ws = [f"b{j + 1} / sd{j}" for j in range(p)]
@@ -153,3 +146,85 @@ def logistic_z(feats: list[str], name: str = "lg", prefix: str = "") -> str:
     """Linear score of the raw-scale fit, accumulated left to right like the Spark side."""
     return f"{name}_p.icpt + " + " + ".join(f"{name}_p.w{j} * CAST({prefix}{q(f)} AS DOUBLE)"
                                             for j, f in enumerate(feats))
+
+
+def newton_step_sql(level: str, m: int, state: str) -> str:
+    """Given a SELECT with columns it, {state}0.., r0.. (gradient) and a{i}_{j} (Hessian),
+    solve a·x = r by Gaussian elimination and emit (it + 1, state − x)."""
+    for k in range(m - 1):
+        rep = [f"a{i}_{j} - a{i}_{k} / a{k}_{k} * a{k}_{j} AS a{i}_{j}" for i in range(k + 1, m) for j in range(k + 1, m)]
+        rep += [f"r{i} - a{i}_{k} / a{k}_{k} * r{k} AS r{i}" for i in range(k + 1, m)]
+        level = f"SELECT * REPLACE ({', '.join(rep)}) FROM ({level}) e{k}"
+    for i in range(m - 1, -1, -1):
+        acc = " - ".join([f"r{i}"] + [f"a{i}_{j} * x{j}" for j in range(i + 1, m)])
+        level = f"SELECT *, ({acc}) / a{i}_{i} AS x{i} FROM ({level}) s{i}"
+    return f"SELECT it + 1, {', '.join(f'{state}{k} - x{k}' for k in range(m))} FROM ({level}) st"
+
+
+def softmax_ctes(train: str, feats: list[str], class_expr: str, classes: list[str], name: str = "sx",
+                 C: float = 1.0, iters: int = 30) -> str:
+    """CTE text (needs WITH RECURSIVE): multinomial L2 logistic regression by Newton steps.
+
+    Parameters t{i} follow the layout (class k, term j), j = 0 intercept, with
+    the last class's intercept pinned to 0.  ``{name}_p`` holds raw-scale
+    intercepts c{k} and weights w{k}_{j}.  ``class_expr`` maps a train row to
+    its class id (0-based, sorted class order).
+    """
+    p, K = len(feats), len(classes)
+    x = [f"CAST({q(f)} AS DOUBLE)" for f in feats]
+    sdev = [f"STDDEV_POP({x[j]})" for j in range(p)]
+    ls = (f"{name}_s AS (SELECT " + ", ".join(
+        f"AVG({x[j]}) AS mu{j}, CASE WHEN {sdev[j]} = 0 THEN 1.0 ELSE {sdev[j]} END AS sd{j}" for j in range(p))
+        + f" FROM {train})")
+    lz = (f"{name}_z AS (SELECT {class_expr} AS yi, " + ", ".join(f"({x[j]} - mu{j}) / sd{j} AS z{j + 1}"
+                                                                   for j in range(p)) + f" FROM {train}, {name}_s)")
+    pos = [(k, j) for k in range(K) for j in range(p + 1) if not (k == K - 1 and j == 0)]
+    n = len(pos)
+    at = {kj: i for i, kj in enumerate(pos)}
+    ts = [f"t{i}" for i in range(n)]
+    zz = ["1.0"] + [f"z{j}" for j in range(1, p + 1)]
+
+    def score(k, pre_t, pre_z):
+        head = f"{pre_t}t{at[(k, 0)]}" if (k, 0) in at else "0.0"
+        return head + " + " + " + ".join(f"{pre_t}t{at[(k, j)]} * {pre_z}z{j}" for j in range(1, p + 1))
+    lvl = (f"SELECT r.it, {', '.join('r.' + t for t in ts)}, q.yi, {', '.join(f'q.z{j}' for j in range(1, p + 1))}, "
+           + ", ".join(f"{score(k, 'r.', 'q.')} AS s{k}" for k in range(K))
+           + f" FROM {name} r, {name}_z q WHERE r.it < {iters}")
+    lvl = f"SELECT *, GREATEST({', '.join(f's{k}' for k in range(K))}) AS smx FROM ({lvl}) l1"
+    lvl = f"SELECT *, {', '.join(f'EXP(s{k} - smx) AS e{k}' for k in range(K))} FROM ({lvl}) l2"
+    den = " + ".join(f"e{k}" for k in range(K))
+    lvl = f"SELECT *, {', '.join(f'e{k} / ({den}) AS p{k}' for k in range(K))} FROM ({lvl}) l3"
+    aggs = [f"SUM((p{k} - CASE WHEN yi = {k} THEN 1.0 ELSE 0.0 END) * {zz[j]}) AS g{i}" for i, (k, j) in enumerate(pos)]
+    for a_ in range(n):
+        for b_ in range(a_, n):
+            (k, j), (l, m_) = pos[a_], pos[b_]
+            w = f"p{k} * (1 - p{k})" if k == l else f"-(p{k} * p{l})"
+            aggs.append(f"SUM(({w}) * {zz[j]} * {zz[m_]}) AS h{a_}_{b_}")
+    agg = f"SELECT it, {', '.join(ts)}, {', '.join(aggs)} FROM ({lvl}) l4 GROUP BY it, {', '.join(ts)}"
+    pen = ["0.0" if j == 0 else f"1.0 / ({C!r} * sd{j - 1} * sd{j - 1})" for k, j in pos]
+    sys_cols = [f"g{i} + {pen[i]} * t{i} AS r{i}" for i in range(n)]
+    sys_cols += [f"h{min(a_, b_)}_{max(a_, b_)}" + (f" + {pen[a_]}" if a_ == b_ else "") + f" AS a{a_}_{b_}"
+                 for a_ in range(n) for b_ in range(n)]
+    level = f"SELECT it, {', '.join(ts)}, {', '.join(sys_cols)} FROM ({agg}) ag, {name}_s"
+    rec = (f"{name}(it, {', '.join(ts)}) AS (SELECT 0, {', '.join(['CAST(0 AS DOUBLE)'] * n)} "
+           f"UNION ALL {newton_step_sql(level, n, 't')})")
+    outs = []
+    for k in range(K):
+        ws = [f"t{at[(k, j + 1)]} / sd{j}" for j in range(p)]
+        head = f"t{at[(k, 0)]}" if (k, 0) in at else "0.0"
+        outs.append(f"{head} - ({' + '.join(f'({ws[j]}) * mu{j}' for j in range(p))}) AS c{k}")
+        outs += [f"{ws[j]} AS w{k}_{j}" for j in range(p)]
+    raw = f"{name}_p AS (SELECT {', '.join(outs)} FROM {name}, {name}_s WHERE it = {iters})"
+    return ", ".join([ls, lz, rec, raw])
+
+
+def softmax_predict_sql(feats: list[str], classes: list[str], name: str = "sx", prefix: str = "") -> str:
+    """Label with the highest raw-scale score; earlier classes win ties."""
+    K = len(classes)
+    sc = [f"({name}_p.c{k} + " + " + ".join(f"{name}_p.w{k}_{j} * CAST({prefix}{q(f)} AS DOUBLE)"
+                                           for j, f in enumerate(feats)) + ")" for k in range(K)]
+    whens = []
+    for k in range(K - 1):
+        conds = [f"{sc[k]} > {sc[m]}" for m in range(k)] + [f"{sc[k]} >= {sc[m]}" for m in range(k + 1, K)]
+        whens.append(f"WHEN {' AND '.join(conds)} THEN '{classes[k]}'")
+    return f"CASE {' '.join(whens)} ELSE '{classes[-1]}' END"

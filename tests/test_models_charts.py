@@ -216,3 +216,37 @@ def test_evaluation_report_rows(spark):
     assert {"placed_pct", "not_placed_pct", "auc_a", "auc_b", "accuracy", "log_loss",
             "scaler_Unscaled", "scaler_StandardScaler", "scaler_MinMaxScaler"} <= set(rep)
     assert rep["placed_pct"] + rep["not_placed_pct"] == 100.0 and rep["auc_a"] > 0.8
+
+
+def test_softmax_matches_numpy_newton(spark):
+    rng = np.random.default_rng(21)
+    n, K = 300, 3
+    X = rng.normal(size=(n, 2)) * [2.0, 0.5] + [1.0, -1.0]
+    S = np.stack([0.2 + X @ [1.0, 0.0], -0.1 + X @ [0.0, 2.0], np.zeros(n)], axis=1)
+    yv = np.array([rng.choice(K, p=np.exp(s - s.max()) / np.exp(s - s.max()).sum()) for s in S])
+    labels = np.array(["a", "b", "c"])[yv]
+    df = spark.createDataFrame(pd.DataFrame({"u": X[:, 0], "v": X[:, 1], "lab": labels}))
+    sm = M.fit_softmax(df, ["u", "v"], "lab")
+    assert sm.classes == ["a", "b", "c"]
+    # brute force: same objective, raw features, last intercept pinned to 0
+    Z = np.hstack([np.ones((n, 1)), X])
+    pos = [(k, j) for k in range(K) for j in range(3) if not (k == K - 1 and j == 0)]
+    th = np.zeros(len(pos))
+    for _ in range(60):
+        B = np.zeros((K, 3))
+        for i, (k, j) in enumerate(pos):
+            B[k, j] = th[i]
+        Sx = Z @ B.T
+        P = np.exp(Sx - Sx.max(1, keepdims=True))
+        P /= P.sum(1, keepdims=True)
+        Y = np.eye(K)[yv]
+        g = np.array([((P[:, k] - Y[:, k]) * Z[:, j]).sum() + (th[i] if j else 0.0) for i, (k, j) in enumerate(pos)])
+        H = np.array([[(P[:, k] * ((k == l) - P[:, l]) * Z[:, j] * Z[:, m]).sum() + (1.0 if (a == b and j) else 0.0)
+                       for b, (l, m) in enumerate(pos)] for a, (k, j) in enumerate(pos)])
+        th -= np.linalg.solve(H, g)
+    B = np.zeros((K, 3))
+    for i, (k, j) in enumerate(pos):
+        B[k, j] = th[i]
+    assert np.allclose(sm.intercept, B[:, 0], atol=1e-7) and np.allclose(sm.coef, B[:, 1:], atol=1e-7)
+    pred = [r[0] for r in df.select(sm.predict_label()).collect()]
+    assert pred == list(np.array(["a", "b", "c"])[np.argmax(Z @ B.T, axis=1)])
