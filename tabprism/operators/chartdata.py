@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 
 from tabprism.functions.expressions import rnd
 from tabprism.operators.quantiles import quantiles
-from tabprism.operators.stats import to_long
 
 QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
 

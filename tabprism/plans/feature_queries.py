@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 
 from tabprism.operators import clean as C
 from tabprism.operators import features as FE

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 
 from tabprism.operators import sampling as S
 from tabprism.operators.positions import row_index

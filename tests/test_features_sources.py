@@ -1,7 +1,5 @@
-import os
 
 import pytest
-from pyspark.sql import functions as F
 
 from tabprism.operators import features as FE
 from tabprism.sources.csv import NA_TOKENS, read_csv, write_csv

@@ -2,7 +2,6 @@ import math
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from tabprism.functions.columns import exclude_columns, numeric_columns, present
 from tabprism.operators import profile as P
