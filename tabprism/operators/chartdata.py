@@ -21,6 +21,9 @@ from tabprism.operators.quantiles import quantiles
 
 QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
 
+#: class groups whose fences are applied as literal lookups
+MAX_BOX_GROUPS = 1_000
+
 
 def _finite(c: Column) -> Column:
     return c.isNotNull() & ~F.isnan(c)
@@ -130,6 +133,9 @@ def box_summary(df: DataFrame, cols: Sequence[str], by: str | None = None, k: fl
     cols = list(cols)
     groups = [by] if by else []
     qd = quantiles(df, cols, QUARTILES, by=groups).collect()
+    if by and len(qd) > MAX_BOX_GROUPS * max(1, len(cols)):
+        raise ValueError(f"box summaries per class need a low-cardinality class column "
+                         f"(at most {MAX_BOX_GROUPS} groups)")
     fences = {}
     for r in qd:
         g = r[by] if by else None

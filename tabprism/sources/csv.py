@@ -2,8 +2,8 @@
 
 Reading keeps pandas' missing-value semantics: the whole file is read as
 text, every pandas NA token becomes NULL, then each column gets the narrowest
-of long / double / string that all its non-missing values parse as — decided
-for all columns in a single aggregate pass, then applied with ``try_cast``.
+of boolean / long / double / string that all its non-missing values parse as
+— decided for all columns in a single aggregate pass, then applied.
 """
 
 from __future__ import annotations
@@ -12,6 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+# The strings pandas.read_csv reads as booleans by default.
+TRUE_TOKENS = ["True", "TRUE", "true"]
+FALSE_TOKENS = ["False", "FALSE", "false"]
+
 # The strings pandas.read_csv treats as missing by default.
 NA_TOKENS = [
     "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan",
@@ -36,13 +40,16 @@ def read_csv(spark: SparkSession, path: str, schema: StructType | None = None) -
     for i, c in enumerate(cols):
         d = F.col(c).try_cast("double")
         lg = F.col(c).try_cast("long")
+        b = F.when(F.col(c).isin(*TRUE_TOKENS, *FALSE_TOKENS), F.lit(1))
         checks += [F.count(F.col(c)).alias(f"_n{i}"), F.count(d).alias(f"_d{i}"),
-                   F.count(lg).alias(f"_l{i}")]
+                   F.count(lg).alias(f"_l{i}"), F.count(b).alias(f"_b{i}")]
     row = raw.agg(*checks).first() if cols else None
     out = []
     for i, c in enumerate(cols):
-        n, nd, nl = row[f"_n{i}"], row[f"_d{i}"], row[f"_l{i}"]
-        if n > 0 and nl == n:
+        n, nd, nl, nb = row[f"_n{i}"], row[f"_d{i}"], row[f"_l{i}"], row[f"_b{i}"]
+        if n > 0 and nb == n:
+            out.append(F.col(c).isin(*TRUE_TOKENS).alias(c))
+        elif n > 0 and nl == n:
             out.append(F.col(c).try_cast("long").alias(c))
         elif nd == n:                      # includes all-missing columns (pandas: float64)
             out.append(F.col(c).try_cast("double").alias(c))

@@ -59,10 +59,12 @@ def test_one_hot(spark):
 
 def test_csv_roundtrip_na_tokens(spark, tmp_path):
     src = tmp_path / "in.csv"
-    lines = ["a,b,c"] + [f"{i},{tok},x{i}" for i, tok in enumerate(["1.5", "NA", "n/a", "", "2"])]
+    lines = ["a,b,c,d"] + [f"{i},{tok},x{i},{bo}" for i, (tok, bo) in
+                           enumerate(zip(["1.5", "NA", "n/a", "", "2"], ["True", "false", "", "TRUE", "False"]))]
     src.write_text("\n".join(lines) + "\n")
     df = read_csv(spark, str(src))
-    assert dict(df.dtypes) == {"a": "bigint", "b": "double", "c": "string"}
+    assert dict(df.dtypes) == {"a": "bigint", "b": "double", "c": "string", "d": "boolean"}
+    assert [r["d"] for r in df.orderBy("a").collect()] == [True, False, None, True, False]
     assert [r["b"] for r in df.orderBy("a").collect()] == [1.5, None, None, None, 2.0]
     assert "NA" in NA_TOKENS and "" in NA_TOKENS
     out = write_csv(df, scratch_path(spark, "t"))
