@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabprism.functions.expressions import pair_corr, rnd
-from tabprism.operators.quantiles import quantiles
+from tabprism.operators.quantiles import DEFAULT_DISTINCT_LIMIT, quantiles
 from tabprism.operators.stats import column_stats, to_long
 
 QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
@@ -111,7 +111,15 @@ def describe(df: DataFrame, cols: Sequence[str], digits: int = 4, skew: bool = F
     }
     if skew:
         stats["_pskew"] = lambda c: F.skewness(c)
-    base = column_stats(df, cols, stats, by=by)
+    stats["_ndv"] = lambda c: F.approx_count_distinct(c)
+    lazy = column_stats(df, cols, stats, by=by)
+    # one pass for the moments AND the cardinality probe that picks the quantile
+    # strategy; the result has one row per (group, column), so it is collected
+    rows = lazy.collect()
+    if quantile_method == "auto":
+        top = max([r["_ndv"] or 0 for r in rows] or [0])
+        quantile_method = "percentile" if top <= DEFAULT_DISTINCT_LIMIT else "rank"
+    base = df.sparkSession.createDataFrame(rows, lazy.schema)
     q = quantiles(df, cols, QUARTILES, by=by, method=quantile_method)
     keys = [*by, "column_name"]
     cond = [base[k].eqNullSafe(q[k]) for k in keys]
