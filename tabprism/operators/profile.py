@@ -302,7 +302,7 @@ def class_vs_overall_mean(df: DataFrame, target: str, features: dict[str, int])
 
 def insights(df: DataFrame, target: str, features: dict[str, int],
              conditional: Sequence[str] | None = None, flag: str | None = None) -> DataFrame:
-    """Sentences built from the KPI and class-mean tables.
+    """Sentences built from the KPI and class-mean figures — ONE aggregate pass.
 
     One sentence per feature comparing its class mean with its overall mean;
     features listed in ``conditional`` (all of them by default) only when the
@@ -310,25 +310,29 @@ def insights(df: DataFrame, target: str, features: dict[str, int],
     with ``flag``, the flagged-rows sentence.
     """
     cond = set(features if conditional is None else conditional)
-    m = class_vs_overall_mean(df, target, features)
-    keep = F.lit(False)
-    for f in features:
-        keep = keep | ((F.col("feature") == f) & (F.lit(f not in cond) | (F.col("class_mean") > F.col("overall_mean"))))
-    feat = m.where(keep).select(
-        F.col("feature").alias("topic"),
-        F.format_string(f"Rows with {target} = 1 average %s %s, against %s overall.",
-                        F.col("class_mean").cast("string"), F.col("feature"),
-                        F.col("overall_mean").cast("string")).alias("sentence"))
-    k = kpi_overview(df, target, flag)
-    out = feat.unionByName(k.select(
-        F.lit("class_share").alias("topic"),
-        F.format_string(f"%s%% of the %s rows have {target} = 1.",
-                        F.col("class_pct").cast("string"),
-                        F.format_number(F.col("n_rows"), 0)).alias("sentence")))
+    feats = list(features)
+    t = F.col(target).cast("double")
+    aggs = [F.count(F.lit(1)).alias("_n"), F.count_if(t == 1).alias("_nc")]
+    aggs += [F.avg(F.when(t == 1, F.col(c).cast("double"))).alias(f"_c{i}") for i, c in enumerate(feats)]
+    aggs += [F.avg(F.col(c).cast("double")).alias(f"_a{i}") for i, c in enumerate(feats)]
     if flag:
-        out = out.unionByName(k.select(
-            F.lit("flagged").alias("topic"),
-            F.format_string("%s rows (%s%%) are flagged by the IQR rule.",
-                            F.format_number(F.col("n_flagged"), 0),
-                            F.col("flagged_rate").cast("string")).alias("sentence")))
-    return out
+        aggs += [F.avg(F.col(flag).cast("double")).alias("_fr"), F.sum(F.col(flag)).cast("bigint").alias("_nf")]
+    row = df.agg(*aggs)
+    items = []
+    for i, c in enumerate(feats):
+        cm, om = rnd(F.col(f"_c{i}"), features[c]), rnd(F.col(f"_a{i}"), features[c])
+        keep = (cm > om) if c in cond else F.lit(True)
+        items.append(F.struct(F.lit(c).alias("topic"), F.format_string(
+            f"Rows with {target} = 1 average %s %s, against %s overall.", cm.cast("string"), F.lit(c),
+            om.cast("string")).alias("sentence"), F.coalesce(keep, F.lit(False)).alias("_keep")))
+    n = F.col("_n")
+    pct = F.when(n > 0, rnd(F.col("_nc") / n * 100, 1)).otherwise(F.lit(0.0))
+    items.append(F.struct(F.lit("class_share").alias("topic"), F.format_string(
+        f"%s%% of the %s rows have {target} = 1.", pct.cast("string"), F.format_number(n, 0)).alias("sentence"),
+        F.lit(True).alias("_keep")))
+    if flag:
+        fr = F.coalesce(rnd(F.col("_fr") * 100, 1), F.lit(0.0))
+        items.append(F.struct(F.lit("flagged").alias("topic"), F.format_string(
+            "%s rows (%s%%) are flagged by the IQR rule.", F.format_number(F.coalesce(F.col("_nf"), F.lit(0)), 0),
+            fr.cast("string")).alias("sentence"), F.lit(True).alias("_keep")))
+    return row.select(F.inline(F.array(*items))).where("_keep").select("topic", "sentence")
