@@ -15,7 +15,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabprism.functions.expressions import rnd
-from tabprism.operators.profile import iqr_outliers
 from tabprism.operators.quantiles import quantiles
 from tabprism.operators.stats import column_stats, to_long
 
@@ -126,23 +125,40 @@ def standard_params(df: DataFrame, cols: Sequence[str], digits: int = 4) -> Data
     return j.select("column_name", "column_idx", *[rnd(k, digits).alias(k) for k in names])
 
 
-def robust_params(df: DataFrame, cols: Sequence[str], digits: int = 4) -> DataFrame:
-    """column, median, q1, q3, iqr, outliers, scaled mean/std/median (4 dp)."""
+def robust_params(df: DataFrame, cols: Sequence[str], digits: int = 4, k: float = 1.5) -> DataFrame:
+    """column, median, q1, q3, iqr, outliers, scaled mean/std/median (4 dp).
+
+    Passes: the quartile fit, one aggregate for the scaled moments together
+    with the outlier counts (fences from the fitted quartiles), and one
+    quantile pass for the median of the rounded scaled values.
+    """
+    cols = list(cols)
     p = fit_robust(df, cols)
-    scaled = transform(df, p)
-    sc = _scaled_stats(scaled, cols, {"scaled_mean": F.avg, "scaled_std": F.stddev_samp})
-    smed = quantiles(scaled, cols, {"scaled_median": 0.5})
-    out = iqr_outliers(df, cols).select("column_name", F.col("n_outliers").alias("outliers"))
-    spark = df.sparkSession
-    fitted = spark.createDataFrame(
-        [(c, p.extra[c]["median"], p.extra[c]["q1"], p.extra[c]["q3"]) for c in cols],
-        "column_name string, median double, q1 double, q3 double")
-    j = (F.broadcast(fitted).join(sc, "column_name").join(smed, "column_name")
-         .join(out, "column_name"))
-    return j.select("column_name", "column_idx",
-                    *[rnd(k, digits).alias(k) for k in ("median", "q1", "q3")],
-                    rnd(F.col("q3") - F.col("q1"), digits).alias("iqr"), "outliers",
-                    *[rnd(k, digits).alias(k) for k in ("scaled_mean", "scaled_std", "scaled_median")])
+    aggs = []
+    for i, c in enumerate(cols):
+        sc = _scaled(c, p.center[c], p.scale[c], 6)
+        q1, q3 = p.extra[c]["q1"], p.extra[c]["q3"]
+        if q1 is None:
+            out = F.lit(0)
+        else:
+            lo, hi = q1 - k * (q3 - q1), q3 + k * (q3 - q1)
+            x = F.col(c).cast("double")
+            out = F.count_if((x < F.lit(lo)) | (x > F.lit(hi)))
+        aggs += [F.avg(sc).alias(f"_m{i}"), F.stddev_samp(sc).alias(f"_s{i}"), out.alias(f"_o{i}")]
+    row = df.agg(*aggs)
+    structs = []
+    for i, c in enumerate(cols):
+        e = p.extra[c]
+        iqr = None if e["q1"] is None else e["q3"] - e["q1"]
+        structs.append(F.struct(
+            F.lit(c).alias("column_name"), F.lit(i).alias("column_idx"),
+            *[rnd(F.lit(e[n]).cast("double"), digits).alias(n) for n in ("median", "q1", "q3")],
+            rnd(F.lit(iqr).cast("double"), digits).alias("iqr"), F.col(f"_o{i}").cast("bigint").alias("outliers"),
+            rnd(F.col(f"_m{i}"), digits).alias("scaled_mean"), rnd(F.col(f"_s{i}"), digits).alias("scaled_std")))
+    wide = row.select(F.inline(F.array(*structs)))
+    smed = quantiles(transform(df, p).select(*cols), cols, {"scaled_median": 0.5})
+    return wide.join(smed, "column_name").select(
+        *wide.columns, rnd("scaled_median", digits).alias("scaled_median"))
 
 
 # ---------------------------------------------------------------- encoding
