@@ -527,9 +527,11 @@ def linspace_expr(idx: Column, lo: float, hi: float, num: int) -> Column:
 
 
 # ---------------------------------------------------------------- M14 scaler comparison
-def scaler_comparison(prep: Prepared, features: Sequence[str], label: str) -> DataFrame:
+def scaler_comparison(prep: Prepared, features: Sequence[str], label: str,
+                      unscaled: LogisticParams | None = None) -> DataFrame:
     """Validation accuracy % of the same classifier on raw, standardised
-    (population σ, constant → 1) and min-max inputs, each fitted on train only."""
+    (population σ, constant → 1) and min-max inputs, each fitted on train only.
+    ``unscaled`` reuses an already fitted raw-input model."""
     variants = {"Unscaled": None,
                 "StandardScaler": fit_standardiser(prep.train, features, ddof=0, zero_to_one=True),
                 "MinMaxScaler": fit_minmax_inputs(prep.train, features)}
@@ -537,7 +539,7 @@ def scaler_comparison(prep: Prepared, features: Sequence[str], label: str) -> Da
     for name, fitted in variants.items():
         data = prep.data if fitted is None else standardise(prep.data, features, *fitted)
         tr, te = data.where(F.col("split") == "train"), data.where(F.col("split") == "test")
-        p = fit_logistic(tr, features, label, prep.n_train)
+        p = unscaled if (fitted is None and unscaled is not None) else fit_logistic(tr, features, label, prep.n_train)
         acc = te.agg(rnd(F.avg(((p.z() > 0).cast("int") == F.col(label)).cast("double")) * 100, 2)
                      .alias("accuracy")).select(F.lit(name).alias("scaler"), "accuracy")
         out = acc if out is None else out.unionByName(acc)

@@ -27,6 +27,6 @@ def evaluation_report(prep: M.Prepared, features: Sequence[str], auc_features: S
     met = MT.classification_metrics(test, label, "_prob", pred="_pred").select(F.inline(F.array(
         F.struct(F.lit("accuracy").alias("metric"), F.col("accuracy").alias("value")),
         F.struct(F.lit("log_loss").alias("metric"), F.col("log_loss").alias("value")))))
-    sc = M.scaler_comparison(prep, features, label).select(
+    sc = M.scaler_comparison(prep, features, label, unscaled=p).select(
         F.concat(F.lit("scaler_"), F.col("scaler")).alias("metric"), F.col("accuracy").alias("value"))
     return rows.unionByName(auc).unionByName(met).unionByName(sc)
