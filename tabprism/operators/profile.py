@@ -19,6 +19,9 @@ from tabprism.operators.stats import column_stats, to_long
 
 QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
 
+#: correlations per aggregate pass (each is a handful of moment buffers)
+MAX_PAIRS_PER_PASS = 256
+
 
 def _isnull(c):
     return F.col(c).isNull()
@@ -182,22 +185,28 @@ def group_trend(df: DataFrame, by: str, cols: Sequence[str], digits: int = 2) ->
 def corr_matrix(df: DataFrame, cols: Sequence[str], digits: int = 6) -> DataFrame:
     """Pairwise-complete Pearson matrix, long form (x, y, corr).
 
-    One aggregate with one ``corr`` per unordered pair; rows where either
-    side is missing are skipped for that pair only (as pandas does).
+    One correlation per unordered pair, at most ``MAX_PAIRS_PER_PASS`` per
+    aggregate; rows where either side is missing are skipped for that pair
+    only (as pandas does).
     Constant columns give NULL.
     """
     cols = list(cols)
     pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
-
-    row = df.agg(*[pair_corr(cols[i], cols[j]).alias(f"_r{i}_{j}") for i, j in pairs])
-    structs = []
-    for i, j in pairs:
-        r = F.col(f"_r{i}_{j}")
-        r = rnd(F.when(~F.isnan(r), r), digits)
-        structs.append(F.struct(F.lit(cols[i]).alias("x"), F.lit(cols[j]).alias("y"), r.alias("corr")))
-        if i != j:
-            structs.append(F.struct(F.lit(cols[j]).alias("x"), F.lit(cols[i]).alias("y"), r.alias("corr")))
-    return row.select(F.inline(F.array(*structs)))
+    out = None
+    # wide tables: at most MAX_PAIRS_PER_PASS correlations per aggregate
+    for start in range(0, len(pairs), MAX_PAIRS_PER_PASS):
+        chunk = pairs[start:start + MAX_PAIRS_PER_PASS]
+        row = df.agg(*[pair_corr(cols[i], cols[j]).alias(f"_r{i}_{j}") for i, j in chunk])
+        structs = []
+        for i, j in chunk:
+            r = F.col(f"_r{i}_{j}")
+            r = rnd(F.when(~F.isnan(r), r), digits)
+            structs.append(F.struct(F.lit(cols[i]).alias("x"), F.lit(cols[j]).alias("y"), r.alias("corr")))
+            if i != j:
+                structs.append(F.struct(F.lit(cols[j]).alias("x"), F.lit(cols[i]).alias("y"), r.alias("corr")))
+        part = row.select(F.inline(F.array(*structs)))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def target_corr_ranked(df: DataFrame, cols: Sequence[str], target: str,
