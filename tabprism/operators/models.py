@@ -105,11 +105,11 @@ def moments(df: DataFrame, cols: Sequence[str]) -> Moments:
 # ---------------------------------------------------------------- Newton partial sums
 def partial_sums(design: DataFrame, cols: Sequence[str], fn) -> np.ndarray:
     """Σ over all rows of ``fn(batch)``: numpy on each Arrow batch inside the tasks,
-    one partial-sum vector per partition, added on the driver.
+    one partial-sum vector per partition, added up by a keyed aggregate.
 
     Used for Newton steps: the coefficients travel in the closure (a few numbers),
-    nothing is recompiled between steps, and only partitions × vector-length
-    numbers leave the executors.
+    nothing is recompiled between steps, and the per-partition vectors are
+    summed inside Spark, so the driver receives one vector.
     """
     cols = list(cols)
 
@@ -122,10 +122,17 @@ def partial_sums(design: DataFrame, cols: Sequence[str], fn) -> np.ndarray:
         if acc is not None:
             yield pd.DataFrame({"_v": [acc.tolist()]})
 
-    rows = design.mapInPandas(run, "_v array<double>").collect()
+    parts = design.mapInPandas(run, "_v array<double>")
+    # reduce the per-partition vectors inside Spark (map-side combined): the
+    # driver receives one vector, however many partitions there are
+    rows = (parts.select(F.posexplode("_v").alias("_i", "_x")).groupBy("_i")
+            .agg(F.sum("_x").alias("_x")).collect())
     if not rows:
         return None
-    return np.sum([np.asarray(r["_v"], dtype="float64") for r in rows], axis=0)
+    out = np.zeros(len(rows))
+    for r in rows:
+        out[r["_i"]] = r["_x"]
+    return out
 
 
 # ---------------------------------------------------------------- linear models
