@@ -233,15 +233,19 @@ def fit_levels(df: DataFrame, cols: Sequence[str], max_levels: int = MAX_LEVELS)
 
 
 def one_hot(df: DataFrame, cols: Sequence[str], drop_first: bool = True,
-            max_levels: int = MAX_LEVELS, levels: dict[str, list[str]] | None = None) -> DataFrame:
+            max_levels: int = MAX_LEVELS, levels: dict[str, list[str]] | None = None,
+            bools_to_int: bool = True) -> DataFrame:
     """Dummies ``{col}_{level}`` as 0/1 ints, first sorted level dropped.
 
     Missing values give all zeros.  Encoded columns are removed, the other
     columns keep their order and the dummies are appended column by column.
+    With ``bools_to_int`` every other boolean column also becomes 0/1 (C7).
     """
     cols = [c for c in cols if c in df.columns]
     levels = levels or fit_levels(df, cols, max_levels)
-    keep = [F.col(c) for c in df.columns if c not in cols]
+    types = dict(df.dtypes)
+    keep = [F.col(c).cast("int").alias(c) if (bools_to_int and types[c] == "boolean") else F.col(c)
+            for c in df.columns if c not in cols]
     dummies = []
     for c in cols:
         lv = levels[c][1:] if drop_first else levels[c]

@@ -50,6 +50,7 @@ def test_one_hot(spark):
     assert out.columns == ["id", "flag", "cat_b", "cat_c"]
     got = {r["id"]: (r["cat_b"], r["cat_c"]) for r in out.collect()}
     assert got == {1: (1, 0), 2: (0, 0), 3: (0, 0), 4: (0, 1)}
+    assert dict(out.dtypes)["flag"] == "int"                      # C7: booleans become 0/1
     assert sum(sum(v) for v in got.values()) <= 4
     with pytest.raises(ValueError):
         FE.one_hot(spark.range(50).selectExpr("CAST(id AS STRING) AS s"), ["s"], max_levels=10)
