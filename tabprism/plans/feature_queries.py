@@ -165,6 +165,16 @@ def one_hot_customer(spark, sf):
     return FE.one_hot(T.load(spark, sf, "customer"), ["c_mktsegment"])
 
 
+@query("one_hot_bool", "SELECT c_custkey, c_name, c_nationkey, c_acctbal, CAST(c_acctbal > 5000 AS INTEGER) AS rich, "
+       + _dummies_sql("c_mktsegment", C_SEGMENT_LEVELS) + " FROM customer")
+def one_hot_bool(spark, sf):
+    """F8 + C7: a derived boolean column comes out as 0/1 next to the dummies."""
+    c = T.load(spark, sf, "customer")
+    c = c.select("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment",
+                 (c.c_acctbal > 5000).alias("rich"))
+    return FE.one_hot(c, ["c_mktsegment"])
+
+
 @query("nominal_meta", union_cols(["p_brand", "p_type"], lambda i, c: (
     f"SELECT '{c}' AS column_name, {i} AS column_idx, CAST(COUNT(DISTINCT {c}) AS BIGINT) AS unique_count, "
     f"'{c}_...' AS new_columns FROM part")))

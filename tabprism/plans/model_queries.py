@@ -82,6 +82,18 @@ def train_standardise(spark, sf):
     return M.standardise(prep.data, MLR_FEATS, mu, sig, 6).select("o_orderkey", "split", *MLR_FEATS)
 
 
+@query("library_standardise", OF_CTE + prep_sql("SELECT * FROM of", "o_orderkey", MLR_FEATS, "sum_price") + ", "
+       + "st AS (SELECT " + ", ".join(f"AVG({c}) AS mu{i}, CASE WHEN STDDEV_POP({c}) = 0 THEN 1.0 ELSE STDDEV_POP({c}) END AS sg{i}"
+                                      for i, c in enumerate(MLR_FEATS)) + " FROM s WHERE split = 'train') "
+       + "SELECT o_orderkey, split, " + ", ".join(f"ROUND(({c} - mu{i}) / sg{i}, 6) + 0.0 AS {c}"
+                                                 for i, c in enumerate(MLR_FEATS)) + " FROM s, st")
+def library_standardise(spark, sf):
+    """M2: train-fitted library scaler (population σ, constant column → σ = 1), applied to all rows."""
+    prep = _mlr_prep(spark, sf)
+    mu, sig = M.fit_standardiser(prep.train, MLR_FEATS, ddof=0, eps=0.0, zero_to_one=True)
+    return M.standardise(prep.data, MLR_FEATS, mu, sig, 6).select("o_orderkey", "split", *MLR_FEATS)
+
+
 @query("train_class_balance", OF_CTE + prep_sql("SELECT * FROM of", "o_orderkey", LOGR_FEATS, "flag") +
        " SELECT ROUND(AVG(CASE WHEN flag = 1 THEN 1.0 ELSE 0.0 END) * 100, 1) + 0.0 AS class_pct, "
        "CAST(COUNT(*) AS BIGINT) AS n_train FROM s WHERE split = 'train'")
