@@ -252,3 +252,22 @@ def test_softmax_matches_numpy_newton(spark):
     assert np.allclose(icpt, B[:, 0] - B[-1, 0], atol=1e-7) and np.allclose(sm.coef, B[:, 1:], atol=1e-7)
     pred = [r[0] for r in df.select(sm.predict_label()).collect()]
     assert pred == list(np.array(["a", "b", "c"])[np.argmax(Z @ B.T, axis=1)])
+
+
+def test_constant_column_histogram_and_cut_match_numpy_pandas(spark):
+    x = np.array([5.0] * 7)
+    df = spark.createDataFrame(pd.DataFrame({"x": x, "t": [1, 0, 1, 1, 0, 1, 0]}))
+    h = V.histogram_auto(df, "x").orderBy("bin").collect()
+    counts, edges = np.histogram(x, bins="auto")
+    assert [r["n"] for r in h] == counts.tolist()
+    assert np.allclose([r["lo_edge"] for r in h] + [h[-1]["hi_edge"]], edges)
+    got = V.binned_rate(df, "x", "t", 15, precision=3).collect()
+    ref = df.toPandas().groupby(pd.cut(pd.Series(x), bins=15), observed=True)["t"].mean()
+    assert len(got) == len(ref) == 1
+    assert math.isclose(got[0]["mid"], list(ref.index)[0].mid) and math.isclose(got[0]["rate"], ref.iloc[0])
+
+
+def test_page_index_empty_table(spark):
+    from tabprism.operators import sampling as S
+    idx = S.page_index(spark.range(0)).collect()
+    assert len(idx) == 1 and idx[0]["total_rows"] == 0 and idx[0]["first_row"] == 0 and idx[0]["last_row"] == 0
