@@ -330,6 +330,8 @@ def fit_logistic(train: DataFrame, features: Sequence[str], label: str, n_train:
     mu = [st[f"_m{j}"] if st[f"_m{j}"] is not None else 0.0 for j in range(p)]
     sd = [st[f"_s{j}"] if st[f"_s{j}"] not in (None, 0.0) else 1.0 for j in range(p)]
     ybar = st["_ybar"]
+    if ybar is None or not 0.0 < ybar < 1.0:
+        raise ValueError("logistic regression needs both classes in the training rows")
     zc = [(F.col(c).cast("double") - F.lit(mu[j])) / F.lit(sd[j]) for j, c in enumerate(feats)]
     # the standardised design is re-read by every step: keep it (a lost block is
     # recomputed from its checkpointed source)
@@ -337,8 +339,7 @@ def fit_logistic(train: DataFrame, features: Sequence[str], label: str, n_train:
                           F.col(label).cast("double").alias("_y")).persist(StorageLevel.MEMORY_AND_DISK)
     pen = np.array([0.0] + [1.0 / (C * sd[j] ** 2) for j in range(p)])
     beta = np.zeros(p + 1)
-    if ybar is not None and 0.0 < ybar < 1.0:
-        beta[0] = math.log(ybar / (1.0 - ybar))   # start at the intercept-only answer
+    beta[0] = math.log(ybar / (1.0 - ybar))   # start at the intercept-only answer
     zcols = [f"_z{k}" for k in range(1, p + 1)]
     try:
         for it in range(max_iter):
@@ -411,6 +412,8 @@ def fit_softmax(train: DataFrame, features: Sequence[str], label: str, n_train:
                      .distinct().limit(max_classes + 1).collect())
     if len(classes) > max_classes:
         raise ValueError(f"more than {max_classes} classes")
+    if len(classes) < 2:
+        raise ValueError("softmax regression needs at least two classes in the training rows")
     K = len(classes)
     st = train.agg(*[F.avg(F.col(c).cast("double")).alias(f"_m{j}") for j, c in enumerate(feats)],
                    *[F.stddev_pop(F.col(c).cast("double")).alias(f"_s{j}") for j, c in enumerate(feats)]).first()

@@ -271,3 +271,11 @@ def test_page_index_empty_table(spark):
     from tabprism.operators import sampling as S
     idx = S.page_index(spark.range(0)).collect()
     assert len(idx) == 1 and idx[0]["total_rows"] == 0 and idx[0]["first_row"] == 0 and idx[0]["last_row"] == 0
+
+
+def test_single_class_fits_raise(spark):
+    df = spark.createDataFrame([(1.0, 0), (2.0, 0), (3.0, 0)], "a double, y int")
+    with pytest.raises(ValueError):
+        M.fit_logistic(df, ["a"], "y")
+    with pytest.raises(ValueError):
+        M.fit_softmax(df.selectExpr("a", "CAST(y AS STRING) AS lab"), ["a"], "lab")
