@@ -279,3 +279,14 @@ def test_single_class_fits_raise(spark):
         M.fit_logistic(df, ["a"], "y")
     with pytest.raises(ValueError):
         M.fit_softmax(df.selectExpr("a", "CAST(y AS STRING) AS lab"), ["a"], "lab")
+
+
+def test_zero_variance_target_and_constant_feature(spark):
+    df = spark.createDataFrame([(1.0, 3.0, 7.0), (2.0, 3.0, 7.0), (4.0, 3.0, 7.0)], "a double, c double, y double")
+    r = MT.regression_metrics(df.withColumn("yhat", F.lit(6.0)), "y", "yhat").first()
+    assert r["r2"] == 0.0 and r["mse"] == 1.0 and r["mae"] == 1.0
+    rng = np.random.default_rng(0)
+    a = rng.normal(size=50)
+    d2 = spark.createDataFrame(pd.DataFrame({"a": a, "c": np.full(50, 3.0), "y": 2 * a + 1}))
+    p = M.fit_mlr(d2, ["a", "c"], "y")
+    assert abs(p.coef[1]) < 1e-12 and abs(p.intercept - (2 * a + 1).mean()) < 1e-9
