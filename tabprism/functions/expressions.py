@@ -29,12 +29,6 @@ def to_double(x) -> Column:
     return nan_to_null(c)
 
 
-def safe_div(num, den) -> Column:
-    """num / den, NULL when den is 0 or NULL."""
-    d = _c(den)
-    return F.when(d == 0, F.lit(None).cast("double")).otherwise(_c(num) / d)
-
-
 def clip(x, lo: float, hi: float) -> Column:
     return F.greatest(F.least(_c(x), F.lit(hi)), F.lit(lo))
 

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabprism.functions.expressions import rnd
+from tabprism.operators.clean import bool_to_int
 from tabprism.operators.quantiles import quantiles
 from tabprism.operators.stats import column_stats, to_long
 
@@ -243,12 +244,11 @@ def one_hot(df: DataFrame, cols: Sequence[str], drop_first: bool = True,
     """
     cols = [c for c in cols if c in df.columns]
     levels = levels or fit_levels(df, cols, max_levels)
-    types = dict(df.dtypes)
-    keep = [F.col(c).cast("int").alias(c) if (bools_to_int and types[c] == "boolean") else F.col(c)
-            for c in df.columns if c not in cols]
+    keep = [F.col(c) for c in df.columns if c not in cols]
     dummies = []
     for c in cols:
         lv = levels[c][1:] if drop_first else levels[c]
         v = F.col(c).cast("string")
         dummies += [F.coalesce(v == F.lit(x), F.lit(False)).cast("int").alias(f"{c}_{x}") for x in lv]
-    return df.select(*keep, *dummies)
+    out = df.select(*keep, *dummies)
+    return bool_to_int(out) if bools_to_int else out

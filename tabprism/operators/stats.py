@@ -55,13 +55,3 @@ def to_long(df: DataFrame, cols: Sequence[str], keep: Sequence[str] = (),
     structs = [F.struct(F.lit(c).alias(name_col), F.col(c).cast(cast).alias(value_col))
                for c in cols]
     return df.select(*keep, F.inline(F.array(*structs)))
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast hint only after checking the row count of ``df``.
-
-    Used for parameter/offset tables whose size is bounded by a partition or
-    group count; beyond the bound Spark plans an ordinary shuffle join.
-    """
-    n = df.count()
-    return F.broadcast(df) if n <= max_rows else df
