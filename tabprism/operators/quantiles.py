@@ -68,20 +68,22 @@ def quantiles(df: DataFrame, cols: Sequence[str], probs: dict[str, float],
     if method == "auto":
         method = choose_method(df, cols, by, distinct_limit)
     if method in ("percentile", "approx"):
-        aggs = []
-        for i, c in enumerate(cols):
-            v = F.col(c).cast("double")
-            v = F.when(_finite(v), v)
-            arr = F.array(*[F.lit(float(probs[k])) for k in names])
-            q = (F.percentile(v, arr) if method == "percentile"
-                 else F.percentile_approx(v, arr, accuracy))
-            aggs.append(q.alias(f"_q{i}"))
-        wide = df.groupBy(*by).agg(*aggs) if by else df.agg(*aggs)
-        structs = [F.struct(F.lit(c).alias(name_col),
-                            *[F.col(f"_q{i}")[j].cast("double").alias(k)
-                              for j, k in enumerate(names)])
-                   for i, c in enumerate(cols)]
-        return wide.select(*by, F.inline(F.array(*structs)))
+        # unpivot first so that each (group, column) buffer is merged in its own
+        # task: columns finish in parallel instead of one after another
+        keys = [*by, name_col]
+        long = to_long(df, cols, keep=by, name_col=name_col, value_col="_v")
+        v = F.col("_v")
+        arr = F.array(*[F.lit(float(probs[k])) for k in names])
+        fn = F.percentile if method == "percentile" else (lambda c, a: F.percentile_approx(c, a, accuracy))
+        agg = (long.select(*keys, F.when(_finite(v), v).alias("_v"))
+               .groupBy(*keys).agg(fn(F.col("_v"), arr).alias("_q")))
+        wide = agg.select(*keys, *[F.col("_q")[j].cast("double").alias(k) for j, k in enumerate(names)])
+        if by:
+            return wide
+        # an empty input still yields one (NULL) row per column
+        allcols = df.sparkSession.range(1).select(
+            F.explode(F.array(*[F.lit(c) for c in cols])).alias(name_col))
+        return allcols.join(wide, name_col, "left")
     if method != "rank":
         raise ValueError(f"unknown quantile method {method!r}")
     return _rank_quantiles(df, cols, probs, by, name_col)
