@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, StructType
 
+from tabprism.session import ensure_checkpoint_dir
+
 #: offsets tables have one row per (range partition, group); broadcast below this.
 MAX_BROADCAST_ROWS = 2_000_000
 
@@ -50,6 +52,7 @@ def row_index(df: DataFrame, order_by: Sequence[str] | str, name: str = "pos",
               .withColumn("_pid", pid)
               .withColumn("_lix", F.monotonically_increasing_id()
                           - F.shiftleft(pid.cast("long"), 33)))
+    ensure_checkpoint_dir(df.sparkSession)     # the cluster's shared folder, or a clear error
     tagged = tagged.checkpoint(eager=True)
     # one number per range partition: bounded by the partition count
     counts = sorted((r["_pid"], r["_pc"]) for r in
@@ -90,6 +93,7 @@ def ranged_running_sum(df: DataFrame, groups: Sequence[str], order: str, weight:
                 carry = float(c.iloc[-1])
             yield pdf.assign(_lcum=c)
 
+    ensure_checkpoint_dir(df.sparkSession)     # the cluster's shared folder, or a clear error
     return ranged.mapInPandas(cumsum, schema).checkpoint(eager=True)
 
 
