@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
+from pyspark.sql.utils import AnalysisException
 
 # The strings pandas.read_csv reads as booleans by default.
 TRUE_TOKENS = ["True", "TRUE", "true"]
@@ -29,9 +30,19 @@ def _na_to_null(c: str):
     return F.when(v.isin(*NA_TOKENS), F.lit(None).cast("string")).otherwise(v)
 
 
-def read_csv(spark: SparkSession, path: str, schema: StructType | None = None) -> DataFrame:
-    """Header CSV → DataFrame; NA tokens → NULL; types from ``schema`` or inferred."""
-    raw = spark.read.option("header", True).option("inferSchema", False).csv(path)
+def read_csv(spark: SparkSession, path: str, schema: StructType | None = None,
+             missing_ok: bool = False) -> DataFrame | None:
+    """Header CSV → DataFrame; NA tokens → NULL; types from ``schema`` or inferred.
+
+    With ``missing_ok`` a path that does not exist gives ``None`` (callers then
+    skip their work, as the reference's loader does) instead of an error.
+    """
+    try:
+        raw = spark.read.option("header", True).option("inferSchema", False).csv(path)
+    except AnalysisException:
+        if missing_ok:
+            return None
+        raise
     raw = raw.select(*[_na_to_null(c).alias(c) for c in raw.columns])
     if schema is not None:
         return raw.select(*[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in schema.fields])

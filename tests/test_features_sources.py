@@ -70,6 +70,9 @@ def test_csv_roundtrip_na_tokens(spark, tmp_path):
     assert "NA" in NA_TOKENS and "" in NA_TOKENS
     out = write_csv(df, scratch_path(spark, "t"))
     assert read_csv(spark, out, schema=df.schema).count() == 5
+    assert read_csv(spark, str(tmp_path / "absent.csv"), missing_ok=True) is None
+    with pytest.raises(Exception):
+        read_csv(spark, str(tmp_path / "absent.csv"))
 
 
 def test_load_or_build_reuses(spark):
