@@ -57,6 +57,27 @@ def page_slice(df: DataFrame, order_by, page, per_page: int = 50,
     return numbered.where((F.col("pos") >= start) & (F.col("pos") < start + per_page))
 
 
+def materialize_positions(df: DataFrame, order_by, path: str, pos_col: str = "pos") -> DataFrame:
+    """Number the rows once and keep them as a parquet table (built if absent).
+
+    The numbered frame comes out range-partitioned and sorted by the key, so
+    ``pos`` rises monotonically across files and row groups: a later page is a
+    filter on ``pos`` that the scan pushes down, and min/max statistics skip
+    every row group outside the page.
+    """
+    from tabprism.sources.materialize import load_or_build
+    return load_or_build(df.sparkSession, path, lambda: row_index(df, order_by, pos_col))
+
+
+def page_from_positions(numbered: DataFrame, page, per_page: int = 50, pos_col: str = "pos",
+                        total_rows: int | None = None) -> DataFrame:
+    """P8 over a materialised numbered table: clamp the page, then a pushed-down range filter."""
+    total = numbered.count() if total_rows is None else total_rows
+    p = clamp_page(page, total, per_page)
+    start = (p - 1) * per_page
+    return numbered.where((F.col(pos_col) >= start) & (F.col(pos_col) < start + per_page))
+
+
 def page_index(df: DataFrame, per_page: int = 50) -> DataFrame:
     """One row per page: page, first_row, last_row (1-based), has_prev, has_next, totals."""
     total = df.count()

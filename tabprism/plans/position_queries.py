@@ -50,6 +50,14 @@ def page_slice_clamped(spark, sf):
     return S.page_slice(_orders(spark, sf), "o_orderkey", "abc")
 
 
+@query("page_slice_materialized", _page_sql(250))
+def page_slice_materialized(spark, sf):
+    """P8 served from a numbered table materialised once in the shared folder."""
+    from tabprism.sources.scratch import scratch_path
+    numbered = S.materialize_positions(_orders(spark, sf), "o_orderkey", scratch_path(spark, "orders-pos"))
+    return S.page_from_positions(numbered, 250)
+
+
 @query("page_index", "WITH n AS (SELECT COUNT(*) AS n, GREATEST(1, CAST(CEIL(COUNT(*) / 50.0) AS BIGINT)) "
        "AS pages FROM orders) SELECT page, CASE WHEN n > 0 THEN (page - 1) * 50 + 1 ELSE 0 END AS first_row, "
        "CAST(LEAST(page * 50, n) AS BIGINT) AS last_row, page > 1 AS has_prev, page < pages AS has_next, "

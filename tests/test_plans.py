@@ -42,3 +42,13 @@ def test_one_aggregate_for_all_missing_counts(spark):
     e = spark.read.parquet(f"{SF}/events.parquet")
     p = plan(P.missing_counts(e))
     assert p.count("HashAggregate") <= 2      # partial + final of ONE aggregate
+
+
+def test_materialized_pages_push_the_position_filter(spark):
+    from tabprism.operators import sampling as S
+    from tabprism.sources.scratch import scratch_path
+    o = spark.read.parquet(f"{SF}/orders.parquet").select("o_orderkey")
+    numbered = S.materialize_positions(o, "o_orderkey", scratch_path(spark, "pos"))
+    page = S.page_from_positions(numbered, 3)
+    assert sorted(r["pos"] for r in page.collect()) == list(range(100, 150))
+    assert "GreaterThanOrEqual(pos,100)" in plan(page) and "LessThan(pos,150)" in plan(page)
