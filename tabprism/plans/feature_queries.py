@@ -147,6 +147,7 @@ def ordinal_meta(spark, sf):
 P_TYPE_LEVELS = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
 C_SEGMENT_LEVELS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
 P_BRAND_LEVELS = sorted(f"Brand#{i}" for i in range(1, 26))
+O_STATUS_LEVELS = ["F", "O", "P"]
 
 
 def _dummies_sql(col, levels):
@@ -227,6 +228,32 @@ def export_scaled(spark, sf):
     return read_csv(spark, path, schema=scaled.schema)
 
 
+def _export(spark, scaled, name):
+    path = write_csv(scaled, scratch_path(spark, name))
+    return read_csv(spark, path, schema=scaled.schema)
+
+
+@query("export_standard", _standard_sql())
+def export_standard(spark, sf):
+    """A4: standard-scaled table as distributed CSV parts, read back."""
+    return _export(spark, FE.standard_scale(_part(spark, sf), PART_NUM), "standard-export")
+
+
+@query("export_robust", _robust_sql())
+def export_robust(spark, sf):
+    """A4: robust-scaled table as distributed CSV parts, read back."""
+    return _export(spark, FE.robust_scale(T.load(spark, sf, "events"), EV_NUM), "robust-export")
+
+
+@query("export_encoded", "SELECT o_orderkey, CAST(" + _PRIO_CASE + " AS INTEGER) AS o_orderpriority, "
+       + _dummies_sql("o_orderstatus", O_STATUS_LEVELS) + " FROM orders")
+def export_encoded(spark, sf):
+    """A4: ordinal + one-hot encoded table as distributed CSV parts, read back."""
+    o = T.load(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")
+    enc = FE.one_hot(FE.ordinal_encode(o, {"o_orderpriority": PRIORITY_MAP}), ["o_orderstatus"])
+    return _export(spark, enc, "encoded-export")
+
+
 @query("cleaned_materialise", f"WITH evn AS ({T.EVN_SQL}), med AS (SELECT QUANTILE_CONT(value, 0.5) AS mv "
        "FROM evn) SELECT event_id, user_id, event_type, COALESCE(value, mv) AS value FROM evn, med")
 def cleaned_materialise(spark, sf):

@@ -69,7 +69,15 @@ def read_csv(spark: SparkSession, path: str, schema: StructType | None = None,
     return raw.select(*out)
 
 
+#: timestamps keep microseconds (Spark's CSV defaults stop at milliseconds),
+#: for zoned and zone-less (NTZ) timestamps alike
+TIMESTAMP_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
+TIMESTAMP_NTZ_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
+
+
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> str:
     """Distributed part files with a header; nothing passes through the driver."""
-    df.write.mode(mode).option("header", True).csv(path)
+    (df.write.mode(mode).option("header", True)
+     .option("timestampFormat", TIMESTAMP_FORMAT)
+     .option("timestampNTZFormat", TIMESTAMP_NTZ_FORMAT).csv(path))
     return path

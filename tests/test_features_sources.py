@@ -85,3 +85,10 @@ def test_load_or_build_reuses(spark):
     assert load_or_build(spark, path, build).count() == 3
     assert load_or_build(spark, path, build).count() == 3
     assert len(calls) == 1
+
+
+def test_csv_keeps_timestamp_microseconds(spark):
+    df = spark.sql("SELECT 1 AS id, TIMESTAMP_NTZ '2024-01-01 00:00:07.179575' AS ntz, "
+                   "TIMESTAMP '2024-01-01 00:00:07.000001' AS ltz")
+    back = read_csv(spark, write_csv(df, scratch_path(spark, "ts")), schema=df.schema).first()
+    assert back["ntz"].microsecond == 179575 and back["ltz"].microsecond == 1
