@@ -11,7 +11,8 @@ values = st.lists(st.one_of(st.none(), st.integers(-5, 5).map(float), st.floats(
                   min_size=0, max_size=60)
 
 
-@settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@settings(max_examples=12, deadline=None, derandomize=True,
+          suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(vals=values, parts=st.integers(1, 5))
 def test_rank_quantiles_equal_numpy(spark, vals, parts):
     df = spark.createDataFrame([(i, v) for i, v in enumerate(vals)], "id long, x double").repartition(parts)
@@ -24,7 +25,8 @@ def test_rank_quantiles_equal_numpy(spark, vals, parts):
             assert abs(got[k] - float(np.quantile(xs, p))) <= 1e-9 * max(1.0, abs(float(np.quantile(xs, p))))
 
 
-@settings(max_examples=10, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@settings(max_examples=10, deadline=None, derandomize=True,
+          suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(keys=st.lists(st.integers(-10**12, 10**12), unique=True, max_size=80), parts=st.integers(1, 6))
 def test_row_index_is_a_permutation_in_key_order(spark, keys, parts):
     df = spark.createDataFrame([(k,) for k in keys], "k long").repartition(parts)
