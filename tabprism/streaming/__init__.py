@@ -7,4 +7,4 @@ land in a folder are scored micro-batch by micro-batch.  No state is kept:
 nothing grows with the stream.
 """
 
-from tabprism.streaming.scoring import score_stream, stream_source  # noqa: F401
+from tabprism.streaming.scoring import score_stream, stream_source, write_stream  # noqa: F401

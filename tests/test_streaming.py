@@ -6,7 +6,7 @@ from tabprism.operators import features as FE
 from tabprism.operators import models as M
 from tabprism.operators import scoring as SC
 from tabprism.sources.scratch import scratch_path
-from tabprism.streaming import score_stream, stream_source
+from tabprism.streaming import score_stream, stream_source, write_stream
 
 SF = "/root/testdata/sf0.001"
 
@@ -23,12 +23,13 @@ def test_stream_scoring_equals_batch(spark):
     scored = score_stream(stream, lambda d: FE.transform(d, scaler),
                           lambda d: SC.score_linear(d, p, "prediction"))
     assert scored.isStreaming
-    q = scored.writeStream.format("memory").queryName("tabprism_scored").outputMode("append").start()
+    out = scratch_path(spark, "stream-out")
+    q = write_stream(scored, out)
     try:
         q.processAllAvailable()
     finally:
         q.stop()
-    got = spark.table("tabprism_scored")
+    got = spark.read.parquet(out)
     batch = SC.score_linear(FE.transform(part, scaler), p, "prediction")
     assert got.count() == part.count()
     assert got.select("p_partkey", "p_size", "prediction").exceptAll(
