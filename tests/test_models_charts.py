@@ -290,3 +290,14 @@ def test_zero_variance_target_and_constant_feature(spark):
     d2 = spark.createDataFrame(pd.DataFrame({"a": a, "c": np.full(50, 3.0), "y": 2 * a + 1}))
     p = M.fit_mlr(d2, ["a", "c"], "y")
     assert abs(p.coef[1]) < 1e-12 and abs(p.intercept - (2 * a + 1).mean()) < 1e-9
+
+
+def test_degenerate_chart_inputs(spark):
+    nul = spark.createDataFrame([(None, 1), (None, 0)], "x double, t int")
+    h = V.histogram_auto(nul, "x").collect()
+    assert len(h) == 1 and h[0]["n"] == 0
+    assert V.kde_curve(spark.createDataFrame([(2.0,)], "x double"), "x").count() == 0
+    assert V.binned_rate(nul, "x", "t").count() == 0
+    from tabprism.operators import clean as C
+    keys_only = spark.createDataFrame([(1, "a"), (1, "a"), (2, "b")], "k long, v string")
+    assert sorted(tuple(r) for r in C.dedupe_keep_first(keys_only, ["k", "v"], ["k"]).collect()) == [(1, "a"), (2, "b")]
