@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from tabprism.functions.expressions import rnd
 from tabprism.operators.quantiles import quantiles
+from tabprism.constants import CURVE_BINS, CUT_WIDENING, IQR_FENCE, KDE_GRID
 
 QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
 
@@ -78,7 +79,7 @@ def histogram_auto(df: DataFrame, col: str) -> DataFrame:
 
 
 # ---------------------------------------------------------------- V3 KDE
-def kde_curve(df: DataFrame, col: str, gridsize: int = 200, cut: float = 0.0,
+def kde_curve(df: DataFrame, col: str, gridsize: int = KDE_GRID, cut: float = 0.0,
               digits: int | None = 9) -> DataFrame:
     """V3: Gaussian KDE on ``gridsize`` points over [min − cut·bw, max + cut·bw].
 
@@ -121,7 +122,7 @@ def _group_value(by: str | None, table: dict, key_default=None) -> Column:
     return out
 
 
-def box_summary(df: DataFrame, cols: Sequence[str], by: str | None = None, k: float = 1.5,
+def box_summary(df: DataFrame, cols: Sequence[str], by: str | None = None, k: float = IQR_FENCE,
                 digits: int | None = 6) -> DataFrame:
     """V4/V5: q1, median, q3, whiskers (extreme values inside 1.5·IQR) and flier count.
 
@@ -210,7 +211,7 @@ def cut_edges(lo: float, hi: float, bins: int, precision: int | None = 3):
         edges = np.linspace(lo, hi, bins + 1)
     else:
         edges = np.linspace(lo, hi, bins + 1)
-        edges[0] -= (hi - lo) * 0.001
+        edges[0] -= (hi - lo) * CUT_WIDENING
     edges = edges.tolist()
     if precision is None:
         return edges, edges
@@ -221,7 +222,7 @@ def cut_edges(lo: float, hi: float, bins: int, precision: int | None = 3):
     return edges, edges
 
 
-def binned_rate(df: DataFrame, x: str, target: str, bins: int = 15,
+def binned_rate(df: DataFrame, x: str, target: str, bins: int = CURVE_BINS,
                 precision: int | None = 3) -> DataFrame:
     """Class rate per equal-width right-closed bin of ``x`` (empty bins omitted).
 

@@ -18,6 +18,7 @@ from tabprism.functions.expressions import rnd
 from tabprism.operators.clean import bool_to_int
 from tabprism.operators.quantiles import quantiles
 from tabprism.operators.stats import column_stats, to_long
+from tabprism.constants import IQR_FENCE
 
 #: default cap on one-hot levels per column
 MAX_LEVELS = 1_000
@@ -126,7 +127,7 @@ def standard_params(df: DataFrame, cols: Sequence[str], digits: int = 4) -> Data
     return j.select("column_name", "column_idx", *[rnd(k, digits).alias(k) for k in names])
 
 
-def robust_params(df: DataFrame, cols: Sequence[str], digits: int = 4, k: float = 1.5) -> DataFrame:
+def robust_params(df: DataFrame, cols: Sequence[str], digits: int = 4, k: float = IQR_FENCE) -> DataFrame:
     """column, median, q1, q3, iqr, outliers, scaled mean/std/median (4 dp).
 
     Passes: the quartile fit, one aggregate for the scaled moments together

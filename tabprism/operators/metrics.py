@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tabprism.functions.expressions import clip, rnd
 from tabprism.operators.positions import partition_totals, ranged_running_sum
 from tabprism.operators.stats import to_long
+from tabprism.constants import CLASS_THRESHOLD
 
 #: probability clipping for log-loss: float64 machine epsilon
 EPS = 2.220446049250313e-16
@@ -27,7 +28,7 @@ def regression_metrics(df: DataFrame, y: str, yhat: str, digits: int = 4) -> Dat
                     rnd("mae", digits).alias("mae"), rnd(r2, digits).alias("r2"), "n")
 
 
-def classification_metrics(df: DataFrame, y: str, prob: str, threshold: float = 0.5,
+def classification_metrics(df: DataFrame, y: str, prob: str, threshold: float = CLASS_THRESHOLD,
                            pred: str | None = None) -> DataFrame:
     """Accuracy %, log-loss, confusion counts, precision %, recall %, F1.
 

@@ -28,9 +28,9 @@ from pyspark.sql import functions as F
 
 from tabprism.functions.expressions import clip, rnd, sigmoid, to_double
 from tabprism.operators.positions import row_index
+from tabprism.constants import (ENET_ALPHA, ENET_L1_RATIO, GD_ALPHA, GD_EPOCHS, LASSO_ALPHA, LOGISTIC_C,  # noqa: E501
+                                 RIDGE_ALPHA, SIG_EPS, TRAIN_FRACTION, Z_CLIP)
 
-#: the reference adds this to every fitted standard deviation
-SIG_EPS = 1e-9
 
 
 # ---------------------------------------------------------------- preparation
@@ -54,7 +54,7 @@ class Prepared:
 
 
 def prepare(df: DataFrame, features: Sequence[str], target: str, order_by: Sequence[str] | str,
-            train_fraction: float = 0.8, keep: Sequence[str] = (),
+            train_fraction: float = TRAIN_FRACTION, keep: Sequence[str] = (),
             coerce_target: bool = True) -> Prepared:
     """Select → coerce to numbers → drop incomplete rows → positional split.
 
@@ -183,18 +183,18 @@ def fit_mlr(train: DataFrame, features: Sequence[str], target: str) -> LinearPar
                         {"n_train": m.n})
 
 
-def fit_ridge(train: DataFrame, features: Sequence[str], target: str, alpha: float = 1.0) -> LinearParams:
+def fit_ridge(train: DataFrame, features: Sequence[str], target: str, alpha: float = RIDGE_ALPHA) -> LinearParams:
     """M2 + M5: ridge on library-standardised features (population σ, constant → 1)."""
     return _fit_penalised(train, features, target, l1=0.0, l2=alpha)
 
 
-def fit_lasso(train: DataFrame, features: Sequence[str], target: str, alpha: float = 0.1) -> LinearParams:
+def fit_lasso(train: DataFrame, features: Sequence[str], target: str, alpha: float = LASSO_ALPHA) -> LinearParams:
     """M6: (1/2n)‖y − Zw − b‖² + α‖w‖₁."""
     return _fit_penalised(train, features, target, l1=alpha, l2=0.0, per_n=True)
 
 
-def fit_elasticnet(train: DataFrame, features: Sequence[str], target: str, alpha: float = 0.1,
-                   l1_ratio: float = 0.5) -> LinearParams:
+def fit_elasticnet(train: DataFrame, features: Sequence[str], target: str, alpha: float = ENET_ALPHA,
+                   l1_ratio: float = ENET_L1_RATIO) -> LinearParams:
     """M7: (1/2n)‖y − Zw − b‖² + αρ‖w‖₁ + ½α(1−ρ)‖w‖²."""
     return _fit_penalised(train, features, target, l1=alpha * l1_ratio,
                           l2=alpha * (1 - l1_ratio), per_n=True)
@@ -249,7 +249,7 @@ class GDResult:
         return t0 * t0 + t1 * t1 * self.s + self.q - 2 * t0 * self.ybar - 2 * t1 * self.c
 
 
-def fit_slr_gd(train: DataFrame, x: str, y: str, alpha: float = 0.01, epochs: int = 1000) -> GDResult:
+def fit_slr_gd(train: DataFrame, x: str, y: str, alpha: float = GD_ALPHA, epochs: int = GD_EPOCHS) -> GDResult:
     """M4: batch gradient descent from θ = 0 on a train-standardised feature.
 
     The squared loss is quadratic, so after k epochs the iterates are
@@ -306,11 +306,11 @@ class LogisticParams:
         return out
 
     def probability(self) -> Column:
-        return sigmoid(clip(self.z(), -500.0, 500.0))
+        return sigmoid(clip(self.z(), -Z_CLIP, Z_CLIP))
 
 
 def fit_logistic(train: DataFrame, features: Sequence[str], label: str, n_train: int | None = None,
-                 C: float = 1.0, max_iter: int = 100, tol: float = 1e-8) -> LogisticParams:
+                 C: float = LOGISTIC_C, max_iter: int = 100, tol: float = 1e-8) -> LogisticParams:
     """L2 logistic regression, objective Σ log-loss + ‖w‖²/(2C), intercept free.
 
     Newton's method (IRLS): every step is ONE pass over the training rows —
@@ -398,7 +398,7 @@ class SoftmaxParams:
 
 
 def fit_softmax(train: DataFrame, features: Sequence[str], label: str, n_train: int | None = None,
-                C: float = 1.0, max_iter: int = 100, tol: float = 1e-8, max_classes: int = 100) -> SoftmaxParams:
+                C: float = LOGISTIC_C, max_iter: int = 100, tol: float = 1e-8, max_classes: int = 100) -> SoftmaxParams:
     """M9: multinomial logistic regression, Σ −log p(y) + Σ_k ‖w_k‖²/(2C), by Newton steps.
 
     Every class has its own weights (all penalised) and intercept; the last

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tabprism.functions.expressions import pair_corr, rnd
 from tabprism.operators.quantiles import DEFAULT_DISTINCT_LIMIT, quantiles
 from tabprism.operators.stats import column_stats, to_long
+from tabprism.constants import IQR_FENCE
 
 QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
 
@@ -226,7 +227,7 @@ def target_corr_ranked(df: DataFrame, cols: Sequence[str], target: str,
 
 
 # ---------------------------------------------------------------- IQR fences
-def iqr_fences(df: DataFrame, cols: Sequence[str], k: float = 1.5,
+def iqr_fences(df: DataFrame, cols: Sequence[str], k: float = IQR_FENCE,
                quantile_method: str = "auto") -> dict[str, tuple]:
     """Fit q1, q3 of every column in one pass; returns {col: (q1, med, q3, lo, hi)}.
 
@@ -251,7 +252,7 @@ def _outside(c, lo, hi):
     return F.coalesce((v < F.lit(lo)) | (v > F.lit(hi)), F.lit(False))
 
 
-def iqr_outliers(df: DataFrame, cols: Sequence[str], k: float = 1.5,
+def iqr_outliers(df: DataFrame, cols: Sequence[str], k: float = IQR_FENCE,
                  quantile_method: str = "auto") -> DataFrame:
     """Per column, count of values strictly outside [q1 - k·IQR, q3 + k·IQR], ranked desc."""
     f = iqr_fences(df, cols, k, quantile_method)
@@ -265,7 +266,7 @@ def iqr_outliers(df: DataFrame, cols: Sequence[str], k: float = 1.5,
     return out.withColumn("rank", F.row_number().over(w)).drop("column_idx")
 
 
-def iqr_anomaly_flag(df: DataFrame, cols: Sequence[str], k: float = 1.5,
+def iqr_anomaly_flag(df: DataFrame, cols: Sequence[str], k: float = IQR_FENCE,
                      name: str = "is_anomaly", quantile_method: str = "auto") -> DataFrame:
     """0/1 row flag, 1 when any listed column lies outside its IQR fences."""
     f = iqr_fences(df, cols, k, quantile_method)

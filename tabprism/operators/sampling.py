@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabprism.operators.positions import row_index
+from tabprism.constants import PAGE_SIZE, PREVIEW_ROWS, SAMPLE_SEED, SCATTER_POINTS, TRAIN_FRACTION
 
 #: pages whose end lies within this many rows are served by a bounded top-k
 #: (``orderBy().offset().limit()``); deeper pages number the rows instead.
@@ -26,12 +27,12 @@ def _keys(order_by) -> list[str]:
     return [order_by] if isinstance(order_by, str) else list(order_by)
 
 
-def preview(df: DataFrame, order_by, n: int = 10) -> DataFrame:
+def preview(df: DataFrame, order_by, n: int = PREVIEW_ROWS) -> DataFrame:
     """First ``n`` rows by the key (TakeOrderedAndProject: a bounded heap per task)."""
     return df.orderBy(*_keys(order_by)).limit(n)
 
 
-def clamp_page(page, total_rows: int, per_page: int = 50) -> int:
+def clamp_page(page, total_rows: int, per_page: int = PAGE_SIZE) -> int:
     """Page number clamped to [1, pages]; text that is not an integer → 1."""
     try:
         p = int(page)
@@ -41,7 +42,7 @@ def clamp_page(page, total_rows: int, per_page: int = 50) -> int:
     return max(1, min(p, pages))
 
 
-def page_slice(df: DataFrame, order_by, page, per_page: int = 50,
+def page_slice(df: DataFrame, order_by, page, per_page: int = PAGE_SIZE,
                topk_limit: int = TOPK_PAGE_LIMIT) -> DataFrame:
     """The rows of one page with their 0-based position ``pos``."""
     keys = _keys(order_by)
@@ -69,7 +70,7 @@ def materialize_positions(df: DataFrame, order_by, path: str, pos_col: str = "po
     return load_or_build(df.sparkSession, path, lambda: row_index(df, order_by, pos_col))
 
 
-def page_from_positions(numbered: DataFrame, page, per_page: int = 50, pos_col: str = "pos",
+def page_from_positions(numbered: DataFrame, page, per_page: int = PAGE_SIZE, pos_col: str = "pos",
                         total_rows: int | None = None) -> DataFrame:
     """P8 over a materialised numbered table: clamp the page, then a pushed-down range filter."""
     total = numbered.count() if total_rows is None else total_rows
@@ -78,7 +79,7 @@ def page_from_positions(numbered: DataFrame, page, per_page: int = 50, pos_col:
     return numbered.where((F.col(pos_col) >= start) & (F.col(pos_col) < start + per_page))
 
 
-def page_index(df: DataFrame, per_page: int = 50) -> DataFrame:
+def page_index(df: DataFrame, per_page: int = PAGE_SIZE) -> DataFrame:
     """One row per page: page, first_row, last_row (1-based), has_prev, has_next, totals."""
     total = df.count()
     pages = max(1, (total + per_page - 1) // per_page)
@@ -101,14 +102,14 @@ def hash_order(key_cols: Sequence[str], seed: int):
     return F.md5(F.concat(*parts))
 
 
-def seeded_sample(df: DataFrame, key, n: int, seed: int = 42) -> DataFrame:
+def seeded_sample(df: DataFrame, key, n: int, seed: int = SAMPLE_SEED) -> DataFrame:
     """min(n, rows) rows picked by a seeded hash order of the key (bounded top-k)."""
     keys = _keys(key)
     return (df.withColumn("_h", hash_order(keys, seed))
             .orderBy("_h", *keys).limit(n).drop("_h"))
 
 
-def train_test_split(df: DataFrame, order_by, train_fraction: float = 0.8,
+def train_test_split(df: DataFrame, order_by, train_fraction: float = TRAIN_FRACTION,
                      pos_col: str = "pos") -> tuple[DataFrame, DataFrame, int]:
     """First floor(fraction·n) rows by the key are train, the rest test.
 
@@ -121,7 +122,7 @@ def train_test_split(df: DataFrame, order_by, train_fraction: float = 0.8,
             numbered.where(F.col(pos_col) >= n_train), n_train)
 
 
-def split_labels(df: DataFrame, order_by, train_fraction: float = 0.8,
+def split_labels(df: DataFrame, order_by, train_fraction: float = TRAIN_FRACTION,
                  pos_col: str = "pos") -> DataFrame:
     """P13 as one frame with a ``split`` column ('train' / 'test')."""
     numbered, n = row_index(df, order_by, pos_col, with_count=True)
@@ -143,7 +144,7 @@ def linspace_positions(n: int, k: int) -> list[int]:
     return out
 
 
-def linspace_sample(numbered: DataFrame, k: int = 200, pos_col: str = "pos") -> DataFrame:
+def linspace_sample(numbered: DataFrame, k: int = SCATTER_POINTS, pos_col: str = "pos") -> DataFrame:
     """≤ k evenly spaced rows of an already numbered frame; adds ``sample_idx``."""
     n = numbered.count()
     k = min(k, n)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tabprism.functions.expressions import rnd
 from tabprism.operators.models import LinearParams, LogisticParams
+from tabprism.constants import CLASS_THRESHOLD, PREVIEW_ROWS
 
 # The reference's label texts for the two predicted classes.
 POSITIVE_LABEL = "Placed ✅"
@@ -30,13 +31,13 @@ def score_logistic(df: DataFrame, params: LogisticParams, prefix: str = "",
     p = params.probability()
     out = df.withColumn(f"{prefix}_p", p)
     return (out.withColumn(f"{prefix}probability", rnd(F.col(f"{prefix}_p") * 100, 1))
-            .withColumn(f"{prefix}prediction", (F.col(f"{prefix}_p") >= 0.5).cast("int"))
+            .withColumn(f"{prefix}prediction", (F.col(f"{prefix}_p") >= CLASS_THRESHOLD).cast("int"))
             .withColumn(f"{prefix}label", F.when(F.col(f"{prefix}prediction") == 1, F.lit(positive))
                         .otherwise(F.lit(negative)))
             .drop(f"{prefix}_p"))
 
 
-def prediction_sample(scored: DataFrame, actual: str, predicted: str, n: int = 10,
+def prediction_sample(scored: DataFrame, actual: str, predicted: str, n: int = PREVIEW_ROWS,
                       pos_col: str = "pos", digits: int = 2) -> DataFrame:
     """First ``n`` held-out rows by position with actual and predicted values."""
     return (scored.orderBy(pos_col).limit(n)
