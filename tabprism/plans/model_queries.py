@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tabprism import constants as C
 from tabprism.functions.expressions import rnd
 from tabprism.operators import metrics as MT
 from tabprism.operators import models as M
@@ -181,7 +182,7 @@ def slr_gd_fit(spark, sf):
 @query("gd_cost_history", _SLR_CTES + " SELECT k AS epoch, ROUND(t0 * t0 + t1 * t1 * sx + qq - 2 * t0 * ybar "
        "- 2 * t1 * c, 4) + 0.0 AS cost FROM (SELECT k, sx, qq, ybar, c, ybar * (1 - POW(1 - 2 * CAST(0.01 AS DOUBLE), k)) "
        "AS t0, CASE WHEN sx > 0 THEN (c / sx) * (1 - POW(1 - 2 * CAST(0.01 AS DOUBLE) * sx, k)) ELSE 0.0 END AS t1 "
-       "FROM t, range(0, 1000, 20) r(k)) h")
+       f"FROM t, range(0, {C.GD_EPOCHS}, {C.GD_COST_STRIDE}) r(k)) h")
 def gd_cost_history(spark, sf):
     """The train MSE before every 20th epoch, from the closed-form trajectory."""
     prep = _slr_prep(spark, sf)
@@ -191,7 +192,7 @@ def gd_cost_history(spark, sf):
     t0 = F.lit(gd.ybar) * (1 - F.pow(1 - 2 * a, k))
     t1 = (F.lit(gd.c / gd.s) * (1 - F.pow(1 - 2 * a * F.lit(gd.s), k))) if gd.s > 0 else F.lit(0.0)
     cost = t0 * t0 + t1 * t1 * F.lit(gd.s) + F.lit(gd.q) - 2 * t0 * F.lit(gd.ybar) - 2 * t1 * F.lit(gd.c)
-    return spark.range(0, gd.epochs, 20).select(F.col("id").alias("epoch"), rnd(cost, 4).alias("cost"))
+    return spark.range(0, gd.epochs, C.GD_COST_STRIDE).select(F.col("id").alias("epoch"), rnd(cost, 4).alias("cost"))
 
 
 @query("regression_line", _SLR_CTES + ", zr AS (SELECT MIN((p_partkey - mu) / sig) AS lo, "
@@ -204,8 +205,8 @@ def regression_line(spark, sf):
     prep = _slr_prep(spark, sf)
     p = M.fit_slr_gd(prep.train, "p_partkey", "p_retailprice").params
     r = prep.test.agg(F.min(p.z(0)).alias("lo"), F.max(p.z(0)).alias("hi")).first()
-    xn = M.linspace_expr(F.col("id"), r["lo"], r["hi"], 30)
-    return spark.range(30).select(F.col("id").alias("point"),
+    xn = M.linspace_expr(F.col("id"), r["lo"], r["hi"], C.LINE_POINTS)
+    return spark.range(C.LINE_POINTS).select(F.col("id").alias("point"),
                                   rnd(xn * F.lit(p.sig[0]) + F.lit(p.mu[0]), 3).alias("line_x"),
                                   rnd(F.lit(p.intercept) + F.lit(p.coef[0]) * xn, 3).alias("line_y"))
 
@@ -443,14 +444,14 @@ def logistic_sample(spark, sf):
 
 
 @query("prob_by_class", _LOGR_BASE + _LOGR_TEST + " SELECT pos, y AS actual, ROUND(p, 3) + 0.0 AS prob FROM pr "
-       "QUALIFY ROW_NUMBER() OVER (PARTITION BY y ORDER BY pos) <= 300")
+       f"QUALIFY ROW_NUMBER() OVER (PARTITION BY y ORDER BY pos) <= {C.PROB_SAMPLE_PER_CLASS}")
 def prob_by_class(spark, sf):
     """Validation probabilities (3 dp) of the first 300 rows of each actual class."""
     prep = M.prepare(T.of(spark, sf), LOGR_FEATS, "flag", "o_orderkey")
     p = M.fit_logistic(prep.train, LOGR_FEATS, "flag", prep.n_train)
     scored = prep.test.select("pos", F.col("flag").cast("int").alias("actual"), rnd(p.probability(), 3).alias("prob"))
     # one bounded top-k per class (two classes), not a window over each whole class
-    parts = [scored.where(F.col("actual") == c).orderBy("pos").limit(300) for c in (1, 0)]
+    parts = [scored.where(F.col("actual") == c).orderBy("pos").limit(C.PROB_SAMPLE_PER_CLASS) for c in (1, 0)]
     return parts[0].unionByName(parts[1])
 
 
@@ -498,12 +499,13 @@ GRID_FEATS = ["n_lines", "sum_qty"]
 def _grid_sql():
     base = ("WITH RECURSIVE of AS (" + T.OF_SQL + "), " + prep_sql("SELECT * FROM of", "o_orderkey", GRID_FEATS, "flag")
             + ", tr AS (SELECT * FROM s WHERE split = 'train'), " + logistic_ctes("tr", GRID_FEATS, "flag") + ", ")
-    rng = ("rg AS (SELECT MIN(n_lines) - 0.5 AS x0, MAX(n_lines) + 0.5 AS x1, MIN(sum_qty) - 5 AS y0, "
-           "MAX(sum_qty) + 5 AS y1 FROM tr), "
-           "gd AS (SELECT id % 200 AS ix, id // 200 AS iy, "
-           "CASE WHEN id % 200 = 199 THEN x1 ELSE (id % 200) * ((x1 - x0) / 199) + x0 END AS n_lines, "
-           "CASE WHEN id // 200 = 199 THEN y1 ELSE (id // 200) * ((y1 - y0) / 199) + y0 END AS sum_qty "
-           "FROM rg, range(0, 40000) r(id)) ")
+    n, px, py = C.GRID_SIZE, C.GRID_PAD_X, C.GRID_PAD_Y
+    rng = (f"rg AS (SELECT MIN(n_lines) - {px} AS x0, MAX(n_lines) + {px} AS x1, MIN(sum_qty) - {py} AS y0, "
+           f"MAX(sum_qty) + {py} AS y1 FROM tr), "
+           f"gd AS (SELECT id % {n} AS ix, id // {n} AS iy, "
+           f"CASE WHEN id % {n} = {n - 1} THEN x1 ELSE (id % {n}) * ((x1 - x0) / {n - 1}) + x0 END AS n_lines, "
+           f"CASE WHEN id // {n} = {n - 1} THEN y1 ELSE (id // {n}) * ((y1 - y0) / {n - 1}) + y0 END AS sum_qty "
+           f"FROM rg, range(0, {n * n}) r(id)) ")
     return (base + rng + "SELECT ix, iy, n_lines, sum_qty, CASE WHEN " + logistic_z(GRID_FEATS, "lg", "gd.")
             + " > 0 THEN 1 ELSE 0 END AS predicted FROM gd, lg_p")
 
@@ -515,10 +517,11 @@ def decision_grid(spark, sf):
     p = M.fit_logistic(prep.train, GRID_FEATS, "flag", prep.n_train)
     r = prep.train.agg(F.min("n_lines").alias("x0"), F.max("n_lines").alias("x1"),
                        F.min("sum_qty").alias("y0"), F.max("sum_qty").alias("y1")).first()
-    g = spark.range(200 * 200)
-    ix, iy = F.col("id") % 200, F.floor(F.col("id") / 200)
-    gx = M.linspace_expr(ix, r["x0"] - 0.5, r["x1"] + 0.5, 200)
-    gy = M.linspace_expr(iy, r["y0"] - 5, r["y1"] + 5, 200)
+    n = C.GRID_SIZE
+    g = spark.range(n * n)
+    ix, iy = F.col("id") % n, F.floor(F.col("id") / n)
+    gx = M.linspace_expr(ix, r["x0"] - C.GRID_PAD_X, r["x1"] + C.GRID_PAD_X, n)
+    gy = M.linspace_expr(iy, r["y0"] - C.GRID_PAD_Y, r["y1"] + C.GRID_PAD_Y, n)
     g = g.select(ix.alias("ix"), iy.alias("iy"), gx.alias("n_lines"), gy.alias("sum_qty"))
     return g.withColumn("predicted", (p.z() > 0).cast("int"))
 
