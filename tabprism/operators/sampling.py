@@ -52,7 +52,7 @@ def page_slice(df: DataFrame, order_by, page, per_page: int = PAGE_SIZE,
     if start + per_page <= topk_limit:
         # bounded: at most ``topk_limit`` rows, so one ordered window is fine
         top = df.orderBy(*keys).limit(start + per_page)
-        numbered = top.withColumn("pos", F.row_number().over(Window.orderBy(*keys)) - 1)
+        numbered = top.withColumn("pos", (F.row_number().over(Window.orderBy(*keys)) - 1).cast("bigint"))
     else:
         numbered = row_index(df, keys, "pos")
     return numbered.where((F.col("pos") >= start) & (F.col("pos") < start + per_page))
