@@ -16,7 +16,8 @@ from tabprism.operators.positions import row_index
 from tabprism.constants import PAGE_SIZE, PREVIEW_ROWS, SAMPLE_SEED, SCATTER_POINTS, TRAIN_FRACTION
 
 #: pages whose end lies within this many rows are served by a bounded top-k
-#: (``orderBy().offset().limit()``); deeper pages number the rows instead.
+#: (``orderBy().limit()`` then a window over at most this many rows); deeper
+#: pages number the whole table instead (or use ``materialize_positions``).
 TOPK_PAGE_LIMIT = 10_000
 
 #: evenly spaced samples up to this many rows broadcast their position table
