@@ -5,11 +5,14 @@ h = p·(n-1), q = x(floor h) + (h - floor h)·(x(ceil h) - x(floor h)).  This
 is what pandas ``quantile``, Spark ``percentile`` and DuckDB
 ``quantile_cont`` compute.
 
-Two physical strategies, picked per call from one cheap distinct-count pass:
+Two physical strategies, picked per call from a cheap distinct-count probe
+(``describe`` folds the probe into its moments pass):
 
 * ``percentile``: Spark's exact aggregate keeps a value→count map per group
   in the aggregation buffer.  Its memory is bounded by the number of distinct
   values, so it is used only when every column is below ``distinct_limit``.
+  Columns are unpivoted first and grouped by name, so each column's buffers
+  merge in their own task.
 * ``rank``: distributed order statistics.  Values are pre-aggregated to
   (group, value, count) — a hot value collapses map-side into one row — then
   range-partitioned and given a running count inside each partition
