@@ -4,8 +4,8 @@ Weights are source token shares raised to an exponent and normalised.  The
 exponent lies between 0 (all sources alike) and 1 (as they come); it is the
 largest one whose weights have ``target_entropy`` (a share of the entropy of
 equal weights), raised again where the most repeated source would be repeated
-more than ``max_repeats`` times as often as the least repeated one.  Both
-curves are monotone, and the exponent is bracketed by evaluating a grid of
+more than ``max_repeats`` times as often as the least repeated one.  With a
+limit alone weights are as even as it allows.  Both curves are monotone, and the exponent is bracketed by evaluating a grid of
 exponents in one aggregate over the source table, again and again within the
 bracket: no list of sources reaches the driver.
 
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from tabprism.llm.common import materialise
 
 GRID = 17
-ROUNDS = 6
+ROUNDS = 5
 
 
 def word_count(text: Column) -> Column:
@@ -60,13 +60,11 @@ def source_table(docs: DataFrame, source: str, tokens: Column) -> DataFrame:
 def _curves(table: DataFrame, exponents: list[float]) -> list[tuple[float, float]]:
     """(entropy, ratio of the most to the least repetition) for each exponent; one aggregate."""
     p = F.col("share")
-    cols = []
-    for i, a in enumerate(exponents):
-        w = F.pow(p, F.lit(a))
-        cols += [F.sum(w).alias(f"z{i}"), F.sum(w * F.lit(a) * F.log(p)).alias(f"l{i}"),
-                 F.max(w / p).alias(f"h{i}"), F.min(w / p).alias(f"k{i}")]
-    r = table.where(p > 0).agg(*cols).first()
-    return [(math.log(r[f"z{i}"]) - r[f"l{i}"] / r[f"z{i}"], r[f"h{i}"] / r[f"k{i}"]) for i in range(len(exponents))]
+    w = F.pow(p, F.col("a"))
+    grid = table.where(p > 0).select("share", F.posexplode(F.array(*[F.lit(a) for a in exponents])).alias("i", "a"))
+    rows = grid.groupBy("i").agg(F.sum(w).alias("z"), F.sum(w * F.col("a") * F.log(p)).alias("l"),
+                                 F.max(w / p).alias("h"), F.min(w / p).alias("k")).orderBy("i").collect()
+    return [(math.log(r["z"]) - r["l"] / r["z"], r["h"] / r["k"]) for r in rows]
 
 
 def solve_exponent(table: DataFrame, target_entropy: float | None, max_repeats: float | None) -> float:
@@ -87,7 +85,10 @@ def solve_exponent(table: DataFrame, target_entropy: float | None, max_repeats:
             grid_lo, grid_hi = grid[at], grid[min(at + 1, GRID - 1)]
         return grid_lo
 
-    exponent = 1.0 if target_entropy is None else largest(lambda c: c[0] >= target_entropy * math.log(n) - 1e-12)
+    if target_entropy is None:
+        exponent = 1.0 if max_repeats is None else 0.0
+    else:
+        exponent = largest(lambda c: c[0] >= target_entropy * math.log(n) - 1e-12)
     if max_repeats is not None:
         # repetition falls as the exponent rises: the limit fails below its bound
         def over(c):

@@ -2,8 +2,8 @@
 
 A text is a multiset of paragraphs: pieces between line breaks, and between
 sentence ends within a line, white space cut at both sides, empty ones left
-out.  Each paragraph is hashed (two SHA-256) to a vector of 32 lanes of 15 bits;
-lanes of level j (four lanes for each j from 0 to 7) keep a value only if its
+out.  Each paragraph is hashed (four SHA-256) to a vector of 64 lanes of 15 bits;
+lanes of level j (eight lanes for each j from 0 to 7) keep a value only if its
 low j bits are 0.  A document's fingerprint is the number of its paragraphs
 modulo 2**32 and the lane-wise sum of their vectors modulo 2**16.  So it does
 not depend on the paragraphs' order, and paragraphs are inserted and deleted by
@@ -26,7 +26,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 LEVELS = 8
-PER_LEVEL = 4
+PER_LEVEL = 8
+#: A hash gives four words of 60 bits, a word four lanes; hash k is taken of the paragraph after the text of SALTS[k].
+SALTS = ["", "1", "2", "3"]
+WORDS = 4 * len(SALTS)
 LANES = LEVELS * PER_LEVEL
 VALUE_BITS = 15
 LANE_MOD = 1 << 16
@@ -65,31 +68,28 @@ def paragraphs(text: Column) -> Column:
 
 def with_fingerprint(df: DataFrame, text: str, lanes: str) -> DataFrame:
     """Adds ``lanes``: array of the paragraph count and the lane sums (longs)."""
-    one, two, words = "_sha_1", "_sha_2", [f"_word_{k}" for k in range(LEVELS)]
+    hashes, words = [f"_sha_{k}" for k in range(len(SALTS))], [f"_word_{k}" for k in range(WORDS)]
     out = df.withColumn("_paragraphs", paragraphs(F.col(text)))
-    out = (out.withColumn(one, F.transform("_paragraphs", lambda p: F.sha2(p, 256)))
-           .withColumn(two, F.transform("_paragraphs", lambda p: F.sha2(F.concat(F.lit("1"), p), 256))))
-    # eight numbers of 60 bits: four from each hash
-    out = out.withColumns({w: F.transform(one if k < 4 else two, _word(k % 4)) for k, w in enumerate(words)})
-    sums = [F.size("_paragraphs").cast("long") % F.lit(COUNT_MOD)]
-    for level, w in enumerate(words):
+    out = out.selectExpr("*", *[f"transform(_paragraphs, p -> sha2(concat('{salt}', p), 256)) AS {h}" for h, salt in zip(hashes, SALTS)])
+    out = out.selectExpr("*", *[f"transform({hashes[k // 4]}, h -> CAST(conv(substring(h, {1 + 15 * (k % 4)}, 15), 16, 10) AS BIGINT)) AS {w}"
+                                for k, w in enumerate(words)])
+    sums = [f"CAST(size(_paragraphs) AS BIGINT) % {COUNT_MOD}L"]
+    for level in range(LEVELS):
         for i in range(PER_LEVEL):
-            sums.append(F.aggregate(w, F.lit(0).cast("long"), _adder(i, level)) % LANE_MOD)
-    return out.withColumn(lanes, F.array(*sums)).drop("_paragraphs", one, two, *words)
+            word, slot = lane_place(level, i)
+            sums.append(f"aggregate({words[word]}, 0L, (a, x) -> a + {_value(slot, level)}) % {LANE_MOD}L")
+    return out.selectExpr("*", f"array({', '.join(sums)}) AS {lanes}").drop("_paragraphs", *hashes, *words)
 
 
-def _word(k: int):
-    """60 bits of a hexadecimal hash, as a long."""
-    return lambda h: F.conv(F.substring(h, 1 + 15 * k, 15), 16, 10).cast("long")
+def lane_place(level: int, i: int) -> tuple[int, int]:
+    """(word, slot) of a level's lane."""
+    return level * PER_LEVEL // 4 + i // 4, i % 4
 
 
-def _adder(i: int, level: int):
-    return lambda a, x: a + _value(x, i, level)
-
-
-def _value(word: Column, i: int, level: int) -> Column:
-    v = F.shiftright(word, VALUE_BITS * i).bitwiseAND(F.lit((1 << VALUE_BITS) - 1))
-    return v if not level else F.when(v.bitwiseAND(F.lit((1 << level) - 1)) == 0, v).otherwise(F.lit(0).cast("long"))
+def _value(slot: int, level: int) -> str:
+    """A word x's value in a lane: 15 bits, or 0 if its low ``level`` bits aren't 0."""
+    v = f"(shiftright(x, {VALUE_BITS * slot}) & {(1 << VALUE_BITS) - 1}L)"
+    return v if not level else f"IF({v} & {(1 << level) - 1}L = 0L, {v}, 0L)"
 
 
 def as_text(lanes: Column) -> Column:
@@ -113,7 +113,7 @@ def delete(lanes: Column, less: Column) -> Column:
 def likeness(a: Column, b: Column) -> Column:
     """Estimated share of common paragraphs of two fingerprints, 0 to 1."""
     equal = F.size(F.filter(F.slice(F.zip_with(a, b, lambda x, y: x == y), 2, LANES), lambda same: same))
-    table = F.array(*[F.lit(d) for d in difference_table()])
+    table = F.expr("array(" + ", ".join(f"{d!r}D" for d in difference_table()) + ")")
     d = F.greatest(F.element_at(table, equal + 1), F.abs(a[0] - b[0]).cast("double"))
     return F.when(a == b, 1.0).otherwise(F.greatest(F.lit(0.0), 1.0 - d / F.greatest(a[0] + b[0], F.lit(1))))
 

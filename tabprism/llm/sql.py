@@ -63,12 +63,12 @@ def op8() -> str:
         units = (f"list_filter(list_transform(string_split(regexp_replace({text}, '([.!?])[ \\t\\r\\f\\x0b]+', '\\1' || chr(10), 'g'), chr(10)), "
                  "lambda s: trim(s, ' ' || chr(9) || chr(13) || chr(12) || chr(11))), lambda s: s <> '')")
         words = ", ".join(
-            f"list_transform({'a' if k < 4 else 'b'}, lambda h: ('0x' || substr(h, {1 + 15 * (k % 4)}, 15))::BIGINT) AS w{k}"
-            for k in range(m.LEVELS))
-        lanes = ", ".join(_lane(f"w{level}", i, level) for level in range(m.LEVELS) for i in range(m.PER_LEVEL))
-        return (f"SELECT *, [n] || [{lanes}] AS fp FROM (SELECT * EXCLUDE (a, b), {words} FROM (SELECT *, len(u)::BIGINT % {m.COUNT_MOD} AS n, "
-                f"list_transform(u, lambda s: sha256(s)) AS a, list_transform(u, lambda s: sha256('1' || s)) AS b "
-                f"FROM (SELECT *, {units} AS u FROM {source})))")
+            f"list_transform(a{k // 4}, lambda h: ('0x' || substr(h, {1 + 15 * (k % 4)}, 15))::BIGINT) AS w{k}" for k in range(m.WORDS))
+        lanes = ", ".join(_lane(f"w{m.lane_place(level, i)[0]}", m.lane_place(level, i)[1], level)
+                          for level in range(m.LEVELS) for i in range(m.PER_LEVEL))
+        hashes = ", ".join(f"list_transform(u, lambda s: sha256('{salt}' || s)) AS a{k}" for k, salt in enumerate(m.SALTS))
+        return (f"SELECT *, [n] || [{lanes}] AS fp FROM (SELECT *, {words} FROM (SELECT *, len(u)::BIGINT % {m.COUNT_MOD} AS n, "
+                f"{hashes} FROM (SELECT *, {units} AS u FROM {source})))")
 
     def shown(fp: str) -> str:
         return f"printf('%08x', {fp}[1]) || array_to_string(list_transform({fp}[2:], lambda v: printf('%04x', v)), '')"
