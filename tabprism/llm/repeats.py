@@ -51,6 +51,8 @@ CHUNK = 4_000_000
 #: Symbols of a block of the expansion, unless one anchor alone has more.
 BLOCK = 3_000_000
 NO_ID = (1 << 63) - 1
+#: In a row's place: the low half is a start within the text, or this mark of ranges that are settled.
+SETTLED = 1 << 31
 _C1, _C2, _C3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
@@ -92,7 +94,13 @@ def contexts(buf: bytes, bounds: np.ndarray, length: int) -> tuple[np.ndarray, n
     digest = xxhash.xxh3_64_intdigest
     c = np.fromiter((digest(buf[s:e], o) for s, e, o in zip(first.tolist(), (last + length).tolist(), (anchor - first).tolist())),
                     np.uint64, len(first))
-    return h[anchor].view(np.int64), c.view(np.int64), first, last
+    # 48 bits are enough to bring equal anchors together, and zero bytes beside others cost no space in a shuffle
+    return (h[anchor] & ~np.uint64(0xFFFF)).view(np.int64), c.view(np.int64), first, last
+
+
+def text_tag(th: np.ndarray) -> np.ndarray:
+    """The high half of a row's place: tells texts under one id apart."""
+    return th >> 32 << 32
 
 
 def _joined(texts: list[bytes], length: int):
@@ -167,54 +175,58 @@ def meet(h: np.ndarray, c: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.
 
 
 def _meet_partition(batches):
+    """Rows (key, fate): the context hash, its lowest bit set if it is open."""
     rows = [(b.column("h").to_numpy(), b.column("c").to_numpy(), b.column("key").to_numpy()) for b in batches]
     if not rows:
         return
     key, c, opened = meet(*(np.concatenate(x) for x in zip(*rows)))
-    order = np.argsort(key, kind="stable")
-    key, c, opened = key[order], c[order], opened[order]
-    cuts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
-    ends = np.append(cuts[1:], len(key))
-    for at in range(0, len(cuts), 10_000):
-        span = list(zip(cuts[at:at + 10_000].tolist(), ends[at:at + 10_000].tolist()))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(key[cuts[at:at + 10_000]]), pa.array([c[s:e].tobytes() for s, e in span], pa.binary()),
-             pa.array([np.packbits(opened[s:e]).tobytes() for s, e in span], pa.binary())], ["key", "cs", "opened"])
-
-
-def _doc_rows(length: int):
-    """Texts with their contexts' fate to covered ranges (h 0..) and open contexts (bytes)."""
+    fate = (c & ~np.int64(1)) | opened
+    for at in range(0, len(key), 200_000):
+        yield pa.RecordBatch.from_arrays([pa.array(key[at:at + 200_000]), pa.array(fate[at:at + 200_000])], ["key", "fate"])
+
+
+def _doc_rows(length: int, at_once: int = 512):
+    """Texts with their contexts' fate to covered ranges and open contexts (bytes)."""
+    def rows_of(b):
+        keys, ths = b.column("key").to_numpy(), b.column("th").to_numpy()
+        tags = text_tag(ths)
+        texts = [t.encode("utf-8") for t in b.column("text").to_pylist()]
+        salt = np.arange(b.num_rows, dtype=np.uint64) * _C1
+        fates = b.column("fates")
+        flat = fates.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+        owner = np.repeat(np.arange(b.num_rows), np.diff(fates.offsets.to_numpy()))
+        known = (flat & ~np.uint64(1)) ^ salt[owner]
+        flag = flat & np.uint64(1)
+        order = np.lexsort((flag, known))      # a covered context is before an open one of the same hash
+        known, flag = known[order], flag[order]
+        whole_rows, open_rows = [], []
+        for which, h, c, first, last in text_contexts(texts, length):
+            mixed = (c.view(np.uint64) & ~np.uint64(1)) ^ salt[which]
+            at = np.minimum(np.searchsorted(known, mixed), len(known) - 1)
+            hit = known[at] == mixed
+            whole = hit & (flag[at] == 0)
+            whole_rows.append(np.column_stack([which[whole], first[whole], last[whole] + length]))
+            o = hit & ~whole
+            open_rows.append((which[o], h[o], first[o], last[o] + length))
+        whole = np.concatenate(whole_rows) if whole_rows else np.zeros((0, 3), np.int64)
+        whole = whole[np.argsort(whole[:, 0], kind="stable")]
+        docs, starts = np.unique(whole[:, 0], return_index=True)
+        ranges = [merge_ranges(r).astype("<i4").tobytes() for r in np.split(whole[:, 1:], starts[1:])] if len(docs) else []
+        yield made(ths[docs], keys[docs], tags[docs] | SETTLED, ranges)
+        for which, h, first, end in open_rows:
+            for i in range(0, len(which), 50_000):
+                part = slice(i, i + 50_000)
+                cut = [texts[w][s:e] for w, s, e in zip(which[part].tolist(), first[part].tolist(), end[part].tolist())]
+                yield made(h[part], keys[which[part]], tags[which[part]] | first[part], cut)
+
+    def made(h, key, place, cut):
+        return pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in (h, key, place)), pa.array(cut, pa.binary())],
+                                          ["h", "key", "place", "bytes"])
+
     def run(batches):
         for b in batches:
-            out: list[list] = [[] for _ in range(6)]
-            for key, th, text, cs, flags in zip(*(b.column(x).to_pylist() for x in ("key", "th", "text", "cs", "opened"))):
-                known = np.concatenate([np.frombuffer(x, np.int64) for x in cs])
-                flag = np.concatenate([np.unpackbits(np.frombuffer(f, np.uint8))[:len(x) // 8] for f, x in zip(flags, cs)])
-                order = np.lexsort((flag, known))      # a covered context is before an open one of the same hash
-                known, flag = known[order], flag[order]
-                raw = text.encode("utf-8")
-                ranges = []
-                for _, h, c, first, last in text_contexts([raw], length):
-                    at = np.minimum(np.searchsorted(known, c), len(known) - 1)
-                    hit = known[at] == c
-                    whole = hit & (flag[at] == 0)
-                    ranges.append(np.column_stack([first[whole], last[whole] + length]))
-                    for i in np.flatnonzero(hit & ~whole).tolist():
-                        for col, v in zip(out, (int(h[i]), key, th, int(first[i]), raw[first[i]:last[i] + length], False)):
-                            col.append(v)
-                ranges = np.concatenate(ranges) if ranges else np.zeros((0, 2), np.int64)
-                if len(ranges):
-                    for col, v in zip(out, (th, key, th, -1, ranges.astype("<i4").tobytes(), True)):
-                        col.append(v)
-                if sum(map(len, out[4])) > 8_000_000:
-                    yield made(out)
-                    out = [[] for _ in range(6)]
-            if out[0]:
-                yield made(out)
-
-    def made(out):
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.bool_()]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], ["h", "key", "th", "s", "bytes", "settled"])
+            for i in range(0, b.num_rows, at_once):
+                yield from rows_of(b.slice(i, at_once))
     return run
 
 
@@ -229,7 +241,7 @@ def bounded_suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
         key = (key << np.uint64(9)) | padded[i:i + n]
     have = 7
     while True:
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)      # rows that are equal so far may come in any order
         if have >= depth:
             return order
         ranked = key[order]
@@ -304,35 +316,34 @@ def merge_ranges(ranges: np.ndarray) -> np.ndarray:
 
 def _expand_partition(length: int):
     def block(rows):
-        keys = np.array([r[1] for r in rows], np.int64)
-        got = covered_windows([r[4] for r in rows], keys, length)
+        got = covered_windows([r[3] for r in rows], np.array([r[1] for r in rows], np.int64), length)
         out = [[], [], []]
-        for r, starts in zip(rows, got):
+        for (_, key, place, _), starts in zip(rows, got):
             if len(starts):
-                first = r[3] + starts
-                out[0].append(r[1])
-                out[1].append(r[2])
+                first = (place & SETTLED - 1) + starts
+                out[0].append(key)
+                out[1].append(place >> 32)
                 out[2].append(merge_ranges(np.column_stack([first, first + length])).astype("<i4").tobytes())
         return out
 
     def made(out):
-        return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary())],
-                                          ["key", "th", "ranges"])
+        return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.binary())],
+                                          ["key", "tag", "ranges"])
 
     def run(batches):
         held = []
         for b in batches:
-            rows = list(zip(*(b.column(x).to_pylist() for x in ("h", "key", "th", "s", "bytes", "settled"))))
-            settled = [r for r in rows if r[5]]
+            rows = list(zip(*(b.column(x).to_pylist() for x in ("h", "key", "place", "bytes"))))
+            settled = [r for r in rows if r[2] & 0xFFFFFFFF == SETTLED]
             if settled:
-                yield made([[r[1] for r in settled], [r[2] for r in settled], [r[4] for r in settled]])
-            held += [r for r in rows if not r[5]]
+                yield made([[r[1] for r in settled], [r[2] >> 32 for r in settled], [r[3] for r in settled]])
+            held += [r for r in rows if r[2] & 0xFFFFFFFF != SETTLED]
         held.sort(key=lambda r: r[0])
         at = 0
         while at < len(held):
             end, size = at, 0
             while end < len(held) and (size < BLOCK or held[end][0] == held[end - 1][0]):
-                size += len(held[end][4]) + 1
+                size += len(held[end][3]) + 1
                 end += 1
             out = block(held[at:end])
             if out[0]:
@@ -345,9 +356,11 @@ def _apply(with_kept: bool):
     def run(batches):
         for b in batches:
             cols: list[list] = [[] for _ in range(6)]
-            for key, th, text, found in zip(*(b.column(x).to_pylist() for x in ("key", "th", "text", "found"))):
+            tags = text_tag(b.column("th").to_numpy()) >> 32
+            for key, th, tag, text, found in zip(b.column("key").to_pylist(), b.column("th").to_pylist(), tags.tolist(),
+                                                 b.column("text").to_pylist(), b.column("found").to_pylist()):
                 raw = text.encode("utf-8")
-                mine = [np.frombuffer(f["ranges"], "<i4").reshape(-1, 2) for f in found if f["th"] == th]
+                mine = [np.frombuffer(f["ranges"], "<i4").reshape(-1, 2) for f in found if f["tag"] == tag]
                 runs = merge_ranges(np.concatenate(mine).astype(np.int64)) if mine else np.zeros((0, 2), np.int64)
                 cuts = [0, *runs.ravel().tolist(), len(raw)]
                 kept = b"".join(raw[cuts[i]:cuts[i + 1]] for i in range(0, len(cuts), 2))
@@ -377,14 +390,14 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
 
     # texts are joined by id throughout, so that one exchange of them serves every step
     searched = facts.where(~F.col("copy") & (F.col("n_bytes") >= length)).select("key").distinct()
-    anchors = (d.join(searched, "key").select("key", "text")
+    anchors = (d.join(searched, "key").select("key", "th", "text")
                .mapInArrow(_emit_anchors(length), "h long, c long, key long"))
-    fates = (anchors.repartition(tasks, "h").mapInArrow(_meet_partition, "key long, cs binary, opened binary")
-             .groupBy("key").agg(F.collect_list("cs").alias("cs"), F.collect_list("opened").alias("opened")))
-    spread = (d.join(fates, "key").select("key", "th", "text", "cs", "opened")
-              .mapInArrow(_doc_rows(length), "h long, key long, th long, s long, bytes binary, settled boolean"))
-    ranges = spread.repartition(tasks, "h").mapInArrow(_expand_partition(length), "key long, th long, ranges binary")
-    found = ranges.groupBy("key").agg(F.collect_list(F.struct("th", "ranges")).alias("found"))
+    fates = (anchors.repartition(tasks, "h").mapInArrow(_meet_partition, "key long, fate long")
+             .groupBy("key").agg(F.collect_list("fate").alias("fates")))
+    spread = (d.join(fates, "key").select("key", "th", "text", "fates")
+              .mapInArrow(_doc_rows(length), "h long, key long, place long, bytes binary"))
+    ranges = spread.repartition(tasks, "h").mapInArrow(_expand_partition(length), "key long, tag int, ranges binary")
+    found = ranges.groupBy("key").agg(F.collect_list(F.struct("tag", "ranges")).alias("found"))
     cut = (d.join(found, "key").select("key", "th", "text", "found")
            .mapInArrow(_apply(with_kept), "key long, th long, n_removed long, n_spans long, kept_sha256 string, kept binary")
            .dropDuplicates(["key", "th"]))
