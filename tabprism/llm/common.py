@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import sys
+import types
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -43,6 +45,15 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.Record
     return df.mapInArrow(run, schema)
 
 
+def process_cache() -> dict:
+    """Objects that live as long as the Python worker, which Spark reuses for many tasks.
+
+    Task functions travel by value, so their own module globals are new in
+    every task; a named module of the process is not.
+    """
+    return sys.modules.setdefault("_llm_process_cache", types.ModuleType("_llm_process_cache")).__dict__
+
+
 def strings(batch: pa.RecordBatch, name: str) -> list:
     """A string column as Python strings, null as the empty text."""
     return [v or "" for v in batch.column(name).to_pylist()]

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-from tabprism.llm.common import materialise, strings
+from tabprism.llm.common import materialise, process_cache, strings
 
 DIMS = 4
 BITS = 10
@@ -106,7 +106,10 @@ def tokenize(docs: DataFrame, key: str, text: str, tokenizer: str, end_id: int)
     places = [f"v{i}" for i in range(DIMS)]
 
     def run(batches):
-        made, matrix = BytePairIds(tokenizer), projection()
+        cache = process_cache()
+        if tokenizer not in cache:
+            cache[tokenizer] = BytePairIds(tokenizer)
+        made, matrix = cache[tokenizer], projection()
         tail = np.array([end_id], made.dtype).tobytes()
         for whole in batches:
             for at in range(0, whole.num_rows, 64):
