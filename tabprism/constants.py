@@ -35,3 +35,9 @@ ENET_L1_RATIO = 0.5
 LOGISTIC_C = 1.0              # inverse L2 strength of the logistic models
 Z_CLIP = 500.0                # linear score clipped to ±500 before the sigmoid
 CLASS_THRESHOLD = 0.5         # predicted class 1 when the probability reaches 0.5
+
+# Texts of result columns.
+RANGE_TEXT = "%s → %s"        # smallest and largest fitted value
+MAPPING_TEXT = "{} → {}"      # an ordinal level and its code
+MAPPING_SEPARATOR = " | "
+DUMMY_TEXT = "{}_..."         # names of a category's dummy columns

@@ -29,8 +29,20 @@ def to_double(x) -> Column:
     return nan_to_null(c)
 
 
+#: Decimal numbers with an optional exponent, and the infinities: what pandas reads as a number.
+NUMBER = r"^\s*[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|(?i:inf|infinity))\s*$"
+
+
+def text_to_double(x) -> Column:
+    """As ``to_double`` for text: forms that only Java reads as numbers (``1d``, ``0x1p3``) are missing."""
+    c = _c(x)
+    return F.when(c.rlike(NUMBER), to_double(c))
+
+
 def clip(x, lo: float, hi: float) -> Column:
-    return F.greatest(F.least(_c(x), F.lit(hi)), F.lit(lo))
+    """Bound to [lo, hi]; a missing value stays missing (``least`` and ``greatest`` alone would skip it)."""
+    c = _c(x)
+    return F.when(c.isNotNull(), F.greatest(F.least(c, F.lit(hi)), F.lit(lo)))
 
 
 def sigmoid(z) -> Column:

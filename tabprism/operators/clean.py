@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabprism.functions.columns import present
-from tabprism.functions.expressions import to_double
+from tabprism.functions.expressions import text_to_double, to_double
 from tabprism.operators.quantiles import quantiles
 
 
@@ -43,8 +43,12 @@ def apply_medians(df: DataFrame, medians: dict[str, float | None]) -> DataFrame:
 
 
 def median_impute(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Fit medians on ``df`` and fill it (columns without missing values are unchanged)."""
-    return apply_medians(df, fit_medians(df, cols))
+    """Fit medians on ``df`` and fill it; columns without missing values keep type and values."""
+    cols, types = present(df, cols), dict(df.dtypes)
+    if not cols:
+        return df
+    gaps = df.agg(*[F.count_if(_missing(c, types[c])).alias(f"_n{i}") for i, c in enumerate(cols)]).first()
+    return apply_medians(df, fit_medians(df, [c for i, c in enumerate(cols) if gaps[f"_n{i}"]]))
 
 
 def dedupe_keep_first(df: DataFrame, keys: Sequence[str], order_by: Sequence[str]) -> DataFrame:
@@ -68,10 +72,10 @@ def dedupe_dropped(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def coerce_numeric(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Values that are not numbers become NULL (``try_cast``; NaN also NULL)."""
+    """Values that are not decimal numbers become NULL (so does NaN)."""
     out = df
     for c in present(df, cols):
-        out = out.withColumn(c, to_double(c))
+        out = out.withColumn(c, text_to_double(c) if dict(df.dtypes)[c] == "string" else to_double(c))
     return out
 
 

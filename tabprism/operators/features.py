@@ -14,14 +14,14 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabprism.functions.expressions import rnd
+from tabprism.functions.expressions import nan_to_null, rnd
 from tabprism.operators.clean import bool_to_int
 from tabprism.operators.quantiles import quantiles
 from tabprism.operators.stats import column_stats, to_long
-from tabprism.constants import IQR_FENCE
+from tabprism.constants import DUMMY_TEXT, IQR_FENCE, MAPPING_SEPARATOR, MAPPING_TEXT
 
-#: default cap on one-hot levels per column
-MAX_LEVELS = 1_000
+#: one-hot levels per column: no limit unless the caller sets one
+MAX_LEVELS = None
 
 
 @dataclass
@@ -34,7 +34,7 @@ class ScalerParams:
 
 
 def _scaled(c: str, center, scale, digits: int | None) -> Column:
-    x = F.col(c).cast("double")
+    x = nan_to_null(F.col(c).cast("double"))
     if center is None or scale is None:         # all values missing (or one value for std)
         return F.lit(None).cast("double")
     if scale == 0:                               # constant column: every row 0.0, missing rows too
@@ -144,7 +144,7 @@ def robust_params(df: DataFrame, cols: Sequence[str], digits: int = 4, k: float
             out = F.lit(0)
         else:
             lo, hi = q1 - k * (q3 - q1), q3 + k * (q3 - q1)
-            x = F.col(c).cast("double")
+            x = nan_to_null(F.col(c).cast("double"))
             out = F.count_if((x < F.lit(lo)) | (x > F.lit(hi)))
         aggs += [F.avg(sc).alias(f"_m{i}"), F.stddev_samp(sc).alias(f"_s{i}"), out.alias(f"_o{i}")]
     row = df.agg(*aggs)
@@ -176,7 +176,7 @@ def ordinal_encode(df: DataFrame, mappings: dict[str, dict[str, int]]) -> DataFr
 
 
 def mapping_text(m: dict[str, int]) -> str:
-    return " | ".join(f"{k} → {v}" for k, v in m.items())
+    return MAPPING_SEPARATOR.join(MAPPING_TEXT.format(k, v) for k, v in m.items())
 
 
 def ordinal_meta(df: DataFrame, mappings: dict[str, dict[str, int]]) -> DataFrame:
@@ -208,34 +208,39 @@ def nominal_meta(df: DataFrame, cols: Sequence[str], approx: bool = False) -> Da
     row = df.agg(*[cnt(F.col(c)).alias(f"_d{i}") for i, c in enumerate(cols)])
     structs = [F.struct(F.lit(c).alias("column_name"), F.lit(i).alias("column_idx"),
                         F.col(f"_d{i}").cast("bigint").alias("unique_count"),
-                        F.lit(f"{c}_...").alias("new_columns"))
+                        F.lit(DUMMY_TEXT.format(c)).alias("new_columns"))
                for i, c in enumerate(cols)]
     return row.select(F.inline(F.array(*structs)))
 
 
-def fit_levels(df: DataFrame, cols: Sequence[str], max_levels: int = MAX_LEVELS) -> dict[str, list[str]]:
-    """Sorted distinct non-missing levels per column, at most ``max_levels`` each.
+def fit_levels(df: DataFrame, cols: Sequence[str], max_levels: int | None = MAX_LEVELS) -> dict[str, list[str]]:
+    """Distinct non-missing levels per column, sorted in the column's own type.
 
-    The collect is bounded by ``(max_levels + 1) · len(cols)`` rows; a column
-    over the cap raises instead of silently building a huge projection.
+    Every level becomes a column, so the levels are as many as the result is
+    wide.  With ``max_levels`` a column that has more raises.
     """
     cols = list(cols)
     long = to_long(df, cols, name_col="column_name", value_col="level", cast="string")
-    rows = (long.where(F.col("level").isNotNull()).distinct()
-            .limit((max_levels + 1) * max(1, len(cols))).collect())
+    found = long.where(F.col("level").isNotNull()).distinct()
+    if max_levels is not None:
+        found = found.limit((max_levels + 1) * max(1, len(cols)))
+    rows = found.collect()
+    types = dict(df.select(*cols).dtypes)
+    numeric = {c for c, t in types.items() if t.split("(")[0] in
+               ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")}
     levels: dict[str, list[str]] = {c: [] for c in cols}
     for r in rows:
         levels[r["column_name"]].append(r["level"])
     for c, lv in levels.items():
-        if len(lv) > max_levels:
+        if max_levels is not None and len(lv) > max_levels:
             raise ValueError(f"column {c!r} has more than {max_levels} levels; raise max_levels "
                              "or encode it another way")
-        lv.sort()
+        lv.sort(key=float if c in numeric else None)
     return levels
 
 
 def one_hot(df: DataFrame, cols: Sequence[str], drop_first: bool = True,
-            max_levels: int = MAX_LEVELS, levels: dict[str, list[str]] | None = None,
+            max_levels: int | None = MAX_LEVELS, levels: dict[str, list[str]] | None = None,
             bools_to_int: bool = True) -> DataFrame:
     """Dummies ``{col}_{level}`` as 0/1 ints, first sorted level dropped.
 

@@ -38,7 +38,8 @@ def classification_metrics(df: DataFrame, y: str, prob: str, threshold: float =
     yy = F.col(y).cast("double")
     p = clip(F.col(prob).cast("double"), EPS, 1 - EPS)
     yp = F.col(pred).cast("double") if pred else (F.col(prob) >= threshold).cast("double")
-    a = df.agg(F.count(F.lit(1)).alias("n"),
+    # rows without a probability or class are in no cell, so they don't count
+    a = df.where(yy.isNotNull() & p.isNotNull()).agg(F.count(F.lit(1)).alias("n"),
                F.count_if((yp == 1) & (yy == 1)).alias("tp"),
                F.count_if((yp == 0) & (yy == 0)).alias("tn"),
                F.count_if((yp == 1) & (yy == 0)).alias("fp"),

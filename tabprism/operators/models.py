@@ -26,10 +26,10 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabprism.functions.expressions import clip, rnd, sigmoid, to_double
+from tabprism.functions.expressions import clip, nan_to_null, rnd, sigmoid, to_double
 from tabprism.operators.positions import row_index
 from tabprism.constants import (ENET_ALPHA, ENET_L1_RATIO, GD_ALPHA, GD_EPOCHS, LASSO_ALPHA, LOGISTIC_C,  # noqa: E501
-                                 RIDGE_ALPHA, SIG_EPS, TRAIN_FRACTION, Z_CLIP)
+                                 RANGE_TEXT, RIDGE_ALPHA, SIG_EPS, TRAIN_FRACTION, Z_CLIP)
 
 
 
@@ -225,6 +225,8 @@ def _fit_penalised(train, features, target, l1, l2, per_n=False, tol=1e-13, max_
                 w[j] = new
             if delta <= tol * max(1.0, np.max(np.abs(w))):
                 break
+        else:
+            raise RuntimeError(f"coordinate descent did not converge in {max_sweeps} sweeps")
     return LinearParams(feats, m.mean[:p].tolist(), sd.tolist(), w.tolist(), float(m.mean[p]),
                         {"n_train": n})
 
@@ -282,7 +284,7 @@ def lpm_range(train: DataFrame, x: str, y: str, digits: int = 2) -> DataFrame:
     b, w = fit_lpm(train, x, y)
     fitted = F.lit(b) + F.lit(w) * F.col(x).cast("double") if w is not None else F.lit(None)
     out = train.agg(rnd(F.min(fitted), digits).alias("lin_min"), rnd(F.max(fitted), digits).alias("lin_max"))
-    return out.withColumn("lin_range", F.format_string("%s → %s", F.col("lin_min").cast("string"),
+    return out.withColumn("lin_range", F.format_string(RANGE_TEXT, F.col("lin_min").cast("string"),
                                                        F.col("lin_max").cast("string")))
 
 
@@ -299,7 +301,8 @@ class LogisticParams:
     def z(self) -> Column:
         out = F.lit(float(self.intercept))
         for j, c in enumerate(self.features):
-            x = F.col(c).cast("double")
+            # a missing input counts as 0, as in the linear scores
+            x = F.coalesce(nan_to_null(F.col(c).cast("double")), F.lit(0.0))
             if self.mu is not None:
                 x = (x - F.lit(self.mu[j])) / F.lit(self.sig[j])
             out = out + F.lit(float(self.coef[j])) * x
@@ -341,27 +344,41 @@ def fit_logistic(train: DataFrame, features: Sequence[str], label: str, n_train:
     beta = np.zeros(p + 1)
     beta[0] = math.log(ybar / (1.0 - ybar))   # start at the intercept-only answer
     zcols = [f"_z{k}" for k in range(1, p + 1)]
+    last, converged = None, False
     try:
         for it in range(max_iter):
             b_ = beta.copy()
 
             def grad_hess(m_, b_=b_):
                 Z = np.hstack([np.ones((len(m_), 1)), m_[:, :-1]])
-                pr = 1.0 / (1.0 + np.exp(-(Z @ b_)))
+                u = Z @ b_
+                pr = 1.0 / (1.0 + np.exp(-np.clip(u, -Z_CLIP, Z_CLIP)))
                 w = pr * (1.0 - pr)
-                return np.concatenate([Z.T @ (pr - m_[:, -1]), ((Z * w[:, None]).T @ Z).ravel()])
+                loss = (np.logaddexp(0.0, u) - m_[:, -1] * u).sum()
+                return np.concatenate([Z.T @ (pr - m_[:, -1]), ((Z * w[:, None]).T @ Z).ravel(), [loss]])
 
             tot = partial_sums(design, [*zcols, "_y"], grad_hess)
             if tot is None:
                 break
+            loss = float(tot[-1] + 0.5 * (pen * beta * beta).sum())
+            if last is not None and loss > last[1] + 1e-10 * (1.0 + abs(last[1])):
+                beta = (last[0] + beta) / 2.0      # the step overshot: halve it
+                if np.max(np.abs(beta - last[0])) > tol * (1.0 + np.max(np.abs(beta))):
+                    continue
+                converged, beta = True, last[0]
+                break
+            last = (beta, loss)
             g = tot[:p + 1] + pen * beta
-            H = tot[p + 1:].reshape(p + 1, p + 1) + np.diag(pen)
-            step = np.linalg.solve(H, g)
+            H = tot[p + 1:-1].reshape(p + 1, p + 1) + np.diag(pen)
+            step = np.linalg.lstsq(H, g, rcond=None)[0]
             beta = beta - step
             if np.max(np.abs(step)) <= tol * (1.0 + np.max(np.abs(beta))):
+                converged = True
                 break
     finally:
         design.unpersist()
+    if not converged:
+        raise RuntimeError(f"logistic regression did not converge in {max_iter} Newton steps")
     coef = [float(beta[j + 1] / sd[j]) for j in range(p)]
     intercept = float(beta[0] - sum(coef[j] * mu[j] for j in range(p)))
     return LogisticParams(feats, coef, intercept, iterations=it + 1)
@@ -398,7 +415,7 @@ class SoftmaxParams:
 
 
 def fit_softmax(train: DataFrame, features: Sequence[str], label: str, n_train: int | None = None,
-                C: float = LOGISTIC_C, max_iter: int = 100, tol: float = 1e-8, max_classes: int = 100) -> SoftmaxParams:
+                C: float = LOGISTIC_C, max_iter: int = 100, tol: float = 1e-8, max_classes: int | None = None) -> SoftmaxParams:
     """M9: multinomial logistic regression, Σ −log p(y) + Σ_k ‖w_k‖²/(2C), by Newton steps.
 
     Every class has its own weights (all penalised) and intercept; the last
@@ -408,9 +425,10 @@ def fit_softmax(train: DataFrame, features: Sequence[str], label: str, n_train:
     """
     feats = list(features)
     p = len(feats)
-    classes = sorted(r[0] for r in train.select(F.col(label).cast("string")).where(F.col(label).isNotNull())
-                     .distinct().limit(max_classes + 1).collect())
-    if len(classes) > max_classes:
+    known = train.select(F.col(label).cast("string")).where(F.col(label).isNotNull()).distinct()
+    # a class is a row of parameters, so the classes fit where the model fits
+    classes = sorted(r[0] for r in (known if max_classes is None else known.limit(max_classes + 1)).collect())
+    if max_classes is not None and len(classes) > max_classes:
         raise ValueError(f"more than {max_classes} classes")
     if len(classes) < 2:
         raise ValueError("softmax regression needs at least two classes in the training rows")
@@ -432,7 +450,7 @@ def fit_softmax(train: DataFrame, features: Sequence[str], label: str, n_train:
     theta = np.zeros(n_par)
     zcols = [f"_z{j}" for j in range(1, p + 1)]
     sel = np.array([k * (p + 1) + j for k, j in pos])      # layout positions inside the K×(p+1) grid
-    it = 0
+    it, last, converged = 0, None, False
     try:
         for it in range(max_iter):
             B = np.zeros((K, p + 1))
@@ -454,19 +472,32 @@ def fit_softmax(train: DataFrame, features: Sequence[str], label: str, n_train:
                         blk = (Z * w[:, None]).T @ Z
                         Hf[k * (p + 1):(k + 1) * (p + 1), l * (p + 1):(l + 1) * (p + 1)] = blk
                         Hf[l * (p + 1):(l + 1) * (p + 1), k * (p + 1):(k + 1) * (p + 1)] = blk.T
-                return np.concatenate([G[sel], Hf[np.ix_(sel, sel)].ravel()])
+                peak = S.max(axis=1)
+                loss = (peak + np.log(E.sum(axis=1)) - S[np.arange(len(m_)), m_[:, -1].astype(int)]).sum()
+                return np.concatenate([G[sel], Hf[np.ix_(sel, sel)].ravel(), [loss]])
 
             tot = partial_sums(design, [*zcols, "_yi"], grad_hess)
             if tot is None:
                 break
+            loss = float(tot[-1] + 0.5 * (pen * theta * theta).sum())
+            if last is not None and loss > last[1] + 1e-10 * (1.0 + abs(last[1])):
+                theta = (last[0] + theta) / 2.0    # the step overshot: halve it
+                if np.max(np.abs(theta - last[0])) > tol * (1.0 + np.max(np.abs(theta))):
+                    continue
+                converged, theta = True, last[0]
+                break
+            last = (theta, loss)
             g = tot[:n_par] + pen * theta
-            H = tot[n_par:].reshape(n_par, n_par) + np.diag(pen)
-            step = np.linalg.solve(H, g)
+            H = tot[n_par:-1].reshape(n_par, n_par) + np.diag(pen)
+            step = np.linalg.lstsq(H, g, rcond=None)[0]
             theta = theta - step
             if np.max(np.abs(step)) <= tol * (1.0 + np.max(np.abs(theta))):
+                converged = True
                 break
     finally:
         design.unpersist()
+    if not converged:
+        raise RuntimeError(f"softmax regression did not converge in {max_iter} Newton steps")
     beta = {kj: theta[i] for i, kj in enumerate(pos)}
     coef = [[float(beta[(k, j + 1)] / sd[j]) for j in range(p)] for k in range(K)]
     icpt = [float(beta.get((k, 0), 0.0) - sum(coef[k][j] * mu[j] for j in range(p))) for k in range(K)]
@@ -479,7 +510,7 @@ def fit_standardiser(train: DataFrame, features: Sequence[str], ddof: int = 0,
     """(μ, σ) of each feature on train: σ population (ddof 0) or sample (ddof 1), + eps."""
     aggs = []
     for i, c in enumerate(features):
-        x = F.col(c).cast("double")
+        x = nan_to_null(F.col(c).cast("double"))
         aggs += [F.avg(x).alias(f"_m{i}"), (F.stddev_pop(x) if ddof == 0 else F.stddev_samp(x)).alias(f"_s{i}")]
     r = train.agg(*aggs).first()
     mu = [r[f"_m{i}"] for i in range(len(features))]

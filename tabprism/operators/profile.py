@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabprism.functions.expressions import pair_corr, rnd
+from tabprism.functions.expressions import nan_to_null, pair_corr, rnd
 from tabprism.operators.quantiles import DEFAULT_DISTINCT_LIMIT, quantiles
 from tabprism.operators.stats import column_stats, to_long
 from tabprism.constants import IQR_FENCE
@@ -175,7 +175,7 @@ def rate_by_category(df: DataFrame, cats: Sequence[str], target: str,
 
 def group_trend(df: DataFrame, by: str, cols: Sequence[str], digits: int = 2) -> DataFrame:
     """Group means of several ordered columns, long form (group, step, mean)."""
-    g = df.groupBy(by).agg(*[F.avg(F.col(c).cast("double")).alias(f"_a{i}")
+    g = df.groupBy(by).agg(*[F.avg(nan_to_null(F.col(c).cast("double"))).alias(f"_a{i}")
                              for i, c in enumerate(cols)])
     structs = [F.struct(F.lit(i + 1).alias("step"), F.lit(c).alias("column_name"),
                         rnd(F.col(f"_a{i}"), digits).alias("mean"))
@@ -248,7 +248,7 @@ def iqr_fences(df: DataFrame, cols: Sequence[str], k: float = IQR_FENCE,
 def _outside(c, lo, hi):
     if lo is None:
         return F.lit(False)
-    v = F.col(c).cast("double")
+    v = nan_to_null(F.col(c).cast("double"))
     return F.coalesce((v < F.lit(lo)) | (v > F.lit(hi)), F.lit(False))
 
 
@@ -302,8 +302,8 @@ def class_vs_overall_mean(df: DataFrame, target: str, features: dict[str, int])
     """Mean of each feature inside the positive class and overall, rounded per feature."""
     t = F.col(target).cast("double")
     feats = list(features)
-    row = df.agg(*[F.avg(F.when(t == 1, F.col(c).cast("double"))).alias(f"_c{i}") for i, c in enumerate(feats)],
-                 *[F.avg(F.col(c).cast("double")).alias(f"_a{i}") for i, c in enumerate(feats)])
+    row = df.agg(*[F.avg(F.when(t == 1, nan_to_null(F.col(c).cast("double")))).alias(f"_c{i}") for i, c in enumerate(feats)],
+                 *[F.avg(nan_to_null(F.col(c).cast("double"))).alias(f"_a{i}") for i, c in enumerate(feats)])
     structs = [F.struct(F.lit(c).alias("feature"),
                         rnd(F.col(f"_c{i}"), features[c]).alias("class_mean"),
                         rnd(F.col(f"_a{i}"), features[c]).alias("overall_mean"))
@@ -324,8 +324,8 @@ def insights(df: DataFrame, target: str, features: dict[str, int],
     feats = list(features)
     t = F.col(target).cast("double")
     aggs = [F.count(F.lit(1)).alias("_n"), F.count_if(t == 1).alias("_nc")]
-    aggs += [F.avg(F.when(t == 1, F.col(c).cast("double"))).alias(f"_c{i}") for i, c in enumerate(feats)]
-    aggs += [F.avg(F.col(c).cast("double")).alias(f"_a{i}") for i, c in enumerate(feats)]
+    aggs += [F.avg(F.when(t == 1, nan_to_null(F.col(c).cast("double")))).alias(f"_c{i}") for i, c in enumerate(feats)]
+    aggs += [F.avg(nan_to_null(F.col(c).cast("double"))).alias(f"_a{i}") for i, c in enumerate(feats)]
     if flag:
         aggs += [F.avg(F.col(flag).cast("double")).alias("_fr"), F.sum(F.col(flag)).cast("bigint").alias("_nf")]
     row = df.agg(*aggs)

@@ -18,8 +18,8 @@ def evaluation_report(prep: M.Prepared, features: Sequence[str], auc_features: S
     logistic model, and the scaler comparison — one row per metric."""
     bal = prep.train.agg((F.avg(F.when(F.col(label) == 1, 1.0).otherwise(0.0)) * 100).alias("v"))
     rows = bal.select(F.inline(F.array(
-        F.struct(F.lit("placed_pct").alias("metric"), rnd("v", 1).alias("value")),
-        F.struct(F.lit("not_placed_pct").alias("metric"), rnd(100 - F.col("v"), 1).alias("value")))))
+        F.struct(F.lit("class_pct").alias("metric"), rnd("v", 1).alias("value")),
+        F.struct(F.lit("other_pct").alias("metric"), rnd(100 - F.col("v"), 1).alias("value")))))
     auc = MT.feature_auc(prep.train, auc_features, label).select(
         F.concat(F.lit("auc_"), F.col("feature")).alias("metric"), F.col("auc").alias("value"))
     p = M.fit_logistic(prep.train, features, label, prep.n_train)

@@ -13,6 +13,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tabprism.functions.expressions import nan_to_null
+
 StatFn = Callable[[Column], Column]
 
 #: Columns per ``agg`` before the work is split into several passes; keeps the
@@ -25,13 +27,14 @@ def column_stats(df: DataFrame, cols: Sequence[str], stats: dict[str, StatFn],
                  index_col: str | None = "column_idx") -> DataFrame:
     """One row per (group, column) with one field per statistic.
 
-    Inputs are cast to double so that every column yields the same struct type.
+    Inputs are cast to double so that every column yields the same struct type;
+    NaN counts as missing.
     """
     by = list(by)
     parts = []
     for start in range(0, len(cols), MAX_COLUMNS_PER_PASS):
         chunk = list(enumerate(cols))[start:start + MAX_COLUMNS_PER_PASS]
-        aggs = [fn(F.col(c).cast("double")).alias(f"_s{i}_{k}")
+        aggs = [fn(nan_to_null(F.col(c).cast("double"))).alias(f"_s{i}_{k}")
                 for i, c in chunk for k, fn in stats.items()]
         wide = df.groupBy(*by).agg(*aggs) if by else df.agg(*aggs)
         structs = []

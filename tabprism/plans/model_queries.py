@@ -570,8 +570,8 @@ def _report_sql():
            "+ 0.0 AS value FROM ar GROUP BY feature HAVING SUM(pos) > 0 AND SUM(neg) > 0)")
     bal = ("bl AS (SELECT AVG(CASE WHEN flag = 1 THEN 1.0 ELSE 0.0 END) * 100 AS v FROM tr)")
     return (base.rstrip() + ", " + main + ", " + _LOGR_TEST + ", " + _clf_sql("pr") + ", " + auc + ", " + bal + " "
-            "SELECT 'placed_pct' AS metric, ROUND(v, 1) + 0.0 AS value FROM bl UNION ALL "
-            "SELECT 'not_placed_pct', ROUND(100 - v, 1) + 0.0 FROM bl UNION ALL SELECT metric, value FROM au UNION ALL "
+            "SELECT 'class_pct' AS metric, ROUND(v, 1) + 0.0 AS value FROM bl UNION ALL "
+            "SELECT 'other_pct', ROUND(100 - v, 1) + 0.0 FROM bl UNION ALL SELECT metric, value FROM au UNION ALL "
             "SELECT 'accuracy', accuracy FROM mx UNION ALL SELECT 'log_loss', log_loss FROM mx UNION ALL "
             "SELECT 'scaler_' || scaler, accuracy FROM sc")
 

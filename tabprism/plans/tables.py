@@ -33,7 +33,7 @@ def of(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = load(spark, sf_dir, "lineitem")
     a = li.groupBy("l_orderkey").agg(
         F.count(F.lit(1)).alias("n_lines"), F.sum("l_quantity").alias("sum_qty"),
-        F.avg("l_discount").alias("avg_discount"), F.avg("l_tax").alias("avg_tax"),
+        F.round(F.avg("l_discount"), 6).alias("avg_discount"), F.round(F.avg("l_tax"), 6).alias("avg_tax"),
         F.round(F.sum("l_extendedprice"), 2).alias("sum_price"))
     o = load(spark, sf_dir, "orders").select(
         "o_orderkey", "o_orderstatus", "o_orderpriority", "o_totalprice")
@@ -46,7 +46,7 @@ def of(spark: SparkSession, sf_dir: str) -> DataFrame:
 OF_SQL = ("SELECT o_orderkey, o_orderstatus, o_orderpriority, o_totalprice, n_lines, sum_qty, "
           "avg_discount, avg_tax, sum_price, CASE WHEN sum_price > 200000 THEN 1 ELSE 0 END AS flag "
           "FROM orders JOIN (SELECT l_orderkey, COUNT(*) AS n_lines, SUM(l_quantity) AS sum_qty, "
-          "AVG(l_discount) AS avg_discount, AVG(l_tax) AS avg_tax, "
+          "ROUND(AVG(l_discount), 6) AS avg_discount, ROUND(AVG(l_tax), 6) AS avg_tax, "
           "ROUND(SUM(l_extendedprice), 2) AS sum_price FROM lineitem GROUP BY l_orderkey) a "
           "ON o_orderkey = l_orderkey")
 

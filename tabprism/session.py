@@ -36,8 +36,8 @@ def ensure_checkpoint_dir(spark: SparkSession, allow_local_fallback: bool = Fals
 
     The cluster names a shared folder in ``spark.checkpoint.dir``; that is used
     as is.  Only when nothing is configured (local tests, the bench, the
-    driver's smoke session) and ``allow_local_fallback`` is set does this pick
-    a fresh folder under the local temp directory.
+    driver's smoke session), ``allow_local_fallback`` is set and the master is
+    local does this pick a fresh folder under the local temp directory.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -47,7 +47,7 @@ def ensure_checkpoint_dir(spark: SparkSession, allow_local_fallback: bool = Fals
     if conf:
         sc.setCheckpointDir(conf)
         return sc.getCheckpointDir()
-    if not allow_local_fallback:
+    if not (allow_local_fallback and sc.master.startswith("local")):
         raise RuntimeError(
             "no checkpoint directory: set spark.checkpoint.dir to a shared folder")
     sc.setCheckpointDir(tempfile.mkdtemp(prefix="tabprism-ckpt-"))

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 from pyspark.sql.utils import AnalysisException
 
+from tabprism.functions.expressions import NUMBER
+
 # The strings pandas.read_csv reads as booleans by default.
 TRUE_TOKENS = ["True", "TRUE", "true"]
 FALSE_TOKENS = ["False", "FALSE", "false"]
@@ -31,14 +33,18 @@ def _na_to_null(c: str):
 
 
 def read_csv(spark: SparkSession, path: str, schema: StructType | None = None,
-             missing_ok: bool = False) -> DataFrame | None:
+             missing_ok: bool = False, multi_line: bool = False) -> DataFrame | None:
     """Header CSV → DataFrame; NA tokens → NULL; types from ``schema`` or inferred.
 
     With ``missing_ok`` a path that does not exist gives ``None`` (callers then
     skip their work, as the reference's loader does) instead of an error.
+    Quotes inside quoted text are doubled, as pandas writes them.
+    ``multi_line`` allows line breaks inside quotes; such a file is read by one
+    task, so large data should come in many files.
     """
     try:
-        raw = spark.read.option("header", True).option("inferSchema", False).csv(path)
+        raw = (spark.read.option("header", True).option("inferSchema", False).option("quote", '"').option("escape", '"')
+               .option("multiLine", multi_line).csv(path))
     except AnalysisException:
         if missing_ok:
             return None
@@ -49,7 +55,7 @@ def read_csv(spark: SparkSession, path: str, schema: StructType | None = None,
     cols = raw.columns
     checks = []
     for i, c in enumerate(cols):
-        d = F.col(c).try_cast("double")
+        d = F.when(F.col(c).rlike(NUMBER), F.col(c).try_cast("double"))
         lg = F.col(c).try_cast("long")
         b = F.when(F.col(c).isin(*TRUE_TOKENS, *FALSE_TOKENS), F.lit(1))
         checks += [F.count(F.col(c)).alias(f"_n{i}"), F.count(d).alias(f"_d{i}"),
@@ -77,7 +83,7 @@ TIMESTAMP_NTZ_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
 
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> str:
     """Distributed part files with a header; nothing passes through the driver."""
-    (df.write.mode(mode).option("header", True)
+    (df.write.mode(mode).option("header", True).option("quote", '"').option("escape", '"')
      .option("timestampFormat", TIMESTAMP_FORMAT)
      .option("timestampNTZFormat", TIMESTAMP_NTZ_FORMAT).csv(path))
     return path

@@ -30,12 +30,11 @@ def write_stream(scored: DataFrame, path: str, checkpoint: str | None = None,
                  trigger_once: bool = False):
     """Start an exactly-once parquet file sink for a scored stream.
 
-    The query's progress lives in ``checkpoint``, by default a folder under
-    the session's shared checkpoint directory, so a restarted query resumes
-    where it stopped instead of rescoring or skipping files.
+    The query's progress lives in ``checkpoint``, by default a folder beside the
+    sink, named after it: a restarted query resumes where it stopped instead of
+    rescoring or skipping files.
     """
-    from tabprism.sources.scratch import scratch_path
-    ck = checkpoint or scratch_path(scored.sparkSession, "stream-checkpoint")
+    ck = checkpoint or path.rstrip("/") + ".checkpoint"
     w = (scored.writeStream.format("parquet").option("path", path)
          .option("checkpointLocation", ck).outputMode("append"))
     if trigger_once:

@@ -213,9 +213,9 @@ def test_evaluation_report_rows(spark):
     df = spark.createDataFrame(pd.DataFrame({"k": np.arange(n), "a": x[:, 0], "b": x[:, 1], "y": yv}))
     prep = M.prepare(df, ["a", "b"], "y", "k")
     rep = dict(evaluation_report(prep, ["a", "b"], ["a", "b"], "y").collect())
-    assert {"placed_pct", "not_placed_pct", "auc_a", "auc_b", "accuracy", "log_loss",
+    assert {"class_pct", "other_pct", "auc_a", "auc_b", "accuracy", "log_loss",
             "scaler_Unscaled", "scaler_StandardScaler", "scaler_MinMaxScaler"} <= set(rep)
-    assert rep["placed_pct"] + rep["not_placed_pct"] == 100.0 and rep["auc_a"] > 0.8
+    assert rep["class_pct"] + rep["other_pct"] == 100.0 and rep["auc_a"] > 0.8
 
 
 def test_softmax_matches_numpy_newton(spark):
