@@ -25,6 +25,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabprism.llm.common import materialise
+
 LEVELS = 8
 PER_LEVEL = 8
 #: A hash gives four words of 60 bits, a word four lanes; hash k is taken of the paragraph after the text of SALTS[k].
@@ -142,6 +144,8 @@ def with_next(df: DataFrame, key: str, value: str, per_bucket: int = 4096) -> tu
     visits = (heads.where(F.col("_to").isNotNull()).select("_head", "_to", F.lit(1).alias("_late"))
               .unionByName(last.select("_head", "_to", F.lit(2).alias("_late")))
               .groupBy("_head").agg(F.collect_list(F.struct("_to", "_late")).alias("_visits")))   # two at most
+    # written first, so that its size is known and a small one is broadcast before texts are exchanged for the join
+    visits = materialise(visits, "bucket-heads")
     own = F.array(F.struct(F.col("_bucket").alias("_to"), F.lit(0).alias("_late")))
     spread = (cut.join(visits, F.col(key) == F.col("_head"), "left")
               .select(key, value, F.explode(F.concat(own, F.coalesce("_visits", F.array().cast("array<struct<_to:bigint,_late:int>>")))).alias("_p"))
