@@ -22,4 +22,7 @@ def test_entry_smoke(spark):
     import __spark_entry__ as E
     df = E.entry(spark)
     assert df.count() >= 0 and df.columns[0] == "column_name"
-    assert set(E.oracle_sql()) == set(E.queries())      # every key has an exact oracle
+    # every key of the library's own operators has an exact oracle
+    from tabprism.plans import registry
+    assert set(registry.ORACLE) == set(registry.QUERIES) <= set(E.queries())
+    assert set(E.oracle_sql()) <= set(E.queries())
