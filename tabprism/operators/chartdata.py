@@ -17,15 +17,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabprism.functions.expressions import rnd
+from tabprism.operators.models import partial_sums
+from tabprism.operators.positions import sized_side
 from tabprism.operators.quantiles import quantiles
+from tabprism.operators.stats import to_long
 from tabprism.constants import CURVE_BINS, CUT_WIDENING, IQR_FENCE, KDE_GRID
 
 QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
 
-#: class groups whose fences are applied as literal lookups
-MAX_BOX_GROUPS = 1_000
-
-
 def _finite(c: Column) -> Column:
     return c.isNotNull() & ~F.isnan(c)
 
@@ -84,8 +83,8 @@ def kde_curve(df: DataFrame, col: str, gridsize: int = KDE_GRID, cut: float = 0.
     """V3: Gaussian KDE on ``gridsize`` points over [min − cut·bw, max + cut·bw].
 
     Bandwidth: Scott's factor n^(-1/5) times the sample standard deviation.
-    Values are first counted per distinct value (exact, map-side combined),
-    then every grid density is a sum over the distinct values — no join.
+    One scan sums the kernels of every grid point inside the tasks; a partition
+    sends on ``gridsize`` numbers and no value is shuffled.
     """
     x = F.col(col).cast("double")
     d = df.select(x.alias("_x")).where(_finite(F.col("_x")))
@@ -98,75 +97,44 @@ def kde_curve(df: DataFrame, col: str, gridsize: int = KDE_GRID, cut: float = 0.
     bw = st["sd"] * n ** (-1.0 / 5.0)
     lo, hi = st["lo"] - cut * bw, st["hi"] + cut * bw
     grid = np.linspace(lo, hi, gridsize).tolist()
-    w = d.groupBy("_x").agg(F.count(F.lit(1)).alias("_w"))
-    norm = 1.0 / (n * bw * math.sqrt(2 * math.pi))
-    # each distinct value meets every grid point through a narrow explode of a
-    # literal array (no join); the per-point sums are one codegen'd aggregate
-    # with ``gridsize`` keys, combined map-side
-    pts = w.select("_x", "_w", F.posexplode(F.array(*[F.lit(g) for g in grid])).alias("point", "x"))
-    z = (F.col("x") - F.col("_x")) / F.lit(bw)
-    k = pts.groupBy("point", "x").agg(F.sum(F.col("_w") * F.exp(F.lit(-0.5) * z * z)).alias("_k"))
-    dens = F.col("_k") * F.lit(norm)
-    return k.select(F.col("point").cast("bigint").alias("point"), "x",
-                    (rnd(dens, digits) if digits is not None else dens).alias("density"))
+    points = np.asarray(grid)
 
+    def kernels(m):
+        return np.array([np.exp(-0.5 * ((g - m[:, 0]) / bw) ** 2).sum() for g in points])
 
-# ---------------------------------------------------------------- V4–V6 box summaries
-def _group_value(by: str | None, table: dict, key_default=None) -> Column:
-    """Literal per group: CASE by WHEN g THEN table[g] ... (NULL-safe)."""
-    if by is None:
-        return F.lit(table.get(None, key_default))
-    out = F.lit(None).cast("double")
-    for g, v in table.items():
-        out = F.when(F.col(by).eqNullSafe(F.lit(g)), F.lit(v)).otherwise(out)
-    return out
+    sums = partial_sums(d, ["_x"], kernels) / (n * bw * math.sqrt(2 * math.pi))
+    curve = df.sparkSession.createDataFrame([(i, g, float(v)) for i, (g, v) in enumerate(zip(grid, sums))],
+                                            "point bigint, x double, density double")
+    return curve if digits is None else curve.withColumn("density", rnd("density", digits))
 
 
+# ---------------------------------------------------------------- V4–V6 box summaries
 def box_summary(df: DataFrame, cols: Sequence[str], by: str | None = None, k: float = IQR_FENCE,
                 digits: int | None = 6) -> DataFrame:
     """V4/V5: q1, median, q3, whiskers (extreme values inside 1.5·IQR) and flier count.
 
-    One quantile pass (per group when ``by`` is given), then one aggregate with
-    the fitted fences as literals.  Quartiles are reported rounded to
-    ``digits`` (engines interpolate with different last-bit arithmetic).  The fence table has one row per
-    (group, column): ``by`` must be a low-cardinality class column.
+    One quantile pass (per group when ``by`` is given), then one aggregate of
+    the rows joined to their fences, one row per group and column; any number
+    of groups.  Quartiles are reported rounded to ``digits`` (engines
+    interpolate with different last-bit arithmetic).
     """
     cols = list(cols)
     groups = [by] if by else []
-    qd = quantiles(df, cols, QUARTILES, by=groups).collect()
-    if by and len(qd) > MAX_BOX_GROUPS * max(1, len(cols)):
-        raise ValueError(f"box summaries per class need a low-cardinality class column "
-                         f"(at most {MAX_BOX_GROUPS} groups)")
-    fences = {}
-    for r in qd:
-        g = r[by] if by else None
-        if r["q1"] is None:
-            continue
-        iqr = r["q3"] - r["q1"]
-        fences.setdefault(r["column_name"], {})[g] = (r["q1"] - k * iqr, r["q3"] + k * iqr)
-    aggs = []
-    for i, c in enumerate(cols):
-        f = fences.get(c, {})
-        lo = _group_value(by, {g: v[0] for g, v in f.items()})
-        hi = _group_value(by, {g: v[1] for g, v in f.items()})
-        x = F.col(c).cast("double")
-        x = F.when(_finite(x), x)
-        aggs += [F.min(F.when(x >= lo, x)).alias(f"_lo{i}"), F.max(F.when(x <= hi, x)).alias(f"_hi{i}"),
-                 F.count_if((x < lo) | (x > hi)).alias(f"_f{i}")]
-    # the fitted quartiles (one row per group and column, already collected) ride along as literals
-    qv = {(r[by] if by else None, r["column_name"]): r for r in qd}
-    for i, c in enumerate(cols):
-        for name in QUARTILES:
-            aggs.append(F.first(_group_value(by, {g: qv[(g, cc)][name] for (g, cc) in qv if cc == c}))
-                        .alias(f"_{name}{i}"))
-    wide = df.groupBy(*groups).agg(*aggs) if groups else df.agg(*aggs)
-    structs = [F.struct(F.lit(c).alias("column_name"),
-                        *[(rnd(F.col(f"_{name}{i}").cast("double"), digits) if digits is not None
-                           else F.col(f"_{name}{i}").cast("double")).alias(name) for name in QUARTILES],
-                        F.col(f"_lo{i}").alias("whisker_lo"), F.col(f"_hi{i}").alias("whisker_hi"),
-                        F.col(f"_f{i}").cast("bigint").alias("n_fliers"))
-               for i, c in enumerate(cols)]
-    return wide.select(*groups, F.inline(F.array(*structs)))
+    keys = [*groups, "column_name"]
+    q = quantiles(df, cols, QUARTILES, by=groups)
+    iqr = F.col("q3") - F.col("q1")
+    fences = sized_side(q.select(*[F.col(c).alias(f"_f{i}") for i, c in enumerate(keys)], *QUARTILES,
+                                 (F.col("q1") - k * iqr).alias("_lo"), (F.col("q3") + k * iqr).alias("_hi")))
+    long = to_long(df, cols, keep=groups, value_col="_x")
+    on = [F.col(c).eqNullSafe(F.col(f"_f{i}")) for i, c in enumerate(keys)]
+    x = F.when(_finite(F.col("_x")), F.col("_x"))
+    quartile = [F.max(name).alias(name) for name in QUARTILES]
+    out = long.join(fences, on).groupBy(*keys).agg(
+        *quartile, F.min(F.when(x >= F.col("_lo"), x)).alias("whisker_lo"),
+        F.max(F.when(x <= F.col("_hi"), x)).alias("whisker_hi"),
+        F.count_if((x < F.col("_lo")) | (x > F.col("_hi"))).cast("bigint").alias("n_fliers"))
+    return out.select(*keys, *[(rnd(F.col(c), digits) if digits is not None else F.col(c)).alias(c) for c in QUARTILES],
+                      "whisker_lo", "whisker_hi", "n_fliers")
 
 
 def box_by_ordered_category(df: DataFrame, value: str, category: str, order: Sequence[str],

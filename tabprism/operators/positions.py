@@ -68,6 +68,17 @@ def row_index(df: DataFrame, order_by: Sequence[str] | str, name: str = "pos",
     return (out, int(total)) if with_count else out
 
 
+#: a side of a join is broadcast up to this many rows, counted; beyond, Spark picks the join.
+BROADCAST_ROWS = 100_000
+
+
+def sized_side(small: DataFrame) -> DataFrame:
+    """``small`` checkpointed and counted; marked for broadcast only if the count allows it."""
+    ensure_checkpoint_dir(small.sparkSession)
+    kept = small.checkpoint(eager=True)
+    return F.broadcast(kept) if kept.count() <= BROADCAST_ROWS else kept
+
+
 def ranged_running_sum(df: DataFrame, groups: Sequence[str], order: str, weight: str,
                        num_partitions: int | None = None) -> DataFrame:
     """Range-partition on (groups, order), sort inside each partition, and add

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabprism.functions.expressions import nan_to_null, pair_corr, rnd
-from tabprism.operators.quantiles import DEFAULT_DISTINCT_LIMIT, quantiles
+from tabprism.operators.quantiles import quantiles
 from tabprism.operators.stats import column_stats, to_long
 from tabprism.constants import IQR_FENCE
 
@@ -99,7 +99,7 @@ def duplicate_rows(df: DataFrame, cols: Sequence[str] | None = None) -> DataFram
 
 # ---------------------------------------------------------------- describe
 def describe(df: DataFrame, cols: Sequence[str], digits: int = 4, skew: bool = False,
-             by: Sequence[str] = (), quantile_method: str = "auto") -> DataFrame:
+             by: Sequence[str] = (), quantile_method: str = "rank") -> DataFrame:
     """Count, mean, std (n-1), min, q1, median, q3, max [, skew].
 
     Skewness is the sample-adjusted form (pandas, DuckDB):
@@ -115,16 +115,7 @@ def describe(df: DataFrame, cols: Sequence[str], digits: int = 4, skew: bool = F
     }
     if skew:
         stats["_pskew"] = lambda c: F.skewness(c)
-    if quantile_method == "auto":
-        stats["_ndv"] = lambda c: F.approx_count_distinct(c)
-    lazy = column_stats(df, cols, stats, by=by)
-    # one pass for the moments AND the cardinality probe that picks the quantile
-    # strategy; the result has one row per (group, column), so it is collected
-    rows = lazy.collect()
-    if quantile_method == "auto":
-        top = max([r["_ndv"] or 0 for r in rows] or [0])
-        quantile_method = "percentile" if top <= DEFAULT_DISTINCT_LIMIT else "rank"
-    base = df.sparkSession.createDataFrame(rows, lazy.schema)
+    base = column_stats(df, cols, stats, by=by)
     q = quantiles(df, cols, QUARTILES, by=by, method=quantile_method)
     keys = [*by, "column_name"]
     cond = [base[k].eqNullSafe(q[k]) for k in keys]
@@ -228,7 +219,7 @@ def target_corr_ranked(df: DataFrame, cols: Sequence[str], target: str,
 
 # ---------------------------------------------------------------- IQR fences
 def iqr_fences(df: DataFrame, cols: Sequence[str], k: float = IQR_FENCE,
-               quantile_method: str = "auto") -> dict[str, tuple]:
+               quantile_method: str = "rank") -> dict[str, tuple]:
     """Fit q1, q3 of every column in one pass; returns {col: (q1, med, q3, lo, hi)}.
 
     The result has one row per column, so collecting it is bounded.
@@ -253,7 +244,7 @@ def _outside(c, lo, hi):
 
 
 def iqr_outliers(df: DataFrame, cols: Sequence[str], k: float = IQR_FENCE,
-                 quantile_method: str = "auto") -> DataFrame:
+                 quantile_method: str = "rank") -> DataFrame:
     """Per column, count of values strictly outside [q1 - k·IQR, q3 + k·IQR], ranked desc."""
     f = iqr_fences(df, cols, k, quantile_method)
     row = df.agg(*[F.count_if(_outside(c, f[c][3], f[c][4])).alias(f"_o{i}")
@@ -267,7 +258,7 @@ def iqr_outliers(df: DataFrame, cols: Sequence[str], k: float = IQR_FENCE,
 
 
 def iqr_anomaly_flag(df: DataFrame, cols: Sequence[str], k: float = IQR_FENCE,
-                     name: str = "is_anomaly", quantile_method: str = "auto") -> DataFrame:
+                     name: str = "is_anomaly", quantile_method: str = "rank") -> DataFrame:
     """0/1 row flag, 1 when any listed column lies outside its IQR fences."""
     f = iqr_fences(df, cols, k, quantile_method)
     cond = F.lit(False)

@@ -5,22 +5,18 @@ h = p·(n-1), q = x(floor h) + (h - floor h)·(x(ceil h) - x(floor h)).  This
 is what pandas ``quantile``, Spark ``percentile`` and DuckDB
 ``quantile_cont`` compute.
 
-Two physical strategies, picked per call from a cheap distinct-count probe
-(``describe`` folds the probe into its moments pass):
-
-* ``percentile``: Spark's exact aggregate keeps a value→count map per group
-  in the aggregation buffer.  Its memory is bounded by the number of distinct
-  values, so it is used only when every column is below ``distinct_limit``.
-  Columns are unpivoted first and grouped by name, so each column's buffers
-  merge in their own task.
-* ``rank``: distributed order statistics.  Values are pre-aggregated to
-  (group, value, count) — a hot value collapses map-side into one row — then
+Every exact plan first reduces rows to (group, column, value, count), combined
+before the shuffle, so a hot value is one row.  Columns are unpivoted, and:
+
+* ``rank`` (default): distributed order statistics.  The reduced rows are
   range-partitioned and given a running count inside each partition
-  (``positions.ranged_running_sum``).  Per-(partition, group) totals (at most
-  partitions + groups rows) locate the partition holding each needed rank,
-  and a broadcast join against those few (partition, rank) pairs picks the
-  rows at ranks floor(h) and ceil(h).  No task ever holds more than one
-  range partition, whatever the column's cardinality.
+  (``positions.ranged_running_sum``).  One row per (partition, group) turns
+  local counts into ranks, and an aggregate per group picks the values at ranks
+  floor(h) and ceil(h).  No task holds more than one range partition, no driver
+  loop runs over groups, and the result is a DataFrame whatever the number of
+  groups.
+* ``percentile``: Spark's exact aggregate over the reduced rows.  A group's
+  distinct values meet in one task, so it is for callers who know them few.
 
 ``method="approx"`` uses ``percentile_approx`` for callers who accept
 a bounded rank error.
@@ -28,133 +24,76 @@ a bounded rank error.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from tabprism.operators.positions import partition_totals, ranged_running_sum
+from tabprism.operators.positions import ranged_running_sum, sized_side
 from tabprism.operators.stats import to_long
 
-DEFAULT_DISTINCT_LIMIT = 1_000_000
-MAX_GROUPS = 1_000_000
-
 
 def _finite(c):
     return c.isNotNull() & ~F.isnan(c)
 
 
-def choose_method(df: DataFrame, cols: Sequence[str], by: Sequence[str] = (),
-                  distinct_limit: int = DEFAULT_DISTINCT_LIMIT) -> str:
-    """'percentile' when every column has few distinct values, else 'rank'."""
-    if not cols:
-        return "percentile"
-    row = df.agg(*[F.approx_count_distinct(F.col(c)).alias(f"_d{i}")
-                   for i, c in enumerate(cols)]).first()
-    top = max(int(row[i] or 0) for i in range(len(cols)))
-    return "percentile" if top <= distinct_limit else "rank"
-
-
 def quantiles(df: DataFrame, cols: Sequence[str], probs: dict[str, float],
-              by: Sequence[str] = (), method: str = "auto",
-              distinct_limit: int = DEFAULT_DISTINCT_LIMIT,
+              by: Sequence[str] = (), method: str = "rank",
               accuracy: int = 10_000, name_col: str = "column_name") -> DataFrame:
     """One row per (group, column) with one double field per named probability.
 
     Missing values (NULL, NaN) are ignored; an all-missing column gives NULLs.
     """
-    by = list(by)
-    cols = list(cols)
-    names = list(probs)
-    if method == "auto":
-        method = choose_method(df, cols, by, distinct_limit)
-    if method in ("percentile", "approx"):
-        # unpivot first so that each (group, column) buffer is merged in its own
-        # task: columns finish in parallel instead of one after another
-        keys = [*by, name_col]
-        long = to_long(df, cols, keep=by, name_col=name_col, value_col="_v")
-        v = F.col("_v")
-        arr = F.array(*[F.lit(float(probs[k])) for k in names])
-        fn = F.percentile if method == "percentile" else (lambda c, a: F.percentile_approx(c, a, accuracy))
-        agg = (long.select(*keys, F.when(_finite(v), v).alias("_v"))
-               .groupBy(*keys).agg(fn(F.col("_v"), arr).alias("_q")))
-        wide = agg.select(*keys, *[F.col("_q")[j].cast("double").alias(k) for j, k in enumerate(names)])
-        if by:
-            return wide
-        # an empty input still yields one (NULL) row per column
-        allcols = df.sparkSession.range(1).select(
-            F.explode(F.array(*[F.lit(c) for c in cols])).alias(name_col))
-        return allcols.join(wide, name_col, "left")
-    if method != "rank":
-        raise ValueError(f"unknown quantile method {method!r}")
-    return _rank_quantiles(df, cols, probs, by, name_col)
-
-
-def _rank_quantiles(df, cols, probs, by, name_col):
+    by, cols = list(by), list(cols)
     keys = [*by, name_col]
-    spark = df.sparkSession
     long = to_long(df, cols, keep=by, name_col=name_col, value_col="_v")
-    long = long.where(_finite(F.col("_v")))
-    # map-side combined: a value holding a third of the table becomes one row per task
-    weighted = long.groupBy(*keys, "_v").agg(F.count(F.lit(1)).cast("double").alias("_w"))
-    ranged = ranged_running_sum(weighted, keys, "_v", "_w")
-    parts = partition_totals(ranged, keys, "_w", max_rows=MAX_GROUPS)
-
-    # (partition, group) segments in key order → rank offsets, on ≤ partitions + groups rows
-    segs, totals, before = {}, {}, {}
-    for r in parts:
-        g, pid, pt = tuple(r[k] for k in keys), r["_pid"], r["_pt"]
-        b = before.get(pid, 0.0)
-        segs.setdefault(g, []).append((pid, totals.get(g, 0.0), pt, b))
-        totals[g] = totals.get(g, 0.0) + pt
-        before[pid] = b + pt
-
-    def locate(g, rank):
-        for pid, off, pt, b in segs[g]:
-            if off <= rank < off + pt:
-                return pid, rank - off + b
-        raise AssertionError("rank outside its group")
-
-    wanted, plan = {}, {}
-    for g, n in totals.items():
-        for name, p in probs.items():
-            h = float(p) * (n - 1)
-            lo, hi = math.floor(h), math.ceil(h)
-            plan[(g, name)] = (h, lo, locate(g, lo), locate(g, hi))
-            for loc in plan[(g, name)][2:]:
-                wanted.setdefault(loc, len(wanted))
-    values = {}
-    if wanted:
-        need = spark.createDataFrame([(int(pid), float(r), i) for (pid, r), i in wanted.items()],
-                                     "_npid int, _r double, _tag int")
-        # one row per needed rank (≤ groups × 2 × probabilities): size known before broadcasting
-        hits = ranged.join(F.broadcast(need), (ranged["_pid"] == need["_npid"])
-                           & (ranged["_lcum"] - ranged["_w"] <= need["_r"]) & (need["_r"] < ranged["_lcum"]))
-        values = {r["_tag"]: r["_v"] for r in hits.select("_tag", "_v").collect()}
-
-    if by:
-        groups_seen = [tuple(r) for r in df.select(*by).distinct().limit(MAX_GROUPS + 1).collect()]
-        if len(groups_seen) > MAX_GROUPS:
-            raise RuntimeError("too many groups for grouped quantiles")
+    long = long.select(*keys, F.when(_finite(F.col("_v")), F.col("_v")).alias("_v"))
+    arr = F.array(*[F.lit(float(p)) for p in probs.values()])
+    named = [F.col("_q")[j].cast("double").alias(k) for j, k in enumerate(probs)]
+    if method == "approx":
+        wide = long.groupBy(*keys).agg(F.percentile_approx("_v", arr, accuracy).alias("_q")).select(*keys, *named)
+    elif method == "percentile":
+        wide = (_counted(long, keys).groupBy(*keys).agg(F.percentile("_v", arr, F.col("_w").cast("long")).alias("_q"))
+                .select(*keys, *named))
+    elif method == "rank":
+        wide = _rank_quantiles(long, probs, keys)
     else:
-        groups_seen = [()]
-    rows = []
-    for bg in groups_seen:
-        for c in cols:
-            g = (*bg, c)
-            out = []
-            for name in probs:
-                if g not in totals:
-                    out.append(None)
-                    continue
-                h, lo, loc_lo, loc_hi = plan[(g, name)]
-                vlo, vhi = values[wanted[loc_lo]], values[wanted[loc_hi]]
-                out.append(vlo + (h - lo) * (vhi - vlo))
-            rows.append((*bg, c, *out))
-    fields = [f for f in df.schema.fields if f.name in by]
-    fields = [next(f for f in fields if f.name == b) for b in by]
-    schema = StructType(fields + [StructField(name_col, StringType())]
-                        + [StructField(k, DoubleType()) for k in probs])
-    return spark.createDataFrame(rows, schema)
+        raise ValueError(f"unknown quantile method {method!r}")
+    if by:
+        return wide
+    # an empty input still yields one (NULL) row per column
+    allcols = df.sparkSession.range(1).select(F.explode(F.array(*[F.lit(c) for c in cols])).alias(name_col))
+    return allcols.join(wide, name_col, "left")
+
+
+def _counted(long: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One row per (group, value) with its count ``_w``; a missing value counts 0 but keeps its group."""
+    return long.groupBy(*keys, "_v").agg(F.count("_v").cast("double").alias("_w"))
+
+
+def _rank_quantiles(long: DataFrame, probs: dict[str, float], keys: Sequence[str]) -> DataFrame:
+    ranged = ranged_running_sum(_counted(long, keys), keys, "_v", "_w")
+    # one row per (partition, group), partitions in value order: what to add to a
+    # partition's running count to get ranks inside the group, and the group's size
+    parts = ranged.groupBy("_pid", *keys).agg(F.sum("_w").alias("_pt"), F.max("_lcum").alias("_end"))
+    group = Window.partitionBy(*keys)
+    so_far = group.orderBy("_pid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    parts = sized_side(parts.select(
+        F.col("_pid").alias("_ppid"), *[F.col(k).alias(f"_p{i}") for i, k in enumerate(keys)],
+        (F.sum("_pt").over(so_far) - F.col("_end")).alias("_shift"), F.sum("_pt").over(group).alias("_n")))
+    on = [F.col("_pid") == F.col("_ppid")] + [F.col(k).eqNullSafe(F.col(f"_p{i}")) for i, k in enumerate(keys)]
+    ranks = ranged.join(parts, on).withColumn("_at", F.col("_lcum") - F.col("_w") + F.col("_shift"))
+
+    def value_at(rank):
+        return F.max(F.when((F.col("_at") <= rank) & (rank < F.col("_at") + F.col("_w")), F.col("_v")))
+
+    aggs = [F.max("_n").alias("_n")]
+    for j, p in enumerate(probs.values()):
+        h = F.lit(float(p)) * (F.col("_n") - 1)
+        aggs += [value_at(F.floor(h)).alias(f"_lo{j}"), value_at(F.ceil(h)).alias(f"_hi{j}")]
+    picked = ranks.groupBy(*keys).agg(*aggs)
+    out = []
+    for j, (name, p) in enumerate(probs.items()):
+        h = F.lit(float(p)) * (F.col("_n") - 1)
+        out.append((F.col(f"_lo{j}") + (h - F.floor(h)) * (F.col(f"_hi{j}") - F.col(f"_lo{j}"))).alias(name))
+    return picked.select(*keys, *out)

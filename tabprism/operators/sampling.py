@@ -7,6 +7,7 @@ columns forming a unique key.  Global positions come from
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
@@ -103,11 +104,31 @@ def hash_order(key_cols: Sequence[str], seed: int):
     return F.md5(F.concat(*parts))
 
 
-def seeded_sample(df: DataFrame, key, n: int, seed: int = SAMPLE_SEED) -> DataFrame:
-    """min(n, rows) rows picked by a seeded hash order of the key (bounded top-k)."""
+def seeded_sample(df: DataFrame, key, n: int, seed: int = SAMPLE_SEED, ties: Sequence[str] = ()) -> DataFrame:
+    """min(n, rows) rows picked by a seeded hash order of the key, then ``ties``.
+
+    A cut on the hash, counted to leave at least ``n`` rows and widened if it
+    doesn't, comes before the top-n: few rows reach the last task, however
+    many partitions there are.  Rows with a null key come first.
+    """
+    keys = _keys(key)
+    hashed = df.withColumn("_h", hash_order(keys, seed))
+    share = (n + 10 * math.sqrt(n) + 100) / max(1, df.count())
+    while share < 1.0:
+        few = hashed.where(F.col("_h").isNull() | (F.col("_h") < f"{int(share * 16 ** 12):012x}"))
+        if few.count() >= n:
+            hashed = few
+            break
+        share *= 4
+    return hashed.orderBy("_h", *keys, *ties).limit(n).drop("_h")
+
+
+def numbered_sample(df: DataFrame, key, n: int, seed: int = SAMPLE_SEED, ties: Sequence[str] = (),
+                    pos_col: str = "pos") -> DataFrame:
+    """``seeded_sample`` with each row's 0-based place in the hash order (a window over at most ``n`` rows)."""
     keys = _keys(key)
-    return (df.withColumn("_h", hash_order(keys, seed))
-            .orderBy("_h", *keys).limit(n).drop("_h"))
+    order = Window.orderBy(hash_order(keys, seed), *keys, *ties)
+    return seeded_sample(df, keys, n, seed, ties).withColumn(pos_col, (F.row_number().over(order) - 1).cast("bigint"))
 
 
 def train_test_split(df: DataFrame, order_by, train_fraction: float = TRAIN_FRACTION,

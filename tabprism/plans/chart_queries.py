@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 from tabprism.operators import chartdata as V
 from tabprism.operators import models as M
 from tabprism.operators import sampling as S
-from tabprism.operators.positions import row_index
 from tabprism.plans import tables as T
-from tabprism.plans.position_queries import LI_ALL, LI_STAR_SQL
+from tabprism.plans.position_queries import LI_KEYS, LI_SAMPLE_SQL
 from tabprism.plans.registry import query
 from tabprism.plans.sqlgen import dbl, prep_sql, union_cols
 
@@ -83,6 +82,12 @@ def box_by_class(spark, sf):
     return V.box_summary(T.of(spark, sf), BOX_CLASS_COLS, by="flag")
 
 
+@query("box_many_groups", _box_sql("SELECT * FROM orders", ["o_totalprice"], by="o_custkey"))
+def box_many_groups(spark, sf):
+    """V5 with a group per customer."""
+    return V.box_summary(T.load(spark, sf, "orders"), ["o_totalprice"], by="o_custkey")
+
+
 # The display order of the ordered category (most urgent first).
 PRIORITY_ORDER = ["1-URGENT", "2-HIGH", "3-MEDIUM"]
 
@@ -104,16 +109,15 @@ PAIR_COLS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 
 def _pair_sql():
-    samp = (f"SELECT pos, {LI_ALL} FROM ({LI_STAR_SQL}) s ORDER BY md5('42:' || CAST(pos AS VARCHAR)), pos LIMIT 2000")
     parts = [f"SELECT pos AS id, l_returnflag AS class, '{a}' AS x_col, '{b}' AS y_col, {dbl(a)} AS x, {dbl(b)} AS y "
              f"FROM smp" for a in PAIR_COLS for b in PAIR_COLS if a != b]
-    return f"WITH smp AS ({samp}) " + " UNION ALL ".join(parts)
+    return f"WITH smp AS ({LI_SAMPLE_SQL}) " + " UNION ALL ".join(parts)
 
 
 @query("pair_points", _pair_sql())
 def pair_points(spark, sf):
     li = T.load(spark, sf, "lineitem")
-    sample = S.seeded_sample(row_index(li, li.columns, "pos"), "pos", 2000, seed=42)
+    sample = S.numbered_sample(li, LI_KEYS, 2000, seed=42, ties=li.columns)
     return V.pair_points(sample, PAIR_COLS, "l_returnflag", "pos")
 
 

@@ -78,14 +78,17 @@ def random_sample(spark, sf):
 
 LI_ALL = ("l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, "
           "l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate")
-LI_STAR_SQL = f"SELECT *, ROW_NUMBER() OVER (ORDER BY {LI_ALL}) - 1 AS pos FROM lineitem"
+LI_KEYS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
+_LI_HASH = "md5('42:' || " + " || ':' || ".join(f"CAST({k} AS VARCHAR)" for k in LI_KEYS) + ")"
+#: 2,000 lineitem rows in hash order of their keys; equal keys are ordered by all columns.
+LI_SAMPLE_SQL = (f"SELECT ROW_NUMBER() OVER (ORDER BY {_LI_HASH}, {LI_ALL}) - 1 AS pos, {LI_ALL} FROM lineitem "
+                 "QUALIFY pos < 2000")
 
 
-@query("pair_sample", _sample_sql(LI_STAR_SQL, "pos", 2000, "pos, " + LI_ALL))
+@query("pair_sample", LI_SAMPLE_SQL)
 def pair_sample(spark, sf):
     li = T.load(spark, sf, "lineitem")
-    star = row_index(li, li.columns, "pos")
-    return S.seeded_sample(star, "pos", 2000, seed=42).select("pos", *li.columns)
+    return S.numbered_sample(li, LI_KEYS, 2000, seed=42, ties=li.columns).select("pos", *li.columns)
 
 
 @query("linspace_sample", (

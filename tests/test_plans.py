@@ -24,6 +24,13 @@ def test_describe_prunes_columns_and_pushes_filters(spark):
     assert "PushedFilters: [IsNotNull(l_returnflag), EqualTo(l_returnflag,A)]" in p
 
 
+def test_quantiles_reduce_rows_to_counted_values_first(spark):
+    li = spark.read.parquet(f"{SF}/lineitem.parquet")
+    assert "percentile(" not in plan(P.describe(li, ["l_quantity"]))
+    p = plan(P.describe(li, ["l_quantity"], quantile_method="percentile"))
+    assert "partial_count" in p and "percentile(_v" in p
+
+
 def test_row_index_has_no_global_window_over_data(spark):
     o = spark.read.parquet(f"{SF}/orders.parquet")
     p = plan(row_index(o, "o_orderkey"))
