@@ -11,6 +11,7 @@ from tabprism.plans.registry import query
 from tabprism.plans.sqlgen import dbl, fences_sql, r, union_cols
 from tabprism.sources.csv import read_csv, write_csv
 from tabprism.sources.materialize import load_or_build
+from tabprism.sources.params import load_fitted, save_fitted
 from tabprism.sources.scratch import scratch_path
 
 PART_NUM = ["p_size", "p_retailprice"]
@@ -63,6 +64,14 @@ def standard_scale(spark, sf):
     return FE.standard_scale(_part(spark, sf), PART_NUM)
 
 
+@query("scaler_params_roundtrip", _standard_sql())
+def scaler_params_roundtrip(spark, sf):
+    """A fitted scaler saved, read back and applied."""
+    part = _part(spark, sf)
+    path = save_fitted(spark, FE.fit_standard(part, PART_NUM), scratch_path(spark, "scaler-params"))
+    return FE.transform(part, load_fitted(spark, path))
+
+
 @query("robust_scale", _robust_sql())
 def robust_scale(spark, sf):
     return FE.robust_scale(T.load(spark, sf, "events"), EV_NUM)

@@ -16,7 +16,7 @@ from tabprism.plans.registry import query
 from tabprism.plans.sqlgen import (cov_name, cramer_sql, logistic_ctes, logistic_z, moments_sql, prep_sql, q,
                                     softmax_ctes, softmax_predict_sql)
 from tabprism.sources.csv import read_csv, write_csv
-from tabprism.sources.params import load_linear_params, save_linear_params
+from tabprism.sources.params import load_fitted, load_linear_params, save_fitted, save_linear_params
 from tabprism.sources.scratch import scratch_path
 
 MLR_FEATS = ["sum_qty", "n_lines", "avg_discount", "avg_tax"]
@@ -420,18 +420,32 @@ def _clf_sql(src: str) -> str:
             "ROUND(2 * precision * recall / (precision + recall), 2) + 0.0 ELSE 0.0 END AS f1 FROM c2)")
 
 
-@query("logistic_fit", _LOGR_BASE + _LOGR_TEST + ", " + _clf_sql("pr") + " SELECT mx.*, ROUND(icpt, 4) + 0.0 AS intercept, "
-       + ", ".join(f"ROUND(w{j}, 4) + 0.0 AS coef_{c}" for j, c in enumerate(LOGR_FEATS)) + " FROM mx, lg_p")
-def logistic_fit(spark, sf):
-    """M8: coefficients, intercept and validation metrics of the 5-feature model."""
-    prep = M.prepare(T.of(spark, sf), LOGR_FEATS, "flag", "o_orderkey")
-    p = M.fit_logistic(prep.train, LOGR_FEATS, "flag", prep.n_train)
+_LOGISTIC_FIT_SQL = (_LOGR_BASE + _LOGR_TEST + ", " + _clf_sql("pr") + " SELECT mx.*, ROUND(icpt, 4) + 0.0 AS intercept, "
+                     + ", ".join(f"ROUND(w{j}, 4) + 0.0 AS coef_{c}" for j, c in enumerate(LOGR_FEATS)) + " FROM mx, lg_p")
+
+
+def _logistic_report(prep, p):
     test = prep.test.withColumn("_prob", p.probability()).withColumn("_pred", (p.z() > 0).cast("int"))
     met = MT.classification_metrics(test, "flag", "_prob", pred="_pred")
     return met.select("*", rnd(F.lit(p.intercept), 4).alias("intercept"),
                       *[rnd(F.lit(w), 4).alias(f"coef_{c}") for c, w in zip(LOGR_FEATS, p.coef)])
 
 
+@query("logistic_fit", _LOGISTIC_FIT_SQL)
+def logistic_fit(spark, sf):
+    """M8: coefficients, intercept and validation metrics of the 5-feature model."""
+    prep = M.prepare(T.of(spark, sf), LOGR_FEATS, "flag", "o_orderkey")
+    return _logistic_report(prep, M.fit_logistic(prep.train, LOGR_FEATS, "flag", prep.n_train))
+
+
+@query("logistic_params_roundtrip", _LOGISTIC_FIT_SQL)
+def logistic_params_roundtrip(spark, sf):
+    """The 5-feature model saved, read back and used to score."""
+    prep = M.prepare(T.of(spark, sf), LOGR_FEATS, "flag", "o_orderkey")
+    p = M.fit_logistic(prep.train, LOGR_FEATS, "flag", prep.n_train)
+    return _logistic_report(prep, load_fitted(spark, save_fitted(spark, p, scratch_path(spark, "logistic-params"))))
+
+
 @query("logistic_sample", _LOGR_BASE + _LOGR_TEST + " SELECT pos, y AS actual, ROUND(p * 100, 1) + 0.0 AS prob, "
        "yp AS pred FROM pr ORDER BY pos LIMIT 10")
 def logistic_sample(spark, sf):
@@ -478,9 +492,8 @@ def _softmax_sql():
             "CAST(COUNT(*) AS BIGINT) AS n_test FROM ts, sx_p WHERE split = 'test'")
 
 
-@query("softmax_accuracy", _softmax_sql())
-def softmax_accuracy(spark, sf):
-    """M9: 3-tier multinomial model on standardised features; validation accuracy %."""
+def _softmax(spark, sf):
+    """The 3-tier model and its standardised validation rows."""
     of = T.of(spark, sf).withColumn("salary", F.when(F.col("flag") == 1, F.col("sum_price")).otherwise(F.lit(0.0)))
     prep = M.prepare(of, LOGR_FEATS, "flag", "o_orderkey", keep=["salary"])
     med = M.positive_median(prep.train, "salary")
@@ -488,11 +501,27 @@ def softmax_accuracy(spark, sf):
     mu, sd = M.fit_standardiser(prep.train, LOGR_FEATS, ddof=0, zero_to_one=True)
     data = M.standardise(data, LOGR_FEATS, mu, sd)
     train, test = data.where(F.col("split") == "train"), data.where(F.col("split") == "test")
-    sm = M.fit_softmax(train, LOGR_FEATS, "tier", prep.n_train)
+    return M.fit_softmax(train, LOGR_FEATS, "tier", prep.n_train), test
+
+
+def _softmax_report(sm, test):
     hit = (sm.predict_label() == F.col("tier")).cast("double")
     return test.agg(rnd(F.avg(hit) * 100, 2).alias("softmax_accuracy"), F.count(F.lit(1)).alias("n_test"))
 
 
+@query("softmax_accuracy", _softmax_sql())
+def softmax_accuracy(spark, sf):
+    """M9: 3-tier multinomial model on standardised features; validation accuracy %."""
+    return _softmax_report(*_softmax(spark, sf))
+
+
+@query("softmax_params_roundtrip", _softmax_sql())
+def softmax_params_roundtrip(spark, sf):
+    """The 3-tier model saved, read back and used to score."""
+    sm, test = _softmax(spark, sf)
+    return _softmax_report(load_fitted(spark, save_fitted(spark, sm, scratch_path(spark, "softmax-params"))), test)
+
+
 GRID_FEATS = ["n_lines", "sum_qty"]
 
 

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabprism.operators.models import LinearParams
+from tabprism.operators.features import ScalerParams
+from tabprism.operators.models import LinearParams, LogisticParams, SoftmaxParams
 
 _SCHEMA = "term string, idx int, mu double, sig double, coef double"
 
@@ -27,3 +28,54 @@ def load_linear_params(spark: SparkSession, path: str) -> LinearParams:
     feats = [r for r in rows if r["term"] != "intercept"]
     return LinearParams([r["term"] for r in feats], [r["mu"] for r in feats],
                         [r["sig"] for r in feats], [r["coef"] for r in feats], icpt)
+
+
+_FITTED = "kind string, class string, class_idx int, term string, idx int, mu double, sig double, coef double"
+
+
+def _weights(kind: str, name: str | None, k: int, p, coef, intercept, mu=None, sig=None) -> list[tuple]:
+    rows = [(kind, name, k, "intercept", -1, None, None, float(intercept))]
+    return rows + [(kind, name, k, f, i, None if mu is None else float(mu[i]), None if sig is None else float(sig[i]),
+                    float(coef[i])) for i, f in enumerate(p.features)]
+
+
+def fitted_frame(spark: SparkSession, p: LogisticParams | SoftmaxParams | ScalerParams) -> DataFrame:
+    """Parameters of a logistic or softmax fit or of a scaler, one row per (class, term)."""
+    if isinstance(p, LogisticParams):
+        rows = _weights("logistic", None, 0, p, p.coef, p.intercept, p.mu, p.sig)
+    elif isinstance(p, SoftmaxParams):
+        rows = [r for k, name in enumerate(p.classes) for r in _weights("softmax", name, k, p, p.coef[k], p.intercept[k])]
+    elif isinstance(p, ScalerParams):
+        rows = [(f"scaler:{p.kind}", None, 0, c, i, p.center[c], p.scale[c], None) for i, c in enumerate(p.columns)]
+    else:
+        raise TypeError(f"no parameter table for {type(p).__name__}")
+    return spark.createDataFrame(rows, _FITTED)
+
+
+def save_fitted(spark: SparkSession, p: LogisticParams | SoftmaxParams | ScalerParams, path: str) -> str:
+    fitted_frame(spark, p).coalesce(1).write.mode("errorifexists").parquet(path)
+    return path
+
+
+def load_fitted(spark: SparkSession, path: str) -> LogisticParams | SoftmaxParams | ScalerParams:
+    """Read a saved parameter table (a row per class and column) back into a scorer or scaler.
+
+    A scaler comes back with what its transform needs; statistics that only
+    its report shows are not kept.
+    """
+    rows = sorted(spark.read.parquet(path).collect(), key=lambda r: (r["class_idx"], r["idx"]))
+    kind = rows[0]["kind"]
+    if kind.startswith("scaler:"):
+        return ScalerParams(kind.partition(":")[2], [r["term"] for r in rows], {r["term"]: r["mu"] for r in rows},
+                            {r["term"]: r["sig"] for r in rows})
+    classes: dict[int, list] = {}
+    for r in rows:
+        classes.setdefault(r["class_idx"], []).append(r)       # the intercept first, then the terms in order
+    feats = [r["term"] for r in classes[0][1:]]
+    coef = [[r["coef"] for r in c[1:]] for c in classes.values()]
+    intercept = [c[0]["coef"] for c in classes.values()]
+    if kind == "softmax":
+        return SoftmaxParams([c[0]["class"] for c in classes.values()], feats, coef, intercept)
+    scaled = any(r["mu"] is not None for r in classes[0][1:])
+    mu, sig = ([r[x] for r in classes[0][1:]] if scaled else None for x in ("mu", "sig"))
+    return LogisticParams(feats, coef[0], intercept[0], mu, sig)
