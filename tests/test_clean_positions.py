@@ -83,3 +83,12 @@ def test_seeded_sample_deterministic(spark):
     b = [r["k"] for r in S.seeded_sample(df.repartition(7), "k", 10, 42).collect()]
     assert a == b and len(set(a)) == 10
     assert S.seeded_sample(df.limit(5), "k", 10).count() == 5
+
+
+def test_seeded_sample_cut_keeps_the_plain_top_rows(spark):
+    df = spark.range(20_000).select(F.when(F.col("id") < 8_000, F.lit(7)).otherwise(F.col("id")).alias("k"),
+                                    F.col("id").alias("v"))
+    df = df.unionByName(spark.createDataFrame([(None, -1)], "k long, v long"))
+    plain = df.orderBy(S.hash_order(["k"], 42), "k", "v").limit(50)
+    got = S.seeded_sample(df, "k", 50, 42, ties=["v"])
+    assert sorted(r["v"] for r in got.collect()) == sorted(r["v"] for r in plain.collect())
