@@ -10,7 +10,9 @@ hold for the span, words around it, length.  Dynamic programming over segment
 ends (semi-Markov Viterbi; forward-backward in training) chooses boundaries and
 types together.  An entity must hold a digit, ``@`` or the word "dot", so only
 *zones*, token runs near such an anchor, are decoded: outside of them every
-segmentation has the same, constant score.
+segmentation has the same, constant score.  Zones have no greatest length and
+reach as far as a segment can: long ones are decoded in blocks that hand their
+scores on, with the same result as decoding the text in one.
 
 Spans found by the field are added unless they overlap a base span; base spans
 always stay.  Weights are trained (conditional likelihood, AdaGrad) on zones of
@@ -29,7 +31,7 @@ independent of each other.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -44,9 +46,11 @@ BASE_KINDS = ["email", "ip", "card", "phone"]
 
 KINDS = [*BASE_KINDS, "secret"]
 MAX_TOKENS = 14
-#: A zone ends after this many tokens without an anchor.
+#: Longer spans can't be entities (characters).
+MAX_SPAN = 160
+#: Tokens before a span that its features look at.
 GAP = 4
-#: Longer zones are cut here, at a token that holds no anchor if there is one.
+#: Long zones are scored in blocks of this many first tokens; the best scores are carried over.
 MAX_ZONE = 240
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -113,27 +117,53 @@ _ANCHOR = re.compile(r"[0-9@]|\sdot\s")
 Token = tuple[int, int, str]
 
 
-def zones(text: str, margin: int = 60) -> Iterator[list[Token]]:
+def _word_edge(text: str, at: int, step: int) -> int:
+    """``at``, moved by ``step`` until it is not inside a word."""
+    while 0 < at < len(text) and text[at - 1].isalnum() and text[at].isalnum():
+        at += step
+    return at
+
+
+def _zone_begin(text: str, anchor: int, margin: int) -> int:
+    """Where the zone of an anchor begins: ``margin`` characters and then GAP whole tokens before it."""
+    at = _word_edge(text, max(0, anchor - margin), -1)
+    for _ in range(GAP):
+        while at and text[at - 1].isspace():
+            at -= 1
+        at = _word_edge(text, max(0, at - 1), -1)
+    return at
+
+
+def zone_ranges(text: str, margin: int = MAX_SPAN) -> Iterator[tuple[int, int]]:
+    """(begin, end) around digits and ``@``, apart from each other; no segment that may be an entity reaches out of one."""
+    begin, last, stop = -1, 0, 0
+    for m in _ANCHOR.finditer(text):
+        if begin >= 0:
+            if m.start() - margin > max(stop, last + margin) and last + margin > stop:
+                stop = _word_edge(text, last + margin, 1)
+            # stop only grows, so no word is walked again for each of its anchors
+            if m.start() - margin <= max(stop, last + margin):
+                last = m.end()
+                continue
+        own = _zone_begin(text, m.start(), margin)
+        if begin < 0:
+            begin = own
+        elif own >= stop:
+            yield begin, stop
+            begin = own
+        last = m.end()
+    if begin >= 0:
+        yield begin, max(stop, _word_edge(text, min(len(text), last + margin), 1))
+
+
+def zone_tokens(text: str, begin: int, end: int) -> Iterator[Token]:
+    return ((t.start(), t.end(), t.group()) for t in _TOKEN.finditer(text, begin, end))
+
+
+def zones(text: str, margin: int = MAX_SPAN) -> Iterator[list[Token]]:
     """Token lists around digits and ``@``; each anchor is in one zone."""
-    done, m = 0, _ANCHOR.search(text)
-    while m:
-        begin, end, at = max(done, m.start() - margin), m.end(), m.start()
-        while True:     # grow while anchors follow closely
-            nxt = _ANCHOR.search(text, end, min(len(text), end + margin))
-            if nxt is None or nxt.end() - begin > 40 * margin:
-                break
-            end = nxt.end()
-        stop = min(len(text), end + margin)
-        if begin > done:        # not inside a word
-            while begin < at and not text[begin - 1].isspace():
-                begin += 1
-        while stop < len(text) and stop > end and not text[stop].isspace():
-            stop -= 1
-        tokens = [(t.start() + begin, t.end() + begin, t.group()) for t in _TOKEN.finditer(text[begin:stop])]
-        for i in range(0, len(tokens), MAX_ZONE):
-            yield tokens[i:i + MAX_ZONE]
-        done = stop
-        m = _ANCHOR.search(text, stop)
+    for begin, end in zone_ranges(text, margin):
+        yield list(zone_tokens(text, begin, end))
 
 
 # ---- whole-span features ----------------------------------------------------
@@ -153,7 +183,7 @@ def span_features(text: str, tokens: list[Token], i: int, j: int) -> np.ndarray
     """Features of tokens i to j (exclusive) as one span; None for spans that can't be an entity."""
     s, e = tokens[i][0], tokens[j - 1][1]
     span = text[s:e]
-    if len(span) > 160 or "\n" in span:
+    if len(span) > MAX_SPAN or "\n" in span:
         return None
     digits = _only_digits(span)
     low = span.lower()
@@ -198,17 +228,23 @@ def span_features(text: str, tokens: list[Token], i: int, j: int) -> np.ndarray
     return f
 
 
-def candidates(text: str, tokens: list[Token]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first token, end token, features) of every segment that may be an entity."""
+def candidates(text: str, tokens: list[Token], since: int = 0, until: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first token, end token, features) of every segment that may be an entity and begins at tokens ``since`` to ``until``."""
     n = len(tokens)
-    anchored = [t[2].lower() == "dot" or bool(_ANCHOR.search(t[2])) for t in tokens]
-    held = np.concatenate(([0], np.cumsum(anchored)))
+    until = n if until is None else until
+    following, at = [n] * n, n      # the next token with an anchor
+    for i in range(n - 1, -1, -1):
+        if tokens[i][2].lower() == "dot" or _ANCHOR.search(tokens[i][2]):
+            at = i
+        following[i] = at
     first, last, feats = [], [], []
-    for i in range(n):
+    for i in range(since, until):
         if not tokens[i][2][0].isalnum() and tokens[i][2] not in "+(":
             continue
-        for j in range(i + 1, min(n, i + MAX_TOKENS) + 1):
-            if held[j] == held[i] or not tokens[j - 1][2][-1].isalnum():
+        for j in range(following[i] + 1, min(n, i + MAX_TOKENS) + 1):
+            if tokens[j - 1][1] - tokens[i][0] > MAX_SPAN:
+                break
+            if not tokens[j - 1][2][-1].isalnum():
                 continue
             f = span_features(text, tokens, i, j)
             if f is not None:
@@ -218,33 +254,59 @@ def candidates(text: str, tokens: list[Token]) -> tuple[np.ndarray, np.ndarray,
 
 # ---- the field --------------------------------------------------------------
 
-def decode(text: str, tokens: list[Token], weights: np.ndarray) -> list[tuple[int, int, int]]:
-    """Best segmentation of a zone: (start, kind number, end) spans.  Single tokens outside entities score 0."""
-    first, last, feats = candidates(text, tokens)
-    if not len(first):
-        return []
-    scores = feats @ weights.T
-    kind, gain = scores.argmax(1), scores.max(1)
-    n = len(tokens)
-    best, back = np.zeros(n + 1), [-1] * (n + 1)
-    ending: dict[int, list[int]] = {}
-    for c, j in enumerate(last.tolist()):
-        if gain[c] > 0:
-            ending.setdefault(j, []).append(c)
-    for j in range(1, n + 1):
-        best[j] = best[j - 1]
-        for c in ending.get(j, ()):
-            if best[first[c]] + gain[c] > best[j]:
-                best[j], back[j] = best[first[c]] + gain[c], c
-    out, j = [], n
-    while j > 0:
-        c = back[j]
-        if c < 0:
-            j -= 1
-        else:
-            out.append((tokens[first[c]][0], int(kind[c]), tokens[last[c] - 1][1]))
-            j = int(first[c])
-    return out[::-1]
+def _blocks(tokens: Iterable[Token]) -> Iterator[tuple[list[Token], int, int]]:
+    """(tokens, first, end): blocks of MAX_ZONE tokens first to end, with the tokens before and after that their segments need."""
+    held, lead = [], 0
+    for t in tokens:
+        held.append(t)
+        if len(held) == lead + MAX_ZONE + MAX_TOKENS:
+            yield held, lead, lead + MAX_ZONE
+            held, lead = held[lead + MAX_ZONE - GAP:], GAP
+    while lead < len(held):
+        end = min(len(held), lead + MAX_ZONE)
+        yield held, lead, end
+        held, lead = held[end - GAP if end > GAP else 0:], min(end, GAP)
+
+
+def decode(text: str, tokens: Iterable[Token], weights: np.ndarray) -> list[tuple[int, int, int]]:
+    """Best segmentation of a zone: (start, kind number, end) spans.  Single tokens outside entities score 0.
+
+    Scores and back pointers run on from block to block, and are let go where
+    no segment of positive score crosses the end of a block.
+    """
+    out = []
+    origin, done = 0, 0         # token numbers: of best[0], and of the block's first token
+    best, back = [0.0], [None]
+    ending: dict[int, list[tuple[int, float, tuple[int, int, int]]]] = {}
+    for held, lead, end in _blocks(tokens):
+        first, last, feats = candidates(text, held, lead, end)
+        if len(first):
+            scores = feats @ weights.T
+            kind, gain = scores.argmax(1), scores.max(1)
+            for c in np.flatnonzero(gain > 0).tolist():
+                i, j = int(first[c]), int(last[c])
+                ending.setdefault(done + j - lead, []).append(
+                    (done + i - lead, float(gain[c]), (held[i][0], int(kind[c]), held[j - 1][1])))
+        for j in range(done + 1, done + end - lead + 1):
+            value, chosen = best[-1], None
+            for i, g, span in ending.pop(j, ()):
+                if best[i - origin] + g > value:
+                    value, chosen = best[i - origin] + g, (i, span)
+            best.append(value)
+            back.append(chosen)
+        done += end - lead
+        if not ending:
+            found, j = [], done
+            while j > origin:
+                chosen = back[j - origin]
+                if chosen is None:
+                    j -= 1
+                else:
+                    found.append(chosen[1])
+                    j = chosen[0]
+            out += found[::-1]
+            origin, best, back = done, [0.0], [None]
+    return out
 
 
 def _gradient(zone, weights: np.ndarray) -> np.ndarray:
@@ -319,7 +381,7 @@ def labelled_zones(text: str, rng: np.random.Generator, most: int) -> list[tuple
             at = e
         versions.append(("".join([*made, text[at:]]), new))
     for body, marks in versions:
-        for tokens in list(zones(body))[:most]:
+        for tokens in list(zones(body, 60))[:most]:
             first, last, feats = candidates(body, tokens)
             where = {(tokens[i][0], tokens[j - 1][1]): c for c, (i, j) in enumerate(zip(first.tolist(), last.tolist()))}
             gold = np.zeros((len(first), len(KINDS)))
@@ -362,8 +424,8 @@ def all_spans(text: str, weights: np.ndarray | None) -> tuple[list, list]:
     if weights is None:
         return base, base
     added = []
-    for tokens in zones(text):
-        for s, k, e in decode(text, tokens, weights):
+    for begin, end in zone_ranges(text):
+        for s, k, e in decode(text, zone_tokens(text, begin, end), weights):
             if all(e <= b[0] or s >= b[2] for b in base):
                 added.append((s, k, e))
     return base, sorted(base + added)

@@ -123,6 +123,44 @@ def test_decode_is_the_best_segmentation():
             assert sum(spans[s, e] for s, _, e in semicrf.decode(text, tokens, w)) == pytest.approx(best(0))
 
 
+def test_no_zone_cuts_a_span():
+    """Zones, decoded in blocks, against the whole text as one zone: long lists, far marks, long words and gaps."""
+    r = random.Random(11)
+    rng = np.random.default_rng(4)
+    words = ["call", "phone", ":", "mail", "room", "x" * 70, "y" * 200, " " * 90, "\n", "at", " dot ", "host"]
+    for k in range(30):
+        share = (0.02, 0.3, 0.95)[k % 3]
+        text = " ".join(f"({r.randint(200, 999)}) {r.randint(200, 999)}-{r.randint(1000, 9999)}" if r.random() < share / 2
+                        else r.choice(["12.5", "a@b.cd", "4556 7375 8689 9855", "u@" + "z" * 90 + ".org"]) if r.random() < share
+                        else r.choice(words) for _ in range(400))
+        w = rng.normal(size=(len(semicrf.KINDS), semicrf.N_FEATURES))
+        whole = [(m.start(), m.end(), m.group()) for m in re.finditer(r"[^\W_]+|\S", text)]
+        first, last, feats = semicrf.candidates(text, whole)
+        gain = (feats @ w.T).max(1) if len(first) else np.zeros(0)
+        best = [0.0]
+        ends = {}
+        for c, j in enumerate(last.tolist()):
+            ends.setdefault(j, []).append(c)
+        for j in range(1, len(whole) + 1):
+            best.append(max([best[-1], *(best[first[c]] + gain[c] for c in ends.get(j, []))]))
+        value = {(whole[i][0], whole[j - 1][1]): g for i, j, g in zip(first.tolist(), last.tolist(), gain)}
+        found = [s for begin, end in semicrf.zone_ranges(text) for s in semicrf.decode(text, semicrf.zone_tokens(text, begin, end), w)]
+        assert all(a[2] <= b[0] for a, b in zip(found, found[1:]))
+        assert sum(value[s, e] for s, _, e in found) == pytest.approx(best[-1])
+
+
+def test_every_number_of_a_long_list_is_found():
+    w = np.zeros((len(semicrf.KINDS), semicrf.N_FEATURES))
+    w[:, 0] = -6
+    for name, value in (("brackets", 4), ("digits 10-15", 4), ("tokens", -1)):
+        w[3, semicrf.FEATURES.index(name)] = value
+    numbers = [f"({200 + i % 700}) {201 + i % 500}-{1000 + i}" for i in range(2000)]
+    text = " ".join(f"tel {n}" for n in numbers)
+    base, spans = semicrf.all_spans(text, w)
+    assert base == [] and [text[s:e] for s, _, e in spans] == numbers
+    assert list(semicrf.zone_ranges("1" + "a" * 200_000 + "1" + " " * 200_000 + "@")) != []
+
+
 def test_personal_data_edges(edge_docs, no_docs):
     w = semicrf.fit(edge_docs)
     got = semicrf.find_personal_data(edge_docs.select("doc_id", "text"), w).collect()
