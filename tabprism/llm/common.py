@@ -59,6 +59,28 @@ def strings(batch: pa.RecordBatch, name: str) -> list:
     return [v or "" for v in batch.column(name).to_pylist()]
 
 
+def first_rows(rows: DataFrame, known: DataFrame, most: int) -> tuple[DataFrame, dict[tuple, int]]:
+    """The first ``most`` rows of (_key, text) whose _key is in the small table ``known``: a fixed sample.
+
+    Order: hash of _key, _key, hash of text, then the other columns of ``known``.
+    Returns the distinct rows with their text hash ``_text`` and, by (_text, _key,
+    other columns), how often each counts.
+    """
+    extra = [c for c in known.columns if c != "_key"]
+    names = ["_text", "_key", *extra]
+    met = rows.join(F.broadcast(known), "_key").select(F.xxhash64("text").alias("_text"), "_key", *extra, "text")
+    counted = (met.groupBy(*names).agg(F.count(F.lit(1)).alias("_n"))
+               .orderBy(F.xxhash64("_key"), "_key", "_text", *extra).limit(most).collect())
+    counts, left = {}, most
+    for r in counted:
+        if left > 0:
+            counts[tuple(r[c] for c in names)] = min(left, r["_n"])
+            left -= r["_n"]
+    spark, schema = rows.sparkSession, met.select(*names).schema
+    chosen = F.broadcast(spark.createDataFrame(list(counts), schema))
+    return met.join(chosen, names, "left_semi").distinct(), counts
+
+
 def size_partitions(df: DataFrame, weight: Column, per_partition: int) -> int:
     """Partitions that hold about ``per_partition`` of ``weight`` each (one small aggregate)."""
     total = df.agg(F.sum(weight).alias("w")).first()["w"] or 0

@@ -19,7 +19,8 @@ the driver.  Scoring is one pass over whole texts.
 Defined results: null and empty texts have no features and get the score of
 the bias; null labels and labels other than 0 and 1 are not learned from;
 without two classes in the sample the score is the share of class 1 (0.5
-without any row); repeated ids are learned once per row.
+without any row); repeated ids are learned once per row, up to 2 * ``max_rows``
+rows: the first by id hash, id and text hash.
 """
 
 from __future__ import annotations
@@ -31,9 +32,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import BinaryType, DoubleType, IntegerType, StructField, StructType
 
-from tabprism.llm.common import map_batches, strings
+from tabprism.llm.common import first_rows, map_batches, strings
 
 #: How many words a task remembers before it starts again.
 VOCABULARY = 600_000
@@ -208,7 +209,10 @@ def training_rows(docs: DataFrame, labels: DataFrame, key: str, text: str, label
     known = (labels.select(F.col(key).alias("_key"), F.col(label).cast("int").alias("_y"))
              .where(F.col("_key").isNotNull() & F.col("_y").isin(0, 1))
              .orderBy(F.xxhash64("_key"), "_key", "_y").limit(max_rows))
-    picked = docs.select(F.col(key).alias("_key"), F.col(text).alias("text")).join(F.broadcast(known), "_key")
+    picked, counts = first_rows(docs.select(F.col(key).alias("_key"), F.col(text).alias("text")), known, 2 * max_rows)
+
+    schema = StructType([picked.schema["_text"], picked.schema["_key"], StructField("y", IntegerType()), StructField("cols", BinaryType())])
+    names = schema.names
 
     def run(batch):
         words = Vocabulary()
@@ -216,9 +220,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, key: str, text: str, label
         # evenly spaced columns of the hashed, sorted set: a fixed sample of a very long text's features
         cols = [c if len(c) <= max_features else c[np.linspace(0, len(c) - 1, max_features).astype(np.int64)] for c in cols]
         yield pa.RecordBatch.from_arrays(
-            [batch.column("_y"), pa.array([c.astype("<i4").tobytes() for c in cols], pa.binary())], ["y", "cols"])
+            [*(batch.column(c) for c in ("_text", "_key", "_y")), pa.array([c.astype("<i4").tobytes() for c in cols], pa.binary())], names)
 
-    made = map_batches(picked, run, "y int, cols binary").limit(2 * max_rows).collect()
+    made = [r for r in map_batches(picked, run, schema).collect() for _ in range(counts[tuple(r)[:3]])]
     made.sort(key=lambda r: (r["y"], r["cols"]))
     return [np.frombuffer(r["cols"], "<i4").astype(np.int64) for r in made], np.array([r["y"] for r in made], np.int64)
 

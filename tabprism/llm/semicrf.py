@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from tabprism.llm.common import map_batches, strings
+from tabprism.llm.common import first_rows, map_batches, strings
 
 #: The kinds of the base patterns, in the order of the digest.
 BASE_KINDS = ["email", "ip", "card", "phone"]
@@ -395,10 +395,12 @@ def labelled_zones(text: str, rng: np.random.Generator, most: int) -> list[tuple
 
 
 def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", max_rows: int = 300, zones_per_text: int = 4) -> np.ndarray | None:
-    """Train on the ``max_rows`` texts with a digit or ``@`` whose id hashes are smallest."""
+    """Train on the ``max_rows`` texts with a digit or ``@`` whose id hashes are smallest (of repeated ids twice as many rows at most)."""
     ids = (docs.where(F.col(text).rlike(r"[0-9@]|\sdot\s")).select(F.col(key).alias("_key")).where(F.col("_key").isNotNull())
            .orderBy(F.xxhash64("_key"), "_key").limit(max_rows))
-    picked = docs.select(F.col(key).alias("_key"), F.col(text).alias("text")).join(F.broadcast(ids), "_key")
+    picked, counts = first_rows(docs.select(F.col(key).alias("_key"), F.col(text).alias("text")), ids, 2 * max_rows)
+    schema = StructType([picked.schema["_text"], picked.schema["_key"], StructField("t", StringType())])
+    names = schema.names
 
     # only the neighbourhoods of matches and numbers reach the driver
     def run(batch):
@@ -411,9 +413,9 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", max_rows: int
                     keep.append(t[max(0, m - 80):m + 160])
                     end = m + 160
             cut.append("\n".join(keep))
-        yield pa.RecordBatch.from_arrays([pa.array(cut, pa.string())], ["t"])
+        yield pa.RecordBatch.from_arrays([batch.column("_text"), batch.column("_key"), pa.array(cut, pa.string())], names)
 
-    sample = sorted(r["t"] for r in map_batches(picked, run, "t string").limit(2 * max_rows).collect())
+    sample = sorted(r["t"] for r in map_batches(picked, run, schema).collect() for _ in range(counts[tuple(r)[:2]]))
     rng = np.random.default_rng(3)
     return train([z for t in sample for z in labelled_zones(t, rng, zones_per_text)])
 

@@ -210,6 +210,19 @@ def test_classifier_bound_and_edges(spark, edge_docs, no_docs):
     assert nbsvm.score(no_docs, model).collect() == []
 
 
+def test_training_sample_is_the_same_in_any_layout(spark):
+    """Ids that repeat more often than the bound allows: the same rows whatever the partitions."""
+    rows = [(i % 3, f"word{i} text number {i} of 12 mail u{i}@m{i}.org") for i in range(90)]
+    labels = spark.createDataFrame([(0, 0), (1, 1), (2, 1)], "doc_id long, quality int")
+    seen, fields = [], []
+    for order, parts in ((rows, 1), (rows[::-1], 5), (rows[45:] + rows[:45], 3)):
+        docs = spark.createDataFrame(order, "doc_id long, text string").repartition(parts)
+        cols, y = nbsvm.training_rows(docs, labels, "doc_id", "text", "quality", 3, 12, 1000)
+        seen.append(([c.tolist() for c in cols], y.tolist()))
+        fields.append(semicrf.fit(docs, max_rows=3).tolist())
+    assert len(seen[0][1]) == 6 and seen[0] == seen[1] == seen[2] and fields[0] == fields[1] == fields[2]
+
+
 def test_dual_coordinate_descent_reaches_the_optimum():
     """Duality gap of the hinge-loss problem closes."""
     rng = np.random.default_rng(0)
