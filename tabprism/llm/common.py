@@ -23,14 +23,15 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, ASCII_UPPER, ASCII_LOWER)
 
 
-def materialise(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
+def materialise(df: DataFrame, name: str, compression: str = "zstd", partition_by: str | None = None) -> DataFrame:
     """Write ``df`` into the session's shared folder and read it back.
 
     Cuts lineage with a table that outlives any executor; later jobs read
-    only the columns they use.
+    only the columns they use.  ``partition_by`` names a column with a folder per value.
     """
     path = scratch_path(df.sparkSession, name)
-    df.write.option("compression", compression).parquet(path)
+    write = df.write.option("compression", compression)
+    (write.partitionBy(partition_by) if partition_by else write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

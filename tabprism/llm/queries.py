@@ -1,4 +1,4 @@
-"""Registered queries of the ten operators: one thin query each, over whole tables."""
+"""Registered queries of the operators: one thin query each, over whole tables."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabprism.llm import (line_rules, mixing, multiset_hash, nbsvm, packing, repeats, semicrf, simhash, sql, url_rules,
+from tabprism.llm import (exact, line_rules, mixing, multiset_hash, nbsvm, packing, repeats, semicrf, simhash, sql, url_rules,
                           warc)
 from tabprism.sources.scratch import scratch_path
 from tabprism.sources.tables import read_table
@@ -128,3 +128,9 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Host rule and verdict of every page's URL."""
     return url_rules.judge_urls(read_table(spark, sf_dir, "pages"), "page_id", "url", HOST_RULES, PATTERN_RULES).drop("pattern")
+
+
+@register("op13_grace_dedup", sql.op13())
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Group of equal texts of every document, and whether it stays."""
+    return exact.find_groups(read_table(spark, sf_dir, "documents"))

@@ -110,3 +110,12 @@ SELECT page_id, host, path, CASE {' '.join(f"WHEN {c} THEN '{r}'" for c, r, _ in
   WHEN {any_of(True)} THEN 'allow' WHEN {any_of(False)} THEN 'block' ELSE 'allow' END AS verdict
 FROM h
 """
+
+
+def op13() -> str:
+    return """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)
+SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
+  row_number() OVER (PARTITION BY t ORDER BY doc_id DESC) = 1 AS kept, sha256(t) AS text_sha256
+FROM d
+"""
