@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabprism.llm import (exact, line_rules, mixing, multiset_hash, nbsvm, packing, repeats, semicrf, simhash, sql, url_rules,
-                          warc)
+from tabprism.llm import (alignment, exact, line_rules, mixing, multiset_hash, nbsvm, packing, repeats, semicrf, simhash, sql, url_rules,
+                          warc, whitening)
 from tabprism.sources.scratch import scratch_path
 from tabprism.sources.tables import read_table
 
@@ -31,10 +31,10 @@ def register(name: str, oracle: str | None = None):
     return keep
 
 
-def tokenizer_path() -> str:
-    """Place of the public byte-level BPE vocabulary."""
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    """Place of a public vocabulary, the byte-level BPE one by default."""
     import public_tokenizers
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
 
 
 @register("op1_line_frequency", sql.op1(max_docs_per_host=20, min_kept_share=0.3))
@@ -130,6 +130,18 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge_urls(read_table(spark, sf_dir, "pages"), "page_id", "url", HOST_RULES, PATTERN_RULES).drop("pattern")
 
 
+@register("op11_csr_alignment")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token groups and overlap links of every document under two tokenizers."""
+    return alignment.align(read_table(spark, sf_dir, "documents"), tokenizer_path(), tokenizer_path("piece_bpe_32k.model"))
+
+
+@register("op12_weighted_whitening")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whitened leading components of every usable vector."""
+    return whitening.whiten(read_table(spark, sf_dir, "embeddings"), components=4, weights="one")
+
+
 @register("op13_grace_dedup", sql.op13())
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Group of equal texts of every document, and whether it stays."""
