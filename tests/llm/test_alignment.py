@@ -2,6 +2,7 @@
 
 import hashlib
 from collections import Counter, defaultdict
+from functools import lru_cache
 
 import numpy as np
 import pytest
@@ -25,13 +26,18 @@ def spans(tokens):
     return out
 
 
-def slow_tokens(text):
-    """(id, start, end) under both, straight from the libraries; none where bytes differ."""
+@lru_cache
+def libraries():
     import sentencepiece
     from tokenizers import Tokenizer
     a_tok = Tokenizer.from_file(PATHS[0])
     a_tok.encode_special_tokens = True
-    b_tok = sentencepiece.SentencePieceProcessor(model_file=PATHS[1])
+    return a_tok, sentencepiece.SentencePieceProcessor(model_file=PATHS[1])
+
+
+def slow_tokens(text):
+    """(id, start, end) under both, straight from the libraries; none where bytes differ."""
+    a_tok, b_tok = libraries()
     byte = {c: b for b, c in enumerate(alignment.byte_alphabet())}
     if not text:
         return [], []
