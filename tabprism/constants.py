@@ -19,6 +19,7 @@ IQR_FENCE = 1.5               # outlier fences at q1 − 1.5·IQR and q3 + 1.5·
 CURVE_BINS = 15               # equal-width bins of the class-rate curve
 CUT_WIDENING = 0.001          # low edge widened by this fraction of the range
 KDE_GRID = 200                # grid points of a density curve
+KDE_BINS = 16                 # bins per bandwidth of a binned density curve
 GRID_SIZE = 200               # cells per axis of the decision grid
 GRID_PAD_X = 0.5              # padding of the first grid feature's range
 GRID_PAD_Y = 5.0              # padding of the second grid feature's range

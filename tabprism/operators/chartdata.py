@@ -13,15 +13,15 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabprism.functions.expressions import rnd
 from tabprism.operators.models import partial_sums
 from tabprism.operators.positions import sized_side
-from tabprism.operators.quantiles import quantiles
-from tabprism.operators.stats import to_long
-from tabprism.constants import CURVE_BINS, CUT_WIDENING, IQR_FENCE, KDE_GRID
+from tabprism.operators.quantiles import quantiles, select_quantiles
+from tabprism.operators.stats import column_stats, to_long
+from tabprism.constants import CURVE_BINS, CUT_WIDENING, IQR_FENCE, KDE_BINS, KDE_GRID
 
 QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
 
@@ -47,36 +47,47 @@ def auto_bins(n: int, lo: float, hi: float, q1: float, q3: float) -> tuple[float
     return lo, hi, int(math.ceil((hi - lo) / width))
 
 
-def _edge(i: Column, lo: float, hi: float, k: int) -> Column:
+def _edge(i: Column, lo: Column, hi: Column, k: Column) -> Column:
     """numpy.linspace(lo, hi, k + 1)[i]."""
-    step = (hi - lo) / k
-    return F.when(i >= k, F.lit(hi)).otherwise(i.cast("double") * F.lit(step) + F.lit(lo))
+    return F.when(i >= k, hi).otherwise(i.cast("double") * ((hi - lo) / k) + lo)
 
 
-def histogram_auto(df: DataFrame, col: str) -> DataFrame:
-    """V2: bins (index, edges, count) with numpy's 'auto' bin count; empty bins kept.
+def _bin_of(x: Column, lo: Column, hi: Column, k: Column) -> Column:
+    """numpy's bin of ``x``: floor of the scaled offset, last bin closed, then the one-ulp corrections against the edges."""
+    i = F.floor(((x - lo) / (hi - lo)) * k).cast("long")
+    i = F.when(i == k, k - 1).otherwise(i)
+    i = F.when(x < _edge(i, lo, hi, k), i - 1).otherwise(i)
+    return F.when((x >= _edge(i + 1, lo, hi, k)) & (i != k - 1), i + 1).otherwise(i)
+
 
-    Bin index reproduces numpy: floor of the scaled offset, last bin closed,
-    then the one-ulp edge corrections against the linspace edges.
+def histogram_columns(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """V2: bins (column_name, index, edges, count) of several columns with numpy's 'auto' bin count; empty bins kept.
+
+    One aggregate and one quantile selection fit every column's edges, one more
+    pass bins all columns at once.  A column without values has one empty bin.
     """
-    x = F.col(col).cast("double")
-    d = df.select(x.alias("_x")).where(_finite(F.col("_x")))
-    st = d.agg(F.count(F.lit(1)).alias("n"), F.min("_x").alias("lo"), F.max("_x").alias("hi")).first()
-    q = quantiles(d, ["_x"], {"q1": 0.25, "q3": 0.75}).first()
-    lo, hi, k = auto_bins(st["n"], st["lo"], st["hi"], q["q1"], q["q3"]) if st["n"] else (0.0, 1.0, 1)
-    xv = F.col("_x")
-    idx = F.floor(((xv - F.lit(lo)) / F.lit(hi - lo)) * F.lit(k)).cast("long")
-    idx = F.when(idx == k, F.lit(k - 1)).otherwise(idx)
-    idx = F.when(xv < _edge(idx, lo, hi, k), idx - 1).otherwise(idx)
-    idx = F.when((xv >= _edge(idx + 1, lo, hi, k)) & (idx != k - 1), idx + 1).otherwise(idx)
-    counts = d.select(idx.alias("bin")).groupBy("bin").agg(F.count(F.lit(1)).alias("n"))
-    bins = df.sparkSession.range(k).withColumnRenamed("id", "bin")
-    out = bins.join(counts, "bin", "left")
-    return out.select("bin", _edge(F.col("bin"), lo, hi, k).alias("lo_edge"),
-                      _edge(F.col("bin") + 1, lo, hi, k).alias("hi_edge"),
+    cols = list(cols)
+    st = {r["column_name"]: r for r in column_stats(df, cols, {"n": F.count, "lo": F.min, "hi": F.max}).collect()}
+    rows = []
+    for c, (q1, q3) in zip(cols, select_quantiles(df, cols, [0.25, 0.75])):
+        lo, hi, k = auto_bins(st[c]["n"], st[c]["lo"], st[c]["hi"], q1, q3)
+        rows.append((c, lo, hi, k))
+    bins = [F.when(_finite(x), F.struct(F.lit(c).alias("_c"), _bin_of(x, F.lit(lo), F.lit(hi), F.lit(k).cast("long")).alias("_b")))
+            for c, lo, hi, k in rows for x in [F.col(c).cast("double")]]
+    counts = df.select(F.inline(F.filter(F.array(*bins), lambda b: b.isNotNull()))).groupBy("_c", "_b").agg(F.count(F.lit(1)).alias("n"))
+    edges = df.sparkSession.createDataFrame(rows, "column_name string, lo double, hi double, k bigint")
+    grid = edges.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("k") - 1)).alias("bin"))
+    out = grid.join(counts, (F.col("column_name") == F.col("_c")) & (F.col("bin") == F.col("_b")), "left")
+    b, lo, hi, k = (F.col(c) for c in ("bin", "lo", "hi", "k"))
+    return out.select("column_name", "bin", _edge(b, lo, hi, k).alias("lo_edge"), _edge(b + 1, lo, hi, k).alias("hi_edge"),
                       F.coalesce(F.col("n"), F.lit(0)).cast("bigint").alias("n"))
 
 
+def histogram_auto(df: DataFrame, col: str) -> DataFrame:
+    """V2: bins (index, edges, count) of one column with numpy's 'auto' bin count; empty bins kept."""
+    return histogram_columns(df, [col]).drop("column_name")
+
+
 # ---------------------------------------------------------------- V3 KDE
 def kde_curve(df: DataFrame, col: str, gridsize: int = KDE_GRID, cut: float = 0.0,
               digits: int | None = 9) -> DataFrame:
@@ -84,7 +95,8 @@ def kde_curve(df: DataFrame, col: str, gridsize: int = KDE_GRID, cut: float = 0.
 
     Bandwidth: Scott's factor n^(-1/5) times the sample standard deviation.
     One scan sums the kernels of every grid point inside the tasks; a partition
-    sends on ``gridsize`` numbers and no value is shuffled.
+    sends on ``gridsize`` numbers and no value is shuffled.  Exact, at
+    ``gridsize`` kernels a row; ``density_curves`` takes two additions a row.
     """
     x = F.col(col).cast("double")
     d = df.select(x.alias("_x")).where(_finite(F.col("_x")))
@@ -108,6 +120,59 @@ def kde_curve(df: DataFrame, col: str, gridsize: int = KDE_GRID, cut: float = 0.
     return curve if digits is None else curve.withColumn("density", rnd("density", digits))
 
 
+def density_curves(df: DataFrame, cols: Sequence[str], by: str | None = None, gridsize: int = KDE_GRID, cut: float = 0.0,
+                   common_norm: bool = False, per_bandwidth: int = KDE_BINS, digits: int | None = 9) -> DataFrame:
+    """V3/V9 diagonal: Gaussian density curves of several columns, per class with ``by``: (by, column_name, point, x, density).
+
+    Bandwidth: Scott's factor of the group's rows.  Each value is shared
+    linearly between the two nearest of bins one ``per_bandwidth``-th of the
+    bandwidth wide (error about 1 / (8·per_bandwidth²) of the density); bins are
+    summed before the shuffle, and only bins meet grid points, within nine
+    bandwidths.  So a row costs two additions, whatever the grid.  With
+    ``common_norm`` a column's curves over all classes enclose 1 together.
+    Groups with fewer than two distinct values have no curve.
+    """
+    cols, groups = list(cols), [by] if by else []
+    keys = [*groups, "column_name"]
+    st = column_stats(df, cols, {"_n": F.count, "_lo": F.min, "_hi": F.max, "_sd": F.stddev_samp}, by=groups, index_col=None)
+    n = F.col("_n").cast("double")
+    bw = F.col("_sd") * F.pow(n, F.lit(-1.0 / 5.0))
+    st = st.where(F.col("_sd") > 0).withColumn("_bw", bw)
+    total = F.sum(n).over(Window.partitionBy("column_name")) if common_norm else n     # one row per column and class
+    fits = sized_side(st.select(*[F.col(c).alias(f"_f{i}") for i, c in enumerate(keys)], "_lo", "_bw", (F.col("_bw") / per_bandwidth).alias("_w"),
+                                (F.col("_lo") - cut * F.col("_bw")).alias("_g0"), (F.col("_hi") + cut * F.col("_bw")).alias("_g1"),
+                                (total * F.col("_bw") * math.sqrt(2 * math.pi)).alias("_norm")))
+    on = [F.col(c).eqNullSafe(F.col(f"_f{i}")) for i, c in enumerate(keys)]
+    long = to_long(df, cols, keep=groups, value_col="_x").where(_finite(F.col("_x"))).join(fits, on)
+    u = (F.col("_x") - F.col("_lo")) / F.col("_w")
+    low = F.floor(u)
+    bins = (long.select(*keys, F.inline(F.array(F.struct(low.alias("_j"), (1 - (u - low)).alias("_m")),
+                                                F.struct((low + 1).alias("_j"), (u - low).alias("_m")))))
+            .groupBy(*keys, "_j").agg(F.sum("_m").alias("_m")))
+    at, step = F.col("_lo") + F.col("_j") * F.col("_w"), (F.col("_g1") - F.col("_g0")) / (gridsize - 1)
+    reach = 9 * F.col("_bw")
+    first = F.greatest(F.lit(0).cast("bigint"), F.ceil((at - reach - F.col("_g0")) / step))
+    last = F.least(F.lit(gridsize - 1).cast("bigint"), F.floor((at + reach - F.col("_g0")) / step))
+    met = bins.join(fits, on).where(first <= last).select(*keys, "_m", at.alias("_at"), "_bw", "_g0", "_g1", F.explode(F.sequence(first, last)).alias("point"))
+
+    def place(point):
+        return F.when(point == gridsize - 1, F.col("_g1")).otherwise(point * ((F.col("_g1") - F.col("_g0")) / (gridsize - 1)) + F.col("_g0"))
+
+    kernel = F.col("_m") * F.exp(-0.5 * F.pow((place(F.col("point")) - F.col("_at")) / F.col("_bw"), F.lit(2.0)))
+    sums = met.groupBy(*keys, "point").agg(F.sum(kernel).alias("_s"))
+    grid = fits.withColumn("_p", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(gridsize - 1).cast("bigint"))))
+    density = F.coalesce(F.col("_s"), F.lit(0.0)) / F.col("_norm")
+    return (grid.join(sums, [*on, F.col("_p") == F.col("point")], "left")
+            .select(*[F.col(f"_f{i}").alias(c) for i, c in enumerate(keys)], F.col("_p").alias("point"),
+                    *[(rnd(v, digits) if digits is not None else v).alias(c) for c, v in (("x", place(F.col("_p"))), ("density", density))]))
+
+
+def pair_diagonal(df: DataFrame, cols: Sequence[str], class_col: str, digits: int | None = 9) -> DataFrame:
+    """V9: the curves on the diagonal of a pair plot: one per column and class, three bandwidths past its
+    ends, scaled by the class's share of the rows."""
+    return density_curves(df, cols, by=class_col, cut=3.0, common_norm=True, digits=digits)
+
+
 # ---------------------------------------------------------------- V4–V6 box summaries
 def box_summary(df: DataFrame, cols: Sequence[str], by: str | None = None, k: float = IQR_FENCE,
                 digits: int | None = 6) -> DataFrame:

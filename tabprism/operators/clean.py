@@ -17,7 +17,7 @@ def _missing(c: str, dtype: str):
     return m | F.isnan(F.col(c)) if dtype in ("double", "float") else m
 
 
-def fit_medians(df: DataFrame, cols: Sequence[str], quantile_method: str = "rank") -> dict[str, float | None]:
+def fit_medians(df: DataFrame, cols: Sequence[str], quantile_method: str = "select") -> dict[str, float | None]:
     """Median (linear interpolation, missing ignored) of each listed column present in ``df``.
 
     Absent columns are skipped.  One quantile pass; the result has one value

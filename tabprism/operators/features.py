@@ -64,7 +64,7 @@ def fit_standard(df: DataFrame, cols: Sequence[str]) -> ScalerParams:
     return p
 
 
-def fit_robust(df: DataFrame, cols: Sequence[str], quantile_method: str = "rank") -> ScalerParams:
+def fit_robust(df: DataFrame, cols: Sequence[str], quantile_method: str = "select") -> ScalerParams:
     rows = quantiles(df, cols, {"q1": 0.25, "median": 0.5, "q3": 0.75}, method=quantile_method).collect()
     p = ScalerParams("robust", list(cols))
     for r in rows:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabprism.functions.expressions import clip, rnd
+from tabprism.functions.expressions import clip, nan_to_null, rnd
 from tabprism.operators.positions import partition_totals, ranged_running_sum
 from tabprism.operators.stats import to_long
 from tabprism.constants import CLASS_THRESHOLD
@@ -17,13 +17,17 @@ EPS = 2.220446049250313e-16
 
 
 def regression_metrics(df: DataFrame, y: str, yhat: str, digits: int = 4) -> DataFrame:
-    """Mse, rmse, mae, r2 (0 when the actual values are constant), n — one pass."""
-    e = F.col(y).cast("double") - F.col(yhat).cast("double")
-    a = df.agg(F.avg(e * e).alias("mse"), F.avg(F.abs(e)).alias("mae"),
-               F.sum(e * e).alias("_ssr"),
-               (F.var_pop(F.col(y).cast("double")) * F.count(F.col(y))).alias("_sst"),
-               F.count(F.lit(1)).alias("n"))
-    r2 = F.when(F.col("_sst") != 0, F.lit(1.0) - F.col("_ssr") / F.col("_sst")).otherwise(F.lit(0.0))
+    """Mse, rmse, mae, r2 (0 when the actual values are constant), n — one pass.
+
+    Rows that miss the value or the prediction (NULL or NaN) count in no figure;
+    with no row left every figure is NULL and n is 0.
+    """
+    known = df.select(nan_to_null(F.col(y).cast("double")).alias("_y"), nan_to_null(F.col(yhat).cast("double")).alias("_p"))
+    e = F.col("_y") - F.col("_p")
+    a = known.where(F.col("_y").isNotNull() & F.col("_p").isNotNull()).agg(
+        F.avg(e * e).alias("mse"), F.avg(F.abs(e)).alias("mae"), F.sum(e * e).alias("_ssr"),
+        (F.var_pop("_y") * F.count("_y")).alias("_sst"), F.count(F.lit(1)).alias("n"))
+    r2 = F.when(F.col("_sst") != 0, F.lit(1.0) - F.col("_ssr") / F.col("_sst")).when(F.col("n") > 0, F.lit(0.0))
     return a.select(rnd("mse", digits).alias("mse"), rnd(F.sqrt("mse"), digits).alias("rmse"),
                     rnd("mae", digits).alias("mae"), rnd(r2, digits).alias("r2"), "n")
 
@@ -34,10 +38,13 @@ def classification_metrics(df: DataFrame, y: str, prob: str, threshold: float =
 
     The predicted class is ``prob >= threshold`` unless a ``pred`` column is
     given.  F1 is computed from the 2-dp percentages, as the reference does.
+    Rows without a class or probability (NULL or NaN) are in no cell; with no
+    row left accuracy and log-loss are NULL, the other rates 0.
     """
-    yy = F.col(y).cast("double")
-    p = clip(F.col(prob).cast("double"), EPS, 1 - EPS)
-    yp = F.col(pred).cast("double") if pred else (F.col(prob) >= threshold).cast("double")
+    yy = nan_to_null(F.col(y).cast("double"))
+    raw = nan_to_null(F.col(prob).cast("double"))
+    p = clip(raw, EPS, 1 - EPS)
+    yp = F.col(pred).cast("double") if pred else (raw >= threshold).cast("double")
     # rows without a probability or class are in no cell, so they don't count
     a = df.where(yy.isNotNull() & p.isNotNull()).agg(F.count(F.lit(1)).alias("n"),
                F.count_if((yp == 1) & (yy == 1)).alias("tp"),
@@ -49,7 +56,7 @@ def classification_metrics(df: DataFrame, y: str, prob: str, threshold: float =
     prec = F.when(tp + fp > 0, F.round(tp / (tp + fp) * 100, 2)).otherwise(F.lit(0.0))
     rec = F.when(tp + fn > 0, F.round(tp / (tp + fn) * 100, 2)).otherwise(F.lit(0.0))
     out = a.select("n", "tp", "tn", "fp", "fn",
-                   rnd((tp + tn) / F.col("n") * 100, 2).alias("accuracy"),
+                   rnd(F.try_divide(tp + tn, F.col("n")) * 100, 2).alias("accuracy"),
                    rnd("_ll", 4).alias("log_loss"), (prec + 0.0).alias("precision"),
                    (rec + 0.0).alias("recall"))
     f1 = F.when(F.col("precision") + F.col("recall") > 0,

@@ -17,7 +17,7 @@ of the reference's objective (C = 1).
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -55,8 +55,11 @@ class Prepared:
 
 def prepare(df: DataFrame, features: Sequence[str], target: str, order_by: Sequence[str] | str,
             train_fraction: float = TRAIN_FRACTION, keep: Sequence[str] = (),
-            coerce_target: bool = True) -> Prepared:
-    """Select → coerce to numbers → drop incomplete rows → positional split.
+            coerce_target: bool = True, exclude: str | None = None) -> Prepared:
+    """Select → leave out flagged rows → coerce to numbers → drop incomplete rows → positional split.
+
+    ``exclude`` names a 0/1 (or boolean) column; rows flagged 1 take no part in
+    the fit or its validation, rows with a missing flag do.
 
     Positions are taken after cleaning (first floor(0.8·n) rows are train),
     as the reference does.  The numbered frame is checkpointed by
@@ -67,6 +70,8 @@ def prepare(df: DataFrame, features: Sequence[str], target: str, order_by: Seque
     tgt = to_double(target) if coerce_target else F.col(target)
     # a key that is also a feature is carried once, as the (double) feature
     key_cols = [k for k in keys if k not in feats and k != target]
+    if exclude is not None:
+        df = df.where(F.coalesce(F.col(exclude).cast("double"), F.lit(0.0)) != 1)
     d = df.select(*key_cols, *[to_double(c).alias(c) for c in feats], tgt.alias(target),
                   *[c for c in keep if c not in keys and c not in feats and c != target])
     d = d.dropna(how="any", subset=[*feats, target])
@@ -146,7 +151,7 @@ class LinearParams:
     extra: dict = field(default_factory=dict)
 
     def z(self, j: int, fill_missing: float | None = None) -> Column:
-        x = F.col(self.features[j]).cast("double")
+        x = nan_to_null(F.col(self.features[j]).cast("double"))
         if fill_missing is not None:
             x = F.coalesce(x, F.lit(float(fill_missing)))
         return (x - F.lit(self.mu[j])) / F.lit(self.sig[j])
@@ -312,6 +317,125 @@ class LogisticParams:
         return sigmoid(clip(self.z(), -Z_CLIP, Z_CLIP))
 
 
+class NewtonFit:
+    """One penalised maximum-likelihood fit, advanced by gradient and Hessian sums over the rows.
+
+    ``sums(Z, y, beta)`` gives a batch's gradient, Hessian and loss as one vector;
+    ``pen`` is the penalty per parameter.  A step that raises the loss is halved.
+    """
+
+    def __init__(self, name: str, column: str, beta: np.ndarray, pen: np.ndarray, sums):
+        self.name, self.column, self.beta, self.pen, self.sums = name, column, beta, pen, sums
+        self.last: tuple | None = None
+        self.steps, self.done = 0, False
+
+    def advance(self, total: np.ndarray, tol: float) -> None:
+        k = len(self.beta)
+        self.steps += 1
+        loss = float(total[-1] + 0.5 * (self.pen * self.beta * self.beta).sum())
+        if self.last is not None and loss > self.last[1] + 1e-10 * (1.0 + abs(self.last[1])):
+            before = self.last[0]
+            self.beta = (before + self.beta) / 2.0          # the step overshot: halve it
+            if np.max(np.abs(self.beta - before)) <= tol * (1.0 + np.max(np.abs(self.beta))):
+                self.beta, self.done = before, True
+            return
+        self.last = (self.beta, loss)
+        gradient = total[:k] + self.pen * self.beta
+        step = np.linalg.lstsq(total[k:-1].reshape(k, k) + np.diag(self.pen), gradient, rcond=None)[0]
+        self.beta = self.beta - step
+        self.done = bool(np.max(np.abs(step)) <= tol * (1.0 + np.max(np.abs(self.beta))))
+
+
+def newton(design: DataFrame, inputs: Sequence[str], fits: Sequence[NewtonFit], max_iter: int = 100, tol: float = 1e-8) -> None:
+    """Advance several fits over one design together: one pass over the rows per round serves all that aren't done."""
+    p = len(inputs)
+    for _ in range(max_iter):
+        open_fits = [f for f in fits if not f.done]
+        if not open_fits:
+            return
+        parts = [(f.sums, f.beta.copy()) for f in open_fits]
+
+        def stacked(m, parts=parts):
+            z = np.hstack([np.ones((len(m), 1)), m[:, :p]])
+            return np.concatenate([sums(z, m[:, p + i], beta) for i, (sums, beta) in enumerate(parts)])
+
+        total = partial_sums(design, [*inputs, *[f.column for f in open_fits]], stacked)
+        if total is None:
+            break
+        for f in open_fits:
+            size = len(f.beta) + len(f.beta) ** 2 + 1
+            f.advance(total[:size], tol)
+            total = total[size:]
+    if missing := [f.name for f in fits if not f.done]:
+        raise RuntimeError(f"{', '.join(missing)} did not converge in {max_iter} Newton steps")
+
+
+def _logistic_sums(z: np.ndarray, y: np.ndarray, beta: np.ndarray) -> np.ndarray:
+    u = z @ beta
+    pr = 1.0 / (1.0 + np.exp(-np.clip(u, -Z_CLIP, Z_CLIP)))
+    loss = (np.logaddexp(0.0, u) - y * u).sum()
+    return np.concatenate([z.T @ (pr - y), ((z * (pr * (1.0 - pr))[:, None]).T @ z).ravel(), [loss]])
+
+
+@dataclass
+class Design:
+    """Standardised inputs of several fits (columns ``_z1``.. and one per target), persisted while they run."""
+
+    frame: DataFrame
+    features: list[str]
+    mu: list[float]
+    sd: list[float]
+    span: list[float]                  # max − min, 1 for a constant feature
+    facts: dict                        # further aggregates of the training rows
+
+    @property
+    def inputs(self) -> list[str]:
+        return [f"_z{j + 1}" for j in range(len(self.features))]
+
+    def raw(self, beta) -> tuple[list[float], float]:
+        """Coefficients and intercept on the raw inputs."""
+        coef = [float(beta[j + 1] / self.sd[j]) for j in range(len(self.features))]
+        return coef, float(beta[0] - sum(c * m for c, m in zip(coef, self.mu)))
+
+
+def build_design(train: DataFrame, features: Sequence[str], targets: dict[str, Column] | Callable[[dict], dict[str, Column]],
+                 facts: dict[str, Column] | None = None) -> Design:
+    """One aggregate of the training rows (means, deviations, ranges, ``facts``), then the persisted design.
+
+    ``targets`` are columns, or a function of the facts that gives them.
+    """
+    feats = list(features)
+    x = [F.col(c).cast("double") for c in feats]
+    st = train.agg(F.count(F.lit(1)).alias("_n"), *[v.alias(k) for k, v in (facts or {}).items()],
+                   *[f(c).alias(f"_{k}{j}") for j, c in enumerate(x)
+                     for k, f in (("m", F.avg), ("s", F.stddev_pop), ("a", F.min), ("b", F.max))]).first()
+    mu = [st[f"_m{j}"] if st[f"_m{j}"] is not None else 0.0 for j in range(len(feats))]
+    sd = [st[f"_s{j}"] if st[f"_s{j}"] not in (None, 0.0) else 1.0 for j in range(len(feats))]
+    span = [((st[f"_b{j}"] or 0.0) - (st[f"_a{j}"] or 0.0)) or 1.0 for j in range(len(feats))]
+    known = {k: st[k] for k in (facts or {})}
+    if callable(targets):
+        targets = targets(known)
+    # re-read by every step: kept (a lost block is recomputed from its checkpointed source)
+    frame = train.select(*[((c - F.lit(mu[j])) / F.lit(sd[j])).alias(f"_z{j + 1}") for j, c in enumerate(x)],
+                         *[v.cast("double").alias(k) for k, v in targets.items()]).persist(StorageLevel.MEMORY_AND_DISK)
+    return Design(frame, feats, mu, sd, span, known)
+
+
+def logistic_fit_of(design: Design, name: str, column: str, share: float, scale: Sequence[float], C: float = LOGISTIC_C) -> NewtonFit:
+    """The fit on inputs divided by ``scale``: on the shared standardised design only its penalty differs."""
+    if share is None or not 0.0 < share < 1.0:
+        raise ValueError("logistic regression needs both classes in the training rows")
+    pen = np.array([0.0] + [(b / s) ** 2 / C for b, s in zip(scale, design.sd)])
+    beta = np.zeros(len(pen))
+    beta[0] = math.log(share / (1.0 - share))     # start at the intercept-only answer
+    return NewtonFit(name, column, beta, pen, _logistic_sums)
+
+
+def scaler_scales(design: Design) -> dict[str, list[float]]:
+    """What each scaler divides the inputs by; a shift of the inputs only moves the intercept."""
+    return {"Unscaled": [1.0] * len(design.features), "StandardScaler": design.sd, "MinMaxScaler": design.span}
+
+
 def fit_logistic(train: DataFrame, features: Sequence[str], label: str, n_train: int | None = None,
                  C: float = LOGISTIC_C, max_iter: int = 100, tol: float = 1e-8) -> LogisticParams:
     """L2 logistic regression, objective Σ log-loss + ‖w‖²/(2C), intercept free.
@@ -325,63 +449,14 @@ def fit_logistic(train: DataFrame, features: Sequence[str], label: str, n_train:
     conditioning; the penalty is mapped so it still acts on the raw
     coefficients.
     """
-    feats = list(features)
-    p = len(feats)
-    st = train.agg(F.avg(F.col(label).cast("double")).alias("_ybar"),
-                   *[F.avg(F.col(c).cast("double")).alias(f"_m{j}") for j, c in enumerate(feats)],
-                   *[F.stddev_pop(F.col(c).cast("double")).alias(f"_s{j}") for j, c in enumerate(feats)]).first()
-    mu = [st[f"_m{j}"] if st[f"_m{j}"] is not None else 0.0 for j in range(p)]
-    sd = [st[f"_s{j}"] if st[f"_s{j}"] not in (None, 0.0) else 1.0 for j in range(p)]
-    ybar = st["_ybar"]
-    if ybar is None or not 0.0 < ybar < 1.0:
-        raise ValueError("logistic regression needs both classes in the training rows")
-    zc = [(F.col(c).cast("double") - F.lit(mu[j])) / F.lit(sd[j]) for j, c in enumerate(feats)]
-    # the standardised design is re-read by every step: keep it (a lost block is
-    # recomputed from its checkpointed source)
-    design = train.select(*[zz.alias(f"_z{k + 1}") for k, zz in enumerate(zc)],
-                          F.col(label).cast("double").alias("_y")).persist(StorageLevel.MEMORY_AND_DISK)
-    pen = np.array([0.0] + [1.0 / (C * sd[j] ** 2) for j in range(p)])
-    beta = np.zeros(p + 1)
-    beta[0] = math.log(ybar / (1.0 - ybar))   # start at the intercept-only answer
-    zcols = [f"_z{k}" for k in range(1, p + 1)]
-    last, converged = None, False
+    y = F.col(label).cast("double")
+    design = build_design(train, features, {"_y": y}, {"_share": F.avg(y)})
     try:
-        for it in range(max_iter):
-            b_ = beta.copy()
-
-            def grad_hess(m_, b_=b_):
-                Z = np.hstack([np.ones((len(m_), 1)), m_[:, :-1]])
-                u = Z @ b_
-                pr = 1.0 / (1.0 + np.exp(-np.clip(u, -Z_CLIP, Z_CLIP)))
-                w = pr * (1.0 - pr)
-                loss = (np.logaddexp(0.0, u) - m_[:, -1] * u).sum()
-                return np.concatenate([Z.T @ (pr - m_[:, -1]), ((Z * w[:, None]).T @ Z).ravel(), [loss]])
-
-            tot = partial_sums(design, [*zcols, "_y"], grad_hess)
-            if tot is None:
-                break
-            loss = float(tot[-1] + 0.5 * (pen * beta * beta).sum())
-            if last is not None and loss > last[1] + 1e-10 * (1.0 + abs(last[1])):
-                beta = (last[0] + beta) / 2.0      # the step overshot: halve it
-                if np.max(np.abs(beta - last[0])) > tol * (1.0 + np.max(np.abs(beta))):
-                    continue
-                converged, beta = True, last[0]
-                break
-            last = (beta, loss)
-            g = tot[:p + 1] + pen * beta
-            H = tot[p + 1:-1].reshape(p + 1, p + 1) + np.diag(pen)
-            step = np.linalg.lstsq(H, g, rcond=None)[0]
-            beta = beta - step
-            if np.max(np.abs(step)) <= tol * (1.0 + np.max(np.abs(beta))):
-                converged = True
-                break
+        fit = logistic_fit_of(design, "logistic regression", "_y", design.facts["_share"], [1.0] * len(design.features), C)
+        newton(design.frame, design.inputs, [fit], max_iter, tol)
     finally:
-        design.unpersist()
-    if not converged:
-        raise RuntimeError(f"logistic regression did not converge in {max_iter} Newton steps")
-    coef = [float(beta[j + 1] / sd[j]) for j in range(p)]
-    intercept = float(beta[0] - sum(coef[j] * mu[j] for j in range(p)))
-    return LogisticParams(feats, coef, intercept, iterations=it + 1)
+        design.frame.unpersist()
+    return LogisticParams(design.features, *design.raw(fit.beta), iterations=fit.steps)
 
 
 @dataclass
@@ -397,7 +472,9 @@ class SoftmaxParams:
         for k in range(len(self.classes)):
             s_ = F.lit(float(self.intercept[k]))
             for j, c in enumerate(self.features):
-                s_ = s_ + F.lit(float(self.coef[k][j])) * F.col(c).cast("double")
+                # a missing input counts as 0, as in the other scores
+                x = F.coalesce(nan_to_null(F.col(c).cast("double")), F.lit(0.0))
+                s_ = s_ + F.lit(float(self.coef[k][j])) * x
             out.append(s_)
         return out
 
@@ -414,6 +491,58 @@ class SoftmaxParams:
         return best
 
 
+def _softmax_layout(classes: int, p: int) -> list[tuple[int, int]]:
+    """(class, term) of each parameter; term 0 is the intercept, the last class's is pinned to 0."""
+    return [(k, j) for k in range(classes) for j in range(p + 1) if not (k == classes - 1 and j == 0)]
+
+
+def softmax_fit_of(design: Design, name: str, column: str, classes: Sequence[str], scale: Sequence[float],
+                   C: float = LOGISTIC_C) -> NewtonFit:
+    """The multinomial fit on inputs divided by ``scale``; ``column`` holds the class number."""
+    K, p = len(classes), len(design.features)
+    if K < 2:
+        raise ValueError("softmax regression needs at least two classes in the training rows")
+    layout = _softmax_layout(K, p)
+    place = np.array([k * (p + 1) + j for k, j in layout])         # inside the K×(p+1) grid
+    pen = np.array([0.0 if j == 0 else (scale[j - 1] / design.sd[j - 1]) ** 2 / C for _, j in layout])
+
+    def sums(z, y, theta):
+        grid = np.zeros(K * (p + 1))
+        grid[place] = theta
+        score = z @ grid.reshape(K, p + 1).T
+        peak = score.max(axis=1, keepdims=True)
+        e = np.exp(score - peak)
+        pr = e / e.sum(axis=1, keepdims=True)
+        y = y.astype(int)
+        off = pr.copy()
+        off[np.arange(len(y)), y] -= 1.0
+        hessian = np.zeros((K, p + 1, K, p + 1))
+        for k in range(K):
+            for l in range(k, K):
+                block = (z * (pr[:, k] * ((k == l) - pr[:, l]))[:, None]).T @ z
+                hessian[k, :, l], hessian[l, :, k] = block, block.T
+        loss = (peak[:, 0] + np.log(e.sum(axis=1)) - score[np.arange(len(y)), y]).sum()
+        flat = hessian.reshape(K * (p + 1), K * (p + 1))[np.ix_(place, place)]
+        return np.concatenate([(off.T @ z).ravel()[place], flat.ravel(), [loss]])
+
+    return NewtonFit(name, column, np.zeros(len(layout)), pen, sums)
+
+
+def softmax_params(design: Design, fit: NewtonFit, classes: Sequence[str]) -> SoftmaxParams:
+    """Raw-scale weights and intercepts of a finished fit."""
+    K, p = len(classes), len(design.features)
+    grid = np.zeros((K, p + 1))
+    for value, (k, j) in zip(fit.beta, _softmax_layout(K, p)):
+        grid[k, j] = value
+    raw = [design.raw(row) for row in grid]
+    return SoftmaxParams(list(classes), design.features, [c for c, _ in raw], [i for _, i in raw], fit.steps)
+
+
+def class_number(label: Column, classes: Sequence[str]) -> Column:
+    """Place of a label among ``classes``."""
+    return F.element_at(F.create_map(*[x for i, c in enumerate(classes) for x in (F.lit(c), F.lit(i))]), label)
+
+
 def fit_softmax(train: DataFrame, features: Sequence[str], label: str, n_train: int | None = None,
                 C: float = LOGISTIC_C, max_iter: int = 100, tol: float = 1e-8, max_classes: int | None = None) -> SoftmaxParams:
     """M9: multinomial logistic regression, Σ −log p(y) + Σ_k ‖w_k‖²/(2C), by Newton steps.
@@ -423,8 +552,6 @@ def fit_softmax(train: DataFrame, features: Sequence[str], label: str, n_train:
     intercepts without changing any prediction.  Each step is one pass of
     per-partition gradient and Hessian sums over the training rows.
     """
-    feats = list(features)
-    p = len(feats)
     known = train.select(F.col(label).cast("string")).where(F.col(label).isNotNull()).distinct()
     # a class is a row of parameters, so the classes fit where the model fits
     classes = sorted(r[0] for r in (known if max_classes is None else known.limit(max_classes + 1)).collect())
@@ -432,76 +559,13 @@ def fit_softmax(train: DataFrame, features: Sequence[str], label: str, n_train:
         raise ValueError(f"more than {max_classes} classes")
     if len(classes) < 2:
         raise ValueError("softmax regression needs at least two classes in the training rows")
-    K = len(classes)
-    st = train.agg(*[F.avg(F.col(c).cast("double")).alias(f"_m{j}") for j, c in enumerate(feats)],
-                   *[F.stddev_pop(F.col(c).cast("double")).alias(f"_s{j}") for j, c in enumerate(feats)]).first()
-    mu = [st[f"_m{j}"] if st[f"_m{j}"] is not None else 0.0 for j in range(p)]
-    sd = [st[f"_s{j}"] if st[f"_s{j}"] not in (None, 0.0) else 1.0 for j in range(p)]
-    idx = {c: i for i, c in enumerate(classes)}
-    lut = F.create_map(*[x for c, i in idx.items() for x in (F.lit(c), F.lit(i))])
-    design = train.select(*[((F.col(c).cast("double") - F.lit(mu[j])) / F.lit(sd[j])).alias(f"_z{j + 1}")
-                            for j, c in enumerate(feats)],
-                          F.element_at(lut, F.col(label).cast("string")).alias("_yi")
-                          ).persist(StorageLevel.MEMORY_AND_DISK)
-    # parameter layout: (class k, term j) for j = 0 (intercept) .. p, without (K-1, 0)
-    pos = [(k, j) for k in range(K) for j in range(p + 1) if not (k == K - 1 and j == 0)]
-    n_par = len(pos)
-    pen = np.array([0.0 if j == 0 else 1.0 / (C * sd[j - 1] ** 2) for k, j in pos])
-    theta = np.zeros(n_par)
-    zcols = [f"_z{j}" for j in range(1, p + 1)]
-    sel = np.array([k * (p + 1) + j for k, j in pos])      # layout positions inside the K×(p+1) grid
-    it, last, converged = 0, None, False
+    design = build_design(train.where(F.col(label).isNotNull()), features, {"_yi": class_number(F.col(label).cast("string"), classes)})
     try:
-        for it in range(max_iter):
-            B = np.zeros((K, p + 1))
-            for i, (k, j) in enumerate(pos):
-                B[k, j] = theta[i]
-
-            def grad_hess(m_, B=B):
-                Z = np.hstack([np.ones((len(m_), 1)), m_[:, :-1]])
-                S = Z @ B.T
-                E = np.exp(S - S.max(axis=1, keepdims=True))
-                P = E / E.sum(axis=1, keepdims=True)
-                Y = np.zeros_like(P)
-                Y[np.arange(len(m_)), m_[:, -1].astype(int)] = 1.0
-                G = ((P - Y).T @ Z).ravel()
-                Hf = np.zeros((K * (p + 1), K * (p + 1)))
-                for k in range(K):
-                    for l in range(k, K):
-                        w = P[:, k] * ((1.0 if k == l else 0.0) - P[:, l])
-                        blk = (Z * w[:, None]).T @ Z
-                        Hf[k * (p + 1):(k + 1) * (p + 1), l * (p + 1):(l + 1) * (p + 1)] = blk
-                        Hf[l * (p + 1):(l + 1) * (p + 1), k * (p + 1):(k + 1) * (p + 1)] = blk.T
-                peak = S.max(axis=1)
-                loss = (peak + np.log(E.sum(axis=1)) - S[np.arange(len(m_)), m_[:, -1].astype(int)]).sum()
-                return np.concatenate([G[sel], Hf[np.ix_(sel, sel)].ravel(), [loss]])
-
-            tot = partial_sums(design, [*zcols, "_yi"], grad_hess)
-            if tot is None:
-                break
-            loss = float(tot[-1] + 0.5 * (pen * theta * theta).sum())
-            if last is not None and loss > last[1] + 1e-10 * (1.0 + abs(last[1])):
-                theta = (last[0] + theta) / 2.0    # the step overshot: halve it
-                if np.max(np.abs(theta - last[0])) > tol * (1.0 + np.max(np.abs(theta))):
-                    continue
-                converged, theta = True, last[0]
-                break
-            last = (theta, loss)
-            g = tot[:n_par] + pen * theta
-            H = tot[n_par:-1].reshape(n_par, n_par) + np.diag(pen)
-            step = np.linalg.lstsq(H, g, rcond=None)[0]
-            theta = theta - step
-            if np.max(np.abs(step)) <= tol * (1.0 + np.max(np.abs(theta))):
-                converged = True
-                break
+        fit = softmax_fit_of(design, "softmax regression", "_yi", classes, [1.0] * len(design.features), C)
+        newton(design.frame, design.inputs, [fit], max_iter, tol)
     finally:
-        design.unpersist()
-    if not converged:
-        raise RuntimeError(f"softmax regression did not converge in {max_iter} Newton steps")
-    beta = {kj: theta[i] for i, kj in enumerate(pos)}
-    coef = [[float(beta[(k, j + 1)] / sd[j]) for j in range(p)] for k in range(K)]
-    icpt = [float(beta.get((k, 0), 0.0) - sum(coef[k][j] * mu[j] for j in range(p))) for k in range(K)]
-    return SoftmaxParams(classes, feats, coef, icpt, it + 1)
+        design.frame.unpersist()
+    return softmax_params(design, fit, classes)
 
 
 # ---------------------------------------------------------------- standardisation helpers
@@ -528,15 +592,6 @@ def standardise(df: DataFrame, features: Sequence[str], mu, sig, digits: int | N
     return df.withColumns(out)
 
 
-def fit_minmax_inputs(train: DataFrame, features: Sequence[str]) -> tuple[list[float], list[float]]:
-    """Library min-max scaling for model inputs: x' = (x − min)/range, zero range → 1."""
-    r = train.agg(*[F.min(F.col(c).cast("double")).alias(f"_a{i}") for i, c in enumerate(features)],
-                  *[F.max(F.col(c).cast("double")).alias(f"_b{i}") for i, c in enumerate(features)]).first()
-    lo = [r[f"_a{i}"] for i in range(len(features))]
-    rng = [(r[f"_b{i}"] - r[f"_a{i}"]) or 1.0 for i in range(len(features))]
-    return lo, rng
-
-
 # ---------------------------------------------------------------- tiers
 # The three outcome tiers of the reference's salary split.
 TIER_LABELS = ("Not Placed", "Standard Package", "Premium Package")
@@ -568,20 +623,29 @@ def linspace_expr(idx: Column, lo: float, hi: float, num: int) -> Column:
 
 
 # ---------------------------------------------------------------- M14 scaler comparison
-def scaler_comparison(prep: Prepared, features: Sequence[str], label: str,
-                      unscaled: LogisticParams | None = None) -> DataFrame:
+def fit_scaler_variants(train: DataFrame, features: Sequence[str], label: str) -> dict[str, LogisticParams]:
+    """The same classifier on raw, standardised (population σ, constant → 1) and min-max inputs, all in raw-input form.
+
+    The three designs are affine images of one another, so one standardised
+    design serves all and the fits advance together, one pass per step.
+    """
+    y = F.col(label).cast("double")
+    design = build_design(train, features, {"_y": y}, {"_share": F.avg(y)})
+    try:
+        fits = {k: logistic_fit_of(design, k, "_y", design.facts["_share"], b) for k, b in scaler_scales(design).items()}
+        newton(design.frame, design.inputs, list(fits.values()))
+    finally:
+        design.frame.unpersist()
+    return {k: LogisticParams(design.features, *design.raw(f.beta), iterations=f.steps) for k, f in fits.items()}
+
+
+def scaler_accuracy(test: DataFrame, variants: dict[str, LogisticParams], label: str) -> DataFrame:
+    """Accuracy % of each variant on ``test``, one pass."""
+    row = test.agg(*[F.avg(((p.z() > 0).cast("int") == F.col(label)).cast("double")).alias(k) for k, p in variants.items()])
+    return row.select(F.inline(F.array(*[F.struct(F.lit(k).alias("scaler"), rnd(F.col(k) * 100, 2).alias("accuracy")) for k in variants])))
+
+
+def scaler_comparison(prep: Prepared, features: Sequence[str], label: str) -> DataFrame:
     """Validation accuracy % of the same classifier on raw, standardised
-    (population σ, constant → 1) and min-max inputs, each fitted on train only.
-    ``unscaled`` reuses an already fitted raw-input model."""
-    variants = {"Unscaled": None,
-                "StandardScaler": fit_standardiser(prep.train, features, ddof=0, zero_to_one=True),
-                "MinMaxScaler": fit_minmax_inputs(prep.train, features)}
-    out = None
-    for name, fitted in variants.items():
-        data = prep.data if fitted is None else standardise(prep.data, features, *fitted)
-        tr, te = data.where(F.col("split") == "train"), data.where(F.col("split") == "test")
-        p = unscaled if (fitted is None and unscaled is not None) else fit_logistic(tr, features, label, prep.n_train)
-        acc = te.agg(rnd(F.avg(((p.z() > 0).cast("int") == F.col(label)).cast("double")) * 100, 2)
-                     .alias("accuracy")).select(F.lit(name).alias("scaler"), "accuracy")
-        out = acc if out is None else out.unionByName(acc)
-    return out
+    (population σ, constant → 1) and min-max inputs, each fitted on train only."""
+    return scaler_accuracy(prep.test, fit_scaler_variants(prep.train, features, label), label)

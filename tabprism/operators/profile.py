@@ -10,19 +10,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabprism.functions.expressions import nan_to_null, pair_corr, rnd
+from tabprism.operators.comoments import pair_moments
 from tabprism.operators.quantiles import quantiles
 from tabprism.operators.stats import column_stats, to_long
 from tabprism.constants import IQR_FENCE
 
 QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
 
-#: correlations per aggregate pass (each is a handful of moment buffers)
-MAX_PAIRS_PER_PASS = 256
-
 
 def _isnull(c):
     return F.col(c).isNull()
@@ -99,7 +98,7 @@ def duplicate_rows(df: DataFrame, cols: Sequence[str] | None = None) -> DataFram
 
 # ---------------------------------------------------------------- describe
 def describe(df: DataFrame, cols: Sequence[str], digits: int = 4, skew: bool = False,
-             by: Sequence[str] = (), quantile_method: str = "rank") -> DataFrame:
+             by: Sequence[str] = (), quantile_method: str = "select") -> DataFrame:
     """Count, mean, std (n-1), min, q1, median, q3, max [, skew].
 
     Skewness is the sample-adjusted form (pandas, DuckDB):
@@ -176,30 +175,19 @@ def group_trend(df: DataFrame, by: str, cols: Sequence[str], digits: int = 2) ->
 
 # ---------------------------------------------------------------- correlation
 def corr_matrix(df: DataFrame, cols: Sequence[str], digits: int = 6) -> DataFrame:
-    """Pairwise-complete Pearson matrix, long form (x, y, corr).
+    """Pairwise-complete Pearson matrix, long form (x, y, corr), from one scan however many columns.
 
-    One correlation per unordered pair, at most ``MAX_PAIRS_PER_PASS`` per
-    aggregate; rows where either side is missing are skipped for that pair
-    only (as pandas does).
-    Constant columns give NULL.
+    Rows where either side is missing are skipped for that pair only (as pandas
+    does).  Constant columns give NULL.
     """
     cols = list(cols)
-    pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
-    out = None
-    # wide tables: at most MAX_PAIRS_PER_PASS correlations per aggregate
-    for start in range(0, len(pairs), MAX_PAIRS_PER_PASS):
-        chunk = pairs[start:start + MAX_PAIRS_PER_PASS]
-        row = df.agg(*[pair_corr(cols[i], cols[j]).alias(f"_r{i}_{j}") for i, j in chunk])
-        structs = []
-        for i, j in chunk:
-            r = F.col(f"_r{i}_{j}")
-            r = rnd(F.when(~F.isnan(r), r), digits)
-            structs.append(F.struct(F.lit(cols[i]).alias("x"), F.lit(cols[j]).alias("y"), r.alias("corr")))
-            if i != j:
-                structs.append(F.struct(F.lit(cols[j]).alias("x"), F.lit(cols[i]).alias("y"), r.alias("corr")))
-        part = row.select(F.inline(F.array(*structs)))
-        out = part if out is None else out.unionByName(part)
-    return out
+    m = pair_moments(df, cols)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        r = m.co / (np.sqrt(m.var) * np.sqrt(m.var.T))
+    rows = [(x, y, float(r[i, j]) if m.var[i, j] > 0 and m.var[j, i] > 0 else None)
+            for i, x in enumerate(cols) for j, y in enumerate(cols)]
+    out = df.sparkSession.createDataFrame(rows, "x string, y string, corr double")
+    return out.withColumn("corr", rnd(F.when(~F.isnan("corr"), F.col("corr")), digits))
 
 
 def target_corr_ranked(df: DataFrame, cols: Sequence[str], target: str,
@@ -219,7 +207,7 @@ def target_corr_ranked(df: DataFrame, cols: Sequence[str], target: str,
 
 # ---------------------------------------------------------------- IQR fences
 def iqr_fences(df: DataFrame, cols: Sequence[str], k: float = IQR_FENCE,
-               quantile_method: str = "rank") -> dict[str, tuple]:
+               quantile_method: str = "select") -> dict[str, tuple]:
     """Fit q1, q3 of every column in one pass; returns {col: (q1, med, q3, lo, hi)}.
 
     The result has one row per column, so collecting it is bounded.
@@ -244,7 +232,7 @@ def _outside(c, lo, hi):
 
 
 def iqr_outliers(df: DataFrame, cols: Sequence[str], k: float = IQR_FENCE,
-                 quantile_method: str = "rank") -> DataFrame:
+                 quantile_method: str = "select") -> DataFrame:
     """Per column, count of values strictly outside [q1 - k·IQR, q3 + k·IQR], ranked desc."""
     f = iqr_fences(df, cols, k, quantile_method)
     row = df.agg(*[F.count_if(_outside(c, f[c][3], f[c][4])).alias(f"_o{i}")
@@ -258,7 +246,7 @@ def iqr_outliers(df: DataFrame, cols: Sequence[str], k: float = IQR_FENCE,
 
 
 def iqr_anomaly_flag(df: DataFrame, cols: Sequence[str], k: float = IQR_FENCE,
-                     name: str = "is_anomaly", quantile_method: str = "rank") -> DataFrame:
+                     name: str = "is_anomaly", quantile_method: str = "select") -> DataFrame:
     """0/1 row flag, 1 when any listed column lies outside its IQR fences."""
     f = iqr_fences(df, cols, k, quantile_method)
     cond = F.lit(False)

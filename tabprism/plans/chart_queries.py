@@ -48,6 +48,57 @@ def kde_curve(spark, sf):
     return V.kde_curve(T.load(spark, sf, "events"), "value")
 
 
+HISTOGRAM_COLS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+def _histograms_sql():
+    """As histogram_auto for several columns at once (d: column_name, x)."""
+    d = union_cols(HISTOGRAM_COLS, lambda i, c: f"SELECT '{c}' AS column_name, {dbl(c)} AS x FROM lineitem")
+    key = "column_name"
+    return (f"WITH d AS ({d}), st AS (SELECT {key}, COUNT(*) AS n, MIN(x) AS lo, MAX(x) AS hi, "
+            f"QUANTILE_CONT(x, 0.25) AS q1, QUANTILE_CONT(x, 0.75) AS q3 FROM d GROUP BY {key}), "
+            f"w AS (SELECT *, (hi - lo) / (LOG2(n) + 1.0) AS sturges, 2.0 * (q3 - q1) * POW(n, {THIRD}) AS fd FROM st), "
+            f"kk AS (SELECT {key}, lo, hi, CAST(CEIL((hi - lo) / LEAST(GREATEST(fd, (hi - lo) / SQRT(n) / 2), sturges)) "
+            "AS BIGINT) AS k FROM w), "
+            f"i0 AS (SELECT {key}, x, lo, hi, k, CAST(FLOOR(((x - lo) / (hi - lo)) * k) AS BIGINT) AS b FROM d JOIN kk USING ({key})), "
+            f"i1 AS (SELECT {key}, x, lo, hi, k, CASE WHEN b = k THEN k - 1 ELSE b END AS b FROM i0), "
+            f"i2 AS (SELECT {key}, x, lo, hi, k, CASE WHEN x < {_edge_sql('b')} THEN b - 1 ELSE b END AS b FROM i1), "
+            f"i3 AS (SELECT {key}, CASE WHEN x >= {_edge_sql('b + 1')} AND b <> k - 1 THEN b + 1 ELSE b END AS b FROM i2), "
+            f"c AS (SELECT {key}, b, COUNT(*) AS n FROM i3 GROUP BY {key}, b), "
+            f"r AS (SELECT {key}, lo, hi, k, UNNEST(range(0, k)) AS i FROM kk) "
+            f"SELECT r.{key}, r.i AS bin, {_edge_sql('r.i')} AS lo_edge, {_edge_sql('r.i + 1')} AS hi_edge, "
+            f"CAST(COALESCE(c.n, 0) AS BIGINT) AS n FROM r LEFT JOIN c ON c.b = r.i AND c.{key} = r.{key}")
+
+
+@query("histogram_columns", _histograms_sql())
+def histogram_columns(spark, sf):
+    """V2 of several columns in one call."""
+    return V.histogram_columns(T.load(spark, sf, "lineitem"), HISTOGRAM_COLS)
+
+
+def _density_sql(src: str, cols, by: str | None, cut: float, common: bool) -> str:
+    """Binned Gaussian density curves: values shared between the two nearest bins, bandwidth / 16 wide."""
+    g = f"{by}, column_name" if by else "column_name"
+    v = union_cols(cols, lambda i, c: f"SELECT {by + ', ' if by else ''}'{c}' AS column_name, {dbl(c)} AS x FROM ({src}) _s")
+    total = "SUM(n) OVER (PARTITION BY column_name)" if common else "n"
+    gx = "(CASE WHEN i = 199 THEN g1 ELSE i * ((g1 - g0) / 199) + g0 END)"
+    return (f"WITH v AS ({v}), st AS (SELECT {g}, CAST(COUNT(*) AS DOUBLE) AS n, MIN(x) AS lo, MAX(x) AS hi, "
+            f"STDDEV_SAMP(x) * POW(COUNT(*), CAST(-0.2 AS DOUBLE)) AS bw FROM v GROUP BY {g}), "
+            f"f AS (SELECT *, bw / 16 AS w, lo - {cut!r} * bw AS g0, hi + {cut!r} * bw AS g1, {total} * bw * SQRT(2 * PI()) AS norm FROM st WHERE bw > 0), "
+            f"u AS (SELECT {g}, (x - lo) / w AS u FROM v JOIN f USING ({g})), "
+            f"h AS (SELECT {g}, FLOOR(u) AS j, 1 - (u - FLOOR(u)) AS m FROM u UNION ALL SELECT {g}, FLOOR(u) + 1, u - FLOOR(u) FROM u), "
+            f"b AS (SELECT {g}, j, SUM(m) AS m FROM h GROUP BY {g}, j), "
+            f"p AS (SELECT *, UNNEST(range(0, 200)) AS i FROM f) "
+            f"SELECT {g}, i AS point, ROUND({gx}, 9) + 0.0 AS x, ROUND(SUM(m * EXP(-0.5 * POW(({gx} - (lo + j * w)) / bw, 2))) / norm, 9) + 0.0 AS density "
+            f"FROM p JOIN b USING ({g}) GROUP BY {g}, i, lo, w, bw, g0, g1, norm")
+
+
+@query("density_columns", _density_sql("SELECT * FROM lineitem", HISTOGRAM_COLS, None, 0.0, False))
+def density_columns(spark, sf):
+    """V3 of several columns in one call, two additions a value."""
+    return V.density_curves(T.load(spark, sf, "lineitem"), HISTOGRAM_COLS)
+
+
 def _box_sql(src, cols, by=None):
     g = f"{by}, " if by else ""
     gb = f" GROUP BY {by}" if by else ""
@@ -121,6 +172,13 @@ def pair_points(spark, sf):
     return V.pair_points(sample, PAIR_COLS, "l_returnflag", "pos")
 
 
+@query("pair_diagonal", _density_sql(f"SELECT * FROM ({LI_SAMPLE_SQL}) q", PAIR_COLS, "l_returnflag", 3.0, True))
+def pair_diagonal(spark, sf):
+    """V9: class densities on the diagonal of the pair plot, over the same sample."""
+    li = T.load(spark, sf, "lineitem")
+    return V.pair_diagonal(S.seeded_sample(li, LI_KEYS, 2000, seed=42, ties=li.columns), PAIR_COLS, "l_returnflag")
+
+
 def _binned_sql():
     edges = ["(lo - (hi - lo) * 0.001)"] + [f"({i} * ((hi - lo) / 15) + lo)" for i in range(1, 15)] + ["hi"]
     idx = " + ".join(f"CASE WHEN x > {e} THEN 1 ELSE 0 END" for e in edges)

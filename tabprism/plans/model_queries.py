@@ -64,6 +64,21 @@ def _metrics_sql(y="y", yhat="yhat", src="e"):
             f"(VAR_POP({y}) * COUNT({y})) ELSE 0.0 END, 4) + 0.0 AS r2, CAST(COUNT(*) AS BIGINT) AS n FROM {src}")
 
 
+def _clf_sql(src: str) -> str:
+    """Classification metrics over a CTE with columns y, p (probability), yp (predicted class)."""
+    return (f"pc AS (SELECT y, p, LEAST(GREATEST(p, {_EPS!r}), 1 - {_EPS!r}) AS pe, yp FROM {src}), "
+            "cm AS (SELECT CAST(COUNT(*) AS BIGINT) AS n, CAST(COUNT(*) FILTER (WHERE yp = 1 AND y = 1) AS BIGINT) AS tp, "
+            "CAST(COUNT(*) FILTER (WHERE yp = 0 AND y = 0) AS BIGINT) AS tn, "
+            "CAST(COUNT(*) FILTER (WHERE yp = 1 AND y = 0) AS BIGINT) AS fp, "
+            "CAST(COUNT(*) FILTER (WHERE yp = 0 AND y = 1) AS BIGINT) AS fn, "
+            "AVG(-(y * LN(pe) + (1 - y) * LN(1 - pe))) AS ll FROM pc), "
+            "c2 AS (SELECT *, CASE WHEN tp + fp > 0 THEN ROUND(tp / (tp + fp) * 100, 2) ELSE 0.0 END + 0.0 AS precision, "
+            "CASE WHEN tp + fn > 0 THEN ROUND(tp / (tp + fn) * 100, 2) ELSE 0.0 END + 0.0 AS recall FROM cm), "
+            "mx AS (SELECT n, tp, tn, fp, fn, ROUND((tp + tn) / n * 100, 2) + 0.0 AS accuracy, "
+            "ROUND(ll, 4) + 0.0 AS log_loss, precision, recall, CASE WHEN precision + recall > 0 THEN "
+            "ROUND(2 * precision * recall / (precision + recall), 2) + 0.0 ELSE 0.0 END AS f1 FROM c2)")
+
+
 def _mlr_full_sql(final: str) -> str:
     return (OF_CTE + prep_sql("SELECT * FROM of", "o_orderkey", MLR_FEATS, "sum_price") + ", "
             + _mlr_sql_ctes(MLR_FEATS, "sum_price") + ", "
@@ -140,6 +155,39 @@ def score_mlr(spark, sf):
     return SC.score_linear(of, p, "prediction", 2).select("o_orderkey", "prediction")
 
 
+# the features of score_mlr with gaps: NULL in some orders, NaN in others
+_OF_GAPS_SQL = ("SELECT o_orderkey, n_lines, avg_tax, CASE WHEN o_orderkey % 7 = 0 THEN NULL WHEN o_orderkey % 5 = 0 THEN CAST('nan' AS DOUBLE) "
+                "ELSE sum_qty END AS sum_qty, CASE WHEN o_orderkey % 3 = 0 THEN CAST('nan' AS DOUBLE) ELSE avg_discount END AS avg_discount FROM of")
+_FILLED_SQL = ("SELECT o_orderkey, n_lines, avg_tax, CASE WHEN isnan(sum_qty) THEN NULL ELSE sum_qty END AS sum_qty, "
+               "CASE WHEN isnan(avg_discount) THEN NULL ELSE avg_discount END AS avg_discount FROM (" + _OF_GAPS_SQL + ") g")
+
+
+@query("score_mlr_nan", OF_CTE + prep_sql("SELECT * FROM of", "o_orderkey", MLR_FEATS, "sum_price") + ", "
+       + _mlr_sql_ctes(MLR_FEATS, "sum_price") + ", gf AS (" + _FILLED_SQL
+       + f") SELECT o_orderkey, ROUND({_pred_sql(MLR_FEATS, fill_zero=True)}, 2) + 0.0 AS prediction FROM gf, t")
+def score_mlr_nan(spark, sf):
+    """M18 on rows whose inputs are NULL or NaN: both count as 0."""
+    of = T.of(spark, sf)
+    p = M.fit_mlr(M.prepare(of, MLR_FEATS, "sum_price", "o_orderkey").train, MLR_FEATS, "sum_price")
+    nan, key = F.lit(float("nan")), F.col("o_orderkey")
+    gaps = of.withColumns({"sum_qty": F.when(key % 7 == 0, F.lit(None)).when(key % 5 == 0, nan).otherwise(F.col("sum_qty")),
+                           "avg_discount": F.when(key % 3 == 0, nan).otherwise(F.col("avg_discount"))})
+    return SC.score_linear(gaps, p, "prediction", 2).select("o_orderkey", "prediction")
+
+
+@query("prepare_excluded", OF_CTE + "fl AS (SELECT *, CASE WHEN o_orderkey % 9 = 0 THEN NULL WHEN o_orderkey % 4 = 1 THEN 1 ELSE 0 END AS odd FROM of), "
+       + prep_sql("SELECT * FROM fl WHERE odd IS NULL OR odd <> 1", "o_orderkey", MLR_FEATS, "sum_price") + ", "
+       + _mlr_sql_ctes(MLR_FEATS, "sum_price") + ", "
+       + f"e AS (SELECT s.*, sum_price AS y, {_pred_sql(MLR_FEATS)} AS yhat FROM s, t WHERE split = 'test') " + _metrics_sql())
+def prepare_excluded(spark, sf):
+    """Rows flagged 1 are left out before the split and the fit; validation metrics of the rest."""
+    key = F.col("o_orderkey")
+    flagged = T.of(spark, sf).withColumn("odd", F.when(key % 9 == 0, F.lit(None)).otherwise((key % 4 == 1).cast("int")))
+    prep = M.prepare(flagged, MLR_FEATS, "sum_price", "o_orderkey", exclude="odd")
+    p = M.fit_mlr(prep.train, MLR_FEATS, "sum_price")
+    return MT.regression_metrics(prep.test.withColumn("yhat", p.predict()), "sum_price", "yhat")
+
+
 @query("regression_metrics", "WITH e AS (SELECT CAST(l_tax AS DOUBLE) AS y, CAST(l_discount AS DOUBLE) AS yhat "
        "FROM lineitem) " + _metrics_sql())
 def regression_metrics(spark, sf):
@@ -147,6 +195,29 @@ def regression_metrics(spark, sf):
     return MT.regression_metrics(T.load(spark, sf, "lineitem"), "l_tax", "l_discount")
 
 
+# events with a class, a probability and two measures, each NULL in some rows and NaN in others
+_GAPS = {"y": ("event_id % 2", 5, 0), "p": ("event_id % 100 / 100.0", 7, 9), "a": ("value", 4, 11), "b": ("user_id % 50", 6, 13)}
+_GAPS_SQL = "SELECT event_id, " + ", ".join(
+    f"CASE WHEN event_id % {null} = 0 THEN NULL " + (f"WHEN event_id % {nan} = 1 THEN CAST('nan' AS DOUBLE) " if nan else "")
+    + f"ELSE CAST({x} AS DOUBLE) END AS {c}" for c, (x, null, nan) in _GAPS.items()) + " FROM events"
+# DuckDB orders NaN above all numbers; both engines see it as missing
+_KNOWN_SQL = "e AS (SELECT * FROM (" + _GAPS_SQL + ") g WHERE {0} IS NOT NULL AND {1} IS NOT NULL AND NOT isnan({0}) AND NOT isnan({1}))"
+
+
+def _gaps(spark, sf):
+    e = T.load(spark, sf, "events")
+    cols = [F.when(F.col("event_id") % null == 0, F.lit(None).cast("double"))
+            .otherwise(F.when((F.col("event_id") % nan == 1) if nan else F.lit(False), F.lit(float("nan"))).otherwise(F.expr(x).cast("double"))).alias(c)
+            for c, (x, null, nan) in _GAPS.items()]
+    return e.select("event_id", *cols)
+
+
+@query("regression_metrics_missing", "WITH " + _KNOWN_SQL.format("a", "b") + " " + _metrics_sql("a", "b"))
+def regression_metrics_missing(spark, sf):
+    """M12 where values and predictions are NULL or NaN in some rows."""
+    return MT.regression_metrics(_gaps(spark, sf), "a", "b")
+
+
 # ---------------------------------------------------------------- M4, P15, V14, V15, M19, M21
 def _slr_prep(spark, sf):
     return M.prepare(T.load(spark, sf, "part"), ["p_partkey"], "p_retailprice", "p_partkey")
@@ -338,6 +409,13 @@ def classification_metrics(spark, sf):
     return MT.classification_metrics(prep.test.withColumn("p", p), "flag", "p")
 
 
+@query("classification_metrics_missing", "WITH " + _KNOWN_SQL.format("y", "p") + ", pr AS (SELECT y, p, CASE WHEN p >= 0.5 THEN 1 ELSE 0 END AS yp FROM e), "
+       + _clf_sql("pr") + " SELECT * FROM mx")
+def classification_metrics_missing(spark, sf):
+    """M13 where classes and probabilities are NULL or NaN in some rows."""
+    return MT.classification_metrics(_gaps(spark, sf), "y", "p")
+
+
 def _auc_sql():
     parts = []
     for c in AUC_FEATS:
@@ -366,8 +444,7 @@ _TIER_SQL = (OF_CTE + prep_sql("SELECT *, CASE WHEN flag = 1 THEN sum_price ELSE
 
 @query("tier_labels", _TIER_SQL)
 def tier_labels(spark, sf):
-    of = T.of(spark, sf).withColumn("salary", F.when(F.col("flag") == 1, F.col("sum_price")).otherwise(F.lit(0.0)))
-    prep = M.prepare(of, LOGR_FEATS, "flag", "o_orderkey", keep=["salary"])
+    prep = M.prepare(_of_salary(spark, sf), LOGR_FEATS, "flag", "o_orderkey", keep=["salary"])
     med = M.positive_median(prep.train, "salary")
     return prep.data.select("o_orderkey", "split", M.tier_expr("salary", med).alias("tier"))
 
@@ -405,21 +482,6 @@ _LOGR_TEST = ("pr AS (SELECT pos, CAST(flag AS INTEGER) AS y, 1 / (1 + EXP(-LEAS
               + " AS z FROM s, lg_p WHERE split = 'test') zz)")
 
 
-def _clf_sql(src: str) -> str:
-    """Classification metrics over a CTE with columns y, p (probability), yp (predicted class)."""
-    return (f"pc AS (SELECT y, p, LEAST(GREATEST(p, {_EPS!r}), 1 - {_EPS!r}) AS pe, yp FROM {src}), "
-            "cm AS (SELECT CAST(COUNT(*) AS BIGINT) AS n, CAST(COUNT(*) FILTER (WHERE yp = 1 AND y = 1) AS BIGINT) AS tp, "
-            "CAST(COUNT(*) FILTER (WHERE yp = 0 AND y = 0) AS BIGINT) AS tn, "
-            "CAST(COUNT(*) FILTER (WHERE yp = 1 AND y = 0) AS BIGINT) AS fp, "
-            "CAST(COUNT(*) FILTER (WHERE yp = 0 AND y = 1) AS BIGINT) AS fn, "
-            "AVG(-(y * LN(pe) + (1 - y) * LN(1 - pe))) AS ll FROM pc), "
-            "c2 AS (SELECT *, CASE WHEN tp + fp > 0 THEN ROUND(tp / (tp + fp) * 100, 2) ELSE 0.0 END + 0.0 AS precision, "
-            "CASE WHEN tp + fn > 0 THEN ROUND(tp / (tp + fn) * 100, 2) ELSE 0.0 END + 0.0 AS recall FROM cm), "
-            "mx AS (SELECT n, tp, tn, fp, fn, ROUND((tp + tn) / n * 100, 2) + 0.0 AS accuracy, "
-            "ROUND(ll, 4) + 0.0 AS log_loss, precision, recall, CASE WHEN precision + recall > 0 THEN "
-            "ROUND(2 * precision * recall / (precision + recall), 2) + 0.0 ELSE 0.0 END AS f1 FROM c2)")
-
-
 _LOGISTIC_FIT_SQL = (_LOGR_BASE + _LOGR_TEST + ", " + _clf_sql("pr") + " SELECT mx.*, ROUND(icpt, 4) + 0.0 AS intercept, "
                      + ", ".join(f"ROUND(w{j}, 4) + 0.0 AS coef_{c}" for j, c in enumerate(LOGR_FEATS)) + " FROM mx, lg_p")
 
@@ -473,29 +535,40 @@ def prob_by_class(spark, sf):
 TIER_CLASSES = sorted(M.TIER_LABELS)
 
 
-def _softmax_sql():
+# orders with a salary-like value: the order's worth for the positive class, else 0
+OF_SALARY_SQL = "SELECT *, CASE WHEN flag = 1 THEN sum_price ELSE 0 END AS salary FROM (" + T.OF_SQL + ") o"
+
+
+def _of_salary(spark, sf):
+    return T.of(spark, sf).withColumn("salary", F.when(F.col("flag") == 1, F.col("sum_price")).otherwise(F.lit(0.0)))
+
+
+def _softmax_parts() -> tuple[list[str], str]:
+    """CTEs of the 3-tier model on standardised inputs (over s, the prepared rows), and the predicted label."""
     x = [f"CAST({c} AS DOUBLE)" for c in LOGR_FEATS]
-    ft = ("ft AS (SELECT " + ", ".join(
+    ft = ("fx AS (SELECT " + ", ".join(
         f"AVG({x[j]}) AS m{j}, CASE WHEN STDDEV_POP({x[j]}) = 0 THEN 1.0 ELSE STDDEV_POP({x[j]}) END AS d{j}"
         for j in range(len(LOGR_FEATS))) + " FROM s WHERE split = 'train')")
     md = "md AS (SELECT QUANTILE_CONT(salary, 0.5) FILTER (WHERE salary > 0) AS med FROM s WHERE split = 'train')"
     tiers = ("tt AS (SELECT s.*, CASE WHEN salary IS NULL OR salary = 0 THEN 'Not Placed' WHEN salary < med "
              "THEN 'Standard Package' ELSE 'Premium Package' END AS tier FROM s, md)")
     ts = ("ts AS (SELECT pos, split, tier, " + ", ".join(f"({x[j]} - m{j}) / d{j} AS {c}" for j, c in enumerate(LOGR_FEATS))
-          + " FROM tt, ft), trS AS (SELECT * FROM ts WHERE split = 'train')")
+          + " FROM tt, fx), trX AS (SELECT * FROM ts WHERE split = 'train')")
     cls = "CASE tier " + " ".join(f"WHEN '{c}' THEN {i}" for i, c in enumerate(TIER_CLASSES)) + " END"
-    pred = softmax_predict_sql(LOGR_FEATS, TIER_CLASSES, "sx", "ts.")
-    return ("WITH RECURSIVE of AS (SELECT *, CASE WHEN flag = 1 THEN sum_price ELSE 0 END AS salary FROM ("
-            + T.OF_SQL + ") o), " + prep_sql("SELECT * FROM of", "o_orderkey", LOGR_FEATS, "flag", extra=", salary")
-            + ", " + ", ".join([ft, md, tiers, ts, softmax_ctes("trS", LOGR_FEATS, cls, TIER_CLASSES, "sx")])
+    return [ft, md, tiers, ts, softmax_ctes("trX", LOGR_FEATS, cls, TIER_CLASSES, "sx")], softmax_predict_sql(LOGR_FEATS, TIER_CLASSES, "sx", "ts.")
+
+
+def _softmax_sql():
+    parts, pred = _softmax_parts()
+    return ("WITH RECURSIVE of AS (" + OF_SALARY_SQL + "), "
+            + prep_sql("SELECT * FROM of", "o_orderkey", LOGR_FEATS, "flag", extra=", salary") + ", " + ", ".join(parts)
             + " SELECT ROUND(AVG(CASE WHEN " + pred + " = tier THEN 1.0 ELSE 0.0 END) * 100, 2) + 0.0 AS softmax_accuracy, "
             "CAST(COUNT(*) AS BIGINT) AS n_test FROM ts, sx_p WHERE split = 'test'")
 
 
 def _softmax(spark, sf):
     """The 3-tier model and its standardised validation rows."""
-    of = T.of(spark, sf).withColumn("salary", F.when(F.col("flag") == 1, F.col("sum_price")).otherwise(F.lit(0.0)))
-    prep = M.prepare(of, LOGR_FEATS, "flag", "o_orderkey", keep=["salary"])
+    prep = M.prepare(_of_salary(spark, sf), LOGR_FEATS, "flag", "o_orderkey", keep=["salary"])
     med = M.positive_median(prep.train, "salary")
     data = prep.data.withColumn("tier", M.tier_expr("salary", med))
     mu, sd = M.fit_standardiser(prep.train, LOGR_FEATS, ddof=0, zero_to_one=True)
@@ -555,7 +628,7 @@ def decision_grid(spark, sf):
     return g.withColumn("predicted", (p.z() > 0).cast("int"))
 
 
-def _scaler_sql(final_select: str) -> str:
+def _scaler_sql(final_select: str, of: str = T.OF_SQL, extra: str = "") -> str:
     """Three fits (raw, library-standardised, min-max inputs) and their validation accuracy."""
     x = [f"CAST({c} AS DOUBLE)" for c in LOGR_FEATS]
     fit = ("ft AS (SELECT " + ", ".join(
@@ -566,7 +639,7 @@ def _scaler_sql(final_select: str) -> str:
            + " FROM s, ft), trS AS (SELECT * FROM sS WHERE split = 'train')")
     mm = ("sM AS (SELECT pos, split, flag, " + ", ".join(f"({x[j]} - lo{j}) / rg{j} AS {c}" for j, c in enumerate(LOGR_FEATS))
           + " FROM s, ft), trM AS (SELECT * FROM sM WHERE split = 'train')")
-    parts = ["WITH RECURSIVE of AS (" + T.OF_SQL + ")", prep_sql("SELECT * FROM of", "o_orderkey", LOGR_FEATS, "flag"),
+    parts = ["WITH RECURSIVE of AS (" + of + ")", prep_sql("SELECT * FROM of", "o_orderkey", LOGR_FEATS, "flag", extra=extra),
              "tr AS (SELECT * FROM s WHERE split = 'train')", fit, std, mm,
              logistic_ctes("tr", LOGR_FEATS, "flag", name="lgU"),
              logistic_ctes("trS", LOGR_FEATS, "flag", name="lgS"),
@@ -588,7 +661,8 @@ def scaler_comparison(spark, sf):
 
 
 def _report_sql():
-    base = _scaler_sql("")
+    base = _scaler_sql("", OF_SALARY_SQL, ", salary")
+    tier_parts, tier_pred = _softmax_parts()
     main = logistic_ctes("tr", LOGR_FEATS, "flag", name="lg")
     auc_parts = " UNION ALL ".join(
         f"SELECT '{c}' AS feature, {c} AS v, SUM(flag) AS pos, SUM(1 - flag) AS neg FROM tr WHERE {c} IS NOT NULL "
@@ -598,17 +672,18 @@ def _report_sql():
            "au AS (SELECT 'auc_' || feature AS metric, ROUND(SUM(pos * (below + 0.5 * neg)) / (SUM(pos) * SUM(neg)), 4) "
            "+ 0.0 AS value FROM ar GROUP BY feature HAVING SUM(pos) > 0 AND SUM(neg) > 0)")
     bal = ("bl AS (SELECT AVG(CASE WHEN flag = 1 THEN 1.0 ELSE 0.0 END) * 100 AS v FROM tr)")
-    return (base.rstrip() + ", " + main + ", " + _LOGR_TEST + ", " + _clf_sql("pr") + ", " + auc + ", " + bal + " "
+    return (base.rstrip() + ", " + main + ", " + _LOGR_TEST + ", " + _clf_sql("pr") + ", " + auc + ", " + bal + ", " + ", ".join(tier_parts) + " "
             "SELECT 'class_pct' AS metric, ROUND(v, 1) + 0.0 AS value FROM bl UNION ALL "
             "SELECT 'other_pct', ROUND(100 - v, 1) + 0.0 FROM bl UNION ALL SELECT metric, value FROM au UNION ALL "
             "SELECT 'accuracy', accuracy FROM mx UNION ALL SELECT 'log_loss', log_loss FROM mx UNION ALL "
-            "SELECT 'scaler_' || scaler, accuracy FROM sc")
+            "SELECT 'scaler_' || scaler, accuracy FROM sc UNION ALL SELECT 'softmax_accuracy', ROUND(AVG(CASE WHEN "
+            + tier_pred + " = tier THEN 1.0 ELSE 0.0 END) * 100, 2) + 0.0 FROM ts, sx_p WHERE split = 'test'")
 
 
 @query("eval_report", _report_sql())
 def eval_report(spark, sf):
     """A5: the report rows, written as CSV to the shared scratch folder and read back."""
-    prep = M.prepare(T.of(spark, sf), LOGR_FEATS, "flag", "o_orderkey")
-    rep = evaluation_report(prep, LOGR_FEATS, AUC_FEATS, "flag")
+    prep = M.prepare(_of_salary(spark, sf), LOGR_FEATS, "flag", "o_orderkey", keep=["salary"])
+    rep = evaluation_report(prep, LOGR_FEATS, AUC_FEATS, "flag", tiers="salary")
     path = write_csv(rep, scratch_path(spark, "eval-report"))
     return read_csv(spark, path, schema=rep.schema)
