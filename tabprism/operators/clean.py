@@ -51,18 +51,62 @@ def median_impute(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return apply_medians(df, fit_medians(df, [c for i, c in enumerate(cols) if gaps[f"_n{i}"]]))
 
 
-def dedupe_keep_first(df: DataFrame, keys: Sequence[str], order_by: Sequence[str]) -> DataFrame:
-    """One row per key — the first by ``order_by`` (which breaks all ties).
+#: types that an aggregate holds in place, so that their minimum needs no sort
+FIXED_WIDTH = {"boolean", "tinyint", "smallint", "int", "bigint", "float", "double", "date", "timestamp", "timestamp_ntz"}
 
-    ``min_by`` is an ordinary aggregate: it combines map-side, so a key that
-    holds a third of the table is reduced inside each task before the shuffle
-    instead of being sorted in one window partition.
+
+def row_digest(cols: Sequence[str], salt: int):
+    """64-bit digest of several columns; a NULL is a value of its own."""
+    return F.xxhash64(F.lit(salt), *[x for c in cols for x in (F.col(c).isNull(), F.col(c))])
+
+
+def _least_rows(rows: DataFrame, group: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """(group, order) of the first row of each group: one minimum per order column, each among the rows the last one left.
+
+    Joins are on the group and the order value together, so a group that
+    holds a third of the rows is spread by its order values.
+    """
+    group, held = list(group), rows.select(*group, *order)
+    for c in order:
+        # NULL comes first, as in a sort
+        least = held.groupBy(*group).agg(F.min(c).alias("_m"), F.max(F.col(c).isNull()).alias("_any")).select(
+            *[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)], F.when(~F.col("_any"), F.col("_m")).alias("_m"))
+        on = [F.col(g).eqNullSafe(F.col(f"_g{i}")) for i, g in enumerate(group)]
+        held = held.join(least, [*on, F.col(c).eqNullSafe(F.col("_m"))], "left_semi")
+    return held
+
+
+def dedupe_keep_first(df: DataFrame, keys: Sequence[str], order_by: Sequence[str], digest=row_digest) -> DataFrame:
+    """One row per key — the first by ``order_by``, NULL first; tied rows are ordered by a hash of the row.
+
+    Two steps: the least order values per 64-bit key digest (narrow rows, hash
+    aggregates that combine before the shuffle), then a semi-join that brings
+    only those rows.  Keys travel once, with the rows that stay.  A digest that
+    stands for several keys (told by a second digest) is settled by the keys themselves.
+    Order columns without a fixed width take ``min_by``.
     """
     keys, order_by = list(keys), list(order_by)
-    rest = [c for c in df.columns if c not in keys]
-    row = F.struct(*[F.col(c) for c in rest]) if rest else F.lit(None)
-    g = df.groupBy(*keys).agg(F.min_by(row, F.struct(*[F.col(c) for c in order_by])).alias("_r"))
-    return g.select(*keys, *[F.col(f"_r.{c}").alias(c) for c in rest]).select(*df.columns)
+    types = dict(df.dtypes)
+    if not all(types[c] in FIXED_WIDTH for c in order_by):
+        rest = [c for c in df.columns if c not in keys]
+        row = F.struct(*[F.col(c) for c in rest]) if rest else F.lit(None)
+        g = df.groupBy(*keys).agg(F.min_by(row, F.struct(*[F.col(c) for c in order_by])).alias("_r"))
+        return g.select(*keys, *[F.col(f"_r.{c}").alias(c) for c in rest]).select(*df.columns)
+    order = [f"_o{i}" for i in range(len(order_by))] + ["_r"]
+    tagged = df.select("*", digest(keys, 1).alias("_d"), digest(keys, 2).alias("_e"),
+                       *[F.col(c).alias(o) for c, o in zip(order_by, order)], row_digest(df.columns, 3).alias("_r"))
+    shared = (tagged.groupBy("_d").agg(F.min("_e").alias("_e0"), F.max("_e").alias("_e1"))
+              .where(F.col("_e0") != F.col("_e1")).select(F.col("_d").alias("_c")))
+    alone = F.col("_d") == F.col("_c")
+    out = None
+    for rows, group in ((tagged.join(shared, alone, "left_anti"), ["_d"]), (tagged.join(shared, alone, "left_semi"), keys)):
+        least = _least_rows(rows, group, order)
+        least = least.select(*[F.col(c).alias(f"_w{i}") for i, c in enumerate([*group, *order])])
+        first = rows.join(least, [F.col(c).eqNullSafe(F.col(f"_w{i}")) for i, c in enumerate([*group, *order])], "left_semi")
+        # rows that are equal throughout
+        first = first.distinct().select(*df.columns)
+        out = first if out is None else out.unionByName(first)
+    return out
 
 
 def dedupe_dropped(df: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -204,13 +204,19 @@ def ordinal_meta(df: DataFrame, mappings: dict[str, dict[str, int]]) -> DataFram
 def nominal_meta(df: DataFrame, cols: Sequence[str], approx: bool = False) -> DataFrame:
     """per present column: distinct non-missing levels and the dummy-column prefix."""
     cols = [c for c in cols if c in df.columns]
-    cnt = F.approx_count_distinct if approx else F.count_distinct
-    row = df.agg(*[cnt(F.col(c)).alias(f"_d{i}") for i, c in enumerate(cols)])
-    structs = [F.struct(F.lit(c).alias("column_name"), F.lit(i).alias("column_idx"),
-                        F.col(f"_d{i}").cast("bigint").alias("unique_count"),
-                        F.lit(DUMMY_TEXT.format(c)).alias("new_columns"))
-               for i, c in enumerate(cols)]
-    return row.select(F.inline(F.array(*structs)))
+    base = [(c, i, DUMMY_TEXT.format(c)) for i, c in enumerate(cols)]
+    out = df.sparkSession.createDataFrame(base, "column_name string, column_idx int, new_columns string")
+    if approx:
+        row = df.agg(*[F.approx_count_distinct(F.col(c)).alias(f"_d{i}") for i, c in enumerate(cols)])
+        counts = row.select(F.inline(F.array(*[F.struct(F.lit(c).alias("_c"), F.col(f"_d{i}").alias("_n")) for i, c in enumerate(cols)])))
+    else:
+        # distinct (column, level) pairs combine before the shuffle, whatever the number of columns
+        floats = {c for c, t in df.dtypes if t in ("float", "double")}
+        plain = df.select(*[(F.col(c) + 0.0 if c in floats else F.col(c)).alias(c) for c in cols])     # -0.0 is 0.0
+        pairs = to_long(plain, cols, name_col="_c", value_col="_v", cast="string").where(F.col("_v").isNotNull()).distinct()
+        counts = pairs.groupBy("_c").agg(F.count(F.lit(1)).alias("_n"))
+    return (out.join(counts, F.col("column_name") == F.col("_c"), "left")
+            .select("column_name", "column_idx", F.coalesce(F.col("_n"), F.lit(0)).cast("bigint").alias("unique_count"), "new_columns"))
 
 
 def fit_levels(df: DataFrame, cols: Sequence[str], max_levels: int | None = MAX_LEVELS) -> dict[str, list[str]]:

@@ -39,14 +39,9 @@ def _range_partition(df: DataFrame, keys: Sequence[str], num_partitions: int | N
     return df.repartitionByRange(*keys)
 
 
-def row_index(df: DataFrame, order_by: Sequence[str] | str, name: str = "pos",
-              num_partitions: int | None = None, with_count: bool = False):
-    """Add a 0-based position by ``order_by`` (which must form a unique key).
-
-    With ``with_count`` returns ``(frame, n)``; the row count comes for free
-    from the per-partition counts.
-    """
-    keys = [order_by] if isinstance(order_by, str) else list(order_by)
+def tag_positions(df: DataFrame, keys: Sequence[str], num_partitions: int | None = None) -> tuple[DataFrame, list[tuple[int, int]]]:
+    """``df`` range-partitioned and sorted by ``keys``, with ``_pid`` and the index inside it ``_lix``, checkpointed;
+    and the (partition, rows) counts in order: one number per range partition."""
     pid = F.spark_partition_id()
     tagged = (_range_partition(df, keys, num_partitions).sortWithinPartitions(*keys)
               .withColumn("_pid", pid)
@@ -54,12 +49,23 @@ def row_index(df: DataFrame, order_by: Sequence[str] | str, name: str = "pos",
                           - F.shiftleft(pid.cast("long"), 33)))
     ensure_checkpoint_dir(df.sparkSession)     # the cluster's shared folder, or a clear error
     tagged = tagged.checkpoint(eager=True)
-    # one number per range partition: bounded by the partition count
-    counts = sorted((r["_pid"], r["_pc"]) for r in
+    counts = sorted((int(r["_pid"]), int(r["_pc"])) for r in
                     tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_pc")).collect())
+    return tagged, counts
+
+
+def row_index(df: DataFrame, order_by: Sequence[str] | str, name: str = "pos",
+              num_partitions: int | None = None, with_count: bool = False):
+    """Add a 0-based position by ``order_by`` (which must form a unique key).
+
+    With ``with_count`` returns ``(frame, n)``; the row count comes for free
+    from the per-partition counts.
+    """
+    keys = [order_by] if isinstance(order_by, str) else list(order_by)
+    tagged, counts = tag_positions(df, keys, num_partitions)
     offsets, total = [], 0
     for p, c in counts:
-        offsets.append((int(p), int(total)))
+        offsets.append((p, total))
         total += c
     schema = StructType([StructField("_pid", IntegerType(), False), StructField("_off", LongType(), False)])
     offs = df.sparkSession.createDataFrame(offsets, schema)

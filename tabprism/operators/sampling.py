@@ -13,15 +13,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabprism.operators.positions import row_index
+from tabprism.operators.positions import row_index, tag_positions
 from tabprism.constants import PAGE_SIZE, PREVIEW_ROWS, SAMPLE_SEED, SCATTER_POINTS, TRAIN_FRACTION
 
-#: pages whose end lies within this many rows are served by a bounded top-k
-#: (``orderBy().limit()`` then a window over at most this many rows); deeper
-#: pages number the whole table instead (or use ``materialize_positions``).
-TOPK_PAGE_LIMIT = 10_000
-
-#: evenly spaced samples up to this many rows broadcast their position table
+#: evenly spaced samples and pages up to this many rows broadcast their position table
 MAX_BROADCAST_SAMPLE = 100_000
 
 
@@ -44,20 +39,32 @@ def clamp_page(page, total_rows: int, per_page: int = PAGE_SIZE) -> int:
     return max(1, min(p, pages))
 
 
-def page_slice(df: DataFrame, order_by, page, per_page: int = PAGE_SIZE,
-               topk_limit: int = TOPK_PAGE_LIMIT) -> DataFrame:
-    """The rows of one page with their 0-based position ``pos``."""
+def page_slice(df: DataFrame, order_by, page, per_page: int = PAGE_SIZE) -> DataFrame:
+    """The rows of one page with their 0-based position ``pos``; one plan whatever the page.
+
+    Only the keys are range-partitioned, sorted and kept.  Counts per range tell
+    which ranges hold the page; its keys are read from those alone and joined
+    back to the table, whose scan also gets the bounds of the page's first key.
+    """
     keys = _keys(order_by)
-    total = df.count()
-    p = clamp_page(page, total, per_page)
-    start = (p - 1) * per_page
-    if start + per_page <= topk_limit:
-        # bounded: at most ``topk_limit`` rows, so one ordered window is fine
-        top = df.orderBy(*keys).limit(start + per_page)
-        numbered = top.withColumn("pos", (F.row_number().over(Window.orderBy(*keys)) - 1).cast("bigint"))
-    else:
-        numbered = row_index(df, keys, "pos")
-    return numbered.where((F.col("pos") >= start) & (F.col("pos") < start + per_page))
+    tagged, counts = tag_positions(df.select(*keys), keys)
+    p = clamp_page(page, sum(n for _, n in counts), per_page)
+    start, end, at, held = (p - 1) * per_page, p * per_page, 0, []
+    for part, n in counts:
+        if at < end and at + n > start:
+            held.append((part, at))
+        at += n
+    offsets = df.sparkSession.createDataFrame(held, "_pid int, _off long")       # ranges that hold the page
+    position = F.col("_off") + F.col("_lix")
+    found = (tagged.join(F.broadcast(offsets), "_pid").where((position >= start) & (position < end))
+             .select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keys)], position.alias("pos")))
+    first = F.col("_k0")
+    bounds = found.agg(F.min(first).alias("lo"), F.max(first).alias("hi"), F.count_if(first.isNull()).alias("gaps")).first()
+    scan = df
+    if bounds["lo"] is not None and not bounds["gaps"]:
+        scan = df.where((F.col(keys[0]) >= F.lit(bounds["lo"])) & (F.col(keys[0]) <= F.lit(bounds["hi"])))
+    side = F.broadcast(found) if per_page <= MAX_BROADCAST_SAMPLE else found       # a page has at most per_page rows
+    return scan.join(side, [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(keys)]).select(*df.columns, "pos")
 
 
 def materialize_positions(df: DataFrame, order_by, path: str, pos_col: str = "pos") -> DataFrame:

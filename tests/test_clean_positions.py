@@ -63,15 +63,61 @@ def test_pages(spark):
     assert S.clamp_page("x", 120) == 1 and S.clamp_page(99, 120) == 3 and S.clamp_page(-4, 120) == 1
     assert S.clamp_page(1, 0) == 1
     df = spark.range(120).withColumnRenamed("id", "k")
-    deep = S.page_slice(df, "k", 3, topk_limit=10)
-    near = S.page_slice(df, "k", 3)
-    assert sorted(r["k"] for r in deep.collect()) == list(range(100, 120))
-    assert sorted(r["k"] for r in near.collect()) == list(range(100, 120))
+    last = S.page_slice(df, "k", 3)
+    assert sorted(r["k"] for r in last.collect()) == list(range(100, 120))
     idx = S.page_index(df).orderBy("page").collect()
     assert [(r["first_row"], r["last_row"]) for r in idx] == [(1, 50), (51, 100), (101, 120)]
     assert idx[0]["has_prev"] is False and idx[-1]["has_next"] is False
 
 
+def test_pages_of_a_two_column_key_with_nulls(spark):
+    rows = [(None if i < 7 else i // 5, f"t{i:03d}", float(i)) for i in range(90)]
+    df = spark.createDataFrame(rows, "a int, b string, v double").repartition(6)
+    ordered = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    for page, size in ((1, 5), (2, 5), (9, 10), (1, 1000), (99, 20)):
+        p = S.clamp_page(page, 90, size)
+        got = sorted((r["pos"], r["a"], r["b"], r["v"]) for r in S.page_slice(df, ["a", "b"], page, size).collect())
+        assert [g[0] for g in got] == list(range((p - 1) * size, min(90, p * size)))
+        assert [g[1:] for g in got] == ordered[(p - 1) * size:p * size]
+    assert S.page_slice(df.limit(0), ["a", "b"], 3).collect() == []
+
+
+def test_page_scan_gets_the_bounds(spark, tmp_path):
+    spark.range(1000).withColumnRenamed("id", "k").write.parquet(str(tmp_path / "t"))
+    plan = S.page_slice(spark.read.parquet(str(tmp_path / "t")), "k", 4)._jdf.queryExecution().toString()
+    assert "GreaterThanOrEqual(k,150)" in plan and "LessThanOrEqual(k,199)" in plan
+
+
+def keep_first(rows):
+    least = {}
+    for key, o1, o2, v in rows:
+        rank = tuple((o is not None, o or 0) for o in (o1, o2))
+        if key not in least or rank < least[key][0]:
+            least[key] = (rank, set())
+        if rank == least[key][0]:
+            least[key][1].add((key, o1, o2, v))
+    return least
+
+
+def test_dedupe_ties_nulls_and_equal_digests(spark):
+    rows = [("a", 2, 1.0, "x"), ("a", 1, 5.0, "y"), ("a", 1, 4.0, "z"), ("a", 1, 4.0, "w"), (None, 3, 1.0, "n"), (None, None, 9.0, "m"),
+            ("b", 1, 1.0, "p"), ("b", 1, 1.0, "p"), ("c", 7, float("inf"), None), ("c", 7, None, "q")] + [("hot", i, 0.0, "h") for i in range(400)]
+    df = spark.createDataFrame(rows, "key string, o1 int, o2 double, v string").repartition(5)
+    want = keep_first(rows)
+    for how in ({}, {"digest": lambda cols, salt: C.row_digest(cols, salt) if salt == 2 else F.lit(7).cast("bigint")},
+                {"digest": lambda cols, salt: F.pmod(C.row_digest(cols, salt), F.lit(2)) if salt == 1 else C.row_digest(cols, salt)}):
+        out = C.dedupe_keep_first(df, ["key"], ["o1", "o2"], **how)
+        got = [tuple(r) for r in out.collect()]
+        assert len(got) == len(want) == 5 and out.columns == df.columns
+        assert all(g in want[g[0]][1] for g in got)
+    again = {tuple(r) for r in C.dedupe_keep_first(df.repartition(2), ["key"], ["o1", "o2"]).collect()}
+    assert again == {tuple(r) for r in C.dedupe_keep_first(df, ["key"], ["o1", "o2"]).collect()}     # ties fall alike
+    plan = C.dedupe_keep_first(df, ["key"], ["o1", "o2"])._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "HashAggregate" in plan
+    text = C.dedupe_keep_first(df, ["key"], ["v"]).collect()        # text order: another plan
+    assert {r["key"] for r in text} == {"a", "b", "c", "hot", None}
+
+
 def test_linspace_positions_match_numpy():
     for n, k in [(1, 200), (7, 200), (1000, 200), (12345, 200), (3000, 30)]:
         assert S.linspace_positions(n, k) == np.linspace(0, n - 1, min(k, n), dtype=int).tolist()

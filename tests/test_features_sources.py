@@ -92,3 +92,13 @@ def test_csv_keeps_timestamp_microseconds(spark):
                    "TIMESTAMP '2024-01-01 00:00:07.000001' AS ltz")
     back = read_csv(spark, write_csv(df, scratch_path(spark, "ts")), schema=df.schema).first()
     assert back["ntz"].microsecond == 179575 and back["ltz"].microsecond == 1
+
+
+def test_nominal_meta_counts_levels_without_copies_of_rows(spark):
+    from tabprism.operators import features as FT
+    df = spark.createDataFrame([("a", 0.0, None, 1), ("b", -0.0, None, 1), (None, 2.5, None, 2)], "x string, y double, z string, w int")
+    for approx in (False, True):
+        got = {r["column_name"]: (r["column_idx"], r["unique_count"]) for r in FT.nominal_meta(df, ["x", "y", "z", "gone", "w"], approx=approx).collect()}
+        assert got == {"x": (0, 2), "y": (1, 2), "z": (2, 0), "w": (3, 2)}
+    plan = FT.nominal_meta(df, ["x", "y", "w"])._jdf.queryExecution().executedPlan().toString()
+    assert "Expand" not in plan
