@@ -14,7 +14,9 @@ out of the question, so strings are first brought together that can be equal:
    different contexts, one of each kind, the one with the smallest id, is
    *open*: it has to be compared with the others.
 3. **Expansion** (shuffle by the anchor's hash, bytes of open contexts only):
-   the contexts of a task are joined to one text, blocks hold whole anchors.  Its suffixes are
+   equal windows lie alike around their anchor, so a context that is the only one
+   of its anchor with its 17 bytes before it, and with those behind it, is done.
+   The other contexts of a task are joined to one text, blocks hold whole anchors.  Its suffixes are
    ordered up to ``length`` bytes, which gives the Burrows-Wheeler transform.
    Breadth-first backward extension then finds common prefixes by increasing
    value: rows j of one first byte are split at value l+1 where the rows that
@@ -58,15 +60,15 @@ _C1, _C2, _C3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F,
 
 # ---- anchors ----------------------------------------------------------------
 
-def contexts(buf: bytes, bounds: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Anchor hash, context hash, first and last window start of each run of windows.
+def contexts(buf: bytes, bounds: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """Anchor hash, context hash, first and last window start, and bytes before the anchor, of each run of windows.
 
     ``bounds`` are the ends of the texts that ``buf`` joins; no window crosses one.
     """
     none = np.zeros(0, np.int64)
     n, windows = len(buf), length - K + 1
     if n < length:
-        return none, none, none, none
+        return none, none, none, none, none
     words = np.ndarray((n - 7,), "<u8", buf, strides=(1,))
     h = (words[:-8] * _C1) ^ (words[8:] * _C2 >> np.uint64(23))
     h ^= h >> np.uint64(32)
@@ -85,7 +87,7 @@ def contexts(buf: bytes, bounds: np.ndarray, length: int) -> tuple[np.ndarray, n
         ok[max(0, e - length + 1):e] = False
     at = np.flatnonzero(ok)
     if not len(at):
-        return none, none, none, none
+        return none, none, none, none, none
     spot = place[at]
     new = np.concatenate(([True], (spot[1:] != spot[:-1]) | (at[1:] != at[:-1] + 1)))
     first = at[new]
@@ -95,7 +97,7 @@ def contexts(buf: bytes, bounds: np.ndarray, length: int) -> tuple[np.ndarray, n
     c = np.fromiter((digest(buf[s:e], o) for s, e, o in zip(first.tolist(), (last + length).tolist(), (anchor - first).tolist())),
                     np.uint64, len(first))
     # 48 bits are enough to bring equal anchors together, and zero bytes beside others cost no space in a shuffle
-    return (h[anchor] & ~np.uint64(0xFFFF)).view(np.int64), c.view(np.int64), first, last
+    return (h[anchor] & ~np.uint64(0xFFFF)).view(np.int64), c.view(np.int64), first, last, anchor - first
 
 
 def text_tag(th: np.ndarray) -> np.ndarray:
@@ -125,11 +127,17 @@ def _joined(texts: list[bytes], length: int):
 
 def text_contexts(texts: list[bytes], length: int):
     """Per group of texts: (text number, hash, context hash, first start, last start), starts within the text."""
+    for *found, _ in _led_contexts(texts, length):
+        yield found
+
+
+def _led_contexts(texts: list[bytes], length: int):
+    """As ``text_contexts``, and how many bytes of each context lie before its anchor."""
     for numbers, offsets, buf, ends in _joined(texts, length):
-        h, c, first, last = contexts(buf, ends, length)
+        h, c, first, last, lead = contexts(buf, ends, length)
         which = np.searchsorted(ends, first, side="right")
         base = np.concatenate(([0], ends[:-1]))[which] - np.array(offsets)[which]
-        yield np.array(numbers)[which], h, c, first - base, last - base
+        yield np.array(numbers)[which], h, c, first - base, last - base, lead
 
 
 def _emit_anchors(length: int):
@@ -200,23 +208,24 @@ def _doc_rows(length: int, at_once: int = 512):
         order = np.lexsort((flag, known))      # a covered context is before an open one of the same hash
         known, flag = known[order], flag[order]
         whole_rows, open_rows = [], []
-        for which, h, c, first, last in text_contexts(texts, length):
+        for which, h, c, first, last, lead in _led_contexts(texts, length):
             mixed = (c.view(np.uint64) & ~np.uint64(1)) ^ salt[which]
             at = np.minimum(np.searchsorted(known, mixed), len(known) - 1)
             hit = known[at] == mixed
             whole = hit & (flag[at] == 0)
             whole_rows.append(np.column_stack([which[whole], first[whole], last[whole] + length]))
             o = hit & ~whole
-            open_rows.append((which[o], h[o], first[o], last[o] + length))
+            open_rows.append((which[o], h[o], first[o], last[o] + length, lead[o]))
         whole = np.concatenate(whole_rows) if whole_rows else np.zeros((0, 3), np.int64)
         whole = whole[np.argsort(whole[:, 0], kind="stable")]
         docs, starts = np.unique(whole[:, 0], return_index=True)
         ranges = [merge_ranges(r).astype("<i4").tobytes() for r in np.split(whole[:, 1:], starts[1:])] if len(docs) else []
         yield made(ths[docs], keys[docs], tags[docs] | SETTLED, ranges)
-        for which, h, first, end in open_rows:
+        for which, h, first, end, lead in open_rows:
             for i in range(0, len(which), 50_000):
                 part = slice(i, i + 50_000)
-                cut = [texts[w][s:e] for w, s, e in zip(which[part].tolist(), first[part].tolist(), end[part].tolist())]
+                # the first two bytes say where the anchor begins
+                cut = [n.to_bytes(2, "little") + texts[w][s:e] for w, s, e, n in zip(which[part].tolist(), first[part].tolist(), end[part].tolist(), lead[part].tolist())]
                 yield made(h[part], keys[which[part]], tags[which[part]] | first[part], cut)
 
     def made(h, key, place, cut):
@@ -232,6 +241,30 @@ def _doc_rows(length: int, at_once: int = 512):
 
 # ---- expansion --------------------------------------------------------------
 
+def paired(h: np.ndarray, rows: list[bytes], length: int) -> np.ndarray:
+    """Open contexts (two lead bytes + bytes) that can have ``length`` bytes in common with another of their anchor.
+
+    Common windows lie alike around the anchor, so they hold half of the other
+    bytes before it or half of them behind it: both contexts have the anchor
+    with these bytes.  Contexts that are alone with either are done.
+    """
+    side = (length - K) // 2
+    digest, none = xxhash.xxh3_64_intdigest, np.uint64(0)
+    left, right = np.zeros(len(rows), np.uint64), np.zeros(len(rows), np.uint64)
+    for i, r in enumerate(rows):
+        at = 2 + r[0] + (r[1] << 8)
+        if at - 2 >= side:
+            left[i] = digest(r[at - side:at + K]) | 1
+        if at + K + side <= len(r):
+            right[i] = digest(r[at:at + K + side]) | 1
+    keep = np.zeros(len(rows), bool)
+    for part in (left, right):
+        mixed = np.where(part == none, none, (part ^ h.view(np.uint64) * _C1) | np.uint64(1))
+        _, inverse, counts = np.unique(mixed, return_inverse=True, return_counts=True)
+        keep |= (mixed != none) & (counts[inverse] > 1)
+    return keep
+
+
 def bounded_suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
     """Suffix starts ordered by their first ``depth`` symbols or more (symbols below 512)."""
     n = len(text)
@@ -316,9 +349,9 @@ def merge_ranges(ranges: np.ndarray) -> np.ndarray:
 
 def _expand_partition(length: int):
     def block(rows):
-        got = covered_windows([r[3] for r in rows], np.array([r[1] for r in rows], np.int64), length)
+        got = covered_windows([r[2] for r in rows], np.array([r[0] for r in rows], np.int64), length)
         out = [[], [], []]
-        for (_, key, place, _), starts in zip(rows, got):
+        for (key, place, _), starts in zip(rows, got):
             if len(starts):
                 first = (place & SETTLED - 1) + starts
                 out[0].append(key)
@@ -331,21 +364,33 @@ def _expand_partition(length: int):
                                           ["key", "tag", "ranges"])
 
     def run(batches):
-        held = []
+        held: list[list] = [[], [], []]
+        bodies: list[bytes] = []
         for b in batches:
-            rows = list(zip(*(b.column(x).to_pylist() for x in ("h", "key", "place", "bytes"))))
-            settled = [r for r in rows if r[2] & 0xFFFFFFFF == SETTLED]
-            if settled:
-                yield made([[r[1] for r in settled], [r[2] >> 32 for r in settled], [r[3] for r in settled]])
-            held += [r for r in rows if r[2] & 0xFFFFFFFF != SETTLED]
-        held.sort(key=lambda r: r[0])
+            place = b.column("place").to_numpy()
+            done = place & 0xFFFFFFFF == SETTLED
+            if done.any():
+                some = b.take(pa.array(np.flatnonzero(done)))
+                yield made([some.column("key").to_pylist(), (place[done] >> 32).tolist(), some.column("bytes").to_pylist()])
+            if not done.all():
+                some = b.take(pa.array(np.flatnonzero(~done)))
+                for out, v in zip(held, (some.column("h").to_numpy(), some.column("key").to_numpy(), place[~done])):
+                    out.append(v)
+                bodies += some.column("bytes").to_pylist()
+        if not bodies:
+            return
+        h, key, place = (np.concatenate(v) for v in held)
+        kept = np.flatnonzero(paired(h, bodies, length))
+        kept = kept[np.argsort(h[kept], kind="stable")]
+        h, rows = h[kept].tolist(), [(k, p, bodies[i][2:]) for i, k, p in zip(kept.tolist(), key[kept].tolist(), place[kept].tolist())]
+        bodies.clear()
         at = 0
-        while at < len(held):
+        while at < len(rows):
             end, size = at, 0
-            while end < len(held) and (size < BLOCK or held[end][0] == held[end - 1][0]):
-                size += len(held[end][3]) + 1
+            while end < len(rows) and (size < BLOCK or h[end] == h[end - 1]):
+                size += len(rows[end][2]) + 1
                 end += 1
-            out = block(held[at:end])
+            out = block(rows[at:end])
             if out[0]:
                 yield made(out)
             at = end

@@ -184,3 +184,22 @@ def test_kept_texts(spark):
     got = {r["doc_id"]: r for r in repeats.remove_repeats(df, with_kept=True).collect()}
     assert bytes(got[2]["kept"]) == b"two2" and got[2]["n_spans"] == 1 and got[1]["n_removed"] == 0
     assert F is not None
+
+
+def test_unpaired_contexts_are_told_apart():
+    """A context stays if another of its anchor has the same bytes on one side, long enough for a common string."""
+    anchor, r = b"0123456789abcdef", random.Random(12)
+
+    def noise(n):
+        return bytes(r.randint(1, 255) for _ in range(n))
+
+    def row(left, right):
+        return len(left).to_bytes(2, "little") + left + anchor + right
+
+    left, right = noise(34), noise(34)
+    rows = [row(left, noise(34)), row(left, noise(34)), row(noise(17) + left[17:], noise(20)), row(noise(18) + left[18:], noise(34)),
+            row(noise(34), right), row(noise(30), right[:17] + noise(9)), row(noise(34), right[:16] + noise(18)), row(b"", right), row(left[-5:], b"")]
+    h = np.zeros(len(rows), np.int64)
+    assert repeats.paired(h, rows, 50).tolist() == [True, True, True, False, True, True, False, True, False]
+    assert not repeats.paired(np.arange(len(rows)), rows, 50).any()
+    assert repeats.paired(h[:0], [], 50).tolist() == []
