@@ -52,14 +52,6 @@ def _edge(i: Column, lo: Column, hi: Column, k: Column) -> Column:
     return F.when(i >= k, hi).otherwise(i.cast("double") * ((hi - lo) / k) + lo)
 
 
-def _bin_of(x: Column, lo: Column, hi: Column, k: Column) -> Column:
-    """numpy's bin of ``x``: floor of the scaled offset, last bin closed, then the one-ulp corrections against the edges."""
-    i = F.floor(((x - lo) / (hi - lo)) * k).cast("long")
-    i = F.when(i == k, k - 1).otherwise(i)
-    i = F.when(x < _edge(i, lo, hi, k), i - 1).otherwise(i)
-    return F.when((x >= _edge(i + 1, lo, hi, k)) & (i != k - 1), i + 1).otherwise(i)
-
-
 def histogram_columns(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """V2: bins (column_name, index, edges, count) of several columns with numpy's 'auto' bin count; empty bins kept.
 
@@ -72,10 +64,15 @@ def histogram_columns(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     for c, (q1, q3) in zip(cols, select_quantiles(df, cols, [0.25, 0.75])):
         lo, hi, k = auto_bins(st[c]["n"], st[c]["lo"], st[c]["hi"], q1, q3)
         rows.append((c, lo, hi, k))
-    bins = [F.when(_finite(x), F.struct(F.lit(c).alias("_c"), _bin_of(x, F.lit(lo), F.lit(hi), F.lit(k).cast("long")).alias("_b")))
-            for c, lo, hi, k in rows for x in [F.col(c).cast("double")]]
-    counts = df.select(F.inline(F.filter(F.array(*bins), lambda b: b.isNotNull()))).groupBy("_c", "_b").agg(F.count(F.lit(1)).alias("n"))
-    edges = df.sparkSession.createDataFrame(rows, "column_name string, lo double, hi double, k bigint")
+    edges = df.sparkSession.createDataFrame(rows, "column_name string, lo double, hi double, k bigint")      # a row per column
+    x, lo, hi, k, i = (F.col(c) for c in ("_x", "lo", "hi", "k", "_b"))
+    # numpy's bin: floor of the scaled offset, last bin closed, then the one-ulp corrections against the edges
+    binned = (to_long(df, cols, name_col="_c", value_col="_x").where(_finite(x)).join(F.broadcast(edges), F.col("_c") == F.col("column_name"))
+              .withColumn("_b", F.floor(((x - lo) / (hi - lo)) * k).cast("long"))
+              .withColumn("_b", F.when(i == k, k - 1).otherwise(i))
+              .withColumn("_b", F.when(x < _edge(i, lo, hi, k), i - 1).otherwise(i))
+              .withColumn("_b", F.when((x >= _edge(i + 1, lo, hi, k)) & (i != k - 1), i + 1).otherwise(i)))
+    counts = binned.groupBy("_c", "_b").agg(F.count(F.lit(1)).alias("n"))
     grid = edges.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("k") - 1)).alias("bin"))
     out = grid.join(counts, (F.col("column_name") == F.col("_c")) & (F.col("bin") == F.col("_b")), "left")
     b, lo, hi, k = (F.col(c) for c in ("bin", "lo", "hi", "k"))

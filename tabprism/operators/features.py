@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tabprism.functions.expressions import nan_to_null, rnd
 from tabprism.operators.clean import bool_to_int
-from tabprism.operators.quantiles import quantiles
+from tabprism.operators.quantiles import between, order_statistics, quantiles
 from tabprism.operators.stats import column_stats, to_long
 from tabprism.constants import DUMMY_TEXT, IQR_FENCE, MAPPING_SEPARATOR, MAPPING_TEXT
 
@@ -96,71 +96,78 @@ def robust_scale(df: DataFrame, cols: Sequence[str], digits: int | None = 6) ->
     return transform(df, fit_robust(df, cols), digits)
 
 
-def _scaled_stats(scaled: DataFrame, cols, stats) -> DataFrame:
-    return column_stats(scaled, cols, stats, index_col="column_idx")
+def _report(df: DataFrame, params: ScalerParams, fitted: dict[str, dict], shown: dict[str, str], scaled: dict, digits: int) -> DataFrame:
+    """column_name, column_idx, fitted figures (``shown``: name → type) and statistics of the rounded scaled values, one more scan."""
+    sc = column_stats(transform(df, params), params.columns, scaled)
+    rows = [(c, *[fitted[c][k] for k in shown]) for c in params.columns]
+    raw = df.sparkSession.createDataFrame(rows, "column_name string, " + ", ".join(f"{k} {t}" for k, t in shown.items()))
+    return raw.join(sc, "column_name").select(
+        "column_name", "column_idx", *[rnd(k, digits).alias(k) if t == "double" else F.col(k) for k, t in shown.items()],
+        *[rnd(k, digits).alias(k) if k != "outliers" else F.col(k) for k in scaled])
+
+
+#: one aggregate fits both scalers and their reports
+_MOMENTS = {"min": F.min, "max": F.max, "mean": F.avg, "std": F.stddev_samp}
+
+
+def _moments_of(df: DataFrame, cols: Sequence[str]) -> dict[str, dict]:
+    return {r["column_name"]: r.asDict() for r in column_stats(df, cols, _MOMENTS).collect()}
 
 
 def minmax_params(df: DataFrame, cols: Sequence[str], digits: int = 4) -> DataFrame:
     """column, min, max, range, mean, std, scaled_mean, scaled_std (4 dp).
 
     Scaled statistics are taken over the rounded scaled values, as the
-    reference does.  Two aggregate passes in all.
+    reference does.  Two scans in all: the fit, then the scaled values.
     """
-    raw = column_stats(df, cols, {"min": F.min, "max": F.max, "mean": F.avg, "std": F.stddev_samp})
-    scaled = minmax_scale(df, cols)
-    sc = _scaled_stats(scaled, cols, {"scaled_mean": F.avg, "scaled_std": F.stddev_samp})
-    j = raw.join(sc.drop("column_idx"), "column_name")
-    return j.select("column_name", "column_idx",
-                    *[rnd(k, digits).alias(k) for k in ("min", "max")],
-                    rnd(F.col("max") - F.col("min"), digits).alias("range"),
-                    *[rnd(k, digits).alias(k) for k in ("mean", "std", "scaled_mean", "scaled_std")])
+    fitted, p = _moments_of(df, cols), ScalerParams("minmax", list(cols))
+    for c, f in fitted.items():
+        f["range"] = None if f["min"] is None else f["max"] - f["min"]
+        p.center[c], p.scale[c] = f["min"], f["range"]
+    return _report(df, p, fitted, dict.fromkeys(("min", "max", "range", "mean", "std"), "double"),
+                   {"scaled_mean": F.avg, "scaled_std": F.stddev_samp}, digits)
 
 
 def standard_params(df: DataFrame, cols: Sequence[str], digits: int = 4) -> DataFrame:
-    """column, mean, std, min, max, scaled mean/std/min/max (4 dp)."""
-    raw = column_stats(df, cols, {"mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max})
-    scaled = standard_scale(df, cols)
-    sc = _scaled_stats(scaled, cols, {"scaled_mean": F.avg, "scaled_std": F.stddev_samp,
-                                      "scaled_min": F.min, "scaled_max": F.max})
-    j = raw.join(sc.drop("column_idx"), "column_name")
-    names = ("mean", "std", "min", "max", "scaled_mean", "scaled_std", "scaled_min", "scaled_max")
-    return j.select("column_name", "column_idx", *[rnd(k, digits).alias(k) for k in names])
+    """column, mean, std, min, max, scaled mean/std/min/max (4 dp); two scans as F2."""
+    fitted, p = _moments_of(df, cols), ScalerParams("standard", list(cols))
+    for c, f in fitted.items():
+        p.center[c], p.scale[c] = f["mean"], f["std"]
+    return _report(df, p, fitted, dict.fromkeys(("mean", "std", "min", "max"), "double"),
+                   {"scaled_mean": F.avg, "scaled_std": F.stddev_samp, "scaled_min": F.min, "scaled_max": F.max}, digits)
 
 
 def robust_params(df: DataFrame, cols: Sequence[str], digits: int = 4, k: float = IQR_FENCE) -> DataFrame:
     """column, median, q1, q3, iqr, outliers, scaled mean/std/median (4 dp).
 
-    Passes: the quartile fit, one aggregate for the scaled moments together
-    with the outlier counts (fences from the fitted quartiles), and one
-    quantile pass for the median of the rounded scaled values.
+    The selection of the quartiles, then one aggregate for the scaled moments and
+    the outlier counts.  Scaling and rounding keep the order of values, so the
+    median of the scaled values is that of the scaled middle values: no further pass.
     """
     cols = list(cols)
-    p = fit_robust(df, cols)
-    aggs = []
-    for i, c in enumerate(cols):
-        sc = _scaled(c, p.center[c], p.scale[c], 6)
-        q1, q3 = p.extra[c]["q1"], p.extra[c]["q3"]
-        if q1 is None:
-            out = F.lit(0)
-        else:
-            lo, hi = q1 - k * (q3 - q1), q3 + k * (q3 - q1)
-            x = nan_to_null(F.col(c).cast("double"))
-            out = F.count_if((x < F.lit(lo)) | (x > F.lit(hi)))
-        aggs += [F.avg(sc).alias(f"_m{i}"), F.stddev_samp(sc).alias(f"_s{i}"), out.alias(f"_o{i}")]
-    row = df.agg(*aggs)
-    structs = []
-    for i, c in enumerate(cols):
-        e = p.extra[c]
-        iqr = None if e["q1"] is None else e["q3"] - e["q1"]
-        structs.append(F.struct(
-            F.lit(c).alias("column_name"), F.lit(i).alias("column_idx"),
-            *[rnd(F.lit(e[n]).cast("double"), digits).alias(n) for n in ("median", "q1", "q3")],
-            rnd(F.lit(iqr).cast("double"), digits).alias("iqr"), F.col(f"_o{i}").cast("bigint").alias("outliers"),
-            rnd(F.col(f"_m{i}"), digits).alias("scaled_mean"), rnd(F.col(f"_s{i}"), digits).alias("scaled_std")))
-    wide = row.select(F.inline(F.array(*structs)))
-    smed = quantiles(transform(df, p).select(*cols), cols, {"scaled_median": 0.5})
-    return wide.join(smed, "column_name").select(
-        *wide.columns, rnd("scaled_median", digits).alias("scaled_median"))
+    stats = order_statistics(df, cols, [0.25, 0.5, 0.75])
+    p, aggs, rows = ScalerParams("robust", cols), [], []
+    for i, (c, found) in enumerate(zip(cols, stats)):
+        q1, med, q3 = (None if f is None else between(*f) for f in found)
+        iqr = None if q1 is None else q3 - q1
+        p.center[c], p.scale[c] = med, iqr
+        sc = _scaled(c, med, iqr, 6)
+        x = nan_to_null(F.col(c).cast("double"))
+        out = F.lit(0) if q1 is None else F.count_if((x < F.lit(q1 - k * iqr)) | (x > F.lit(q3 + k * iqr)))
+        aggs += [F.avg(sc).alias(f"_m{i}"), F.stddev_samp(sc).alias(f"_s{i}"), out.cast("bigint").alias(f"_o{i}")]
+        rows.append((c, i, med, q1, q3, iqr, *(found[1] or (None, None, None))))
+    fit = df.sparkSession.createDataFrame(rows, "column_name string, column_idx int, median double, q1 double, q3 double, iqr double, "
+                                                "_low double, _high double, _part double")
+    row = df.agg(*aggs).select(F.inline(F.array(*[F.struct(F.lit(c).alias("_c"), F.col(f"_o{i}").alias("outliers"), F.col(f"_m{i}").alias("scaled_mean"),
+                                                           F.col(f"_s{i}").alias("scaled_std")) for i, c in enumerate(cols)])))
+
+    def scaled(x):
+        return F.when(F.col("iqr") == 0, F.lit(0.0)).otherwise(rnd((F.col(x) - F.col("median")) / F.col("iqr"), 6))
+
+    middle = scaled("_low") + F.col("_part") * (scaled("_high") - scaled("_low"))
+    return fit.join(row, F.col("column_name") == F.col("_c")).select(
+        "column_name", "column_idx", *[rnd(n, digits).alias(n) for n in ("median", "q1", "q3", "iqr")], "outliers",
+        *[rnd(n, digits).alias(n) for n in ("scaled_mean", "scaled_std")], rnd(middle, digits).alias("scaled_median"))
 
 
 # ---------------------------------------------------------------- encoding

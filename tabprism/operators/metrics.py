@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabprism.functions.expressions import clip, nan_to_null, rnd
@@ -33,13 +33,14 @@ def regression_metrics(df: DataFrame, y: str, yhat: str, digits: int = 4) -> Dat
 
 
 def classification_metrics(df: DataFrame, y: str, prob: str, threshold: float = CLASS_THRESHOLD,
-                           pred: str | None = None) -> DataFrame:
+                           pred: str | None = None, extra: dict[str, Column] | None = None) -> DataFrame:
     """Accuracy %, log-loss, confusion counts, precision %, recall %, F1.
 
     The predicted class is ``prob >= threshold`` unless a ``pred`` column is
     given.  F1 is computed from the 2-dp percentages, as the reference does.
     Rows without a class or probability (NULL or NaN) are in no cell; with no
-    row left accuracy and log-loss are NULL, the other rates 0.
+    row left accuracy and log-loss are NULL, the other rates 0.  ``extra``
+    aggregates over the same rows are added as columns.
     """
     yy = nan_to_null(F.col(y).cast("double"))
     raw = nan_to_null(F.col(prob).cast("double"))
@@ -51,18 +52,20 @@ def classification_metrics(df: DataFrame, y: str, prob: str, threshold: float =
                F.count_if((yp == 0) & (yy == 0)).alias("tn"),
                F.count_if((yp == 1) & (yy == 0)).alias("fp"),
                F.count_if((yp == 0) & (yy == 1)).alias("fn"),
-               F.avg(-(yy * F.log(p) + (1 - yy) * F.log(1 - p))).alias("_ll"))
+               F.avg(-(yy * F.log(p) + (1 - yy) * F.log(1 - p))).alias("_ll"),
+               *[v.alias(k) for k, v in (extra or {}).items()])
     tp, tn, fp, fn = (F.col(c) for c in ("tp", "tn", "fp", "fn"))
     prec = F.when(tp + fp > 0, F.round(tp / (tp + fp) * 100, 2)).otherwise(F.lit(0.0))
     rec = F.when(tp + fn > 0, F.round(tp / (tp + fn) * 100, 2)).otherwise(F.lit(0.0))
     out = a.select("n", "tp", "tn", "fp", "fn",
                    rnd(F.try_divide(tp + tn, F.col("n")) * 100, 2).alias("accuracy"),
                    rnd("_ll", 4).alias("log_loss"), (prec + 0.0).alias("precision"),
-                   (rec + 0.0).alias("recall"))
+                   (rec + 0.0).alias("recall"), *(extra or {}))
     f1 = F.when(F.col("precision") + F.col("recall") > 0,
                 rnd(2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall")), 2)
                 ).otherwise(F.lit(0.0))
-    return out.withColumn("f1", f1)
+    out = out.withColumn("f1", f1)
+    return out.select(*[c for c in out.columns if c not in (extra or {})], *(extra or {}))
 
 
 def feature_auc(df: DataFrame, features: Sequence[str], label: str, digits: int = 4) -> DataFrame:

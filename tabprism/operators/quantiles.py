@@ -142,15 +142,25 @@ def _bucket_counts(df: DataFrame, cols: list[str], wanted: list[list[int]], leve
     return counts.groupBy("col", "bucket").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).toArrow()
 
 
+def between(low: float, high: float, part: float) -> float:
+    """Linear interpolation of two order statistics."""
+    return low if part == 0 else low + part * (high - low)
+
+
 def select_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float]) -> list[list[float | None]]:
     """Exact quantiles of whole columns by multi-selection: per column one value per probability (None without values)."""
+    return [[None if f is None else between(*f) for f in found] for found in order_statistics(df, cols, probs)]
+
+
+def order_statistics(df: DataFrame, cols: Sequence[str], probs: Sequence[float]) -> list[list[tuple[float, float, float] | None]]:
+    """Per column and probability the order statistics around it and the place between them (None without values)."""
     cols, out = list(cols), []
     for start in range(0, len(cols), MAX_COLUMNS_PER_PASS):
         out += _select(df, cols[start:start + MAX_COLUMNS_PER_PASS], list(probs))
     return out
 
 
-def _select(df: DataFrame, cols: list[str], probs: list[float]) -> list[list[float | None]]:
+def _select(df: DataFrame, cols: list[str], probs: list[float]) -> list[list[tuple | None]]:
     sizes = [0] * len(cols)
     found: list[dict[int, float]] = [{} for _ in cols]                       # rank → value
     asked: list[dict[int, list[tuple[int, int]]]] = [{} for _ in cols]       # bucket → (rank, rank inside the bucket)
@@ -187,7 +197,7 @@ def _select(df: DataFrame, cols: list[str], probs: list[float]) -> list[list[flo
         for p in probs:
             h = p * (sizes[i] - 1)
             low, high = int(np.floor(h)), int(np.ceil(h))
-            row.append(None if not sizes[i] else found[i][low] if low == high else found[i][low] + (h - low) * (found[i][high] - found[i][low]))
+            row.append((found[i][low], found[i][high], h - low) if sizes[i] else None)
         out.append(row)
     return out
 

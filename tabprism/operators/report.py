@@ -55,12 +55,11 @@ def evaluation_report(prep: M.Prepared, features: Sequence[str], auc_features: S
     auc = MT.feature_auc(prep.train, auc_features, label).select(
         F.concat(F.lit("auc_"), F.col("feature")).alias("metric"), F.col("auc").alias("value"))
     test = prep.test.withColumn("_prob", main.probability()).withColumn("_pred", (main.z() > 0).cast("int"))
-    quality = MT.classification_metrics(test, label, "_prob", pred="_pred").select(F.inline(F.array(
-        _row("accuracy", F.col("accuracy")), _row("log_loss", F.col("log_loss")))))
-    # every further accuracy in one aggregate of the validation rows
+    # every accuracy in one aggregate of the validation rows
     hits = {f"scaler_{k}": (p.z() > 0).cast("int") == F.col(label) for k, p in variants.items()}
     if softmax:
         hits["softmax_accuracy"] = M.softmax_params(design, softmax, classes).predict_label() == tier
-    shares = prep.test.agg(*[F.avg(h.cast("double")).alias(k) for k, h in hits.items()])
-    shares = shares.select(F.inline(F.array(*[_row(k, rnd(F.col(k) * 100, 2)) for k in hits])))
-    return rows.unionByName(auc).unionByName(quality).unionByName(shares)
+    quality = MT.classification_metrics(test, label, "_prob", pred="_pred", extra={k: F.avg(h.cast("double")) for k, h in hits.items()})
+    quality = quality.select(F.inline(F.array(_row("accuracy", F.col("accuracy")), _row("log_loss", F.col("log_loss")),
+                                              *[_row(k, rnd(F.col(k) * 100, 2)) for k in hits])))
+    return rows.unionByName(auc).unionByName(quality)

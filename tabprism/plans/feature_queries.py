@@ -77,19 +77,23 @@ def robust_scale(spark, sf):
     return FE.robust_scale(T.load(spark, sf, "events"), EV_NUM)
 
 
-def _params_sql(kind):
+def scale_sql(kind, cols, other, table):
+    return {"minmax": _minmax_sql, "standard": _standard_sql, "robust": _robust_sql}[kind](cols, other, table)
+
+
+def params_sql(kind, cols=PART_NUM, other=PART_OTHER, table="part"):
     if kind == "minmax":
-        src = _minmax_sql()
+        src = scale_sql(kind, cols, other, table)
 
         def t(i, c):
             return (f"SELECT '{c}' AS column_name, {i} AS column_idx, {r(f'MIN({dbl(c)})', 4)} AS min, "
                     f"{r(f'MAX({dbl(c)})', 4)} AS max, {r(f'MAX({dbl(c)}) - MIN({dbl(c)})', 4)} AS range, "
                     f"{r(f'AVG({dbl(c)})', 4)} AS mean, {r(f'STDDEV_SAMP({dbl(c)})', 4)} AS std, "
                     f"(SELECT {r(f'AVG({c})', 4)} FROM sc) AS scaled_mean, "
-                    f"(SELECT {r(f'STDDEV_SAMP({c})', 4)} FROM sc) AS scaled_std FROM part")
-        return f"WITH sc AS ({src}) " + union_cols(PART_NUM, t)
+                    f"(SELECT {r(f'STDDEV_SAMP({c})', 4)} FROM sc) AS scaled_std FROM {table}")
+        return f"WITH sc AS ({src}) " + union_cols(cols, t)
     if kind == "standard":
-        src = _standard_sql()
+        src = scale_sql(kind, cols, other, table)
 
         def t(i, c):
             return (f"SELECT '{c}' AS column_name, {i} AS column_idx, {r(f'AVG({dbl(c)})', 4)} AS mean, "
@@ -98,8 +102,8 @@ def _params_sql(kind):
                     f"(SELECT {r(f'AVG({c})', 4)} FROM sc) AS scaled_mean, "
                     f"(SELECT {r(f'STDDEV_SAMP({c})', 4)} FROM sc) AS scaled_std, "
                     f"(SELECT {r(f'MIN({c})', 4)} FROM sc) AS scaled_min, "
-                    f"(SELECT {r(f'MAX({c})', 4)} FROM sc) AS scaled_max FROM part")
-        return f"WITH sc AS ({src}) " + union_cols(PART_NUM, t)
+                    f"(SELECT {r(f'MAX({c})', 4)} FROM sc) AS scaled_max FROM {table}")
+        return f"WITH sc AS ({src}) " + union_cols(cols, t)
     src = _robust_sql()
 
     def t(i, c):
@@ -115,17 +119,17 @@ def _params_sql(kind):
             + union_cols(EV_NUM, t))
 
 
-@query("minmax_params", _params_sql("minmax"))
+@query("minmax_params", params_sql("minmax"))
 def minmax_params(spark, sf):
     return FE.minmax_params(_part(spark, sf), PART_NUM)
 
 
-@query("standard_params", _params_sql("standard"))
+@query("standard_params", params_sql("standard"))
 def standard_params(spark, sf):
     return FE.standard_params(_part(spark, sf), PART_NUM)
 
 
-@query("robust_params", _params_sql("robust"))
+@query("robust_params", params_sql("robust"))
 def robust_params(spark, sf):
     return FE.robust_params(T.load(spark, sf, "events"), EV_NUM)
 

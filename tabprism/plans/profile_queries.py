@@ -192,14 +192,14 @@ def rate_by_category_bars(spark, sf):
     return P.rate_by_category(T.of(spark, sf), ["o_orderstatus", "o_orderpriority"], "flag", None)
 
 
-def _trend_sql():
+def trend_sql(table, by, cols):
     def t(i, c):
-        return (f"SELECT l_returnflag AS grp, {i + 1} AS step, '{c}' AS column_name, "
-                f"ROUND(AVG({dbl(c)}), 2) + 0.0 AS mean FROM lineitem GROUP BY l_returnflag")
-    return union_cols(T.LI_NUMERIC, t)
+        return (f"SELECT {by} AS grp, {i + 1} AS step, '{c}' AS column_name, "
+                f"ROUND(AVG({dbl(c)}), 2) + 0.0 AS mean FROM {table} GROUP BY {by}")
+    return union_cols(cols, t)
 
 
-@query("group_trend", _trend_sql())
+@query("group_trend", trend_sql("lineitem", "l_returnflag", T.LI_NUMERIC))
 def group_trend(spark, sf):
     return P.group_trend(T.load(spark, sf, "lineitem"), "l_returnflag", T.LI_NUMERIC, 2)
 
@@ -242,7 +242,7 @@ def target_corr_ranked(spark, sf):
 
 
 # ---------------------------------------------------------------- IQR
-def _outliers_sql(src, cols):
+def outliers_sql(src, cols):
     def t(i, c):
         return (f"SELECT '{c}' AS column_name, {i} AS column_idx, CAST(COUNT(*) FILTER (WHERE "
                 f"{dbl(c)} < f.lo OR {dbl(c)} > f.hi) AS BIGINT) AS n_outliers FROM ({src}) _s, "
@@ -252,12 +252,12 @@ def _outliers_sql(src, cols):
             "column_idx) AS INTEGER) AS rank FROM o")
 
 
-@query("iqr_outliers", _outliers_sql("SELECT * FROM events", ["value", "user_id"]))
+@query("iqr_outliers", outliers_sql("SELECT * FROM events", ["value", "user_id"]))
 def iqr_outliers(spark, sf):
     return P.iqr_outliers(T.load(spark, sf, "events"), ["value", "user_id"])
 
 
-@query("iqr_outliers_li", _outliers_sql(LI, T.LI_NUMERIC))
+@query("iqr_outliers_li", outliers_sql(LI, T.LI_NUMERIC))
 def iqr_outliers_li(spark, sf):
     return P.iqr_outliers(T.load(spark, sf, "lineitem"), T.LI_NUMERIC)
 

@@ -24,8 +24,8 @@ def load_or_build(spark: SparkSession, path: str, build: Callable[[], DataFrame]
         build().write.parquet(building)
         if fs.exists(target) and not fs.exists(done):
             fs.delete(target, True)         # what an uncommitted writer left
-        if not fs.exists(done):
-            fs.rename(jvm.Path(building), target)
-        else:
+        if fs.exists(done) or not fs.rename(jvm.Path(building), target):
             fs.delete(jvm.Path(building), True)     # another writer was faster
+        if not fs.exists(done):
+            raise OSError(f"table {path!r} could not be moved into place")
     return spark.read.parquet(path)

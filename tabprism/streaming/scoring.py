@@ -1,12 +1,15 @@
-"""Streaming application of fitted row-local transforms."""
+"""Streaming application of fitted row-local transforms, fixed or from a versioned parameter table."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from tabprism.sources.params import Fitted, load_version
+
 
 def stream_source(spark: SparkSession, path: str, schema: StructType, fmt: str = "parquet",
                   max_files_per_trigger: int | None = None) -> DataFrame:
@@ -40,3 +43,24 @@ def write_stream(scored: DataFrame, path: str, checkpoint: str | None = None,
     if trigger_once:
         w = w.trigger(availableNow=True)
     return w.start()
+
+
+def write_versioned_stream(stream: DataFrame, params_path: str, apply: Callable[[DataFrame, Fitted], DataFrame], path: str,
+                           checkpoint: str | None = None, trigger_once: bool = False):
+    """Score every micro-batch with the parameters that are the latest when it starts (``sources.params.publish_fitted``).
+
+    A refit reaches the running query with its next batch; ``params_version``
+    tells which one scored a row.  Each batch goes to a folder of its own,
+    ``batch_id=n``, overwritten if the batch runs again, so a restarted query
+    leaves every row once — scored by one version, the last run's.
+    """
+    def score(batch: DataFrame, batch_id: int) -> None:
+        params, version = load_version(batch.sparkSession, params_path)
+        scored = apply(batch, params).withColumn("params_version", F.lit(version).cast("long"))
+        scored.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch_id={batch_id}")
+
+    ck = checkpoint or path.rstrip("/") + ".checkpoint"
+    w = stream.writeStream.foreachBatch(score).option("checkpointLocation", ck)
+    if trigger_once:
+        w = w.trigger(availableNow=True)
+    return w.start()
