@@ -2,17 +2,22 @@
 
 A text is a multiset of paragraphs: pieces between line breaks, and between
 sentence ends within a line, white space cut at both sides, empty ones left
-out.  Each paragraph is hashed (four SHA-256) to a vector of 64 lanes of 15 bits;
-lanes of level j (eight lanes for each j from 0 to 7) keep a value only if its
-low j bits are 0.  A document's fingerprint is the number of its paragraphs
-modulo 2**32 and the lane-wise sum of their vectors modulo 2**16.  So it does
+out.  Each paragraph is hashed (four SHA-256) to 16 words of 60 bits.  A word has
+a value of 15 bits and 20 bits that choose its level, the number of zeros they end
+with (19 at most): the word's lane of that level takes the value, the word's 19
+other lanes nothing.  So a level sees half of what the one below it sees, and
+a word's levels see different paragraphs.  A document's fingerprint is the number of its paragraphs modulo 2**32 and the lane-wise sum of
+their vectors modulo 2**16.  So it does
 not depend on the paragraphs' order, and paragraphs are inserted and deleted by
 adding and subtracting their vectors (``insert``, ``delete``).
 
 **Likeness.**  A lane of level j stays equal under d differing paragraphs with
-probability about (1 - 2**-j)**d, so the number of equal lanes estimates d (as
+probability about (1 - 2**-(j+1))**d, so the number of equal lanes estimates d (as
 strata estimators for set differences do); likeness is
-``1 - d / (paragraphs of both)``, at least 0; equal fingerprints have 1.
+``1 - d / (paragraphs of both)``, at least 0; equal fingerprints have 1.  For any
+d up to 2**19 some levels are neither all equal nor all different; the estimate of
+d is off by about a sixth (one standard deviation), so the likeness by a sixth of
+the differing share.
 
 All expressions are built-in SQL functions; nothing leaves the JVM.
 
@@ -27,11 +32,10 @@ from pyspark.sql import functions as F
 
 from tabprism.llm.common import materialise
 
-LEVELS = 8
-PER_LEVEL = 8
-#: A hash gives four words of 60 bits, a word four lanes; hash k is taken of the paragraph after the text of SALTS[k].
+LEVELS = 20
+#: A hash gives four words of 60 bits, one for each of a level's lanes; hash k is taken of the paragraph after the text of SALTS[k].
 SALTS = ["", "1", "2", "3"]
-WORDS = 4 * len(SALTS)
+WORDS = PER_LEVEL = 4 * len(SALTS)
 LANES = LEVELS * PER_LEVEL
 VALUE_BITS = 15
 LANE_MOD = 1 << 16
@@ -44,7 +48,7 @@ _BLANKS = " \t\r\f\x0b"
 
 def expected_equal(d: float) -> float:
     """Expected number of equal lanes for d differing paragraphs."""
-    return PER_LEVEL * sum((1.0 - 2.0 ** -j) ** d for j in range(LEVELS))
+    return PER_LEVEL * sum((1.0 - 2.0 ** -min(j + 1, LEVELS - 1)) ** d for j in range(LEVELS))
 
 
 def difference_table() -> list[float]:
@@ -54,12 +58,12 @@ def difference_table() -> list[float]:
     """
     out = []
     for equal in range(LANES + 1):
-        lo, hi = 1.0, 1e6
+        lo, hi = 1.0, 1e9
         for _ in range(100):
             mid = (lo * hi) ** 0.5
             lo, hi = (mid, hi) if expected_equal(mid) > equal else (lo, mid)
         out.append(round(lo, 6))
-    out[0] = 1e6
+    out[0] = 1e9
     return out
 
 
@@ -75,23 +79,21 @@ def with_fingerprint(df: DataFrame, text: str, lanes: str) -> DataFrame:
     out = out.selectExpr("*", *[f"transform(_paragraphs, p -> sha2(concat('{salt}', p), 256)) AS {h}" for h, salt in zip(hashes, SALTS)])
     out = out.selectExpr("*", *[f"transform({hashes[k // 4]}, h -> CAST(conv(substring(h, {1 + 15 * (k % 4)}, 15), 16, 10) AS BIGINT)) AS {w}"
                                 for k, w in enumerate(words)])
-    sums = [f"CAST(size(_paragraphs) AS BIGINT) % {COUNT_MOD}L"]
+    out = out.withColumn("_level_count", F.expr(f"array(CAST(size(_paragraphs) AS BIGINT) % {COUNT_MOD}L)")).drop("_paragraphs", *hashes)
+    # sums of the words that reach each level or a higher one; what is left is halved from level to level
+    parts = ["_level_count"]
     for level in range(LEVELS):
-        for i in range(PER_LEVEL):
-            word, slot = lane_place(level, i)
-            sums.append(f"aggregate({words[word]}, 0L, (a, x) -> a + {_value(slot, level)}) % {LANE_MOD}L")
-    return out.selectExpr("*", f"array({', '.join(sums)}) AS {lanes}").drop("_paragraphs", *hashes, *words)
+        sums = ", ".join(f"aggregate({w}, 0L, (a, x) -> a + {value('x')}) % {LANE_MOD}L" for w in words)
+        left = [] if level == LEVELS - 1 else [f"filter({w}, x -> (x & {1 << level}L) = 0L) AS {w}" for w in words]
+        out = out.selectExpr(*df.columns, *parts, f"array({sums}) AS _level_{level}", *left)
+        parts.append(f"_level_{level}")
+    own = [F.zip_with(a, b, lambda x, y: F.pmod(x - y, F.lit(LANE_MOD))) for a, b in zip(parts[1:-1], parts[2:])]
+    return out.select(*df.columns, F.concat(parts[0], *own, parts[-1]).alias(lanes))
 
 
-def lane_place(level: int, i: int) -> tuple[int, int]:
-    """(word, slot) of a level's lane."""
-    return level * PER_LEVEL // 4 + i // 4, i % 4
-
-
-def _value(slot: int, level: int) -> str:
-    """A word x's value in a lane: 15 bits, or 0 if its low ``level`` bits aren't 0."""
-    v = f"(shiftright(x, {VALUE_BITS * slot}) & {(1 << VALUE_BITS) - 1}L)"
-    return v if not level else f"IF({v} & {(1 << level) - 1}L = 0L, {v}, 0L)"
+def value(x: str) -> str:
+    """SQL of a word's value: the bits above those of its level."""
+    return f"((shiftright({x}, {LEVELS}) & {(1 << VALUE_BITS) - 1}L))"
 
 
 def as_text(lanes: Column) -> Column:

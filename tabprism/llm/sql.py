@@ -52,23 +52,23 @@ FROM q
 """
 
 
-def _lane(words: str, i: int, level: int) -> str:
-    v = f"((x >> {m.VALUE_BITS * i}) & {(1 << m.VALUE_BITS) - 1})"
-    picked = v if not level else f"CASE WHEN {v} & {(1 << level) - 1} = 0 THEN {v} ELSE 0 END"
-    return f"coalesce(list_sum(list_transform({words}, lambda x: ({picked})::BIGINT)), 0)::BIGINT % {m.LANE_MOD}"
-
-
 def op8() -> str:
     def prints(source: str, text: str) -> str:
         units = (f"list_filter(list_transform(string_split(regexp_replace({text}, '([.!?])[ \\t\\r\\f\\x0b]+', '\\1' || chr(10), 'g'), chr(10)), "
                  "lambda s: trim(s, ' ' || chr(9) || chr(13) || chr(12) || chr(11))), lambda s: s <> '')")
         words = ", ".join(
             f"list_transform(a{k // 4}, lambda h: ('0x' || substr(h, {1 + 15 * (k % 4)}, 15))::BIGINT) AS w{k}" for k in range(m.WORDS))
-        lanes = ", ".join(_lane(f"w{m.lane_place(level, i)[0]}", m.lane_place(level, i)[1], level)
-                          for level in range(m.LEVELS) for i in range(m.PER_LEVEL))
         hashes = ", ".join(f"list_transform(u, lambda s: sha256('{salt}' || s)) AS a{k}" for k, salt in enumerate(m.SALTS))
-        return (f"SELECT *, [n] || [{lanes}] AS fp FROM (SELECT *, {words} FROM (SELECT *, len(u)::BIGINT % {m.COUNT_MOD} AS n, "
-                f"{hashes} FROM (SELECT *, {units} AS u FROM {source})))")
+        level = (f"(SELECT *, {words} FROM (SELECT *, len(u)::BIGINT % {m.COUNT_MOD} AS n, "
+                 f"{hashes} FROM (SELECT *, {units} AS u FROM {source})))")
+        names = [f"w{k}" for k in range(m.WORDS)]
+        for j in range(m.LEVELS):
+            sums = ", ".join(f"coalesce(list_sum(list_transform({w}, lambda x: ((x >> {m.LEVELS}) & {(1 << m.VALUE_BITS) - 1})::BIGINT)), 0)::BIGINT "
+                             f"% {m.LANE_MOD}" for w in names)
+            left = ", ".join(f"list_filter({w}, lambda x: x & {1 << j} = 0) AS {w}" for w in names)
+            level = f"(SELECT * REPLACE ({left}), [{sums}] AS l{j} FROM {level})"
+        own = [f"list_transform(list_zip(l{j}, l{j + 1}), lambda z: (z[1] - z[2] + {m.LANE_MOD}) % {m.LANE_MOD})" for j in range(m.LEVELS - 1)]
+        return f"SELECT *, [n] || {' || '.join([*own, f'l{m.LEVELS - 1}'])} AS fp FROM {level}"
 
     def shown(fp: str) -> str:
         return f"printf('%08x', {fp}[1]) || array_to_string(list_transform({fp}[2:], lambda v: printf('%04x', v)), '')"

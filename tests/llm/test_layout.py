@@ -240,14 +240,14 @@ def slow_print(text):
     import re
     pieces = re.sub(r"([.!?])[ \t\r\f\x0b]+", "\\1\n", text or "").split("\n")
     units = [u for u in (p.strip(" \t\r\f\x0b") for p in pieces) if u]
-    lanes = [0] * multiset_hash.LANES
+    lanes = [0] * 320
     for u in units:
         digits = [hashlib.sha256(salt + u.encode()).hexdigest()[:60] for salt in (b"", b"1", b"2", b"3")]
         words = [int(d[15 * k:15 * k + 15], 16) for d in digits for k in range(4)]
-        for lane in range(64):
-            level, v = lane // 8, words[lane // 4] >> 15 * (lane % 4) & 0x7FFF
-            if v % (1 << level) == 0:
-                lanes[lane] += v
+        for lane in range(320):
+            level, word = lane // 16, words[lane % 16]
+            if word % (1 << level) == 0 and (level == 19 or word >> level & 1):
+                lanes[lane] += word >> 20 & 0x7FFF
     return f"{len(units):08x}" + "".join(f"{v % 65536:04x}" for v in lanes)
 
 
@@ -287,6 +287,20 @@ def test_likeness_follows_common_paragraphs(spark):
         assert share < 1 or values == [1.0] * 3
 
 
+def test_likeness_of_long_texts(spark):
+    """Texts that share half of their paragraphs, whatever their length."""
+    r = random.Random(14)
+    rows = []
+    for n in (150, 500, 2_000, 20_000):
+        common = [f"shared {r.getrandbits(60)}" for _ in range(n // 2)]
+        a, b = ("\n".join(common + [f"{side} {r.getrandbits(60)}" for _ in range(n // 2)]) for side in "ab")
+        rows.append((n, a, b))
+    df = spark.createDataFrame(rows, "n int, a string, b string").repartition(4)
+    df = multiset_hash.with_fingerprint(multiset_hash.with_fingerprint(df, "a", "fa"), "b", "fb")
+    got = {x["n"]: x["v"] for x in df.select("n", multiset_hash.likeness(F.col("fa"), F.col("fb")).alias("v")).collect()}
+    assert all(abs(v - 0.5) <= 0.15 for v in got.values()), got
+
+
 def test_successors(spark, edge_docs, no_docs):
     rows = [(r["doc_id"], r["text"] or "") for r in edge_docs.select("doc_id", "text").collect()]
     rows += [(10**6 + 7 * i, f"far {i}") for i in range(30)] + [(-5, "first")]
