@@ -272,20 +272,29 @@ def bounded_suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
     key = np.zeros(n, np.uint64)
     for i in range(7):
         key = (key << np.uint64(9)) | padded[i:i + n]
+    order = np.argsort(key)              # rows that are equal so far may come in any order
+    ranked = key[order]
+    head = np.concatenate(([True], ranked[1:] != ranked[:-1]))
+    rank = np.empty(n, np.uint64)        # place of the first row that is equal so far
+    rank[order] = np.maximum.accumulate(np.where(head, np.arange(n), 0))
     have = 7
-    while True:
-        order = np.argsort(key)      # rows that are equal so far may come in any order
-        if have >= depth:
-            return order
-        ranked = key[order]
-        rank = np.empty(n, np.uint64)
-        rank[order] = np.concatenate(([1], 1 + np.cumsum(ranked[1:] != ranked[:-1]))).astype(np.uint64)
-        if rank[order[-1]] == n:
-            return order
-        after = np.zeros(n, np.uint64)
-        after[:max(0, n - have)] = rank[have:]
-        key = (rank << np.uint64(32)) | after
+    while have < depth:
+        # only rows that are still tied are ordered by what follows
+        tied = np.flatnonzero(~(head & np.append(head[1:], True)))
+        if not len(tied):
+            break
+        rows = order[tied]
+        after = np.zeros(len(rows), np.uint64)
+        inside = rows + have < n
+        after[inside] = rank[rows[inside] + have] + np.uint64(1)
+        key = (rank[rows] << np.uint64(32)) | after
+        by = np.argsort(key)
+        rows, key = rows[by], key[by]
+        first = np.concatenate(([True], key[1:] != key[:-1]))
+        order[tied], head[tied] = rows, first
+        rank[rows] = np.maximum.accumulate(np.where(first, tied, 0))
         have *= 2
+    return order
 
 
 def common_prefixes(text: np.ndarray, order: np.ndarray, limit: int) -> np.ndarray:
@@ -301,17 +310,19 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, limit: int) -> np.ndarr
     split = np.concatenate(([True], bwt[before[1:]] != bwt[before[:-1]]))
     value[split] = 0
     rest = np.flatnonzero(~split)
+    upper, lower = before[rest - 1], before[rest]
     for level in range(1, limit):
         if not len(rest):
             break
-        interval = np.cumsum(split, dtype=np.int64)
-        now = interval[before[rest]] != interval[before[rest - 1]]
-        found = rest[now]
-        if not len(found):
+        interval = np.cumsum(split, dtype=np.int32)
+        now = interval[lower] != interval[upper]
+        if not now.any():
             break       # no interval was split: none will be at a larger value
+        found = rest[now]
         value[found] = level
         split[found] = True
-        rest = rest[~now]
+        stay = ~now
+        rest, upper, lower = rest[stay], upper[stay], lower[stay]
     return value
 
 
