@@ -55,6 +55,14 @@ def process_cache() -> dict:
     return sys.modules.setdefault("_llm_process_cache", types.ModuleType("_llm_process_cache")).__dict__
 
 
+def free_tag(columns: list[str]) -> str:
+    """A prefix that no column begins with: names of columns that are gone again at the end."""
+    tag = "_"
+    while any(c.startswith(tag) for c in columns):
+        tag += "_"
+    return tag
+
+
 def strings(batch: pa.RecordBatch, name: str) -> list:
     """A string column as Python strings, null as the empty text."""
     return [v or "" for v in batch.column(name).to_pylist()]

@@ -34,6 +34,8 @@ from pyspark.sql import functions as F
 
 from tabprism.llm.common import materialise
 
+#: Columns that the mix adds; columns of the input with these names give way.
+RESULTS = ["mix_tokens", "mix_weight", "mix_epochs", "mix_epoch", "mix_position"]
 GRID = 17
 ROUNDS = 5
 
@@ -140,7 +142,7 @@ def mix_sources(docs: DataFrame, key: str = "doc_id", source: str = "source", te
 
     Sorting by (mix_epoch, mix_position) gives each epoch's block permutation.
     """
-    columns = docs.columns
+    columns = [c for c in docs.columns if c not in RESULTS]
     plan = materialise(plan_mix(docs, key, source, word_count(F.col(text)), target_entropy, max_repeats, budget, blocks, seed),
                        "mix-plan")
     # the columns of docs travel in a struct, so their names clash with nothing here

@@ -21,8 +21,9 @@ the differing share.
 
 All expressions are built-in SQL functions; nothing leaves the JVM.
 
-Defined results: null texts are empty; empty texts have the all-zero
-fingerprint.
+Defined results: null texts are empty; empty texts have the all-zero fingerprint;
+texts of any length are hashed whole; repeated rows get a row each and an empty
+table none; other columns pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabprism.llm.common import materialise
+from tabprism.llm.common import free_tag, materialise
 
 LEVELS = 20
 #: A hash gives four words of 60 bits, one for each of a level's lanes; hash k is taken of the paragraph after the text of SALTS[k].
@@ -73,22 +74,25 @@ def paragraphs(text: Column) -> Column:
 
 
 def with_fingerprint(df: DataFrame, text: str, lanes: str) -> DataFrame:
-    """Adds ``lanes``: array of the paragraph count and the lane sums (longs)."""
-    hashes, words = [f"_sha_{k}" for k in range(len(SALTS))], [f"_word_{k}" for k in range(WORDS)]
-    out = df.withColumn("_paragraphs", paragraphs(F.col(text)))
-    out = out.selectExpr("*", *[f"transform(_paragraphs, p -> sha2(concat('{salt}', p), 256)) AS {h}" for h, salt in zip(hashes, SALTS)])
-    out = out.selectExpr("*", *[f"transform({hashes[k // 4]}, h -> CAST(conv(substring(h, {1 + 15 * (k % 4)}, 15), 16, 10) AS BIGINT)) AS {w}"
-                                for k, w in enumerate(words)])
-    out = out.withColumn("_level_count", F.expr(f"array(CAST(size(_paragraphs) AS BIGINT) % {COUNT_MOD}L)")).drop("_paragraphs", *hashes)
+    """Adds ``lanes``: array of the paragraph count and the lane sums (longs); a column of that name gives way."""
+    kept = [c for c in df.columns if c != lanes]
+    tag = free_tag(df.columns)
+    units, hashes, words = f"{tag}units", [f"{tag}sha_{k}" for k in range(len(SALTS))], [f"{tag}word_{k}" for k in range(WORDS)]
+    out = df.withColumn(units, paragraphs(F.col(text)))
+    names = [f"`{c}`" for c in kept]
+    out = out.selectExpr(*names, units, *[f"transform({units}, p -> sha2(concat('{salt}', p), 256)) AS {h}" for h, salt in zip(hashes, SALTS)])
+    out = out.selectExpr(*names, f"array(CAST(size({units}) AS BIGINT) % {COUNT_MOD}L) AS {tag}count",
+                         *[f"transform({hashes[k // 4]}, h -> CAST(conv(substring(h, {1 + 15 * (k % 4)}, 15), 16, 10) AS BIGINT)) AS {w}"
+                           for k, w in enumerate(words)])
     # sums of the words that reach each level or a higher one; what is left is halved from level to level
-    parts = ["_level_count"]
+    parts = [f"{tag}count"]
     for level in range(LEVELS):
         sums = ", ".join(f"aggregate({w}, 0L, (a, x) -> a + {value('x')}) % {LANE_MOD}L" for w in words)
         left = [] if level == LEVELS - 1 else [f"filter({w}, x -> (x & {1 << level}L) = 0L) AS {w}" for w in words]
-        out = out.selectExpr(*df.columns, *parts, f"array({sums}) AS _level_{level}", *left)
-        parts.append(f"_level_{level}")
+        out = out.selectExpr(*names, *parts, f"array({sums}) AS {tag}level_{level}", *left)
+        parts.append(f"{tag}level_{level}")
     own = [F.zip_with(a, b, lambda x, y: F.pmod(x - y, F.lit(LANE_MOD))) for a, b in zip(parts[1:-1], parts[2:])]
-    return out.select(*df.columns, F.concat(parts[0], *own, parts[-1]).alias(lanes))
+    return out.select(*names, F.concat(parts[0], *own, parts[-1]).alias(lanes))
 
 
 def value(x: str) -> str:

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, DoubleType, IntegerType, StructField, StructType
 
-from tabprism.llm.common import first_rows, map_batches, strings
+from tabprism.llm.common import first_rows, free_tag, map_batches, strings
 
 #: How many words a task remembers before it starts again.
 VOCABULARY = 600_000
@@ -235,17 +235,18 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score", keep: list[str] | None = None) -> DataFrame:
-    """``keep`` columns of every row and its score, a double from 0 to 1."""
-    keep = docs.columns if keep is None else keep
+    """``keep`` columns of every row and its score, a double from 0 to 1; a kept column of its name gives way."""
+    keep = [c for c in (docs.columns if keep is None else keep) if c != name]
+    read = free_tag(keep) + "text"
     shared = docs.sparkSession.sparkContext.broadcast(model)      # 2**bits numbers
-    fields = docs.select(*keep, F.col(text).alias("_text_scored"))
+    fields = docs.select(*keep, F.col(text).alias(read))
 
     def run(batches):
         m = shared.value
         words = Vocabulary()
         for batch in batches:
-            scores = [m.score(t, words) for t in strings(batch, "_text_scored")]
-            cols = [batch.column(c) for c in batch.schema.names if c != "_text_scored"]
+            scores = [m.score(t, words) for t in strings(batch, read)]
+            cols = [batch.column(c) for c in batch.schema.names if c != read]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(scores, pa.float64())], [*keep, name])
 
     schema = StructType([fields.schema[c] for c in keep] + [StructField(name, DoubleType())])

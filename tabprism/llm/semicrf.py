@@ -15,31 +15,36 @@ reach as far as a segment can: long ones are decoded in blocks that hand their
 scores on, with the same result as decoding the text in one.
 
 Spans found by the field are added unless they overlap a base span; base spans
-always stay.  Weights are trained (conditional likelihood, AdaGrad) on zones of
-at most ``max_rows`` documents, those with the smallest id hashes: base matches
+always stay.  Weights are trained (conditional likelihood, AdaGrad) on windows of
+at most ``max_rows`` documents, those with the smallest id hashes, two thirds of them
+likely to hold a match; the windows come from the whole text, at most
+``matches_per_text`` around matches and ``others_per_text`` around other digits.  Base matches
 are the labels, and rewritten base matches (other separators, spelled-out marks,
 a lost prefix) teach the forms that the patterns miss; numbers that no pattern
 accepts are the negative cases.  Key-like hexadecimal strings of 20 or more
 characters after ``token``, ``key``, ``secret`` or ``password`` label the kind
 ``secret``.
 
-Defined results: null and empty texts have no spans; without any training zone
-the field adds nothing; offsets are code points, ends exclusive; rows are
+Defined results: null and empty texts have no spans; repeated rows get a row each;
+an empty table gives no row; without an entity among the training windows there is
+no field (``fit`` warns) and the base patterns alone apply; offsets are code points, ends exclusive; rows are
 independent of each other.
 """
 
 from __future__ import annotations
 
 import re
+import warnings
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from tabprism.llm.common import first_rows, map_batches, strings
+from tabprism.llm.common import first_rows, free_tag, map_batches, strings
 
 #: The kinds of the base patterns, in the order of the digest.
 BASE_KINDS = ["email", "ip", "card", "phone"]
@@ -361,8 +366,8 @@ def _rewrites(kind: int, span: str, rng: np.random.Generator) -> str:
     return [f"({d[:3]}) {d[3:6]}-{d[6:]}", f"{d[:3]}-{d[3:6]}-{d[6:]}", f"{d[:3]}.{d[3:6]}.{d[6:]}"][rng.integers(3)]
 
 
-def labelled_zones(text: str, rng: np.random.Generator, most: int) -> list[tuple]:
-    """Training zones of a text: as it stands, and with its base matches rewritten."""
+def labelled_zones(text: str, rng: np.random.Generator, most: int | None = None) -> list[tuple]:
+    """Training zones of a text: as it stands, and with its base matches rewritten; the first ``most`` of each if given."""
     out = []
     spans = base_spans(text)
     secrets = [(m.start(1), 4, m.end(1)) for m in _SECRET.finditer(text)]
@@ -394,30 +399,63 @@ def labelled_zones(text: str, rng: np.random.Generator, most: int) -> list[tuple
     return out
 
 
-def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", max_rows: int = 300, zones_per_text: int = 4) -> np.ndarray | None:
-    """Train on the ``max_rows`` texts with a digit or ``@`` whose id hashes are smallest (of repeated ids twice as many rows at most)."""
-    ids = (docs.where(F.col(text).rlike(r"[0-9@]|\sdot\s")).select(F.col(key).alias("_key")).where(F.col("_key").isNotNull())
-           .orderBy(F.xxhash64("_key"), "_key").limit(max_rows))
-    picked, counts = first_rows(docs.select(F.col(key).alias("_key"), F.col(text).alias("text")), ids, 2 * max_rows)
+#: Texts that are likely to hold a match of a base kind or a secret; only the choice of training texts uses it.
+LIKELY = (r"@[A-Za-z0-9-]+\.[A-Za-z0-9]|\+[0-9][ ().0-9-]{8,}[0-9]|[0-9]\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]|[0-9]([ -]?[0-9]){13}"
+          r"|(?i:token|key|secret|password)[\"'=: ]{1,6}[0-9a-fA-F]{20}")
+#: Texts where the field finds zones at all.
+ZONED = r"[0-9@]|\sdot\s"
+
+
+def training_windows(text: str, matches: int, others: int) -> str:
+    """Neighbourhoods (-80, +160 characters) of a text's digits and marks, one per line, from the whole text.
+
+    Those around a match or secret come first: all up to ``matches``; of the rest
+    ``others``.  Beyond that the ones with the smallest hashes are taken.
+    """
+    found = [s for s, _, _ in base_spans(text)] + [m.start(1) for m in _SECRET.finditer(text)]
+    sizes, places = (matches, others), (found, [m.start() for m in _ANCHOR.finditer(text)])
+    keep: list[tuple[int, int]] = []
+    for most, marks in zip(sizes, places):
+        cuts = {(max(0, m - 80), m + 160) for m in marks if not any(a <= m < b for a, b in keep)}
+        by_hash = sorted(cuts, key=lambda c: (xxhash.xxh3_64_intdigest(text[c[0]:c[1]].encode("utf-8", "replace"), c[0]), c))
+        for cut in by_hash:
+            if most == 0:
+                break
+            if not any(a < cut[1] and cut[0] < b for a, b in keep):
+                keep.append(cut)
+                most -= 1
+    return "\n".join(text[a:b] for a, b in sorted(keep))
+
+
+def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", max_rows: int = 300, plain_share: float = 1 / 3,
+        matches_per_text: int = 16, others_per_text: int = 4) -> np.ndarray | None:
+    """Train on at most ``max_rows`` texts with the smallest id hashes, ``plain_share`` of them without a likely match.
+
+    Of repeated ids twice as many rows at most.  A text gives up to
+    ``matches_per_text`` windows around matches and ``others_per_text`` around other
+    digits, chosen by hash from the whole text.  Without an entity in any of them
+    there is no field: a warning says so, and only the base patterns apply.
+    """
+    spans = docs.where(F.col(text).rlike(ZONED)).select(F.col(key).alias("_key"), F.col(text).rlike(LIKELY).alias("_likely")).where(F.col("_key").isNotNull())
+    plain = int(max_rows * plain_share)
+    # an id with texts of both kinds counts as likely
+    ids = [spans.where(kind).orderBy(F.xxhash64("_key"), "_key").limit(n).select("_key")
+           for kind, n in ((F.col("_likely"), max_rows - plain), (~F.col("_likely"), plain))]
+    picked, counts = first_rows(docs.select(F.col(key).alias("_key"), F.col(text).alias("text")), ids[0].unionByName(ids[1]).distinct(), 2 * max_rows)
     schema = StructType([picked.schema["_text"], picked.schema["_key"], StructField("t", StringType())])
     names = schema.names
 
-    # only the neighbourhoods of matches and numbers reach the driver
+    # only the windows reach the driver
     def run(batch):
-        cut = []
-        for t in strings(batch, "text"):
-            marks = [m.start() for m in _ANCHOR.finditer(t)]
-            keep, end = [], 0
-            for m in marks:
-                if m >= end and len(keep) < zones_per_text:
-                    keep.append(t[max(0, m - 80):m + 160])
-                    end = m + 160
-            cut.append("\n".join(keep))
+        cut = [training_windows(t, matches_per_text, others_per_text) for t in strings(batch, "text")]
         yield pa.RecordBatch.from_arrays([batch.column("_text"), batch.column("_key"), pa.array(cut, pa.string())], names)
 
     sample = sorted(r["t"] for r in map_batches(picked, run, schema).collect() for _ in range(counts[tuple(r)[:2]]))
     rng = np.random.default_rng(3)
-    return train([z for t in sample for z in labelled_zones(t, rng, zones_per_text)])
+    weights = train([z for t in sample for z in labelled_zones(t, rng)])
+    if weights is None:
+        warnings.warn(f"no personal data in {len(sample)} sampled texts: only the base patterns apply", stacklevel=2)
+    return weights
 
 
 def all_spans(text: str, weights: np.ndarray | None) -> tuple[list, list]:
@@ -438,17 +476,21 @@ def digest_text(spans: list[tuple[int, int, int]]) -> str:
 
 
 def find_personal_data(docs: DataFrame, weights: np.ndarray | None, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """``keep`` columns and, per row, n_<kind> of the base kinds, ``base`` and ``spans`` (kind:start:end texts)."""
-    keep = docs.columns if keep is None else keep
-    fields = docs.select(*keep, F.col(text).alias("_text_searched"))
+    """``keep`` columns and, per row, n_<kind> of the base kinds, ``base`` and ``spans`` (kind:start:end texts).
+
+    Kept columns with one of these names give way to the results.
+    """
     counts = [f"n_{k}" for k in BASE_KINDS]
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in (*counts, "base", "spans")]
+    searched = free_tag(keep) + "text"
+    fields = docs.select(*keep, F.col(text).alias(searched))
     schema = StructType([fields.schema[c] for c in keep] + [StructField(c, LongType()) for c in counts]
                         + [StructField(c, StringType()) for c in ("base", "spans")])
     names = [f.name for f in schema.fields]
 
     def run(batch):
-        found = [all_spans(t, weights) for t in strings(batch, "_text_searched")]
-        kept = [batch.column(c) for c in batch.schema.names if c != "_text_searched"]
+        found = [all_spans(t, weights) for t in strings(batch, searched)]
+        kept = [batch.column(c) for c in batch.schema.names if c != searched]
         number = [pa.array([sum(s[1] == k for s in b) for b, _ in found], pa.int64()) for k in range(len(BASE_KINDS))]
         yield pa.RecordBatch.from_arrays(
             [*kept, *number, pa.array([digest_text(b) for b, _ in found], pa.string()),

@@ -176,6 +176,36 @@ def test_personal_data_edges(edge_docs, no_docs):
     assert "@" not in masked[10] and "4510" not in masked[10] and "9855" not in masked[10] and masked[4] is None
 
 
+def test_training_windows_reach_the_end_of_a_text(spark):
+    """Matches only at the end of long texts full of other numbers still teach the field."""
+    numbers = " ".join(f"lot {i} of {i * 7}" for i in range(3000))
+    window = semicrf.training_windows(numbers + " write to jo.doe@mail.example.com now", 16, 4)
+    assert "jo.doe@mail.example.com" in window and len(window) < 6 * 250
+    many = " ... ".join(f"a{i}@b{i}.example.org" + " x" * 200 for i in range(40))
+    assert semicrf.training_windows(many, 16, 4).count("\n") + 1 <= 20
+    assert semicrf.training_windows("", 16, 4) == "" and semicrf.training_windows("no digit", 16, 4) == ""
+    rows = [(i, numbers + f" mail user{i}@host{i}.example.com today") for i in range(30)]
+    w = semicrf.fit(spark.createDataFrame(rows, "doc_id long, text string"), max_rows=12)
+    assert w is not None and w[0].any()
+    with pytest.warns(UserWarning, match="no personal data"):
+        assert semicrf.fit(spark.createDataFrame([(1, "lot 7 of 9")], "doc_id long, text string")) is None
+
+
+def test_clashing_names_give_way(spark):
+    from tabprism.llm import mixing, multiset_hash, nbsvm
+    docs = spark.createDataFrame([(1, "mail a.b@example.com now", "s", 5, "x", "t", 0.5)],
+                                 "doc_id long, text string, source string, n_email int, base string, _text string, mix_weight double")
+    found = semicrf.find_personal_data(docs, None)
+    assert found.columns == ["doc_id", "text", "source", "_text", "mix_weight", "n_email", "n_ip", "n_card", "n_phone", "base", "spans"]
+    assert found.first()["n_email"] == 1 and found.first()["_text"] == "t"
+    mixed = mixing.mix_sources(docs)
+    assert mixed.columns.count("mix_weight") == 1 and mixed.first()["mix_weight"] == 1.0
+    prints = multiset_hash.with_fingerprint(docs.withColumnRenamed("_text", "_units"), "text", "base")
+    assert prints.columns == ["doc_id", "text", "source", "n_email", "_units", "mix_weight", "base"] and prints.first()["_units"] == "t"
+    model = nbsvm.fit_rows([], np.zeros(0, np.int64), 10)
+    assert nbsvm.score(docs, model, name="base").columns[-1] == "base"
+
+
 def make_labelled(spark, n, seed):
     r = random.Random(seed)
     good = ["the", "river", "stone", "walks", "slowly", "under", "bright", "clouds", "and", "birds"]
