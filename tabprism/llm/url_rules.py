@@ -115,8 +115,10 @@ def host_matches(urls: DataFrame, rules: Sequence[tuple[str, str, str]]) -> Data
     table = spark.createDataFrame([(h, p, h + p, v) for h, p, v in rules],
                                   "_suffix string, _prefix string, rule string, rule_verdict string")
     labels = F.split(F.col("_host"), r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)),
-                           lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    # a longer suffix than the longest rule fits none, however many labels a host has
+    most = max((h.count(".") + 1 for h, _, _ in rules), default=1)
+    suffixes = F.transform(F.sequence(F.greatest(F.lit(1), F.size(labels) - most + 1), F.size(labels)),
+                           lambda i: F.array_join(F.slice(labels, i, most), "."))
     offered = (urls.select("_url", host_of(F.col("_url")).alias("_host"), path_of(F.col("_url")).alias("_path"))
                .select("_url", "_path", F.explode(suffixes).alias("_suffix")))
     fits = (offered.join(_small(table, len(rules)), "_suffix")

@@ -171,6 +171,14 @@ def test_url_rules(spark):
     assert {r["verdict"] for r in url_rules.judge_urls(df, "page_id", "url", [], []).collect()} == {"allow"}
 
 
+def test_hosts_of_very_many_labels(spark):
+    hosts = ["a." * 100_000 + "example.net", "a." * 100_000 + "xexample.net", "example.net" + ".a" * 100_000]
+    df = spark.createDataFrame([(i, f"http://{h}/en/x") for i, h in enumerate(hosts)], "page_id long, url string")
+    got = {r["page_id"]: (len(r["host"]), r["rule"], r["verdict"]) for r in
+           url_rules.judge_urls(df, "page_id", "url", queries.HOST_RULES, queries.PATTERN_RULES).collect()}
+    assert got == {0: (200_011, "example.net/en/", "allow"), 1: (200_012, "net/", "block"), 2: (200_011, None, "allow")}
+
+
 def test_pattern_tokens():
     assert url_rules.compile_pattern("||cheap-pills.")[1] == ["cheap", "pills"]
     assert url_rules.compile_pattern("ads*foo/bar")[1] == []
@@ -216,6 +224,45 @@ def test_mix_meets_its_targets(spark):
             assert emitted[s] == pytest.approx(e * sizes[s], abs=max(60, 0.05 * sizes[s]))
 
 
+def test_mix_emits_block_permutations(spark):
+    """Row by row: every epoch of a source is its blocks in the order of that epoch, the last one cut where it comes nearest to the quota."""
+    df = mix_frame(spark)
+    blocks, seed = 64, 17
+    tokens = {}
+    block = {r["doc_id"]: r["b"] for r in df.select("doc_id", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(blocks)).alias("b")).collect()}
+    got = defaultdict(list)
+    for r in mixing.mix_sources(df, target_entropy=0.9, max_repeats=None, blocks=blocks).collect():
+        got[r["source"]].append(r)
+        tokens[r["source"]] = r["mix_epochs"]
+    inputs = defaultdict(list)
+    for r in df.collect():
+        inputs[r["source"]].append((r["doc_id"], len((r["text"] or "").split())))
+    assert set(got) == set(inputs)
+    for source, rows in got.items():
+        held = inputs[source]
+        total, epochs = sum(n for _, n in held), tokens[source]
+        by_block = defaultdict(int)
+        for k, n in held:
+            by_block[block[k]] += n
+        for epoch in range(math.ceil(epochs - 1e-9)):
+            mine = [r for r in rows if r["mix_epoch"] == epoch]
+            places = {}
+            for r in mine:      # a block has one place in an epoch, and another in the next
+                assert places.setdefault(block[r["doc_id"]], r["mix_position"]) == r["mix_position"]
+            assert len(set(places.values())) == len(places)
+            if epoch < math.floor(epochs + 1e-9):
+                assert Counter(r["doc_id"] for r in mine) == Counter(k for k, _ in held)
+                continue
+            # the cut epoch: whole blocks, and one more or one less is not nearer to the quota
+            assert Counter(r["doc_id"] for r in mine) == Counter(k for k, _ in held if block[k] in places)
+            rest = (epochs - math.floor(epochs)) * total
+            taken = sum(by_block[b] for b in places)
+            last = by_block[max(places, key=places.get)] if places else 0
+            assert taken - last / 2 <= rest + 1e-6
+            if len(places) < len(by_block):
+                assert taken + max(n for b, n in by_block.items() if b not in places) / 2 >= rest - 1e-6
+
+
 def test_mix_budget_and_edges(spark, edge_docs, no_docs):
     df = mix_frame(spark)
     rows = mixing.mix_sources(df, target_entropy=None, max_repeats=None, budget=4000, blocks=64).collect()
