@@ -2,11 +2,11 @@
 
 A text is a multiset of paragraphs: pieces between line breaks, and between
 sentence ends within a line, white space cut at both sides, empty ones left
-out.  Each paragraph is hashed (four SHA-256) to 16 words of 60 bits.  A word has
-a value of 15 bits and 20 bits that choose its level, the number of zeros they end
-with (19 at most): the word's lane of that level takes the value, the word's 19
-other lanes nothing.  So a level sees half of what the one below it sees, and
-a word's levels see different paragraphs.  A document's fingerprint is the number of its paragraphs modulo 2**32 and the lane-wise sum of
+out.  Each paragraph is hashed (two SHA-256) to 8 words of 60 bits.  A word has
+a value of 15 bits and twice 20 bits that choose a level, the number of zeros they end
+with (19 at most).  Each of these 16 choices has a lane per level: the lane of the
+chosen level takes the value, the 19 others nothing.  So a level sees half of what the
+one below it sees, and the levels of a choice see different paragraphs.  A document's fingerprint is the number of its paragraphs modulo 2**32 and the lane-wise sum of
 their vectors modulo 2**16.  So it does
 not depend on the paragraphs' order, and paragraphs are inserted and deleted by
 adding and subtracting their vectors (``insert``, ``delete``).
@@ -34,9 +34,12 @@ from pyspark.sql import functions as F
 from tabprism.llm.common import free_tag, materialise
 
 LEVELS = 20
-#: A hash gives four words of 60 bits, one for each of a level's lanes; hash k is taken of the paragraph after the text of SALTS[k].
-SALTS = ["", "1", "2", "3"]
-WORDS = PER_LEVEL = 4 * len(SALTS)
+#: Levels that are summed word by word; the rest, a 256th of the words, in one list.
+LOW = 8
+#: A hash gives four words of 60 bits, a word two of a level's lanes; hash k is taken of the paragraph after the text of SALTS[k].
+SALTS = ["", "1"]
+WORDS = 4 * len(SALTS)
+PER_LEVEL = 2 * WORDS
 LANES = LEVELS * PER_LEVEL
 VALUE_BITS = 15
 LANE_MOD = 1 << 16
@@ -84,20 +87,37 @@ def with_fingerprint(df: DataFrame, text: str, lanes: str) -> DataFrame:
     out = out.selectExpr(*names, f"array(CAST(size({units}) AS BIGINT) % {COUNT_MOD}L) AS {tag}count",
                          *[f"transform({hashes[k // 4]}, h -> CAST(conv(substring(h, {1 + 15 * (k % 4)}, 15), 16, 10) AS BIGINT)) AS {w}"
                            for k, w in enumerate(words)])
-    # sums of the words that reach each level or a higher one; what is left is halved from level to level
-    parts = [f"{tag}count"]
-    for level in range(LEVELS):
-        sums = ", ".join(f"aggregate({w}, 0L, (a, x) -> a + {value('x')}) % {LANE_MOD}L" for w in words)
-        left = [] if level == LEVELS - 1 else [f"filter({w}, x -> (x & {1 << level}L) = 0L) AS {w}" for w in words]
-        out = out.selectExpr(*names, *parts, f"array({sums}) AS {tag}level_{level}", *left)
-        parts.append(f"{tag}level_{level}")
+    # low levels: sums of the words that reach a level or a higher one; what is left is halved from level to level
+    left = [f"{tag}left_{k}" for k in range(PER_LEVEL)]
+    total = [f"aggregate({w}, 0L, (a, x) -> a + {VALUE}) % {LANE_MOD}L" for w in words for _ in range(2)]
+    held, parts = [words[k // 2] for k in range(PER_LEVEL)], [f"{tag}count", f"{tag}level_0"]
+    out = out.selectExpr(*names, *words, f"{tag}count", f"array({', '.join(total)}) AS {tag}level_0")
+    for level in range(LOW):
+        out = out.selectExpr(*names, *parts, *[f"filter({h}, x -> (x & {1 << place(k, level)}L) = 0L) AS {w}" for k, (h, w) in enumerate(zip(held, left))])
+        sums = ", ".join(f"aggregate({w}, 0L, (a, x) -> a + {VALUE}) % {LANE_MOD}L" for w in left)
+        out = out.selectExpr(*names, *parts, *left, f"array({sums}) AS {tag}level_{level + 1}")
+        held = left
+        parts.append(f"{tag}level_{level + 1}")
+    # the few words beyond them, in one list: lane and value of each, and what a lane's own sum up to
+    def zeros(k):
+        bits = f"(shiftright(x, {place(k, 0)}) | {1 << LEVELS - 1}L)"
+        return f"bit_count(({bits} & -{bits}) - 1L)"
+
+    places = [f"transform({w}, x -> shiftleft(({zeros(k)} - {LOW}) * {PER_LEVEL}L + {k}L, 16) | {VALUE})" for k, w in enumerate(left)]
+    out = out.selectExpr(*names, *parts, f"concat({', '.join(places)}) AS {tag}high")
+    high = (f"transform(sequence(0L, {(LEVELS - LOW) * PER_LEVEL - 1}L), l -> IF(size({tag}high) = 0, 0L, "
+            f"aggregate(filter({tag}high, y -> shiftright(y, 16) = l), 0L, (a, y) -> a + (y & 65535L)) % {LANE_MOD}L))")
     own = [F.zip_with(a, b, lambda x, y: F.pmod(x - y, F.lit(LANE_MOD))) for a, b in zip(parts[1:-1], parts[2:])]
-    return out.select(*names, F.concat(parts[0], *own, parts[-1]).alias(lanes))
+    return out.select(*names, F.concat(parts[0], *own, F.expr(high)).alias(lanes))
 
 
-def value(x: str) -> str:
-    """SQL of a word's value: the bits above those of its level."""
-    return f"((shiftright({x}, {LEVELS}) & {(1 << VALUE_BITS) - 1}L))"
+#: SQL of the value of a word x: the bits above its two choices of a level.
+VALUE = f"(shiftright(x, {2 * LEVELS}) & {(1 << VALUE_BITS) - 1}L)"
+
+
+def place(lane: int, bit: int) -> int:
+    """Place in a word of a bit of a lane's choice of its level."""
+    return LEVELS * (lane % 2) + bit
 
 
 def as_text(lanes: Column) -> Column:

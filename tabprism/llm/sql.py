@@ -61,11 +61,12 @@ def op8() -> str:
         hashes = ", ".join(f"list_transform(u, lambda s: sha256('{salt}' || s)) AS a{k}" for k, salt in enumerate(m.SALTS))
         level = (f"(SELECT *, {words} FROM (SELECT *, len(u)::BIGINT % {m.COUNT_MOD} AS n, "
                  f"{hashes} FROM (SELECT *, {units} AS u FROM {source})))")
-        names = [f"w{k}" for k in range(m.WORDS)]
+        names = [f"c{k}" for k in range(m.PER_LEVEL)]
+        level = f"(SELECT *, {', '.join(f'w{k // 2} AS c{k}' for k in range(m.PER_LEVEL))} FROM {level})"
         for j in range(m.LEVELS):
-            sums = ", ".join(f"coalesce(list_sum(list_transform({w}, lambda x: ((x >> {m.LEVELS}) & {(1 << m.VALUE_BITS) - 1})::BIGINT)), 0)::BIGINT "
-                             f"% {m.LANE_MOD}" for w in names)
-            left = ", ".join(f"list_filter({w}, lambda x: x & {1 << j} = 0) AS {w}" for w in names)
+            sums = ", ".join(f"coalesce(list_sum(list_transform({c}, lambda x: ((x >> {2 * m.LEVELS}) & {(1 << m.VALUE_BITS) - 1})::BIGINT)), 0)::BIGINT "
+                             f"% {m.LANE_MOD}" for c in names)
+            left = ", ".join(f"list_filter({c}, lambda x: x & {1 << m.place(k, j)} = 0) AS {c}" for k, c in enumerate(names))
             level = f"(SELECT * REPLACE ({left}), [{sums}] AS l{j} FROM {level})"
         own = [f"list_transform(list_zip(l{j}, l{j + 1}), lambda z: (z[1] - z[2] + {m.LANE_MOD}) % {m.LANE_MOD})" for j in range(m.LEVELS - 1)]
         return f"SELECT *, [n] || {' || '.join([*own, f'l{m.LEVELS - 1}'])} AS fp FROM {level}"

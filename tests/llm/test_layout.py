@@ -289,12 +289,13 @@ def slow_print(text):
     units = [u for u in (p.strip(" \t\r\f\x0b") for p in pieces) if u]
     lanes = [0] * 320
     for u in units:
-        digits = [hashlib.sha256(salt + u.encode()).hexdigest()[:60] for salt in (b"", b"1", b"2", b"3")]
+        digits = [hashlib.sha256(salt + u.encode()).hexdigest()[:60] for salt in (b"", b"1")]
         words = [int(d[15 * k:15 * k + 15], 16) for d in digits for k in range(4)]
         for lane in range(320):
-            level, word = lane // 16, words[lane % 16]
-            if word % (1 << level) == 0 and (level == 19 or word >> level & 1):
-                lanes[lane] += word >> 20 & 0x7FFF
+            level, word = lane // 16, words[lane % 16 // 2]
+            bits = word >> 20 * (lane % 2) & 0xFFFFF
+            if bits % (1 << level) == 0 and (level == 19 or bits >> level & 1):
+                lanes[lane] += word >> 40 & 0x7FFF
     return f"{len(units):08x}" + "".join(f"{v % 65536:04x}" for v in lanes)
 
 
