@@ -21,15 +21,15 @@ from tabprism.sources.csv import NA_TOKENS, read_csv, write_csv
 from tabprism.sources.scratch import scratch_path
 
 GAP_COLS = ["user_id", "value"]
-NAN = F.lit(float("nan"))
+NAN = float("nan")
 
 
 def _events(spark, sf):
     """events whose measures are NULL in some rows and NaN in others."""
     key = F.col("event_id")
     return T.load(spark, sf, "events").select(
-        "event_id", "event_type", F.when(key % 11 == 0, F.lit(None)).when(key % 6 == 1, NAN).otherwise(F.col("user_id").cast("double")).alias("user_id"),
-        F.when(key % 7 == 0, F.lit(None)).when(key % 5 == 1, NAN).otherwise(F.col("value")).alias("value"))
+        "event_id", "event_type", F.when(key % 11 == 0, F.lit(None)).when(key % 6 == 1, F.lit(NAN)).otherwise(F.col("user_id").cast("double")).alias("user_id"),
+        F.when(key % 7 == 0, F.lit(None)).when(key % 5 == 1, F.lit(NAN)).otherwise(F.col("value")).alias("value"))
 
 
 EVENTS_SQL = ("SELECT event_id, event_type, CASE WHEN event_id % 11 = 0 OR event_id % 6 = 1 THEN NULL ELSE CAST(user_id AS DOUBLE) END AS user_id, "
@@ -82,8 +82,8 @@ def score_logistic_missing(spark, sf):
     key = F.col("o_orderkey")
     of = T.of(spark, sf).withColumns({
         "o_totalprice": F.col("o_totalprice") / 1e5,
-        "sum_qty": F.when(key % 7 == 0, F.lit(None)).when(key % 5 == 1, NAN).otherwise(F.col("sum_qty") / 100),
-        "avg_discount": F.when(key % 3 == 0, NAN).otherwise(F.col("avg_discount"))})
+        "sum_qty": F.when(key % 7 == 0, F.lit(None)).when(key % 5 == 1, F.lit(NAN)).otherwise(F.col("sum_qty") / 100),
+        "avg_discount": F.when(key % 3 == 0, F.lit(NAN)).otherwise(F.col("avg_discount"))})
     return SC.score_logistic(of, LogisticParams(LOGR_FEATS, FIXED_COEF, FIXED_INTERCEPT)).select(
         "o_orderkey", "probability", "prediction", "label")
 
