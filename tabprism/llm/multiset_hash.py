@@ -90,14 +90,13 @@ def with_fingerprint(df: DataFrame, text: str, lanes: str) -> DataFrame:
     # low levels: sums of the words that reach a level or a higher one; what is left is halved from level to level
     left = [f"{tag}left_{k}" for k in range(PER_LEVEL)]
     total = [f"aggregate({w}, 0L, (a, x) -> a + {VALUE}) % {LANE_MOD}L" for w in words for _ in range(2)]
-    held, parts = [words[k // 2] for k in range(PER_LEVEL)], [f"{tag}count", f"{tag}level_0"]
-    out = out.selectExpr(*names, *words, f"{tag}count", f"array({', '.join(total)}) AS {tag}level_0")
-    for level in range(LOW):
-        out = out.selectExpr(*names, *parts, *[f"filter({h}, x -> (x & {1 << place(k, level)}L) = 0L) AS {w}" for k, (h, w) in enumerate(zip(held, left))])
-        sums = ", ".join(f"aggregate({w}, 0L, (a, x) -> a + {VALUE}) % {LANE_MOD}L" for w in left)
-        out = out.selectExpr(*names, *parts, *left, f"array({sums}) AS {tag}level_{level + 1}")
+    held, parts = [words[k // 2] for k in range(PER_LEVEL)], [f"{tag}count"]
+    for level in range(LOW + 1):
+        sums = total if not level else [f"aggregate({w}, 0L, (a, x) -> a + {VALUE}) % {LANE_MOD}L" for w in left]
+        rest = left if level == LOW else [f"filter({h}, x -> (x & {1 << place(k, level)}L) = 0L) AS {w}" for k, (h, w) in enumerate(zip(held, left))]
+        out = out.selectExpr(*names, *parts, f"array({', '.join(sums)}) AS {tag}level_{level}", *rest)
         held = left
-        parts.append(f"{tag}level_{level + 1}")
+        parts.append(f"{tag}level_{level}")
     # the few words beyond them, in one list: lane and value of each, and what a lane's own sum up to
     def zeros(k):
         bits = f"(shiftright(x, {place(k, 0)}) | {1 << LEVELS - 1}L)"
