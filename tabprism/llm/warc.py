@@ -13,7 +13,8 @@ file.
 
 **Assembly.**  Requests, responses and metadata are joined on the request's
 identifier into one nested row per capture; a revisit takes length and digest
-of its payload from the response it refers to.
+of its payload from the response it refers to.  Both are taken from the stored
+payload before the joins, so a reader that needs only them shuffles no payload.
 
 Equal payloads are found by SHA-256 and length of the whole payload.  Defined
 results: a null payload is empty; a null page id ranks lowest and a revisit
@@ -183,13 +184,15 @@ def assemble(records: DataFrame) -> DataFrame:
     """One nested row per capture: (request, response, metadata) structs.
 
     ``response.record_type`` is response or revisit; a capture whose request
-    or metadata record is missing keeps null there.
+    or metadata record is missing keeps null there.  ``response.payload_bytes``
+    and ``response.payload_sha1`` are those of the stored payload.
     """
     r = records
     capture = r.where(F.col("type").isin("response", "revisit")).select(
         F.col("concurrent_to").alias("_to"), F.struct(
             F.col("type").alias("record_type"), "record_id", "refers_to", "target_uri", "date", "content_type",
-            "payload_digest", "http_bytes", "payload").alias("response"))
+            "payload_digest", "http_bytes", "payload", F.octet_length("payload").cast("long").alias("payload_bytes"),
+            F.sha1("payload").alias("payload_sha1")).alias("response"))
     request = r.where(F.col("type") == "request").select(
         F.col("record_id").alias("_to"), F.struct("record_id", "target_uri", "date", "block_bytes").alias("request"))
     metadata = r.where(F.col("type") == "metadata").select(
@@ -201,14 +204,13 @@ def assemble(records: DataFrame) -> DataFrame:
 def resolve_revisits(captures: DataFrame) -> DataFrame:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to) per capture.
 
-    Length and digest are computed from the stored payload; a revisit looks
-    them up at the response that it refers to.
+    Length and digest are those of the stored payload; a revisit looks them
+    up at the response that it refers to.
     """
     flat = captures.select(
         F.col("metadata.page_id").cast("long").alias("page_id"), F.col("response.record_type").alias("record_type"),
         F.col("response.record_id").alias("_rid"), F.col("response.refers_to").alias("_ref"),
-        F.octet_length("response.payload").cast("long").alias("payload_bytes"),
-        F.sha1("response.payload").alias("payload_digest"))
+        F.col("response.payload_bytes").alias("payload_bytes"), F.col("response.payload_sha1").alias("payload_digest"))
     flat = materialise(flat, "warc-captures")      # narrow rows; both sides below read them
     responses = flat.where(F.col("record_type") == "response")
     known = (responses.groupBy(F.col("_rid").alias("_ref"))

@@ -126,6 +126,22 @@ def test_archive_round_trip(spark):
     assert stored[7] == pages.where("page_id = 7").first()["html"].encode()
 
 
+def test_assembly_joins_no_payloads(spark, monkeypatch):
+    """Length and digest of a payload are taken before the joins: no input of a join holds the payload."""
+    where = warc.write_warc(pages_frame(spark), scratch_path(spark, "warc-narrow"))
+    read = []
+    monkeypatch.setattr(warc, "materialise", lambda df, name: read.append(df) or materialise(df, name))
+    assert warc.resolve_revisits(warc.assemble(warc.read_warc(spark, where))).count() == 13
+
+    def nodes(plan):
+        return [plan, *(n for i in range(plan.children().size()) for n in nodes(plan.children().apply(i)))]
+
+    joins = [n for n in nodes(read[0]._jdf.queryExecution().optimizedPlan()) if n.nodeName() == "Join"]
+    assert len(joins) == 2
+    for side in (j.children().apply(i) for j in joins for i in (0, 1)):
+        assert "binary" not in side.schema().catalogString()
+
+
 def test_archive_of_nothing(spark):
     where = warc.write_warc(spark.createDataFrame([], PAGE), scratch_path(spark, "warc-none"))
     assert warc.resolve_revisits(warc.assemble(warc.read_warc(spark, where))).collect() == []
