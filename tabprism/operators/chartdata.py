@@ -131,7 +131,8 @@ def density_curves(df: DataFrame, cols: Sequence[str], by: str | None = None, gr
     """
     cols, groups = list(cols), [by] if by else []
     keys = [*groups, "column_name"]
-    st = column_stats(df, cols, {"_n": F.count, "_lo": F.min, "_hi": F.max, "_sd": F.stddev_samp}, by=groups, index_col=None)
+    # the variance as a column's covariance with itself: stddev_samp may differ from the SQL's in the last bit, which shows in x's ninth digit
+    st = column_stats(df, cols, {"_n": F.count, "_lo": F.min, "_hi": F.max, "_sd": lambda c: F.sqrt(F.covar_samp(c, c))}, by=groups, index_col=None)
     n = F.col("_n").cast("double")
     bw = F.col("_sd") * F.pow(n, F.lit(-1.0 / 5.0))
     st = st.where(F.col("_sd") > 0).withColumn("_bw", bw)
